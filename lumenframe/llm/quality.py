@@ -23,6 +23,10 @@ BOILERPLATE = "(?i)all rights reserved|terms of (?:use|service)|privacy policy|c
 TERMINAL = "[.!?…:;\"'”’»)\\]]\\s*$"
 
 
+#: A line may break off after whole sentences.
+SENTENCES = "[.!?…]\\s"
+
+
 def words_of(text: Column) -> Column:
     bare = F.btrim(text, F.lit(WS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WS_RE))
@@ -41,7 +45,7 @@ def line_fails(line: Column) -> Column:
         | (F.upper(line) == line) & (n >= 20) & (F.lower(line) != line)
         | line.rlike(NAVIGATION)
         | line.rlike(BOILERPLATE)
-        | ~line.rlike(TERMINAL)
+        | ~line.rlike(TERMINAL) & ~line.rlike(SENTENCES)
     )
 
 
