@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, decontamination, jaccard_join, line_dedup, quality, sharding, suffix_dedup, urls, warc
+from lumenframe.llm import bpe, decontamination, jaccard_join, language_model, line_dedup, quality, sharding, suffix_dedup, urls, warc
 
 
 def queries() -> dict:
-    found = [suffix_dedup.op2_suffix_dedup, quality.op3_quality_rules, urls.op4_url_filters, line_dedup.op5_line_dedup, bpe.op6_bpe, sharding.op7_sharding, jaccard_join.op8_jaccard_join, decontamination.op9_decontamination, warc.op10_warc]
+    found = [language_model.op1_language_model, suffix_dedup.op2_suffix_dedup, quality.op3_quality_rules, urls.op4_url_filters, line_dedup.op5_line_dedup, bpe.op6_bpe, sharding.op7_sharding, jaccard_join.op8_jaccard_join, decontamination.op9_decontamination, warc.op10_warc]
     return {f.__name__: f for f in found}
 
 
