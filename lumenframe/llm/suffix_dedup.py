@@ -4,9 +4,11 @@ A corpus has no single suffix array here. Every window of `length` bytes is sent
 leftmost least-hashed gram of `GRAM` bytes inside it; equal windows have equal anchors at equal distances, so they
 meet. Consecutive windows with one anchor form a segment of at most 2 * length - GRAM bytes and travel together.
 
-1. Anchors alone shuffle (packed, 8 bytes each) and those met twice enter a Bloom filter of bounded size.
-2. Segments that may have a repeated anchor shuffle with their bytes. Equal segments collapse first, in each task
-   and again in the region: all but the first are repeats from end to end.
+1. A window holds its anchor and half of the other bytes before it or after it. These halves' keys alone shuffle
+   (packed, 4 bytes each, in buckets that grow in number with the partitions), and those met twice enter a Bloom
+   filter of bounded size.
+2. Segments with a key that may be repeated shuffle with their bytes. Equal segments collapse first, in each task
+   and again in the region: all but the first are repeats from end to end, and need no bytes.
 3. Where different segments share an anchor, they are joined into one text with a separate terminator each. Its
    Burrows-Wheeler transform is expanded breadth first, from the interval of the empty string backwards by one
    character a round; a round gives the boundaries whose suffixes have that many bytes in common, so common prefixes
@@ -34,7 +36,7 @@ CHUNK_BITS = 18
 FLUSH = 1 << 19
 NO_ID = -(1 << 63)
 #: Bytes of different segments that one transform takes, if no anchor has more.
-TRANSFORM = 1 << 20
+TRANSFORM = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -64,7 +66,8 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(row, first byte, windows, anchor) arrays of the segments, chunk by chunk."""
+    """(row, first byte, windows, anchor, keys before and after the anchor, 0 where no window has that half) arrays of the segments, chunk by chunk."""
+    half = (length - GRAM) // 2
     k, w = GRAM, length - GRAM + 1
     size = (1 << CHUNK_BITS) + length
     up, down = powers(size)
@@ -96,26 +99,38 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int):
         if not len(s):
             continue
         count = np.r_[0, np.cumsum(valid)]
-        yield rows[s], at[s], np.diff(np.r_[count[s], count[-1]]), g[p[s]]
+        size, a = np.diff(np.r_[count[s], count[-1]]), p[s]
+        left, right = s <= a - half, s + size - 1 > a - half
+        keys = np.zeros((2, len(s)), np.uint64)
+        for side, on, first, last in ((0, left, a - half, a + k), (1, right, a, a + k + half)):
+            first, last = first[on], last[on]
+            keys[side, on] = mix(mix((sums[last] - sums[first]) * down[first]) + np.uint64(side + 1)) | np.uint64(1)
+        yield rows[s], at[s], size, g[a], keys
 
 
-def _packed_anchors(length: int, buckets: int):
-    shift = np.uint64(64 - (buckets - 1).bit_length())
+LOW = np.uint64(0xFFFFFFFF)
 
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return keys >> np.uint64(64 - (buckets - 1).bit_length())
+
+
+def _packed_keys(length: int, buckets: int):
     def flush(held):
-        a, n = np.unique(np.concatenate(held), return_counts=True)
-        a = np.sort(np.concatenate([a, a[n > 1]]))  # twice is enough
-        which = (a >> shift).astype(np.int64)
-        cut = np.searchsorted(which, np.arange(buckets + 1))
+        keys = np.concatenate(held)
+        keys, n = np.unique((_bucket(keys, buckets) << np.uint64(32)) | (keys & LOW), return_counts=True)
+        keys = np.sort(np.concatenate([keys, keys[n > 1]]))  # twice is enough
+        cut = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1))
+        short = (keys & LOW).astype(np.uint32)
         some = np.flatnonzero(np.diff(cut))
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([a[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "anchors"])
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([short[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "keys"])
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for _, _, _, anchor in segments(*column_bytes(batch.column(0)), length):
-                held.append(anchor)
-                n += len(anchor)
+            for *_, keys in segments(*column_bytes(batch.column(0)), length):
+                held.append(keys[keys > 0])
+                n += len(held[-1])
                 if n >= FLUSH:
                     yield flush(held)
                     held, n = [], 0
@@ -125,9 +140,9 @@ def _packed_anchors(length: int, buckets: int):
     return run
 
 
-def _slots(anchor: np.ndarray, bits: int):
-    """Two bits inside a bucket's part of the filter; the bucket itself comes from the top of the anchor."""
-    for x in (anchor & np.uint64(0xFFFFFFFF), mix(anchor)):
+def _slots(short: np.ndarray, bits: int):
+    """Two bits inside a bucket's part of the filter, from the low half of a key."""
+    for x in (short, mix(short + np.uint64(1))):
         yield (x & np.uint64(bits - 1)).astype(np.int64)
 
 
@@ -136,9 +151,9 @@ def _repeated(bits: int):
         held: dict[int, list] = {}
         for batch in batches:
             for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(b, []).append(np.frombuffer(x, np.uint64))
+                held.setdefault(b, []).append(np.frombuffer(x, np.uint32))
         for b, parts in held.items():
-            a = np.sort(np.concatenate(parts))
+            a = np.sort(np.concatenate(parts)).astype(np.uint64)
             f = np.zeros(bits, np.uint8)
             for at in _slots(a[1:][a[1:] == a[:-1]], bits):
                 f[at] = 1
@@ -147,37 +162,48 @@ def _repeated(bits: int):
     return run
 
 
+SUSPECT = ["anchor", "doc_id", "tag", "start", "size", "bytes"]
+#: Contents a task remembers, to send equal ones once.
+MOST_SEEN = 100_000
+
+
 def _suspects(length: int, buckets: int, filt):
-    shift = np.uint64(64 - (buckets - 1).bit_length())
-    names = ["anchor", "doc_id", "tag", "start", "size", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches):
         f, bits = filt.value
+        seen: dict[bytes, tuple] = {}
         for batch in batches:
             data, offsets = column_bytes(batch.column(0))
             ids = batch.column(1).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             tags = batch.column(2).to_numpy(zero_copy_only=False)
-            raw = data.tobytes()
-            for rows, at, count, anchor in segments(data, offsets, length):
-                base = (anchor >> shift).astype(np.int64) * bits
-                hit = np.ones(len(anchor), bool)
-                for slot in _slots(anchor, bits):
-                    slot = base + slot
-                    hit &= (f[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            raw = memoryview(data)
+            for rows, at, count, anchor, keys in segments(data, offsets, length):
+                hit = np.zeros(len(anchor), bool)
+                for side in keys:
+                    base, own = _bucket(side, buckets).astype(np.int64) * bits, side > 0
+                    for slot in _slots(side & LOW, bits):
+                        slot = base + slot
+                        own &= ((f[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) == 1
+                    hit |= own
                 hit = np.flatnonzero(hit)
                 if not len(hit):
                     continue
-                rows, at, size, anchor = rows[hit], at[hit], count[hit] + length - 1, anchor[hit]
-                # By document and place, so that the first of equal segments here is the one that keeps its bytes.
-                order = np.lexsort((at, tags[rows], ids[rows]))
-                seen, out = {}, []
-                for i in order.tolist():
-                    x, own = raw[at[i] : at[i] + size[i]], (ids[rows[i]], tags[rows[i]], at[i] - offsets[rows[i]])
-                    out.append(x if seen.setdefault(x, own) == own else None)
-                rows, at = rows[order], at[order]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[order].view(np.int64)), pa.array(ids[rows]), pa.array(tags[rows]), pa.array(at - offsets[rows]), pa.array(size[order].astype(np.int32)), pa.array(out, pa.binary())], names
-                )
+                rows, at = rows[hit], at[hit]
+                columns = (anchor[hit].view(np.int64), ids[rows], tags[rows], at - offsets[rows], count[hit] + length - 1, at)
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                out: list[list] = []
+                for a, doc, tag, start, size, first in zip(*(c.tolist() for c in columns), strict=True):
+                    x = bytes(raw[first : first + size])
+                    own = (doc, tag, start)
+                    if seen.setdefault(xxhash.xxh3_128_digest(x), own) >= own:
+                        out.append([a, doc, tag, start, size, x])
+                    elif out and out[-1][5] is None and out[-1][1] == doc and out[-1][2] == tag and out[-1][3] <= start <= out[-1][3] + out[-1][4]:
+                        out[-1][4] = start + size - out[-1][3]  # the repeat goes on
+                    else:
+                        out.append([a, doc, tag, start, size, None])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], SUSPECT)
 
     return run
 
@@ -364,7 +390,7 @@ def dedup_substrings(docs: DataFrame, length: int = 100, most_bits: int = 1 << 3
     buckets = 1 << (4 * parts - 1).bit_length()
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = max(64, min(most_bits, 1 << (total // 16).bit_length()) // buckets)
-    packed = docs.select("text").mapInArrow(_packed_anchors(length, buckets), "bucket int, anchors binary").repartition(parts, "bucket")
+    packed = docs.select("text").mapInArrow(_packed_keys(length, buckets), "bucket int, keys binary").repartition(parts, "bucket")
     filt = np.zeros(buckets * bits >> 3, np.uint8)
     for r in packed.mapInArrow(_repeated(bits), "bucket int, bits binary").toLocalIterator():
         filt[r["bucket"] * bits >> 3 : (r["bucket"] + 1) * bits >> 3] = np.frombuffer(bytes(r["bits"]), np.uint8)
