@@ -1,6 +1,655 @@
-"""The queries of the engine by name, and their SQL."""
+"""The engine's operators as queries over the driver's tables, each with its SQL twin where SQL can express it.
+
+The tables hold no photos, so each concept has an analogue: documents are media rows (source is the folder, lang an attribute,
+n_chars the size), embeddings are media vectors and faces (label is the person), conversations are caption histories (role is the
+model), events are requests and job logs (event_type is the provider), pages' urls are paths.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.functions import captions as C
+from lumenframe.functions import dates as D
+from lumenframe.functions import geo as G
+from lumenframe.functions import hashing as H
+from lumenframe.functions import media as M
+from lumenframe.functions import paths as P
+from lumenframe.functions import vectors as V
+from lumenframe.operators import aggregate as A
+from lumenframe.operators import browse as B
+from lumenframe.operators import catalog as K
+from lumenframe.operators import cluster as CL
+from lumenframe.operators import dedupe as DD
+from lumenframe.operators import ingest as I
+from lumenframe.operators import jobs as J
+from lumenframe.operators import pending as PE
+from lumenframe.plans import search as S
+from lumenframe.streaming import streams as ST
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def vector_of(spark, sf, vec_id: int) -> list[float]:
+    return list(t(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).first().embedding)
+
+
+def media(spark, sf) -> DataFrame:
+    """documents as media rows."""
+    k = F.col("doc_id") % 5
+    cj = F.when(k == 0, F.lit(None)).when(k == 1, '{"caption": ""}').when(k == 2, '{"caption": "text", "scene": "indoor"}').when(k == 3, "{broken").otherwise('{"scene": "outdoor"}')
+    return t(spark, sf, "documents").select(
+        F.col("doc_id").alias("uid"), F.concat(F.lit("/lib/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".mp4").otherwise(".jpg")).alias("path"),
+        F.when(F.col("doc_id") % 11 == 0, "video").when(F.col("doc_id") % 13 == 0, "image").otherwise("").alias("media_type"),
+        cj.cast("string").alias("caption_json"), F.when(F.col("doc_id") % 10 == 0, "flat").alias("caption"), "n_chars", "lang",
+        F.when(F.col("doc_id") % 4 == 0, "").otherwise("ff").alias("dhash"),
+    )
+
+
+MEDIA_SQL = """media AS (SELECT doc_id AS uid, '/lib/' || source || '/' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.mp4' ELSE '.jpg' END AS path,
+  CASE WHEN doc_id % 11 = 0 THEN TRUE WHEN doc_id % 13 = 0 THEN FALSE ELSE doc_id % 7 = 0 END AS video,
+  CASE doc_id % 5 WHEN 0 THEN doc_id % 10 = 0 WHEN 1 THEN FALSE ELSE TRUE END AS captioned, doc_id % 4 = 0 AS nohash, n_chars, lang FROM documents)"""
+
+# ---- search -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
+SELECT doc_id, source, round(pow(list_distance(v.embedding::DOUBLE[], q.e), 2), 6) AS distance
+FROM embeddings v JOIN documents d ON v.vec_id = d.doc_id, q WHERE d.lang = 'en' ORDER BY list_distance(v.embedding::DOUBLE[], q.e), doc_id LIMIT 20""")
+def vector_topk_filtered(spark, sf):
+    rows = t(spark, sf, "embeddings").join(t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id")
+    q = vector_of(spark, sf, 0)
+    out, _ = S.search(rows, S.Request("sea", {"lang": "en", "season": "All"}, top_k=20), lambda _: q, {}, key="vec_id")
+    return out.select(F.col("vec_id").alias("doc_id"), "source", F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 3), top AS (
+SELECT vec_id, label, list_distance(v.embedding::DOUBLE[], q.e) AS d FROM embeddings v, q ORDER BY d, vec_id LIMIT 50) SELECT vec_id, round(d * d, 6) AS distance FROM top WHERE label = 3""")
+def vector_topk_person_postfilter(spark, sf):
+    rows, q = t(spark, sf, "embeddings"), vector_of(spark, sf, 3)
+    out, _ = S.search(rows, S.Request("x", person="p3", top_k=50), lambda _: q, {"p3": rows.where("label = 3").select("vec_id")}, key="vec_id")
+    return out.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 3)
+SELECT vec_id, round(list_distance(v.embedding::DOUBLE[], q.e) ** 2, 6) AS distance FROM embeddings v, q WHERE label = 3 ORDER BY list_distance(v.embedding::DOUBLE[], q.e), vec_id LIMIT 10""")
+def vector_topk_person_prefilter(spark, sf):
+    rows, q = t(spark, sf, "embeddings"), vector_of(spark, sf, 3)
+    out, _ = S.search(rows, S.Request("x", person="p3", top_k=10, person_prefilter=True), lambda _: q, {"p3": rows.where("label = 3").select("vec_id")}, key="vec_id")
+    return out.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label = 2")
+def person_browse(spark, sf):
+    rows = t(spark, sf, "embeddings")
+    out, _ = S.search(rows, S.Request(person="p2"), None, {"p2": rows.where("label = 2").select("vec_id")}, key="vec_id")
+    return out.select("vec_id", "label")
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang = 'de' AND source = 'src1' ORDER BY doc_id LIMIT 10000")
+def filter_browse_cap(spark, sf):
+    out, _ = S.search(t(spark, sf, "documents"), S.Request(filters={"lang": "de", "source": "src1", "weather": ""}, top_k=5), None, {}, key="doc_id")
+    return out.select("doc_id", "source")
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7)
+SELECT vec_id, round(list_distance(v.embedding::DOUBLE[], q.e) ** 2, 6) AS distance FROM embeddings v, q WHERE vec_id <> 7 ORDER BY list_distance(v.embedding::DOUBLE[], q.e), vec_id LIMIT 15""")
+def similar_excluding_self(spark, sf):
+    return S.similar(t(spark, sf, "embeddings"), 7, vector_of(spark, sf, 7), 15, key="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH m AS (SELECT list(a ORDER BY i) AS e FROM (SELECT i, avg(x) AS a FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label = 1) GROUP BY i))
+SELECT vec_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], m.e), 6) AS distance FROM embeddings v, m WHERE 1 - list_cosine_similarity(v.embedding::DOUBLE[], m.e) <= 0.7""")
+def person_range_search(spark, sf):
+    rows = t(spark, sf, "embeddings")
+    mean = list(V.mean_vectors(rows.where("label = 1"), ["label"]).first()["mean"])
+    return V.range_search(rows, mean, 0.7, "vec_id", most=1_000_000).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT DISTINCT attribute, value FROM (SELECT 'lang' AS attribute, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) WHERE value IS NOT NULL AND value NOT IN ('', 'unknown')")
+def facets(spark, sf):
+    return B.facets(t(spark, sf, "documents"), ["lang", "source"]).select("attribute", F.explode("values").alias("value"))
+
+
+@query("SELECT doc_id AS id, '/lib/' || doc_id AS path, doc_id::VARCHAR AS filename, doc_id % 3 <> 0 AS \"exists\" FROM documents")
+def result_cards(spark, sf):
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/lib/"), "doc_id").alias("path"), F.lit("").alias("filename"))
+    return S.result_cards(docs, docs.where("id % 3 = 0")).select("id", "path", "filename", "exists")
+
+
+# ---- browsing -----------------------------------------------------------------------------------------------------
+
+DATED = "SELECT o_orderkey, strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') AS date FROM orders"
+
+
+def dated(spark, sf):
+    return t(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", D.FORM).alias("date"))
+
+
+@query(f"SELECT substr(date, 1, 4) AS year, substr(date, 6, 2) AS month, count(*) AS n FROM ({DATED}) GROUP BY ALL")
+def timeline_summary(spark, sf):
+    return B.timeline_summary(dated(spark, sf)).select("year", F.explode("months").alias("month", "n"))
+
+
+@query(f"SELECT substr(date, 1, 4) AS year, substr(date, 6, 2) AS month, count(*) AS n FROM ({DATED}) GROUP BY ROLLUP (1, 2)")
+def timeline_rollup(spark, sf):
+    return B.timeline_rollup(dated(spark, sf))
+
+
+@query(f"SELECT o_orderkey, substr(date, 1, 4) AS year, row_number() OVER (PARTITION BY substr(date, 1, 4) ORDER BY date DESC, o_orderkey) AS rank FROM ({DATED}) QUALIFY rank <= 5")
+def timeline_top_n_per_year(spark, sf):
+    return B.timeline_page(dated(spark, sf), None, limit=5, key="o_orderkey").select("o_orderkey", "year", "rank")
+
+
+@query(f"SELECT o_orderkey, date FROM ({DATED}) WHERE substr(date, 1, 4) = (SELECT min(substr(date, 1, 4)) FROM ({DATED})) ORDER BY date DESC, o_orderkey LIMIT 50 OFFSET 25")
+def timeline_page(spark, sf):
+    rows = dated(spark, sf)
+    return B.timeline_page(rows, rows.agg(F.min(F.substring("date", 1, 4))).first()[0], 25, 50, key="o_orderkey")
+
+
+@query("""SELECT event_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS section FROM (
+SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
+def month_sections(spark, sf):
+    return B.runs(t(spark, sf, "events"), "event_type", ["ts", "event_id"], ["user_id"]).select("event_id", "section")
+
+
+@query("""SELECT doc_id AS uid FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 60) WHERE doc_id IN (SELECT vec_id FROM embeddings) ORDER BY n_chars DESC, doc_id LIMIT 20""")
+def recent_embedded(spark, sf):
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.col("n_chars").cast("double").alias("created_at"))
+    return B.recent(docs, t(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), 20).select("uid")
+
+
+@query("SELECT conv_id, role, arg_max(text, turn) AS text FROM conversations GROUP BY ALL")
+def latest_per_model(spark, sf):
+    return B.latest_per_key(t(spark, sf, "conversations"), ["conv_id", "role"], "turn", "text")
+
+
+@query("SELECT m AS model, m = 2 AS is_active, EXISTS (SELECT 1 FROM embeddings WHERE vec_id = 5 AND label % 3 = m) AS embedded FROM range(3) t(m)")
+def explore(spark, sf):
+    vectors = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 3).cast("long").alias("embedding_model"))
+    registry = spark.range(3).select(F.col("id").alias("model"), F.lit(64).alias("dimension"), (F.col("id") == 2).alias("is_active"))
+    return B.explore(vectors, registry, 5).drop("dimension")
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'from the catalog' END AS name FROM nation WHERE n_nationkey = 7")
+def meta_fields(spark, sf):
+    n = t(spark, sf, "nation")
+    v = n.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("").alias("name"))
+    return B.meta(v, n.select(F.col("n_nationkey").alias("uid"), F.lit("from the catalog").alias("name")), 7, ["name"])
+
+
+# ---- work queues ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {MEDIA_SQL} SELECT uid FROM media WHERE NOT video AND uid NOT IN (SELECT vec_id FROM embeddings)")
+def pending_missing(spark, sf):
+    return PE.missing(media(spark, sf), t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))).select("uid")
+
+
+@query(f"WITH {MEDIA_SQL} SELECT uid FROM media WHERE NOT video AND captioned AND uid NOT IN (SELECT vec_id FROM embeddings)")
+def pending_embed(spark, sf):
+    return PE.embed_pending(media(spark, sf), t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))).select("uid")
+
+
+@query(f"WITH {MEDIA_SQL} SELECT uid, video FROM media WHERE NOT captioned")
+def pending_vision(spark, sf):
+    m = media(spark, sf)
+    return PE.vision_pending(m).select("uid", F.lit(False).alias("video")).unionByName(PE.video_vision_pending(m).select("uid", F.lit(True).alias("video")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_labels(spark, sf):
+    return PE.not_in(t(spark, sf, "documents"), t(spark, sf, "labels"), "doc_id", "doc_id").select("doc_id")
+
+
+@query(f"WITH {MEDIA_SQL} SELECT count(*) FILTER (NOT video) AS total, count(*) FILTER (NOT video AND NOT nohash) AS hashed FROM media")
+def hash_stats(spark, sf):
+    return PE.hash_stats(media(spark, sf))
+
+
+@query(f"""WITH {MEDIA_SQL}, e AS (SELECT DISTINCT vec_id FROM embeddings), c AS (SELECT count(*) AS total, count(*) FILTER (NOT video) AS photos, count(*) FILTER (video) AS videos, count(*) FILTER (captioned AND NOT video) AS captioned,
+(SELECT count(*) FROM e) AS embedded, count(*) FILTER (uid IN (SELECT vec_id FROM e)) AS embedded_here, count(*) FILTER (captioned AND NOT video AND uid NOT IN (SELECT vec_id FROM e)) AS embed_pending_listed FROM media)
+SELECT *, greatest(0, captioned - embedded) AS embed_pending FROM c""")
+def stage_stats(spark, sf):
+    return PE.stage_stats(media(spark, sf), t(spark, sf, "embeddings").select(F.col("vec_id").alias("id")))
+
+
+@query(f"WITH {MEDIA_SQL} SELECT video, count(*) AS total, count(*) FILTER (uid IN (SELECT vec_id FROM embeddings)) AS detected, count(*) FILTER (uid NOT IN (SELECT vec_id FROM embeddings)) AS pending FROM media GROUP BY video")
+def face_stats(spark, sf):
+    return PE.face_stats(media(spark, sf), t(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id")))
+
+
+def history(spark, sf):
+    rows = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("h"))
+    return rows.select("conv_id", F.transform("h", lambda x: F.struct(x["role"].alias("model"), x["text"].alias("caption_json"))).alias("caption_history"))
+
+
+@query("SELECT role AS model, count(*) AS n FROM conversations WHERE role NOT IN ('', 'error') GROUP BY role")
+def captions_per_model(spark, sf):
+    return PE.captions_per_model(history(spark, sf))
+
+
+@query("""SELECT conv_id, count(*) FILTER (role <> 'user') + 1 AS n, 'user' AS last FROM conversations GROUP BY conv_id""")
+def history_upsert(spark, sf):
+    rows = history(spark, sf).withColumn("h", C.record_history("caption_history", F.lit("user"), F.lit("new")))
+    return rows.select("conv_id", F.size("h").cast("long").alias("n"), F.element_at("h", -1)["model"].alias("last"))
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def caption_of_model(spark, sf):
+    return history(spark, sf).select("conv_id", C.last_of_model("caption_history", F.lit("user")).alias("text")).where("text IS NOT NULL")
+
+
+@query("SELECT vec_id AS uid FROM embeddings JOIN documents ON vec_id = doc_id WHERE label = 4 AND lang <> 'en'")
+def stale_attributes(spark, sf):
+    v = t(spark, sf, "embeddings").join(t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id")
+    v = v.select(F.col("vec_id").alias("id"), F.when(F.col("label") == 4, "unknown").otherwise("x").alias("scene"), F.when(F.col("lang") == "en", "sunny").otherwise("").alias("weather"))
+    return PE.stale_attributes(v, media(spark, sf), ("scene", "weather")).select("uid")
+
+
+# ---- captions -------------------------------------------------------------------------------------------------------
+
+
+def caption_rows(spark, sf):
+    i = F.col("event_id")
+    text = F.to_json(F.struct(F.col("event_type").alias("caption"), F.when(i % 3 == 0, "indoor").otherwise("outdoor").alias("scene"), (i % 4).cast("string").alias("person_count"), F.array("event_type", F.lit("sky")).alias("objects"), F.lit("unknown").alias("mood"), F.lit("party").alias("occasion")))
+    return t(spark, sf, "events").select("event_id", F.when(i % 10 == 9, "not json").when(i % 10 == 8, "[1]").otherwise(text).alias("j"))
+
+
+@query("""SELECT event_id, ok, CASE WHEN ok THEN event_type ELSE '' END AS caption, CASE WHEN NOT ok THEN 'unknown' WHEN event_id % 3 = 0 THEN 'indoor' ELSE 'outdoor' END AS scene,
+CASE WHEN ok THEN (event_id % 4)::INT ELSE 0 END AS person_count, CASE WHEN ok THEN event_type || ', sky' ELSE '' END AS objects, 'unknown' AS weather FROM (SELECT *, event_id % 10 < 8 AS ok FROM events)""")
+def caption_attributes(spark, sf):
+    rows = caption_rows(spark, sf).withColumn("a", C.attributes("j"))
+    return rows.select("event_id", (F.col("event_id") % 10 < 8).alias("ok"), *[F.col(f"a.{k}") for k in ("caption", "scene", "person_count", "objects", "weather")])
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 10 < 8 THEN event_type || ' Objects: ' || event_type || ', sky. Tags: party.' ELSE '' END AS text FROM events""")
+def embedding_text(spark, sf):
+    return caption_rows(spark, sf).select("event_id", C.embedding_text(C.attributes("j")).alias("text"))
+
+
+@query("""SELECT event_id, false AS valid, CASE WHEN event_id % 10 = 9 THEN 'Output is not valid JSON — model may not support image input'
+WHEN event_id % 10 = 8 THEN 'Missing expected keys: [''caption'', ''scene'', ''occasion'', ''weather'', ''group_size''] — model may be text-only'
+ELSE 'Missing expected keys: [''weather'', ''group_size''] — model may be text-only' END AS warning FROM events""")
+def caption_validation(spark, sf):
+    return caption_rows(spark, sf).select("event_id", C.validation("j").alias("v")).select("event_id", "v.valid", "v.warning")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def json_props(spark, sf):
+    return t(spark, sf, "events").select("event_id", F.try_variant_get(C.parsed("props"), "$.k", "long").alias("k"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN props ELSE NULL END AS json FROM events")
+def salvaged_json(spark, sf):
+    i = F.col("event_id") % 3
+    text = F.when(i == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(i == 1, F.concat(F.lit("Here: "), "props", F.lit(" done"))).otherwise(F.concat(F.lit("cut "), F.substring("props", 1, 3)))
+    return t(spark, sf, "events").select("event_id", C.salvage_json(text).alias("json"))
+
+
+# ---- scalars ----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y:%m:%d') || ' 00:00:00' WHEN 1 THEN strftime(make_timestamp(1500000000000000 + event_id * 1000000000), '%Y:%m:%d %H:%M:%S') ELSE '' END AS date,
+CASE event_id % 4 WHEN 3 THEN '2001:02:03 04:05:06' WHEN 2 THEN strftime(make_timestamp(1400000000000000 + event_id * 1000000), '%Y:%m:%d %H:%M:%S') WHEN 0 THEN strftime(ts, '%Y:%m:%d') || ' 00:00:00' ELSE strftime(make_timestamp(1500000000000000 + event_id * 1000000000), '%Y:%m:%d %H:%M:%S') END AS best FROM events""")
+def filename_date(spark, sf):
+    i = F.col("event_id")
+    name = F.when(i % 4 == 0, F.concat(F.lit("IMG-"), F.date_format("ts", "yyyyMMdd"), F.lit("-WA1.jpg"))).when(i % 4 == 1, F.concat((F.lit(1500000000000) + i * 1000000).cast("string"), F.lit(".jpg"))).when(i % 4 == 2, "m_8.jpg").otherwise("opaque")
+    exif = F.when(i % 4 == 3, "2001:02:03 04:05:06").otherwise("")
+    return t(spark, sf, "events").select("event_id", D.filename_date(name, 2026).alias("date"), D.best_date(exif, name, (F.lit(1400000000) + i).cast("double"), 2026).alias("best"))
+
+
+@query("SELECT vec_id, sha1(array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',')) AS fp FROM embeddings")
+def sha1_fingerprint(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", V.fingerprint("embedding").alias("fp"))
+
+
+HASHES = "(SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > embedding[(i % 64) + 1] THEN (1::UBIGINT << (64 - i)::UBIGINT)::HUGEINT ELSE 0::HUGEINT END))::UBIGINT AS h FROM embeddings)"
+
+
+@query(f"SELECT vec_id, lpad(lower(to_hex(h)), 16, '0') AS dhash FROM {HASHES}")
+def diff_hash(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", H.hash_hex(H.sign_hash("embedding")).alias("dhash"))
+
+
+def hashed(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", H.sign_hash("embedding").alias("h"))
+
+
+@query(f"""WITH b AS (SELECT vec_id, h, i AS band, (h >> (16 * i)::UBIGINT) & 65535 AS code FROM {HASHES}, range(4) r(i)), c AS (SELECT *, count(*) OVER (PARTITION BY band, code) AS n FROM b)
+SELECT DISTINCT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM c x JOIN c y ON x.band = y.band AND x.code = y.code AND x.vec_id < y.vec_id WHERE x.n <= 500 AND bit_count(xor(x.h, y.h)) <= 16""")
+def lsh_candidate_pairs(spark, sf):
+    return DD.near_pairs(hashed(spark, sf), "vec_id", "h", 16, "reference")
+
+
+@query(f"SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM {HASHES} x JOIN {HASHES} y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.h, y.h)) <= 16")
+def dup_pairs_exact(spark, sf):
+    return DD.near_pairs(hashed(spark, sf), "vec_id", "h", 16)
+
+
+@query(f"""WITH RECURSIVE h AS MATERIALIZED {HASHES}, e AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM h x JOIN h y ON x.vec_id <> y.vec_id WHERE bit_count(xor(x.h, y.h)) <= 16),
+r(id, c) AS (SELECT vec_id, vec_id FROM h UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a), m AS (SELECT id, min(c) AS component FROM r GROUP BY id)
+SELECT component, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM m GROUP BY component HAVING count(*) >= 2""")
+def duplicate_groups(spark, sf):
+    out = DD.duplicate_groups(hashed(spark, sf), "vec_id", "h", 16)
+    return out.select("component", "n", F.array_join(F.array_sort("members"), ",").alias("members"))
+
+
+@query("SELECT min(doc_id) AS canonical, count(*) AS n, sha1(text) AS sha1 FROM documents GROUP BY text")
+def exact_dedupe_canonical(spark, sf):
+    return DD.exact_duplicates(t(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("SELECT c || '::' || doc_id AS copy FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS c FROM documents) WHERE c <> doc_id")
+def redundant_copies(spark, sf):
+    rows = t(spark, sf, "documents").groupBy(F.sha1(F.col("text").cast("binary")).alias("uid")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    rows = rows.select(F.get("ids", F.lit(0)).cast("string").alias("uid"), F.slice("ids", F.lit(2), F.size("ids")).cast("array<string>").alias("dup_paths"))
+    return DD.redundant_copies(rows)
+
+
+@query("SELECT o_orderkey, o_custkey % 7200 AS s, CASE WHEN o_custkey % 7200 >= 3600 THEN printf('%d:%02d:%02d', (o_custkey % 7200) // 3600, (o_custkey % 7200) // 60 % 60, o_custkey % 60) ELSE printf('%d:%02d', (o_custkey % 7200) // 60, o_custkey % 60) END AS label FROM orders")
+def duration_label(spark, sf):
+    s = F.col("o_custkey") % 7200
+    return t(spark, sf, "orders").select("o_orderkey", s.alias("s"), D.duration_label(s).alias("label"))
+
+
+@query("SELECT s_suppkey, substr('img_' || trim(regexp_replace(lower(s_name), '[^a-z0-9]', '_', 'g'), '_'), 1, 63) AS slug FROM supplier")
+def collection_slug(spark, sf):
+    return t(spark, sf, "supplier").select("s_suppkey", M.collection_slug("s_name").alias("slug"))
+
+
+@query("""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '([^/]*)$', 1) AS name,
+url LIKE 'https://%.example.com/en/%' AND regexp_matches(url, '^https://m\\.') AS mobile FROM pages""")
+def path_functions(spark, sf):
+    url = F.col("url")
+    host = F.lower(F.regexp_extract(url, "^[a-z]+://([^/?#]*)", 1))
+    en = P.under(F.regexp_replace(url, "^[a-z]+://", "/"), F.concat(F.lit("/"), host, F.lit("/en")))
+    return t(spark, sf, "pages").select("page_id", host.alias("host"), F.regexp_extract(url, "([^/]*)$", 1).alias("name"), (en & F.startswith(url, F.lit("https://m.")) & F.endswith(host, F.lit(".example.com"))).alias("mobile"))
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE source = 'src1' GROUP BY source")
+def path_prefix_counts(spark, sf):
+    return K.count_under(media(spark, sf), "/lib/src1/").select(F.lit("src1").alias("source"), "n")
+
+
+@query("""SELECT c_custkey AS id, round(CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END * (c_custkey % 100 + (c_custkey % 60) / 60.0 + (c_custkey % 50) / 3600.0), 6)::DOUBLE AS lat FROM customer
+WHERE c_custkey % 100 + (c_custkey % 60) / 60.0 + (c_custkey % 50) / 3600.0 <= 90""")
+def gps_decimal(spark, sf):
+    i = F.col("c_custkey")
+    lat = G.gps_decimal((i % 100).cast("double"), (i % 60).cast("double"), (i % 50).cast("double"), F.when(i % 2 == 0, "S").otherwise("N"))
+    return t(spark, sf, "customer").select(i.alias("id"), lat.alias("lat")).where("lat IS NOT NULL")
+
+
+NEAREST = """WITH p AS (SELECT n_name AS place, (n_nationkey * 37 % 160 - 80)::DOUBLE AS la, (n_nationkey * 53 % 340 - 170)::DOUBLE AS lo FROM nation),
+k AS (SELECT DISTINCT round((c_custkey * 7 % 1700) / 10.0 - 85, 2)::DOUBLE AS lat_r, round((c_custkey * 13 % 3500) / 10.0 - 175, 2)::DOUBLE AS lon_r FROM customer)
+SELECT lat_r, lon_r, arg_min(place, pow(cos(radians(lat_r)) * cos(radians(lon_r)) - cos(radians(la)) * cos(radians(lo)), 2) + pow(cos(radians(lat_r)) * sin(radians(lon_r)) - cos(radians(la)) * sin(radians(lo)), 2) + pow(sin(radians(lat_r)) - sin(radians(la)), 2)) AS place FROM k, p GROUP BY ALL"""
+
+
+@query(NEAREST)
+def nearest_place(spark, sf):
+    i, n = F.col("c_custkey"), F.col("n_nationkey")
+    points = t(spark, sf, "customer").select(((i * 7 % 1700) / 10.0 - 85).alias("lat"), ((i * 13 % 3500) / 10.0 - 175).alias("lon"))
+    places = t(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit("").alias("admin1"), (n * 37 % 160 - 80).cast("double").alias("lat"), (n * 53 % 340 - 170).cast("double").alias("lon"))
+    return G.nearest_places(points, places)
+
+
+@query("""SELECT p_partkey, CASE WHEN e AND NOT v THEN 'embed' WHEN v AND NOT e THEN 'vision' ELSE 'unknown' END AS type FROM (SELECT p_partkey, n LIKE '%embed%' AS e, n LIKE '%-vl%' AS v FROM
+(SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x-embed' WHEN 1 THEN 'q2-vl-7b' WHEN 2 THEN 'embed-vl-' ELSE 'plain' END AS n FROM part))""")
+def model_class(spark, sf):
+    i = F.col("p_partkey") % 4
+    name = F.when(i == 0, "X-Embed").when(i == 1, "q2-VL-7b").when(i == 2, "embed-vl-").otherwise("plain")
+    return t(spark, sf, "part").select("p_partkey", M.model_class(name)["type"].alias("type"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, greatest(0, least(l_quantity * 0.1, 3.0))::DOUBLE AS poster, round(l_quantity / 4 * 2, 3)::DOUBLE AS middle FROM lineitem""")
+def video_times(spark, sf):
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", M.poster_time("l_quantity").alias("poster"), F.get(M.uniform_times("l_quantity", 3), F.lit(1)).alias("middle"))
+
+
+# ---- aggregates and windows -----------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id, arg_max(event_type, (n, -first)) AS event_type FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY user_id""")
+def majority_vote(spark, sf):
+    return A.majority_vote(t(spark, sf, "events"), ["user_id"], "event_type", "event_id")
+
+
+@query("""SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS types FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY user_id""")
+def objects_union(spark, sf):
+    rows = t(spark, sf, "events").select("user_id", "event_id", F.array("event_type", F.upper("event_type")).alias("types"))
+    return A.ordered_union(rows, ["user_id"], "types", "event_id").select("user_id", F.array_join("types", ",").alias("types"))
+
+
+@query("SELECT source, arg_max(text, (length(text), -doc_id)) AS text FROM documents GROUP BY source")
+def longest_text(spark, sf):
+    return A.longest(t(spark, sf, "documents"), ["source"], "text", "doc_id")
+
+
+SPANS = "RANGE BETWEEN to_microseconds({}) PRECEDING AND CURRENT ROW"
+
+
+@query(f"SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts {SPANS.format(59999999)}) AS rpm, count(*) OVER (PARTITION BY event_type ORDER BY ts {SPANS.format(3599999999)}) AS rph FROM events")
+def sliding_window_counts(spark, sf):
+    return A.sliding_counts(t(spark, sf, "events"), "event_type", "ts", {"rpm": 60, "rph": 3600}).select("event_id", "rpm", "rph")
+
+
+LOG = "(SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN 'ok' WHEN event_id % 7 = 0 THEN 'skipped' ELSE 'fail' END AS status FROM events)"
+
+
+@query(f"""SELECT event_id, count(*) FILTER (status = 'fail') OVER (PARTITION BY user_id, run ORDER BY event_id) AS failures FROM (SELECT *, count(*) FILTER (status = 'ok') OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM {LOG})""")
+def failure_islands(spark, sf):
+    i = F.col("event_id")
+    log = t(spark, sf, "events").withColumn("status", F.when(i % 5 == 0, "ok").when(i % 7 == 0, "skipped").otherwise("fail"))
+    return A.failure_runs(log, ["user_id"], ["event_id"]).select("event_id", "failures")
+
+
+@query(f"SELECT user_id AS job_id, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'fail') AS fail, count(*) FILTER (status = 'skipped') AS skipped, count(*) AS done FROM {LOG} GROUP BY user_id")
+def job_counters(spark, sf):
+    i = F.col("event_id")
+    log = t(spark, sf, "events").select(F.col("user_id").alias("job_id"), i.alias("item_id"), F.when(i % 5 == 0, "ok").when(i % 7 == 0, "skipped").otherwise("fail").alias("status"))
+    return A.job_counters(log).drop("failed_ids")
+
+
+@query("""WITH j AS (SELECT n_nationkey AS id, [n_regionkey, 100 + n_nationkey % 7] AS r FROM nation WHERE n_nationkey % 5 <> 0)
+SELECT x.id AS a, y.id AS b FROM j x JOIN j y ON x.id < y.id WHERE list_has_any(x.r, y.r)""")
+def job_conflicts(spark, sf):
+    n = t(spark, sf, "nation")
+    return A.job_conflicts(n.select(F.col("n_nationkey").alias("job_id"), (F.col("n_nationkey") % 5 != 0).alias("running"), F.array(F.col("n_regionkey"), F.lit(100) + F.col("n_nationkey") % 7).alias("resources")))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_counts(spark, sf):
+    return ST.tumbling_counts(t(spark, sf, "events"), "ts", "event_type").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 minutes THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def session_counts(spark, sf):
+    return ST.session_counts(t(spark, sf, "events"), "ts", "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+# ---- vectors ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT label, i AS pos, round(avg(x), 6) AS value FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL")
+def cluster_centroids(spark, sf):
+    means = V.mean_vectors(t(spark, sf, "embeddings"), ["label"])
+    return means.select("label", F.posexplode("mean").alias("pos", "value")).select("label", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
+PAIRS = "(SELECT x.vec_id AS a, y.vec_id AS b, 1 - list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS d FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id)"
+
+
+@query(f"SELECT a, b, round(d, 6) AS distance FROM {PAIRS} WHERE a < b AND d <= 0.65")
+def neighbour_pairs(spark, sf):
+    return V.neighbours(t(spark, sf, "embeddings"), "vec_id", "embedding", 0.65).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM {PAIRS} WHERE d <= 0.65), core AS MATERIALIZED (SELECT a FROM e GROUP BY a HAVING count(*) + 1 >= 3),
+ce AS MATERIALIZED (SELECT a, b FROM e WHERE a IN (FROM core) AND b IN (FROM core)), r(id, c) AS (SELECT a, a FROM core UNION SELECT ce.b, r.c FROM r JOIN ce ON r.id = ce.a),
+l AS (SELECT id, min(c) AS c FROM r GROUP BY id), m AS (SELECT id, c, true AS core FROM l UNION ALL SELECT e.a, min(l.c), false FROM e JOIN l ON e.b = l.id WHERE e.a NOT IN (FROM core) GROUP BY e.a),
+s AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS k FROM m GROUP BY c)
+SELECT v.vec_id, coalesce(s.k, -1)::INT AS cluster, coalesce(m.core, false) AS core FROM embeddings v LEFT JOIN m ON v.vec_id = m.id LEFT JOIN s USING (c)""")
+def dbscan_clusters(spark, sf):
+    return CL.dbscan(t(spark, sf, "embeddings"), "vec_id", eps=0.65, min_samples=3)
+
+
+@query()
+def cluster_carryover(spark, sf):
+    rows = t(spark, sf, "embeddings")
+    new = rows.select(F.col("vec_id").alias("member"), F.col("label").alias("cluster"))
+    old = rows.select(F.col("vec_id").alias("member"), F.when(F.col("vec_id") % 4 == 0, 99).otherwise(F.col("label") + 20).alias("cluster")).where("cluster <> 25")
+    old_rows = old.join(rows.select(F.col("vec_id").alias("member"), "embedding"), "member")
+    names = old.select("cluster").distinct().select("cluster", F.concat(F.lit("person "), "cluster").alias("name"), F.lit("named").alias("status"))
+    return CL.carry_over(new, old, V.mean_vectors(rows.withColumnRenamed("label", "cluster"), ["cluster"]), V.mean_vectors(old_rows, ["cluster"]), names)
+
+
+ORACLE_SQL["cluster_carryover"] = """SELECT label AS cluster_id, count(*) AS size, CASE WHEN label <> 5 THEN 'person ' || (label + 20) END AS name, CASE WHEN label <> 5 THEN 'named' ELSE 'new' END AS status FROM embeddings GROUP BY label"""
+
+
+@query()
+def faces_grouped_in_video(spark, sf):
+    e = t(spark, sf, "embeddings")
+    faces = e.select((F.col("vec_id") % 20).cast("string").alias("video_id"), F.col("vec_id").cast("int").alias("face_index"), F.array(*[F.lit(0.0)] * 2, F.col("label").cast("double"), F.col("label").cast("double")).alias("bbox"), "embedding")
+    return CL.group_in_video(faces)
+
+
+# ---- catalog --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS uid, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS v FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def catalog_upsert(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("uid"))
+    return K.upsert(d.where("uid % 2 = 0").withColumn("v", F.lit("old")), d.where("uid % 3 = 0").withColumn("v", F.lit("new")))
+
+
+@query("SELECT doc_id AS uid FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0")
+def sync_diff(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("uid"))
+    return K.sync(d.where("uid % 2 = 0"), d.where("uid % 3 = 0"))[1]
+
+
+@query("SELECT user_id AS id, arg_max(event_type, event_id) AS op FROM events GROUP BY user_id")
+def change_fold(spark, sf):
+    return K.fold_changes(t(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("op"), F.col("event_id").alias("seq"))).select("id", "op")
+
+
+@query("SELECT vec_id AS id, vec_id % 2 = 0 AS changed, CASE WHEN vec_id % 2 = 0 THEN '/new/' || vec_id ELSE '/old/' || vec_id END AS path FROM embeddings")
+def reconcile_paths(spark, sf):
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    v = e.select("id", F.concat(F.lit("/old/"), "id").alias("path"), F.lit("x").alias("filename"))
+    m = e.select(F.col("id").alias("uid"), F.concat(F.when(F.col("id") % 2 == 0, "/new/").otherwise("/old/"), "id").alias("path"))
+    return K.reconcile_paths(v, m).select("id", "changed", "path")
+
+
+@query("SELECT doc_id AS uid, source FROM documents WHERE doc_id % 10 <> 4")
+def trash_roundtrip(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "source")
+    empty = d.limit(0).select(F.col("uid").alias("id"), F.struct("uid", "source").alias("entry"), F.lit(0.0).alias("deleted_at"), F.lit(False).alias("file_deleted"))
+    left, bin_ = K.trash(d, empty, d.where("uid % 5 = 4").select("uid"), F.lit(1.0))
+    return K.restore(left, bin_, d.where("uid % 10 = 9").select("uid"))[0]
+
+
+@query("""SELECT c.conv_id AS album_id, count(DISTINCT turn // 2) AS count, min(turn // 2)::VARCHAR AS cover FROM conversations c GROUP BY 1""")
+def album_list(spark, sf):
+    rows = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    members = K.add_to_album(F.array().cast("array<string>"), F.transform("turns", lambda x: F.floor(x / 2).cast("string")))
+    albums = rows.select(F.col("conv_id").alias("album_id"), F.lit("n").alias("name"), F.lit("d").alias("created_at"), members.alias("image_ids"))
+    return K.album_list(albums).select("album_id", F.col("count").cast("long").alias("count"), "cover")
+
+
+@query("""SELECT (1000 - doc_id) AS pos, doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'vector' ELSE 'catalog' END AS caption FROM documents WHERE doc_id < 150""")
+def album_cards(spark, sf):
+    d = t(spark, sf, "documents").where("doc_id < 150").select(F.col("doc_id").alias("id"))
+    row = lambda c: [F.concat(F.lit("/"), "id").alias("path"), F.lit("f").alias("filename"), c.alias("caption"), F.lit("image").alias("media_type")]
+    vectors = d.select("id", *row(F.when(F.col("id") % 2 == 0, "vector").otherwise("")))
+    return K.cards(d.withColumn("pos", 1000 - F.col("id")), vectors, d.select(F.col("id").alias("uid"), *row(F.lit("catalog")))).select("pos", "id", "caption")
+
+
+@query("SELECT n_name AS name, CASE WHEN n_regionkey = 1 THEN 'sister' WHEN n_regionkey = 2 THEN 'friend' ELSE '' END AS relation, n_regionkey = 1 AS is_family FROM nation")
+def people_relations(spark, sf):
+    n = t(spark, sf, "nation")
+    r = n.where("n_regionkey IN (1, 2)").select(F.col("n_name").alias("name"), M.relation_fields(F.when(F.col("n_regionkey") == 1, " Sister").otherwise("friend")).alias("f"))
+    return K.people(n.select(F.col("n_name").alias("name")), r.select("name", "f.relation", "f.is_family"))
+
+
+# ---- listings ------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey::VARCHAR AS path, CASE WHEN o_orderkey % 5 = 0 THEN 'copy' WHEN o_orderkey % 7 = 0 THEN 'remove' WHEN o_orderkey % 3 = 0 THEN 'copy' WHEN o_orderkey % 4 = 0 THEN 'copy' ELSE 'unchanged' END AS action FROM orders""")
+def mirror_plan(spark, sf):
+    o, k = t(spark, sf, "orders"), F.col("o_orderkey")
+    path = k.cast("string").alias("path")
+    source = o.where("NOT (o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0)").select(path, F.lit(10).alias("size"), k.cast("double").alias("mtime"))
+    dest = o.where("o_orderkey % 5 <> 0").select(path, F.when(k % 3 == 0, 11).otherwise(10).alias("size"), (k + F.when(k % 4 == 0, 2.5).otherwise(1.5)).alias("mtime"))
+    return I.mirror_plan(source, dest, purge=True)
+
+
+@query("SELECT '/r/' || r_name AS path FROM region WHERE r_regionkey % 2 = 0 UNION SELECT '/r/' || r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey % 2 = 1")
+def effective_roots(spark, sf):
+    r, n = t(spark, sf, "region"), t(spark, sf, "nation")
+    a = r.where("r_regionkey % 2 = 0").select(F.concat(F.lit("/r/"), "r_name", F.lit("/")).alias("path"))
+    return I.effective_roots(a.unionByName(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("/r/"), "r_name", F.lit("/"), "n_name").alias("path"))))
+
+
+@query("""WITH l AS (SELECT sha1(text) AS uid, '/' || lpad(doc_id::VARCHAR, 9, '0') AS path FROM documents WHERE doc_id % 10 <> 0), live AS (SELECT uid, min(path) AS path, count(*) - 1 AS copies FROM l GROUP BY uid),
+p AS (SELECT sha1(text) AS uid, '/' || lpad(min(doc_id)::VARCHAR, 9, '0') AS path FROM documents WHERE doc_id % 3 = 0 GROUP BY text)
+SELECT live.uid, live.path, copies, CASE WHEN p.uid IS NULL THEN 'added' WHEN p.path = live.path THEN 'unchanged' ELSE 'moved' END AS action FROM live LEFT JOIN p USING (uid)""")
+def scan_changes(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.sha1(F.col("text").cast("binary")).alias("sha1"))
+    listing = d.where("doc_id % 10 <> 0").select("path", F.lit(1).alias("size"), F.lit(1.0).alias("mtime"), "sha1")
+    previous = d.where("doc_id % 3 = 0").groupBy(F.col("sha1").alias("uid")).agg(F.min("path").alias("path")).withColumn("sig", F.lit("1:1.000"))
+    return I.scan(listing, previous).select("uid", "path", F.size("dup_paths").cast("long").alias("copies"), "action")
+
+
+@query("""WITH s AS (SELECT '/in/' || lpad(doc_id::VARCHAR, 9, '0') || '/p' || doc_id % 50 || '.jpg' AS path, sha1(text) AS sha1, doc_id FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY sha1 ORDER BY path) AS n, sha1 IN (SELECT sha1(text) FROM documents WHERE doc_id % 9 = 0) AS known FROM s),
+c AS (SELECT *, '/lib/2024/0' || (1 + doc_id % 9) || '/p' || doc_id % 50 AS plain FROM r WHERE n = 1 AND NOT known), d AS (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY path) AS k FROM c)
+SELECT path, 'copy' AS action, plain || CASE WHEN k > 1 THEN '-' || substr(sha1, 1, 8) ELSE '' END || '.jpg' AS target FROM d UNION ALL SELECT path, CASE WHEN known THEN 'known' ELSE 'duplicate' END, NULL FROM r WHERE known OR n > 1""")
+def ingest_plan(spark, sf):
+    i = F.col("doc_id")
+    s = t(spark, sf, "documents").select(F.concat(F.lit("/in/"), F.lpad(i.cast("string"), 9, "0"), F.lit("/p"), (i % 50).cast("string"), F.lit(".jpg")).alias("path"), F.sha1(F.col("text").cast("binary")).alias("sha1"), F.concat(F.lit("2024:0"), (1 + i % 9).cast("string"), F.lit(":01")).alias("date"), "doc_id")
+    return I.ingest_plan(s, s.where("doc_id % 9 = 0").select("sha1"), "/lib", s.limit(0).select("path")).drop("sha1")
+
+
+@query("SELECT '/' || r_name || '/Photos' AS path, '_' || r_name || '_Photos' AS label FROM region UNION ALL SELECT '/x/' || r_name, r_name FROM region")
+def backup_roots(spark, sf):
+    r = t(spark, sf, "region")
+    return I.backup_roots(r.select(F.concat(F.lit("/"), "r_name", F.lit("/Photos")).alias("path")).unionByName(r.select(F.concat(F.lit("/x/"), "r_name").alias("path"))))
+
+
+@query("SELECT count(*) FILTER (doc_id % 3 = 0) AS photos, count(*) FILTER (doc_id % 3 = 1) AS videos, count(*) FILTER (doc_id % 3 = 2) AS other, sum(n_chars) FILTER (doc_id % 3 < 2)::BIGINT AS bytes FROM documents")
+def source_stats(spark, sf):
+    i = F.col("doc_id") % 3
+    return I.source_stats(t(spark, sf, "documents").select(F.concat(F.lit("/a/b"), F.when(i == 0, ".JPG").when(i == 1, ".mov").otherwise(".txt")).alias("path"), F.col("n_chars").alias("size")))
+
+
+# ---- jobs and admission ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 6 = 0 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'fake:caption' END AS model FROM documents")
+def enrichment_job(spark, sf):
+    pending = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 6 != 0, F.concat(F.lit("p"), "source")).alias("value"))
+    return J.run(pending, J.FakeCaptioner).select("id", "status", "model")
+
+
+@query()
+def admission(spark, sf):
+    e = t(spark, sf, "events").select(F.col("event_type").alias("provider"), F.col("event_id").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    types = ["click", "view", "purchase", "login", "signup", "search"]
+    return ST.admit(e, {k: {"rpm": 1, "rph": 3, "rpd": 40} for k in types})
