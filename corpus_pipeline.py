@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import quality
+from pyspark.sql import functions as F
+
+from lumenframe.llm import bpe, decontamination, jaccard_join, line_dedup, quality
 from lumenframe.llm.common import Table
 
 
@@ -11,14 +13,41 @@ def quality_rules(spark, docs, sf_dir):
     return quality.clean_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
-#: BPE encoding isn't expressible in SQL.
+def repeated_lines(spark, docs, sf_dir):
+    """Lines found in five documents or more stay only in the one with the largest doc_id."""
+    out = line_dedup.dedup_lines(docs)
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Of each group linked by five-word shingles at a similarity of 0.8, the smallest doc_id stays."""
+    return jaccard_join.one_per_group(docs, n=5, percent=80)
+
+
+def benchmark_leaks(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark, docs, sf_dir):
+    """The ids of what is left."""
+    return bpe.digests(bpe.encode_documents(docs.select("doc_id", "text")))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", repeated_lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("BPE encoding and decoding", tokens),
+]
+#: Similarity, alignment and BPE aren't expressible in SQL; a brute-force version in the tests stands for it.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = Table(docs, f"pipeline-{k}").read()
