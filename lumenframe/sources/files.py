@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from lumenframe.functions.paths import IMAGES, VIDEOS, extension, is_system_name, slashes
 from lumenframe.operators.ingest import is_excluded
@@ -29,7 +28,7 @@ def list_files(spark: SparkSession, root: str, excluded: list[str] | None = None
     return rows.select(*columns, F.sha1("content").alias("sha1")) if content else rows.select(*columns)
 
 
-def read_side_table(spark: SparkSession, path: str, schema: StructType, strict: bool = False) -> DataFrame:
+def read_side_table(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """A JSON-lines side table; missing files give no rows, and broken lines are skipped unless `strict`."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
