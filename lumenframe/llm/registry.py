@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, decontamination, jaccard_join, language_model, line_dedup, quality, sharding, suffix_dedup, urls, warc
+from lumenframe.llm import bpe, decontamination, jaccard_join, language_model, line_dedup, oracles, quality, sharding, suffix_dedup, urls, warc
 
 
 def queries() -> dict:
@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
