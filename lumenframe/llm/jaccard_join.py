@@ -1,9 +1,10 @@
 """Exact Jaccard join of documents' word n-gram sets in the Jaccard metric space.
 
 Equal sets collapse first. A set's cells are its rarest shingles, as many as a partner within the radius may
-lack, plus one (rarity comes from a sketch of all shingles; any order would be exact): two sets within the radius
-share a cell. The least set of a cell is its pivot, and all sets of the cell enter the pivot's region, so a set is
-sent once for each pivot and not for each cell. Inside a region, distances to further pivots make Voronoi regions:
+lack, plus three (rarity comes from a sketch of all shingles; any order would be exact): two sets within the radius
+share three cells. Sets that share only cells of few members, and fewer than three, stay apart; of a cell with more,
+the least set is the pivot, and all its sets enter the pivot's region, so a set is sent once for each pivot and not
+for each cell. Inside a region, distances to further pivots make Voronoi regions:
 a set belongs to its nearest pivot, and by the triangle inequality also to each pivot at most twice the radius
 farther, so linked sets meet in one of them. Regions are cut again until they are small, or already connected, and
 are then joined exactly; sets that the join has connected are not compared again. Links leave a region as a
@@ -28,6 +29,10 @@ from lumenframe.llm.components import components
 
 SEGMENTS = 64
 SMALL = 192
+#: Counters of the sketch, whatever the corpus.
+SLOTS = 1 << 22
+#: Cells that two linked sets share, if they have as many shingles; cells of up to FEW sets count towards it pair by pair.
+SHARED, FEW = 3, 8
 PIVOTS = 8
 
 
@@ -36,15 +41,14 @@ def shingle_set(text: bytes, n: int, hashes: WordHash) -> np.ndarray:
     return np.unique(ngram_hashes(hashes.of(text.lower().split()), n))
 
 
-def _sketch(n: int, slots: int):
+def _sketch(n: int):
     def count(batches):
-        hashes, total = WordHash(), np.zeros(slots, np.uint8)
+        hashes, total = WordHash(), np.zeros(SLOTS, np.uint32)
         for batch in batches:
             held = [shingle_set(x, n, hashes) for x in texts(batch)]
             if held:
-                at, times = np.unique(np.concatenate(held) & np.uint64(slots - 1), return_counts=True)
-                at = at.astype(np.int64)
-                total[at] = np.minimum(255, total[at] + np.minimum(times, 255).astype(np.int64))
+                at, times = np.unique(np.concatenate(held) & np.uint64(SLOTS - 1), return_counts=True)
+                total[at.astype(np.int64)] += times.astype(np.uint32)
         for i, x in enumerate(np.split(total, SEGMENTS)):
             yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int32()), "counts": [pack(x)]})
 
@@ -55,21 +59,18 @@ def _merge(batches):
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for r in batch.to_pylist():
-            x = unpack(r["counts"], np.uint8)
-            old = held.get(r["segment"])
-            held[r["segment"]] = x if old is None else np.minimum(255, old.astype(np.int64) + x).astype(np.uint8)
+            x = unpack(r["counts"], np.uint32)
+            held[r["segment"]] = x + held[r["segment"]] if r["segment"] in held else x
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([pack(x) for x in held.values()], pa.binary())], ["segment", "counts"])
 
 
-def shingle_counts(docs: DataFrame, n: int, most_slots: int) -> np.ndarray:
-    """Rough document counts by shingle hash: one byte a slot, at most `most_slots` bytes."""
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    slots = min(most_slots, max(1 << 12, 1 << (total // 64).bit_length()))
-    built = docs.select("text").mapInArrow(_sketch(n, slots), "segment int, counts binary")
-    out = np.zeros(slots, np.uint8)
+def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """Rough document counts by shingle hash, in a table of fixed size."""
+    built = docs.select("text").mapInArrow(_sketch(n), "segment int, counts binary")
+    out = np.zeros(SLOTS, np.uint32)
     parts = np.split(out, SEGMENTS)
     for r in built.repartition(SEGMENTS, "segment").mapInArrow(_merge, "segment int, counts binary").collect():
-        parts[r["segment"]][:] = unpack(bytes(r["counts"]), np.uint8)
+        parts[r["segment"]][:] = unpack(bytes(r["counts"]), np.uint32)
     return out
 
 
@@ -88,7 +89,8 @@ def _setter(n: int, percent: int, counts):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sig[-1])
-                most = len(s) - -(-percent * len(s) // 100) + 1
+                least = -(-percent * len(s) // 100)  # shingles of any linked set
+                most = len(s) - least + min(SHARED, least)
                 order = np.lexsort((s, heat[(s & mask).astype(np.int64)]))[:most]
                 cells.append(s[order].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "cells"])
@@ -97,41 +99,108 @@ def _setter(n: int, percent: int, counts):
 
 
 def _pivots(batches):
-    """(cell, sig) rows of one partition -> (pivot, sig) for each cell with two or more sets."""
-    cells, sigs = [], []
+    """(cell, sig, size, largest partner, cells to share) rows of one partition -> (pivot, sig, need).
+
+    For two linked sets, a common cell leaves each of them enough shingles for the other's size. A cell
+    falls into runs of sizes; no pair across two runs can be linked there, so each run has a pivot of its own. Runs of few
+    sets give all their pairs with the number of cells they need to share; longer ones their pivot with each set, need 0.
+    """
+    parts = [[], [], [], [], []]
     for batch in batches:
-        cells.append(batch.column(0).to_numpy())
-        sigs.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), "V16"))
-    if not cells:
+        for k in (0, 2, 3, 4):
+            parts[k].append(batch.column(k).to_numpy().astype(np.int64))
+        parts[1].append(np.frombuffer(b"".join(batch.column(1).to_pylist()), "V16"))
+    if not parts[0]:
         return
-    cell, sig = np.concatenate(cells), np.concatenate(sigs)
+    cell, sig, size, most, need = map(np.concatenate, parts)
     halves = sig.view(">u8").reshape(-1, 2)
-    order = np.lexsort((halves[:, 1], halves[:, 0], cell))
-    cell, sig = cell[order], sig[order]
-    first = np.ones(len(cell), bool)
-    first[1:] = cell[1:] != cell[:-1]
-    start = np.flatnonzero(first)
-    times = np.diff(np.r_[start, len(cell)])
-    pivot = np.repeat(sig[start], times)
-    keep = np.flatnonzero(np.repeat(times, times) > 1)
-    pairs = np.unique(np.concatenate([pivot[keep].view("S16").reshape(-1, 1), sig[keep].view("S16").reshape(-1, 1)], axis=1).view("V32")) if len(keep) else np.zeros(0, "V32")
-    for a in range(0, len(pairs), 20_000):
-        rows = [x.tobytes() for x in pairs[a : a + 20_000]]
-        yield pa.RecordBatch.from_arrays([pa.array([x[:16] for x in rows], pa.binary()), pa.array([x[16:] for x in rows], pa.binary())], ["pivot", "sig"])
-
-
-def _sender(n: int):
+    order = np.lexsort((halves[:, 1], halves[:, 0], size, cell))
+    cell, sig, size, most, need = cell[order], sig[order], size[order], most[order], need[order]
+    halves = halves[order]
+    start = np.ones(len(cell), bool)
+    start[1:] = cell[1:] != cell[:-1]
+    # The largest partner any earlier set of the cell allows; cells are kept apart by an offset.
+    high = (np.cumsum(start) - 1) * (int(max(most.max(), size.max())) + 1)
+    start[1:] |= size[1:] + high[1:] > np.maximum.accumulate(most + high)[:-1]
+    first = np.flatnonzero(start)
+    times = np.diff(np.r_[first, len(cell)])
+    left, right, needs = [], [], []
+    long = np.repeat(times, times) > FEW
+    left.append(np.repeat(sig[first], times)[long])
+    right.append(sig[long])
+    needs.append(np.zeros(int(long.sum()), np.int64))
+    for n in range(2, FEW + 1):
+        at = first[times == n]
+        for i in range(n):
+            for j in range(i + 1, n):
+                a, b = at + i, at + j
+                fits = (size[b] <= most[a]) & (size[a] <= most[b])
+                a, b = a[fits], b[fits]
+                least = (halves[a, 0] < halves[b, 0]) | ((halves[a, 0] == halves[b, 0]) & (halves[a, 1] < halves[b, 1]))
+                left.append(sig[np.where(least, a, b)])
+                right.append(sig[np.where(least, b, a)])
+                needs.append(np.minimum(need[a], need[b]))
+    left, right, needs = map(np.concatenate, (left, right, needs))
+    for a in range(0, len(left), 20_000):
+        part = slice(a, a + 20_000)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in left[part]], pa.binary()), pa.array([x.tobytes() for x in right[part]], pa.binary()), pa.array(needs[part].astype(np.int32))], ["pivot", "sig", "need"])
+
+
+def _sig_slots(sigs: list[bytes], bits: int):
+    halves = np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, 2)
+    for k in (0, 1):
+        p = (halves[:, k] & np.uint64(bits - 1)).astype(np.int64)
+        yield p >> 3, np.left_shift(1, (p & 7).astype(np.uint8), dtype=np.uint8)
+
+
+def _marker(bits: int):
     def run(batches):
-        hashes = WordHash()
+        f = np.zeros(bits >> 3, np.uint8)
+        for batch in batches:
+            for at, bit in _sig_slots(batch.column(0).to_pylist(), bits):
+                np.bitwise_or.at(f, at, bit)
+        for i, x in enumerate(np.split(f, SEGMENTS)):
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int32()), "bits": [pack(x)]})
+
+    return run
+
+
+def _merge_bits(batches):
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            x = unpack(r["bits"], np.uint8)
+            held[r["segment"]] = x | held[r["segment"]] if r["segment"] in held else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([pack(x) for x in held.values()], pa.binary())], ["segment", "bits"])
+
+
+def sigs_filter(regions: DataFrame, most_bits: int = 1 << 29) -> np.ndarray:
+    """A Bloom filter of the sets that entered a region, of bounded size; a set let through in error joins no region."""
+    n = regions.count()
+    bits = min(most_bits, max(1 << 12, 1 << (16 * n).bit_length()))
+    rows = regions.select("sig").mapInArrow(_marker(bits), "segment int, bits binary").repartition(SEGMENTS, "segment")
+    out = np.zeros(bits >> 3, np.uint8)
+    parts = np.split(out, SEGMENTS)
+    for r in rows.mapInArrow(_merge_bits, "segment int, bits binary").collect():
+        parts[r["segment"]][:] = unpack(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _sender(n: int, shared):
+    def run(batches):
+        f, hashes, seen = shared.value, WordHash(), set()
         for batch in batches:
             out = []
-            for x, sig, regions in zip(texts(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for x in texts(batch):
                 s = shingle_set(x, n, hashes).tobytes()
-                if xxhash.xxh3_128_digest(s) == sig:  # else another document with the same id
-                    out += [(p, sig, s) for p in regions]
+                sig = xxhash.xxh3_128_digest(s)
+                if s and sig not in seen and all(f[at[0]] & bit[0] for at, bit in _sig_slots([sig], 8 * len(f))):
+                    if len(seen) < 1_000_000:
+                        seen.add(sig)
+                    out.append((sig, s))
             for a in range(0, max(len(out), 1), 500):
                 rows = out[a : a + 500]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(3)], ["pivot", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(2)], ["sig", "shingles"])
 
     return run
 
@@ -262,19 +331,24 @@ def _region_join(percent: int):
     return run
 
 
-def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, most_slots: int = 1 << 26) -> DataFrame:
+def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text): linked if 100 * shared >= percent * union."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    counts = spark.sparkContext.broadcast(shingle_counts(docs, n, most_slots))
+    counts = spark.sparkContext.broadcast(shingle_counts(docs, n))
     sets = Table(docs.mapInArrow(_setter(n, percent, counts), "doc_id long, n long, sig binary, cells array<long>"), "jaccard-sets").read()
-    classes = sets.where("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).getField("doc_id").alias("first"), F.first("cells", True).alias("cells"))
+    classes = sets.where("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).getField("doc_id").alias("first"), F.first("cells", True).alias("cells"), F.first("n").cast("int").alias("n"))
     classes = Table(classes, "jaccard-classes").read()
     parts = shuffle_parts(spark)
-    cells = classes.select(F.explode("cells").alias("cell"), "sig").repartition(parts, "cell")
-    regions = Table(cells.mapInArrow(_pivots, "pivot binary, sig binary").distinct(), "jaccard-regions").read()
-    wanted = regions.groupBy("sig").agg(F.collect_list("pivot").alias("regions")).join(classes.select("sig", F.col("first").alias("__id")), "sig")
-    sent = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "sig", "regions").mapInArrow(_sender(n), "pivot binary, sig binary, shingles binary")
+    cells = classes.select(F.posexplode("cells").alias("place", "cell"), "sig", "n")
+    need = F.expr(f"least({SHARED}, ({percent}L * n + 99) div 100)")
+    most = F.expr(f"(n - place + {SHARED - 1}) * 100L div {percent}")
+    cells = cells.select("cell", "sig", "n", most.cast("int").alias("most"), need.cast("int").alias("need")).repartition(parts, "cell")
+    met = cells.mapInArrow(_pivots, "pivot binary, sig binary, need int").groupBy("pivot", "sig").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("least"), F.max("need").alias("need"))
+    met = Table(met.where("least = 0 OR n >= need").select("pivot", "sig"), "jaccard-met").read()
+    regions = Table(met.unionByName(met.select("pivot", F.col("pivot").alias("sig"))).distinct(), "jaccard-regions").read()
+    shared = spark.sparkContext.broadcast(sigs_filter(regions))
+    sent = docs.select("text").mapInArrow(_sender(n, shared), "sig binary, shingles binary").join(regions, "sig").select("pivot", "sig", "shingles")
     sent = sent.repartition(parts, "pivot").sortWithinPartitions("pivot", "sig")
     edges = Table(sent.mapInArrow(_region_join(percent), "u binary, v binary"), "jaccard-edges").read()
     roots = components(edges).withColumnRenamed("node", "sig")
