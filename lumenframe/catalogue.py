@@ -653,3 +653,170 @@ def admission(spark, sf):
     e = t(spark, sf, "events").select(F.col("event_type").alias("provider"), F.col("event_id").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
     types = ["click", "view", "purchase", "login", "signup", "search"]
     return ST.admit(e, {k: {"rpm": 1, "rph": 3, "rpd": 40} for k in types})
+
+
+# ---- more of the library's small rules ------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(0, trunc(100 + l_linenumber - 0.3 * 50))::INT AS x1, least(150, trunc(150 + l_linenumber + 0.3 * 50))::INT AS x2 FROM lineitem")
+def crop_box(spark, sf):
+    i = F.col("l_linenumber")
+    box = F.array(100.0 + i, F.lit(10.0), 150.0 + i, F.lit(20.0))
+    rows = t(spark, sf, "lineitem").withColumn("c", M.crop_box(box, F.lit(150), F.lit(100)))
+    return rows.select("l_orderkey", "l_linenumber", F.get("c", F.lit(0)).alias("x1"), F.get("c", F.lit(2)).alias("x2"))
+
+
+@query("""SELECT p_partkey, list_aggregate(list_sort(list_distinct([round(x, 1) FOR x IN [p_size * 0.5, p_size * 0.1, p_size * 0.9, 3.0] IF round(x, 1) > 0 AND round(x, 1) < p_size])), 'sum')::DOUBLE AS total FROM part""")
+def keyframes(spark, sf):
+    times = M.keyframe_times(F.array(F.lit(3.0)), F.col("p_size").cast("double"), 12)
+    return t(spark, sf, "part").select("p_partkey", F.aggregate(times, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 = 3 THEN -1 WHEN o_custkey % 4 = 2 THEN 90 ELSE o_custkey % 50 END AS start, CASE WHEN o_custkey % 4 = 3 THEN -1 WHEN o_custkey % 4 = 0 THEN least(99, o_custkey % 50 + 60) ELSE 99 END AS stop FROM orders""")
+def byte_ranges(spark, sf):
+    i = F.col("o_custkey")
+    a, b = (i % 50).cast("string"), (i % 50 + 60).cast("string")
+    header = F.when(i % 4 == 0, F.concat(F.lit("bytes="), a, F.lit("-"), b)).when(i % 4 == 1, F.concat(F.lit("bytes="), a, F.lit("-"))).when(i % 4 == 2, "bytes=-10").otherwise("bytes=200-")
+    return t(spark, sf, "orders").withColumn("r", P.byte_range(header, F.lit(100))).select("o_orderkey", F.coalesce("r.start", F.lit(-1)).alias("start"), F.coalesce("r.end", F.lit(-1)).alias("stop"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'video/mp4' WHEN s_suppkey % 3 = 1 THEN 'image/webp' ELSE 'application/octet-stream' END AS mime FROM supplier")
+def mime_types(spark, sf):
+    i = F.col("s_suppkey") % 3
+    return t(spark, sf, "supplier").select("s_suppkey", P.mime_type(F.concat(F.lit("/a.b/"), "s_name", F.when(i == 0, ".M4V").when(i == 1, ".webp").otherwise(""))).alias("mime"))
+
+
+@query("SELECT n_nationkey, n_nationkey % 4 <> 0 AS is_system FROM nation")
+def system_names(spark, sf):
+    i = F.col("n_nationkey") % 4
+    return t(spark, sf, "nation").select("n_nationkey", P.is_system_name(F.when(i == 0, F.col("n_name")).when(i == 1, "$RECYCLE.BIN").when(i == 2, ".Trash-1000").otherwise("lost+found")).alias("is_system"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN 'p' || n_regionkey || ':' || n_name END AS label FROM nation")
+def model_labels(spark, sf):
+    r = F.col("n_regionkey")
+    return t(spark, sf, "nation").select("n_nationkey", M.model_label(F.when(r == 0, "auto").when(r == 1, "9router").otherwise(F.concat(F.lit("p"), r.cast("string"))), "n_name").alias("label"))
+
+
+@query("""SELECT n_nationkey, k AS "window", CASE WHEN k = 'rpm' AND n_nationkey % 2 = 0 THEN 7 WHEN k = 'rpm' THEN CASE n_regionkey WHEN 0 THEN 100 WHEN 1 THEN 15 ELSE 10 END ELSE CASE n_regionkey WHEN 0 THEN 1000 WHEN 1 THEN 500 ELSE 250 END END AS value,
+CASE WHEN k = 'rpm' AND n_nationkey % 2 = 0 THEN 'learned' ELSE 'published' END AS source FROM nation, (VALUES ('rpm'), ('rpd')) v(k)""")
+def quota_suggestions(spark, sf):
+    r = F.col("n_regionkey")
+    model = F.when(r == 0, "x-embedding-1").when(r == 1, "y-flash-lite").otherwise("z-pro")
+    learned = F.when(F.col("n_nationkey") % 2 == 0, F.create_map(F.lit("rpm"), F.lit(7)))
+    rows = t(spark, sf, "nation").select("n_nationkey", F.explode(M.suggested_quota(F.lit("gemini"), model, learned)).alias("window", "q"))
+    return rows.select("n_nationkey", "window", "q.value", "q.source")
+
+
+@query("SELECT 'm' || n_nationkey AS model, CASE WHEN n_regionkey % 2 = 0 THEN 'rpm' ELSE 'rpd' END AS \"window\", n_nationkey + 1 AS value FROM nation")
+def quotas_from_errors(spark, sf):
+    i, r = F.col("n_nationkey"), F.col("n_regionkey")
+    v = F.struct(F.when(r % 2 == 0, "GenerateRequestsPerMinute").otherwise("GenerateRequestsPerDay").alias("quotaId"), (i + 1).cast("string").alias("quotaValue"), F.struct(F.concat(F.lit("m"), i.cast("string")).alias("model")).alias("quotaDimensions"))
+    body = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("type/QuotaFailure").alias("@type"), F.array(v).alias("violations"))).alias("details")).alias("error")))
+    return M.learned_quotas(t(spark, sf, "nation").select(body.alias("body"), F.lit("asked").alias("model")))
+
+
+@query("SELECT event_id, round(greatest(90, event_id % 200) - 10, 1)::DOUBLE AS remaining FROM events")
+def cooldowns(spark, sf):
+    return t(spark, sf, "events").select("event_id", M.remaining(M.cooldown(F.lit(1000.0), (F.col("event_id") % 200).cast("double")), F.lit(1010.0)).alias("remaining"))
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS is_connection FROM events")
+def connection_errors(spark, sf):
+    i = F.col("event_id") % 3
+    return t(spark, sf, "events").select("event_id", M.is_connection_error(F.when(i == 0, "Connection REFUSED").when(i == 1, "bad json").otherwise(F.lit(None))).alias("is_connection"))
+
+
+@query("""SELECT user_id, round(n / 30.0 * 60, 1)::DOUBLE AS per_minute, round((200 - n) / (n / 30.0))::BIGINT AS eta_seconds FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)""")
+def job_progress(spark, sf):
+    rows = t(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("r", M.job_rate("n", F.lit(200), F.lit(30.0)))
+    return rows.select("user_id", "r.per_minute", "r.eta_seconds")
+
+
+@query("""SELECT user_id AS job_id FROM (SELECT user_id, max(event_id) AS s FROM events GROUP BY user_id) WHERE user_id % 10 = 0 UNION ALL
+(SELECT user_id FROM (SELECT user_id, max(event_id) AS s FROM events GROUP BY user_id) WHERE user_id % 10 <> 0 ORDER BY s DESC, user_id LIMIT 8)""")
+def kept_jobs(spark, sf):
+    jobs = t(spark, sf, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max("event_id").alias("started_at")).withColumn("running", F.col("job_id") % 10 == 0)
+    return A.keep_finished(jobs, 8).select("job_id")
+
+
+@query("SELECT doc_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r > 1")
+def deletable_copies(spark, sf):
+    rows = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha1(F.col("text").cast("binary")).alias("component"), F.col("n_chars").alias("size"))
+    return DD.deletable(rows).select("id")
+
+
+@query("SELECT n_name AS name, row_number() OVER (ORDER BY lower(n_name), n_name) AS pos FROM nation WHERE n_regionkey <> 0")
+def directory_list(spark, sf):
+    from pyspark.sql import Window
+
+    n = t(spark, sf, "nation").select(F.when(F.col("n_regionkey") == 0, F.concat(F.lit("."), "n_name")).otherwise(F.col("n_name")).alias("name"), F.lit(True).alias("is_dir"))
+    return B.directory_list(n).withColumn("pos", F.row_number().over(Window.orderBy(F.lower("name"), "name")).cast("long")).select("name", "pos")
+
+
+@query("SELECT n_nationkey AS image_id, CASE WHEN n_regionkey = 2 THEN 'new' ELSE 'old' END AS v, k AS face_index FROM nation, range(3) r(k) WHERE n_regionkey = 2 AND k < 1 OR n_regionkey <> 2")
+def faces_replaced(spark, sf):
+    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("image_id"), "n_regionkey")
+    old = n.select("image_id", F.lit("old").alias("v"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("face_index"))
+    return K.replace_children(old, n.where("n_regionkey = 2").select("image_id", F.lit("new").alias("v"), F.lit(0).cast("long").alias("face_index")))
+
+
+@query("SELECT vec_id, vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en') AS orphan FROM embeddings")
+def faces_rebuilt(spark, sf):
+    faces = t(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"))
+    kept, orphans = K.rebuild_faces(faces, t(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("uid")))
+    return kept.withColumn("orphan", F.lit(False)).unionByName(orphans.withColumn("orphan", F.lit(True))).withColumnRenamed("image_id", "vec_id")
+
+
+@query("SELECT doc_id AS uid, source FROM documents WHERE NOT (source = 'src1')")
+def folder_purged(spark, sf):
+    return K.purge_folder(media(spark, sf).join(t(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "source"), "uid"), "/lib/src1").select("uid", "source")
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey = 1")
+def family_only(spark, sf):
+    n = t(spark, sf, "nation")
+    return K.family(K.people(n.select(F.col("n_name").alias("name")), n.select(F.col("n_name").alias("name"), F.lit("x").alias("relation"), (F.col("n_regionkey") == 1).alias("is_family")))).select("name")
+
+
+@query("SELECT label AS cluster_id, count(*) FILTER (vec_id % 3 <> 0) AS fresh, CASE WHEN count(*) FILTER (vec_id % 3 <> 0) = 0 THEN 'stale' ELSE 'fresh' END AS state FROM embeddings GROUP BY label")
+def cluster_staleness(spark, sf):
+    e = t(spark, sf, "embeddings").select(F.col("label").alias("cluster_id"), F.col("vec_id").cast("string").alias("image_id"), F.lit(0).alias("face_index"), "embedding", "vec_id")
+    members = e.withColumn("fp", F.when(F.col("vec_id") % 3 == 0, "old").otherwise(V.fingerprint("embedding"))).select("cluster_id", "image_id", "face_index", "fp")
+    faces = e.select("image_id", "face_index", "embedding")
+    fresh = CL.member_state(members, faces).groupBy("cluster_id").agg(F.count("embedding").alias("fresh"))
+    return CL.cluster_means(members, faces).select("cluster_id", "state").join(fresh, "cluster_id")
+
+
+@query("SELECT doc_id AS uid FROM documents WHERE doc_id % 2 = 0 AND doc_id % 5 = 0")
+def orphan_cleanup(spark, sf):
+    m = media(spark, sf)
+    return PE.orphans_to_clean(m, m.where("uid % 5 <> 0").select("path"), m.where("uid % 2 = 0").select("uid")).select("uid")
+
+
+@query("SELECT doc_id AS uid FROM documents WHERE doc_id % 3 <> 0")
+def thumbs_pending(spark, sf):
+    m = media(spark, sf)
+    m = m.withColumn("uid", F.col("uid").cast("string"))
+    return PE.thumbs_pending(m, m.where("CAST(uid AS BIGINT) % 3 = 0").select(H.derivative_key("uid").alias("key"))).select(F.col("uid").cast("long").alias("uid"))
+
+
+@query("SELECT '/in/' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '.jpg' ELSE '.mp4' END AS path FROM part WHERE p_size % 4 = 0")
+def staging_files(spark, sf):
+    s = F.col("p_size")
+    rows = t(spark, sf, "part").select(F.concat(F.when(s % 4 == 0, "/in/").otherwise("/out/"), F.col("p_partkey").cast("string"), F.when(s % 2 == 0, ".jpg").otherwise(".mp4")).alias("path"))
+    return I.staging_files(rows, "/in", "photos").select("path")
+
+
+@query("""SELECT provider, seconds, "limit" FROM (SELECT 'p' || n_regionkey AS provider, round(min(n_nationkey) + 60 - 20, 1)::DOUBLE AS seconds, 'rpm' AS "limit" FROM nation GROUP BY n_regionkey)""")
+def providers_waiting(spark, sf):
+    r = t(spark, sf, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("m"))
+    first = r.select(F.concat(F.lit("p"), "n_regionkey").alias("provider"), F.lit(1).cast("long").alias("request_id"), (F.col("m") * 1_000_000).cast("long").alias("ts_us"))
+    second = first.select("provider", F.lit(2).cast("long").alias("request_id"), F.lit(19_000_000).cast("long").alias("ts_us"))
+    return ST.waiting(ST.admit(first.unionByName(second), {f"p{k}": {"rpm": 1} for k in range(5)}), 20_000_000)
+
+
+@query("SELECT n_nationkey, (n_nationkey * 100 - 1000) % 360 + CASE WHEN (n_nationkey * 100 - 1000) % 360 < 0 THEN 360 ELSE 0 END AS rotation, CASE WHEN n_regionkey > 0 THEN n_nationkey / n_regionkey END AS fps FROM nation")
+def probe_fields(spark, sf):
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    return t(spark, sf, "nation").select("n_nationkey", M.rotation(n * 100 - 1000).alias("rotation"), M.frame_rate(F.concat_ws("/", n.cast("string"), r.cast("string"))).alias("fps"))
