@@ -32,6 +32,8 @@ VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
 MOST_WORDS = 600_000
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: All code points before U+0378 are assigned.
+LATER = re.compile("[^\\x00-\\u0377]")
 ANY_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
 
@@ -70,7 +72,8 @@ class Codec:
         for text, i in [*self.ids.items(), *self.special.items()]:
             self.tokens[i] = text
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.ranks = {(self.ids[a], self.ids[b]): (k, self.ids[a + b]) for k, (a, b) in enumerate(merges)}
+        self.ranks = {(self.ids[a], self.ids[b]): k for k, (a, b) in enumerate(merges)}
+        self.made = [self.ids[a + b] for a, b in merges]
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = {b: x for b, x in enumerate(byte_letters())}
         self.longest = max(map(len, self.ids))
@@ -90,7 +93,7 @@ class Codec:
     def _pieces(self, text: str) -> list[str]:
         if text.isascii():
             return ASCII_WORD.findall(text.lower())
-        if self.unsure.search(text):
+        if LATER.search(text) and self.unsure.search(text):
             return self._library_pieces(text)
         # Lower case goes character by character: no final sigma.
         return ANY_WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
@@ -110,16 +113,19 @@ class Codec:
 
     def merge(self, parts: list[int]) -> list[int]:
         """Exact BPE: the pair of least rank first, the leftmost of equal ones."""
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r[0] < best[0]):
-                    best, at = r, i
-            if best is None:
+        never, get, made = len(self.made), self.ranks.get, self.made
+        rank = [get(pair, never) for pair in zip(parts, parts[1:], strict=False)]
+        while rank:
+            best = min(rank)
+            if best == never:
                 break
-            parts[at : at + 2] = [best[1]]
+            at = rank.index(best)
+            parts[at : at + 2] = [made[best]]
+            del rank[at]
+            if at:
+                rank[at - 1] = get((parts[at - 1], parts[at]), never)
+            if at < len(rank):
+                rank[at] = get((parts[at], parts[at + 1]), never)
         return parts
 
     def propose(self, letters: str) -> list[int]:
