@@ -104,7 +104,8 @@ def judged(docs: DataFrame, max_loss: float = 0.5, extra: tuple[str, ...] = ())
 def clean_documents(docs: DataFrame, max_loss: float = 0.5) -> DataFrame:
     """docs without the rejected rows, in their own columns, the failing lines of the others removed."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = judged(docs, max_loss, rest).where("kept")
+    # The row number keeps the optimizer from moving the filter into the expressions above, which it would multiply.
+    kept = judged(docs, max_loss, rest).withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0")
     text = F.array_join("good", "\n")
     return kept.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
