@@ -348,7 +348,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     met = Table(met.where("least = 0 OR n >= need").select("pivot", "sig"), "jaccard-met").read()
     regions = Table(met.unionByName(met.select("pivot", F.col("pivot").alias("sig"))).distinct(), "jaccard-regions").read()
     shared = spark.sparkContext.broadcast(sigs_filter(regions))
-    sent = docs.select("text").mapInArrow(_sender(n, shared), "sig binary, shingles binary").join(regions, "sig").select("pivot", "sig", "shingles")
+    sent = docs.select("text").mapInArrow(_sender(n, shared), "sig binary, shingles binary").join(regions.hint("merge"), "sig").select("pivot", "sig", "shingles")
     sent = sent.repartition(parts, "pivot").sortWithinPartitions("pivot", "sig")
     edges = Table(sent.mapInArrow(_region_join(percent), "u binary, v binary"), "jaccard-edges").read()
     roots = components(edges).withColumnRenamed("node", "sig")
@@ -360,9 +360,13 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """docs with only the smallest doc_id of each component; among rows that share it, each text once."""
-    keep = Table(link_documents(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct(), "jaccard-kept").read()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """docs with only the smallest doc_id of each component; rows that share an id stay if one of them does.
+
+    The ids that go are fewer than those that stay, so they join.
+    """
+    linked = link_documents(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or(F.expr("doc_id <=> component_id")).alias("stays"))
+    gone = Table(linked.where("NOT stays").select("__id"), "jaccard-gone").read()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
