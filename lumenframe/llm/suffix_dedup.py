@@ -1,15 +1,16 @@
 """Exact substring dedup by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
-A corpus has no single suffix array here. Every window of `length` bytes is sent to the region of its anchor, the
-leftmost least-hashed gram of `GRAM` bytes inside it; equal windows have equal anchors at equal distances, so they
-meet. Consecutive windows with one anchor form a segment of at most 2 * length - GRAM bytes and travel together.
+A corpus has no single suffix array here. Every window of `length` bytes has an anchor, the leftmost least-hashed gram
+of `GRAM` bytes inside it, and holds half of its other bytes before the anchor or after it; equal windows have equal
+anchors at equal distances and equal halves. Anchor and half make a key, and windows meet in their keys' regions.
+Consecutive windows with one anchor form a segment of at most 2 * length - GRAM bytes and travel together.
 
-1. A window holds its anchor and half of the other bytes before it or after it. These halves' keys alone shuffle
-   (packed, 4 bytes each, in buckets that grow in number with the partitions), and those met twice enter a Bloom
-   filter of bounded size.
+1. The keys alone shuffle (packed, 6 bytes each, in buckets that grow in number with the partitions). Those met twice
+   enter a Bloom filter of bounded size; those met more than `hot` times are listed.
 2. Segments with a key that may be repeated shuffle with their bytes. Equal segments collapse first, in each task
-   and again in the region: all but the first are repeats from end to end, and need no bytes.
-3. Where different segments share an anchor, they are joined into one text with a separate terminator each. Its
+   and again in the region: all but the first are repeats from end to end, and need no bytes. Windows with a listed
+   key do not travel by it: their digests are grouped with partial minima, so no task holds all of such a group.
+3. Where different segments share a key, they are joined into one text with a separate terminator each. Its
    Burrows-Wheeler transform is expanded breadth first, from the interval of the empty string backwards by one
    character a round; a round gives the boundaries whose suffixes have that many bytes in common, so common prefixes
    come by increasing value and the expansion stops at `length`. Boundaries still open then separate equal windows,
@@ -119,11 +120,11 @@ def _packed_keys(length: int, buckets: int):
     def flush(held):
         keys = np.concatenate(held)
         keys, n = np.unique((_bucket(keys, buckets) << np.uint64(32)) | (keys & LOW), return_counts=True)
-        keys = np.sort(np.concatenate([keys, keys[n > 1]]))  # twice is enough
         cut = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1))
-        short = (keys & LOW).astype(np.uint32)
+        short, n = (keys & LOW).astype(np.uint32), np.minimum(n, 65535).astype(np.uint16)
         some = np.flatnonzero(np.diff(cut))
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([short[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "keys"])
+        blobs = [pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()) for x in (short, n)]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *blobs], ["bucket", "keys", "counts"])
 
     def run(batches):
         held, n = [], 0
@@ -146,23 +147,68 @@ def _slots(short: np.ndarray, bits: int):
         yield (x & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _repeated(bits: int):
+def _repeated(bits: int, hot: int):
     def run(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(b, []).append(np.frombuffer(x, np.uint32))
+            for b, x, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.setdefault(b, []).append((np.frombuffer(x, np.uint32), np.frombuffer(n, np.uint16)))
         for b, parts in held.items():
-            a = np.sort(np.concatenate(parts)).astype(np.uint64)
+            keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([n for _, n in parts]))
             f = np.zeros(bits, np.uint8)
-            for at in _slots(a[1:][a[1:] == a[:-1]], bits):
+            for at in _slots(keys[n > 1].astype(np.uint64), bits):
                 f[at] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(f, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+            blobs = [np.packbits(f, bitorder="little").tobytes(), keys[n > hot].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], ["bucket", "bits", "hot"])
 
     return run
 
 
-SUSPECT = ["anchor", "doc_id", "tag", "start", "size", "bytes"]
+def _is_hot(keys: np.ndarray, listed: np.ndarray, buckets: int) -> np.ndarray:
+    if not len(listed):
+        return np.zeros(len(keys), bool)
+    x = (_bucket(keys, buckets) << np.uint64(32)) | (keys & LOW)
+    at = np.searchsorted(listed, x)
+    at[at == len(listed)] = 0
+    return (listed[at] == x) & (keys > 0)
+
+
+WINDOWS = "digest binary, doc_id long, tag long, start long, end long"
+
+
+def _hot_windows(length: int, buckets: int, shared):
+    """The windows of segments with a listed key, by digest; a segment that the task has met earlier in the corpus is a
+    repeat from end to end and gives one row without a digest, joined to the row before where it goes on."""
+    names, kinds = [x.split()[0] for x in WINDOWS.split(", ")], [pa.binary(), *[pa.int64()] * 4]
+
+    def run(batches):
+        _, _, listed = shared.value
+        seen: dict[bytes, tuple] = {}
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(0))
+            ids = batch.column(1).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            tags, raw = batch.column(2).to_numpy(zero_copy_only=False), memoryview(data)
+            for rows, at, count, _, keys in segments(data, offsets, length):
+                hit = np.flatnonzero(_is_hot(keys[0], listed, buckets) | _is_hot(keys[1], listed, buckets))
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                out: list[list] = []
+                for doc, tag, start, first, n in zip(*(c[hit].tolist() for c in (ids[rows], tags[rows], at - offsets[rows], at, count)), strict=True):
+                    own = (doc, tag, start)
+                    if seen.setdefault(xxhash.xxh3_128_digest(raw[first : first + n + length - 1]), own) >= own:
+                        out += [[xxhash.xxh3_128_digest(raw[first + i : first + i + length]), doc, tag, start + i, start + i + length] for i in range(n)]
+                    elif out and out[-1][0] is None and out[-1][1:3] == [doc, tag] and out[-1][3] <= start <= out[-1][4]:
+                        out[-1][4] = start + n + length - 1
+                    else:
+                        out.append([None, doc, tag, start, start + n + length - 1])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+SUSPECT = ["key", "doc_id", "tag", "start", "size", "bytes"]
 #: Contents a task remembers, to send equal ones once.
 MOST_SEEN = 100_000
 
@@ -171,7 +217,7 @@ def _suspects(length: int, buckets: int, filt):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches):
-        f, bits = filt.value
+        f, bits, listed = filt.value
         seen: dict[bytes, tuple] = {}
         for batch in batches:
             data, offsets = column_bytes(batch.column(0))
@@ -179,30 +225,31 @@ def _suspects(length: int, buckets: int, filt):
             tags = batch.column(2).to_numpy(zero_copy_only=False)
             raw = memoryview(data)
             for rows, at, count, anchor, keys in segments(data, offsets, length):
-                hit = np.zeros(len(anchor), bool)
+                on = []
                 for side in keys:
-                    base, own = _bucket(side, buckets).astype(np.int64) * bits, side > 0
+                    base, own = _bucket(side, buckets).astype(np.int64) * bits, (side > 0) & ~_is_hot(side, listed, buckets)
                     for slot in _slots(side & LOW, bits):
                         slot = base + slot
                         own &= ((f[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) == 1
-                    hit |= own
-                hit = np.flatnonzero(hit)
+                    on.append(own)
+                hit = np.flatnonzero(on[0] | on[1])
                 if not len(hit):
                     continue
                 rows, at = rows[hit], at[hit]
-                columns = (anchor[hit].view(np.int64), ids[rows], tags[rows], at - offsets[rows], count[hit] + length - 1, at)
+                left, right = (np.where(own[hit], side[hit], np.uint64(0)).view(np.int64) for own, side in zip(on, keys, strict=True))
+                columns = (left, right, ids[rows], tags[rows], at - offsets[rows], count[hit] + length - 1, at)
                 if len(seen) > MOST_SEEN:
                     seen.clear()
                 out: list[list] = []
-                for a, doc, tag, start, size, first in zip(*(c.tolist() for c in columns), strict=True):
+                for left, right, doc, tag, start, size, first in zip(*(c.tolist() for c in columns), strict=True):
                     x = bytes(raw[first : first + size])
                     own = (doc, tag, start)
                     if seen.setdefault(xxhash.xxh3_128_digest(x), own) >= own:
-                        out.append([a, doc, tag, start, size, x])
+                        out += [[key, doc, tag, start, size, x] for key in (left, right) if key]
                     elif out and out[-1][5] is None and out[-1][1] == doc and out[-1][2] == tag and out[-1][3] <= start <= out[-1][3] + out[-1][4]:
                         out[-1][4] = start + size - out[-1][3]  # the repeat goes on
                     else:
-                        out.append([a, doc, tag, start, size, None])
+                        out.append([left or right, doc, tag, start, size, None])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], SUSPECT)
 
     return run
@@ -380,7 +427,7 @@ def _cut(batches):
             )
 
 
-def dedup_substrings(docs: DataFrame, length: int = 100, most_bits: int = 1 << 30) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 100, most_bits: int = 1 << 30, hot: int = 200_000) -> DataFrame:
     """doc_id, kept (the bytes left), n_bytes, n_removed, spans (maximal removed runs) of every row of docs(doc_id, text)."""
     if length <= GRAM:
         raise ValueError(f"windows must be longer than the anchors' {GRAM} bytes")
@@ -390,13 +437,24 @@ def dedup_substrings(docs: DataFrame, length: int = 100, most_bits: int = 1 << 3
     buckets = 1 << (4 * parts - 1).bit_length()
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = max(64, min(most_bits, 1 << (total // 16).bit_length()) // buckets)
-    packed = docs.select("text").mapInArrow(_packed_keys(length, buckets), "bucket int, keys binary").repartition(parts, "bucket")
-    filt = np.zeros(buckets * bits >> 3, np.uint8)
-    for r in packed.mapInArrow(_repeated(bits), "bucket int, bits binary").toLocalIterator():
+    # So many segments fit a task well; and at most a million keys can be that frequent.
+    hot = max(hot, total // (1_000_000 * (length - GRAM) // 4))
+    packed = docs.select("text").mapInArrow(_packed_keys(length, buckets), "bucket int, keys binary, counts binary").repartition(parts, "bucket")
+    filt, listed = np.zeros(buckets * bits >> 3, np.uint8), []
+    for r in packed.mapInArrow(_repeated(bits, hot), "bucket int, bits binary, hot binary").toLocalIterator():
         filt[r["bucket"] * bits >> 3 : (r["bucket"] + 1) * bits >> 3] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = spark.sparkContext.broadcast((filt, bits))
-    suspects = docs.mapInArrow(_suspects(length, buckets, shared), "anchor long, doc_id long, tag long, start long, size int, bytes binary").repartition(parts, "anchor")
-    spans = Table(suspects.mapInArrow(_regions(length), SPANS), "repeats").read()
+        listed.append((np.uint64(r["bucket"]) << np.uint64(32)) | np.frombuffer(bytes(r["hot"]), np.uint32).astype(np.uint64))
+    listed = np.sort(np.concatenate(listed)) if listed else np.zeros(0, np.uint64)
+    shared = spark.sparkContext.broadcast((filt, bits, listed))
+    suspects = docs.mapInArrow(_suspects(length, buckets, shared), "key long, doc_id long, tag long, start long, size int, bytes binary").repartition(parts, "key")
+    spans = suspects.mapInArrow(_regions(length), SPANS)
+    if len(listed):
+        windows = Table(docs.mapInArrow(_hot_windows(length, buckets, shared), WINDOWS), "hot-windows").read()
+        first = windows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"))
+        later = windows.join(first, "digest").where(F.struct("doc_id", "tag", "start") != F.col("first"))
+        for found in (windows.where("digest IS NULL"), later):
+            spans = spans.unionByName(found.select("doc_id", "tag", "start", "end"))
+    spans = Table(spans, "repeats").read()
     by_doc = spans.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     same = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id")) & (F.col("tag") == F.col("__tag"))
     return docs.join(by_doc, same, "left").select("doc_id", "text", "spans").mapInArrow(_cut, OUT)
