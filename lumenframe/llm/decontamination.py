@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
 Words are compared in lower case and without ASCII punctuation. The n-grams of a block of benchmark items are
 sent to the tasks (a block has a fixed number of words, so its size does not depend on the corpus; a larger
-benchmark takes more passes). One pass counts in how many documents each n-gram stands; an n-gram is a seed
-unless it is much more frequent than its own item usually is, so that a copied item keeps its seeds however often
-it was copied. A second pass joins documents to items at the seeds and aligns the passage around them with
-the item: match 1, mismatch and gap -1. A document holds an item if the best local alignment reaches
-`least_score` of the item's words.
+benchmark takes more passes). Every n-gram of an item is a seed, however many documents hold it. One pass joins
+documents to items at the seeds and aligns the passage around them with the item: match 1, mismatch and gap -1.
+A document holds an item if the best local alignment reaches `least_score` of the item's words; a passage that
+lacks too many of the item's words to reach it is not aligned.
 
 Documents of any length are searched whole. Null texts and items without words match nothing. Repeated
 documents and items are each reported. Equal spans: the best score, then the earliest. Other columns are ignored.
@@ -58,23 +57,18 @@ class Block:
         join = lambda a, kind: np.concatenate(a).astype(kind) if a else np.zeros(0, kind)
         keys = join(keys, np.uint64)
         self.keys, of = np.unique(keys, return_inverse=True)
-        self.key_of, self.owner, self.place = of, join(owner, np.int64), join(place, np.int64)
-        self.live = np.ones(len(self.keys), bool)
-        self._index()
-
-    def _index(self) -> None:
-        keep = np.flatnonzero(self.live[self.key_of]) if len(self.key_of) else np.zeros(0, np.int64)
-        order = keep[np.argsort(self.key_of[keep], kind="stable")]
-        self.by_key, self.first = order, np.searchsorted(self.key_of[order], np.arange(len(self.keys) + 1))
-
-    def keep_rare(self, df: np.ndarray) -> None:
-        """Drop the n-grams that are far more frequent than their items' n-grams usually are."""
-        self.live[:] = False
-        for i in range(len(self.items)):
-            own = self.key_of[self.owner == i]
-            if len(own):
-                self.live[own[df[own] <= 8 * np.median(df[own]) + 8]] = True
-        self._index()
+        self.owner, self.place = join(owner, np.int64), join(place, np.int64)
+        self.by_key = np.argsort(of, kind="stable")
+        self.first = np.searchsorted(of[self.by_key], np.arange(len(self.keys) + 1))
+        self.sizes = np.array([len(ids) for _, ids in self.items], np.int64)
+        self.met = np.zeros(len(self.vocabulary) + 1, bool)
+
+    def shared(self, item: np.ndarray, passage: np.ndarray) -> int:
+        """How many of the item's words occur in the passage: no alignment scores more."""
+        self.met[passage] = True
+        n = int(self.met[item].sum())
+        self.met[passage] = False
+        return n
 
     def ids_of(self, text: bytes) -> np.ndarray:
         words = plain_words(text)
@@ -123,21 +117,21 @@ def search(block: Block, text: bytes, least_score: float) -> list[tuple]:
         return []
     n_of = block.first[keys + 1] - block.first[keys]
     rows = np.repeat(np.arange(len(at)), n_of)
-    if not len(rows):
-        return []
     step = np.arange(len(rows)) - np.repeat(np.cumsum(n_of) - n_of, n_of)
     entry = block.by_key[block.first[keys[rows]] + step]
     owner, start = block.owner[entry], at[rows] - block.place[entry]
     out = []
     order = np.lexsort((start, owner))
     owner, start = owner[order], start[order]
-    size = np.array([len(block.items[o][1]) for o in owner])
+    size = block.sizes[owner]
     cut = np.flatnonzero((owner[1:] != owner[:-1]) | (start[1:] - start[:-1] > size[1:])) + 1
     best: dict[int, tuple] = {}
     for a, b in zip(np.r_[0, cut], np.r_[cut, len(owner)], strict=True):
         item = block.items[owner[a]][1]
         slack = len(item) // 2 + block.n
         lo, hi = max(0, int(start[a]) - slack), min(len(ids), int(start[b - 1]) + len(item) + slack)
+        if block.shared(item, ids[lo:hi]) < least_score * len(item):
+            continue
         score, end = align(item, ids[lo:hi])
         if score >= least_score * len(item) and score > best.get(owner[a], (0,))[0]:
             _, back = align(item[::-1], ids[lo : lo + end][::-1])
@@ -147,19 +141,6 @@ def search(block: Block, text: bytes, least_score: float) -> list[tuple]:
     return out
 
 
-def _counter(shared):
-    def count(batches):
-        block = shared.value
-        df = np.zeros(len(block.keys), np.int64)
-        for batch in batches:
-            for x in texts(batch):
-                df[np.unique(block.hits(block.ids_of(x))[1])] += 1
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["k", "df"])
-
-    return count
-
-
 def _finder(shared, least_score: float):
     def find(batches):
         block = shared.value
@@ -197,11 +178,6 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, least_score: flo
             short = Block([(i, " ".join(_names(block, w))) for i, w in block.items if len(w) == size], size)
             found = docs.mapInArrow(_finder(spark.sparkContext.broadcast(short), 1.0), FOUND)
             out = found if out is None else out.unionByName(found)
-        df = np.zeros(len(block.keys), np.int64)
-        counted = docs.mapInArrow(_counter(spark.sparkContext.broadcast(block)), "k long, df long").groupBy("k").agg(F.sum("df").alias("df"))
-        for r in counted.collect():  # at most one row for each n-gram of the block
-            df[r["k"]] = r["df"]
-        block.keep_rare(df)
         found = docs.mapInArrow(_finder(spark.sparkContext.broadcast(block), least_score), FOUND)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], FOUND) if out is None else out

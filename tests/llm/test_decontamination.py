@@ -68,6 +68,21 @@ def test_verbatim_items_in_the_test_tables(spark):
     assert exact and exact <= found
 
 
+def test_frequent_edited_copies_and_excerpts_are_found(spark):
+    words = [f"v{i}" for i in range(40)]
+    edit = " ".join("other" if i % 6 == 5 else w for i, w in enumerate(words))
+    excerpt = " ".join(words[:21])
+    # Edited copies keep 13 of 37 n-grams, excerpts 18; one whole copy of the second item makes its other n-grams rare, not absent.
+    second = [f"u{i}" for i in range(40)]
+    rows = [(d, f"before {d} {edit} after") for d in range(60)]
+    rows += [(100 + d, f"before {d} {' '.join(second[:21])} after") for d in range(60)] + [(200, " ".join(second))]
+    rows += [(300 + d, f"before {d} {excerpt.replace('v', 't')} after") for d in range(60)]
+    items = [(1, " ".join(words)), (2, " ".join(second)), (3, " ".join(words).replace("v", "t"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r.doc_id, r.item_id) for r in D.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(d, 1 if d < 100 else 3 if d >= 300 else 2) for d, _ in rows}
+
+
 def test_odd_inputs(spark):
     bench = spark.createDataFrame([(1, "zürich naïve ωmega İstanbul σας"), (2, "word"), (3, None)], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in D.contaminated(odd_documents(spark), bench, least_score=0.3).collect()}
