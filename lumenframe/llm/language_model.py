@@ -3,8 +3,8 @@
 Counts of all training tokens give the base model and the vocabulary: the `words` most frequent ones are predicted
 one by one, all others by tail classes of similar spelling (k-means over letter pairs), inside which they keep
 their counts' shares. The output is factored: a softmax over classes, then one over the words of the class.
-Training starts at the counts' own probabilities and then runs truncated backpropagation over a fixed share of the
-training documents, in rounds: each task trains a copy on its own documents and the copies are averaged by tokens.
+Training starts at the counts' own probabilities and then runs truncated backpropagation over all training
+documents, each in one of the rounds: each task trains a copy on its own documents and the copies are averaged by tokens.
 Scoring packs documents into lanes and goes through them window by window with the state carried over, and reset
 where a document begins, so a document's log-likelihood is complete whatever its length.
 
@@ -44,7 +44,7 @@ class Settings:
     hidden: int = 16
     class_words: int = 64
     rounds: int = 2
-    share: float = 0.02  # of the training documents, each round
+    share: float = 0.5  # of the training documents, each round: with two rounds, every document once
     lanes: int = 64
     window: int = 24
     rate: float = 0.08
@@ -386,8 +386,8 @@ def train(docs: DataFrame, v: Vocabulary, s: Settings) -> Model:
         copies = own.select("text").mapInArrow(_trainer(sc.broadcast((v, model, s))), "part int, seen long, values binary")
         n = -(-sum(a.size for a in model.p.values()) // PART)
         rows = copies.repartition(n, "part").mapInArrow(_average, "part int, values binary").collect()
-        if len(rows) < n:
-            break
+        if len(rows) < n:  # no document fell into this round
+            continue
         flat, at = np.concatenate([np.frombuffer(bytes(r["values"]), np.float32) for r in sorted(rows, key=lambda r: r["part"])]), 0
         for name in sorted(model.p):
             a = model.p[name]

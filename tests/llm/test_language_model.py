@@ -32,6 +32,16 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_training_document_reaches_backpropagation(spark):
+    s = L.Settings()
+    for n in (1, 2, 60):
+        docs = spark.createDataFrame([(i, f"only{i}") for i in range(n)], "doc_id long, text string")
+        counts = spark.createDataFrame([*((f"only{i}".encode(), 1) for i in range(n)), (L.END, n)], "word binary, c long")
+        v = L.build_vocabulary(counts, s)
+        changed = (L.train(docs, v, s).p["input"] != L.Model(v, s).p["input"]).any(axis=1)
+        assert changed[v.lookup([f"only{i}".encode() for i in range(n)])[0]].all()
+
+
 def model_of(seed=3, hidden=5):
     rng = np.random.default_rng(seed)
     v = L.Vocabulary({}, np.zeros(0), np.zeros(0, np.int64), None, 0, 0, np.array([0, 1, 5, 9]), rng.random(9) * 9, rng.random(3) * 9 + 1)
