@@ -1,9 +1,9 @@
 """URL filters (native): fixed host and path rules first, then rules that FP-growth mines from labelled URLs.
 
 A URL's items are its scheme, host labels, path words and query keys; labelled URLs add the item of their
-label. FP-growth keeps item sets above `min_support`, association rules with the bad label as consequent
-above `min_confidence`, and of those only rules that beat each of their own subsets. Rules match through an
-inverted index: rule items join URL items, and a rule fires for a URL when all of its items were met.
+label. FP-growth keeps item sets above `min_support`, association rules of any length with the bad label as
+consequent above `min_confidence` and above the share of bad labels, and of those only rules that beat each of
+their own subsets. Rules match through an inverted index: rule items join URL items, and a rule fires for a URL when all of its items were met.
 
 Null urls, or urls without `://`, have an empty host and path, fit no fixed rule and have no items; they are
 allowed. Repeated rows are judged alike. Without labels of both kinds no rule is mined. Other columns of the
@@ -56,14 +56,19 @@ def url_items(url: Column) -> Column:
     return F.when(host != "", found).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.5, most_items: int = 3) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
     """labelled(url, bad boolean) -> rules(rule_id, items, confidence, support)."""
     baskets = labelled.where(F.size(url_items(F.col("url"))) > 0).select(F.concat(url_items(F.col("url")), F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= most_items) & (F.col("lift") >= min_lift))
+    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") > 1))
     rules = rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("items"), "confidence", "support")
     rules = Table(rules, "url-rules").read()
-    # A rule goes if one of its subsets is as sure: the subset fires wherever it does.
+    # A rule goes if one of its subsets is as sure: the subset fires wherever it does. First the subsets with one item less, by
+    # equality: items that always occur together make many rules, of which few are left for the join by items.
+    less = F.transform("items", lambda x: F.array_remove("items", x))
+    parts = rules.where(F.size("items") > 1).select("rule_id", "confidence", F.explode(less).alias("part"))
+    weaker = parts.join(rules.select(F.col("items").alias("part"), F.col("confidence").alias("c")), "part").where("c >= confidence")
+    rules = Table(rules.join(weaker.select("rule_id").distinct(), "rule_id", "left_anti"), "url-rules").read()
     small = rules.select(F.col("rule_id").alias("sub"), F.col("confidence").alias("c"), F.size("items").alias("n"), F.explode("items").alias("item"))
     large = rules.select("rule_id", "confidence", F.size("items").alias("size"), F.explode("items").alias("item"))
     weaker = large.join(small, "item").where("n < size AND c >= confidence")

@@ -122,3 +122,24 @@ def test_url_rules_are_mined_and_matched(spark):
     rules = urls.mine_rules(labelled).collect()
     assert ["host:pills"] in [r["items"] for r in rules]
     assert all(len(r["items"]) == 1 or "host:pills" not in r["items"] for r in rules)
+
+
+def test_long_url_rules_and_high_base_rates(spark):
+    # Only all four path words together are bad: each three of them are good far more often.
+    words = ["casino", "win", "free", "now"]
+    rows = [(f"http://h/{'/'.join(words)}", True)] * 40 + [(f"http://h/{'/'.join(w for w in words if w != x)}", False) for x in words] * 40
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    pages = labelled.select(F.monotonically_increasing_id().alias("page_id"), "url", "bad")
+    got = urls.filter_urls(pages, labelled, rules=[]).join(pages.select("page_id", "bad"), "page_id").collect()
+    assert len(got) == 200 and all((r.verdict == "block") == r.bad for r in got)
+    assert [sorted(r["items"]) for r in urls.mine_rules(labelled).collect()] == [sorted(f"path:{w}" for w in words)]
+    # Four of five labels are bad: a lift of 1.5 is out of reach, and the share of bad labels itself is no rule.
+    rows = [("http://h/pills", True)] * 80 + [("http://h/news", False)] * 20
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    assert [(r["items"], r["confidence"]) for r in urls.mine_rules(labelled).collect()] == [(["path:pills"], 1.0)]
+
+
+def test_rules_of_items_that_always_occur_together(spark):
+    together = "/".join(f"w{i}" for i in range(11))
+    labelled = spark.createDataFrame([(f"http://h/{together}", True)] * 30 + [("http://h/other", False)] * 30, "url string, bad boolean")
+    assert sorted(r["items"] for r in urls.mine_rules(labelled).collect()) == sorted([f"path:w{i}"] for i in range(11))
