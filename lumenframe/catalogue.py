@@ -119,7 +119,7 @@ SELECT vec_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], m.e), 6)
 def person_range_search(spark, sf):
     rows = t(spark, sf, "embeddings")
     mean = list(V.mean_vectors(rows.where("label = 1"), ["label"]).first()["mean"])
-    return V.range_search(rows, mean, 0.7, "vec_id", most=1_000_000).select("vec_id", F.round("distance", 6).alias("distance"))
+    return V.range_search(rows, mean, 0.7, "vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query("SELECT DISTINCT attribute, value FROM (SELECT 'lang' AS attribute, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) WHERE value IS NOT NULL AND value NOT IN ('', 'unknown')")

@@ -53,9 +53,11 @@ def top_k(df: DataFrame, query: list[float], k: int, key: str, vector: str = "em
     return df.withColumn("distance", d).orderBy("distance", key).limit(k)
 
 
-def range_search(df: DataFrame, query: list[float], threshold: float, key: str, vector: str = "embedding", most: int = 10_000) -> DataFrame:
-    """Up to `most` nearest rows at a cosine distance within the threshold."""
-    return top_k(df, query, most, key, vector, "cosine").where(F.col("distance") <= threshold)
+def range_search(df: DataFrame, query: list[float], threshold: float, key: str, vector: str = "embedding", most: int | None = None) -> DataFrame:
+    """All rows at a cosine distance within the threshold, or the `most` nearest of them."""
+    if most is not None:
+        return top_k(df, query, most, key, vector, "cosine").where(F.col("distance") <= threshold)
+    return df.withColumn("distance", cosine_distance(vector, F.array(*[F.lit(float(x)) for x in query]))).where(F.col("distance") <= threshold)
 
 
 BLOCK_BYTES = 64 << 20

@@ -372,3 +372,16 @@ def test_queues(spark):
     assert (stats.total, stats.captioned, stats.embedded, stats.embed_pending) == (3, 1, 3, 0)
     keys = table(spark, [("p1",)], "uid string").select(F.sha1(F.col("uid").cast("binary")).alias("key"))
     assert {r.uid for r in PE.thumbs_pending(m, keys).collect()} == {"v1", "p2"}
+
+
+def test_range_search_keeps_every_row_within_the_threshold(spark):
+    rows = spark.range(10_500).select("id", F.array(F.lit(1.0), F.when(F.col("id") < 10_200, 0.0).otherwise(9.0)).alias("embedding"))
+    assert V.range_search(rows, [1.0, 0.0], 0.5, "id").count() == 10_200
+    assert V.range_search(rows, [1.0, 0.0], 0.5, "id", most=7).count() == 7
+
+
+def test_person_range_search_has_no_limit(spark):
+    from lumenframe import catalogue
+
+    plan = catalogue.QUERIES["person_range_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "Limit" not in plan
