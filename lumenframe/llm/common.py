@@ -136,3 +136,54 @@ def pack(a: np.ndarray) -> bytes:
 
 def unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), kind)
+
+
+class Bloom:
+    """A Bloom filter of 64-bit hashes in `PARTS` parts by their highest bits; each part is built in one task from its own hashes."""
+
+    PARTS, PROBES = 64, 3
+
+    def __init__(self, bits: int):
+        self.bits, self.data = bits, np.zeros(self.PARTS * bits >> 3, np.uint8)
+
+    @staticmethod
+    def _slots(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        for k in range(Bloom.PROBES):
+            yield (mix(h + np.uint64(k + 1)) & np.uint64(bits - 1)).astype(np.int64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        base, out = (h >> np.uint64(58)).astype(np.int64) * self.bits, np.ones(len(h), bool)
+        for slot in self._slots(h, self.bits):
+            slot += base
+            out &= ((self.data[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) == 1
+        return out
+
+    @staticmethod
+    def of(rows: DataFrame, most_bits: int = 1 << 30) -> Bloom | None:
+        """The filter of rows(h long): 16 bits or more for each row, but no more than `most_bits` in all; None without rows."""
+        rows = Table(rows, "hashes")
+        n = rows.read().count()
+        if not n:
+            rows.drop()
+            return None
+        bits = max(64, min(most_bits, 1 << (16 * n - 1).bit_length()) // Bloom.PARTS)
+
+        def build(batches):
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                of = (h >> np.uint64(58)).astype(np.int64)
+                for p in np.unique(of).tolist():
+                    f = held.setdefault(p, np.zeros(bits, bool))
+                    for slot in Bloom._slots(h[of == p], bits):
+                        f[slot] = True
+            for p, f in held.items():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "bits": pa.array([np.packbits(f, bitorder="little").tobytes()], pa.binary())})
+
+        out = Bloom(bits)
+        tasks = max(1, min(Bloom.PARTS, n >> 17))
+        built = rows.read().repartition(tasks, F.shiftrightunsigned("h", 58)).mapInArrow(build, "part int, bits binary")
+        for r in built.collect():  # most_bits bits in all
+            out.data[r["part"] * bits >> 3 : (r["part"] + 1) * bits >> 3] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        rows.drop()
+        return out

@@ -5,21 +5,24 @@ of `GRAM` bytes inside it, and holds half of its other bytes before the anchor o
 anchors at equal distances and equal halves. Anchor and half make a key, and windows meet in their keys' regions.
 Consecutive windows with one anchor form a segment of at most 2 * length - GRAM bytes and travel together.
 
-1. The keys alone shuffle (packed, 6 bytes each, in buckets that grow in number with the partitions). Those met twice
-   enter a Bloom filter of bounded size; those met more than `hot` times are listed.
-2. Segments with a key that may be repeated shuffle with their bytes. Equal segments collapse first, in each task
-   and again in the region: all but the first are repeats from end to end, and need no bytes. Windows with a listed
-   key do not travel by it: their digests are grouped with partial minima, so no task holds all of such a group.
-3. Where different segments share a key, they are joined into one text with a separate terminator each. Its
-   Burrows-Wheeler transform is expanded breadth first, from the interval of the empty string backwards by one
-   character a round; a round gives the boundaries whose suffixes have that many bytes in common, so common prefixes
-   come by increasing value and the expansion stops at `length`. Boundaries still open then separate equal windows,
-   and all of an interval's windows but the first in the corpus are repeats.
-4. Repeats return to their documents, which lose the bytes covered.
+1. The keys alone shuffle (packed, 4 bytes each, in buckets that grow in number with the partitions). Those met twice
+   enter a Bloom filter of bounded size.
+2. Segments with a key that may be repeated shuffle as places and digests, packed, without their bytes. Equal
+   segments collapse first, in each task and again in the region: all but the first are repeats from end to end. A key
+   whose segments are all equal is settled by that. Of the others, the first segment of each content is still open.
+3. Open segments shuffle with their bytes, once for each open key, and are joined into one text with a separate
+   terminator each. Its Burrows-Wheeler transform is expanded breadth first, from the interval of the empty string
+   backwards by one character a round; a round gives the boundaries whose suffixes have that many bytes in common, so
+   common prefixes come by increasing value and the expansion stops at `length`. Boundaries still open then separate
+   equal windows, and all of an interval's windows but the first in the corpus are repeats. A key with more than
+   `MOST_OPEN` different segments does not gather in one task: its windows are told apart by their digests, with
+   partial minima. That number is fixed, whatever the corpus.
+4. Repeats return to their documents, which lose the bytes covered. Documents without any do not shuffle.
 
 Documents are ordered by doc_id (null first), then by a hash of their text; rows equal in both are one document
 and all get its result. Null and empty texts have nothing to remove. Very long texts are cut into chunks that
-overlap, and no window is lost. Texts under `length` bytes stay whole. Other columns are ignored.
+overlap, and no window is lost. Texts under `length` bytes stay whole. An empty table gives no rows. Other columns,
+whatever their names, are ignored. Segments count as equal if two independent 64-bit hashes of them agree.
 """
 
 from __future__ import annotations
@@ -30,15 +33,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import Table, mix, shuffle_parts
+from lumenframe.llm.common import Bloom, Table, mix, shuffle_parts
 
 GRAM = 50
 CHUNK_BITS = 18
 FLUSH = 1 << 19
 NO_ID = -(1 << 63)
-#: Bytes of different segments that one transform takes, if no anchor has more.
+#: Bytes of different segments that one transform takes, if no key has more.
 TRANSFORM = 1 << 17
+#: Different segments of one key that a transform takes.
+MOST_OPEN = 20_000
+#: Bytes of text for each task of a shuffle.
+TASK_BYTES = 1 << 25
 
+#: A 64-bit code for each byte, for digests that are independent of the keys.
+BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -66,8 +75,9 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(row, first byte, windows, anchor, keys before and after the anchor, 0 where no window has that half) arrays of the segments, chunk by chunk."""
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, digests: bool = False):
+    """(row, first byte, windows, keys before and after the anchor, 0 where no window has that half, digest) arrays of the
+    segments, chunk by chunk; digests only if asked for."""
     half = (length - GRAM) // 2
     k, w = GRAM, length - GRAM + 1
     size = (1 << CHUNK_BITS) + length
@@ -106,7 +116,11 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int):
         for side, on, first, last in ((0, left, a - half, a + k), (1, right, a, a + k + half)):
             first, last = first[on], last[on]
             keys[side, on] = mix(mix((sums[last] - sums[first]) * down[first]) + np.uint64(side + 1)) | np.uint64(1)
-        yield rows[s], at[s], size, g[a], keys
+        digest = None
+        if digests:
+            np.cumsum(BYTE_CODES[chunk] * up[:n], out=sums[1:])
+            digest = mix((sums[s + size + length - 1] - sums[s]) * down[s])
+        yield rows[s], at[s], size, keys, digest
 
 
 LOW = np.uint64(0xFFFFFFFF)
@@ -120,16 +134,15 @@ def _packed_keys(length: int, buckets: int):
     def flush(held):
         keys = np.concatenate(held)
         keys, n = np.unique((_bucket(keys, buckets) << np.uint64(32)) | (keys & LOW), return_counts=True)
+        keys = np.repeat(keys, np.minimum(n, 2))  # twice is enough to know
         cut = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1))
-        short, n = (keys & LOW).astype(np.uint32), np.minimum(n, 65535).astype(np.uint16)
-        some = np.flatnonzero(np.diff(cut))
-        blobs = [pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()) for x in (short, n)]
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *blobs], ["bucket", "keys", "counts"])
+        short, some = (keys & LOW).astype(np.uint32), np.flatnonzero(np.diff(cut))
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([short[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "keys"])
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for *_, keys in segments(*column_bytes(batch.column(0)), length):
+            for _, _, _, keys, _ in segments(*column_bytes(batch.column(0)), length):
                 held.append(keys[keys > 0])
                 n += len(held[-1])
                 if n >= FLUSH:
@@ -147,110 +160,203 @@ def _slots(short: np.ndarray, bits: int):
         yield (x & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _repeated(bits: int, hot: int):
+def _repeated(bits: int):
     def run(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for b, x, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault(b, []).append((np.frombuffer(x, np.uint32), np.frombuffer(n, np.uint16)))
+            for b, x in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                held.setdefault(b, []).append(np.frombuffer(x, np.uint32))
         for b, parts in held.items():
-            keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([n for _, n in parts]))
+            keys = np.sort(np.concatenate(parts))
             f = np.zeros(bits, np.uint8)
-            for at in _slots(keys[n > 1].astype(np.uint64), bits):
+            for at in _slots(keys[1:][keys[1:] == keys[:-1]].astype(np.uint64), bits):
                 f[at] = 1
-            blobs = [np.packbits(f, bitorder="little").tobytes(), keys[n > hot].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], ["bucket", "bits", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(f, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
 
     return run
 
 
-def _is_hot(keys: np.ndarray, listed: np.ndarray, buckets: int) -> np.ndarray:
-    if not len(listed):
-        return np.zeros(len(keys), bool)
-    x = (_bucket(keys, buckets) << np.uint64(32)) | (keys & LOW)
-    at = np.searchsorted(listed, x)
-    at[at == len(listed)] = 0
-    return (listed[at] == x) & (keys > 0)
+SEGMENT = np.dtype([("key", "u8"), ("digest", "u8"), ("doc", "i8"), ("tag", "i8"), ("start", "u4"), ("size", "u4")])
+SPAN = np.dtype([("doc", "i8"), ("tag", "i8"), ("start", "u4"), ("size", "u4")])
 
 
-WINDOWS = "digest binary, doc_id long, tag long, start long, end long"
+def _blob(a: np.ndarray) -> bytes:
+    """A structured array field by field, which compresses better than row by row."""
+    return b"".join(np.ascontiguousarray(a[f]).tobytes() for f in a.dtype.names)
 
 
-def _hot_windows(length: int, buckets: int, shared):
-    """The windows of segments with a listed key, by digest; a segment that the task has met earlier in the corpus is a
-    repeat from end to end and gives one row without a digest, joined to the row before where it goes on."""
-    names, kinds = [x.split()[0] for x in WINDOWS.split(", ")], [pa.binary(), *[pa.int64()] * 4]
+def _unblob(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    out = np.empty(sum(map(len, blobs)) // kind.itemsize, kind)
+    at = 0
+    for x in blobs:
+        n, first = len(x) // kind.itemsize, 0
+        for f in kind.names:
+            out[f][at : at + n] = np.frombuffer(x, kind[f], n, first)
+            first += n * kind[f].itemsize
+        at += n
+    return out
 
-    def run(batches):
-        _, _, listed = shared.value
-        seen: dict[bytes, tuple] = {}
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(0))
-            ids = batch.column(1).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            tags, raw = batch.column(2).to_numpy(zero_copy_only=False), memoryview(data)
-            for rows, at, count, _, keys in segments(data, offsets, length):
-                hit = np.flatnonzero(_is_hot(keys[0], listed, buckets) | _is_hot(keys[1], listed, buckets))
-                if len(seen) > MOST_SEEN:
-                    seen.clear()
-                out: list[list] = []
-                for doc, tag, start, first, n in zip(*(c[hit].tolist() for c in (ids[rows], tags[rows], at - offsets[rows], at, count)), strict=True):
-                    own = (doc, tag, start)
-                    if seen.setdefault(xxhash.xxh3_128_digest(raw[first : first + n + length - 1]), own) >= own:
-                        out += [[xxhash.xxh3_128_digest(raw[first + i : first + i + length]), doc, tag, start + i, start + i + length] for i in range(n)]
-                    elif out and out[-1][0] is None and out[-1][1:3] == [doc, tag] and out[-1][3] <= start <= out[-1][4]:
-                        out[-1][4] = start + n + length - 1
-                    else:
-                        out.append([None, doc, tag, start, start + n + length - 1])
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return run
+def _in_order(a: np.ndarray) -> np.ndarray:
+    return a[np.lexsort((a["start"], a["tag"], a["doc"]))]
+
 
+def _joined(a: np.ndarray) -> np.ndarray:
+    """Spans with those that touch made one."""
+    if not len(a):
+        return a
+    a = _in_order(a)
+    ends = a["start"].astype(np.int64) + a["size"]
+    doc = np.r_[0, np.cumsum((a["doc"][1:] != a["doc"][:-1]) | (a["tag"][1:] != a["tag"][:-1]))] << 33
+    high = np.maximum.accumulate(ends + doc)
+    first = np.flatnonzero(np.r_[True, a["start"][1:] + doc[1:] > high[:-1]])
+    out = a[first]
+    out["size"] = high[np.r_[first[1:], len(a)] - 1] - doc[first] - out["start"]
+    return out
 
-SUSPECT = ["key", "doc_id", "tag", "start", "size", "bytes"]
-#: Contents a task remembers, to send equal ones once.
-MOST_SEEN = 100_000
+
+def _later(group: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Which rows have one of the same group before them, given rows in the corpus' order; rows of one place are one."""
+    order = np.argsort(group, kind="stable")
+    g, place = group[order], a[order]
+    head = np.maximum.accumulate(np.where(np.r_[True, g[1:] != g[:-1]], np.arange(len(g)), 0)) if len(g) else order
+    out = np.zeros(len(a), bool)
+    out[order] = np.logical_or.reduce([place[f] != place[f][head] for f in ("doc", "tag", "start")])
+    return out
 
 
 def _suspects(length: int, buckets: int, filt):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    def flush(held):
+        keys, rows = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+        order = np.lexsort((rows["start"], rows["tag"], rows["doc"]))
+        keys, rows = keys[:, order], rows[order]
+        later = np.zeros(len(rows), bool)
+        for side in keys:
+            on = np.flatnonzero(side > 0)
+            later[on] |= _later(mix(side[on]) ^ rows["digest"][on], rows[on])
+        spans = np.empty(int(later.sum()), SPAN)
+        for f in SPAN.names:
+            spans[f] = rows[f][later]
+        keys, rows = keys[:, ~later], rows[~later]
+        both = []
+        for side in keys:
+            part = rows[side > 0]
+            part["key"] = side[side > 0]
+            both.append(part)
+        rows = np.concatenate(both)
+        of = _bucket(rows["key"], buckets)
+        order = np.argsort(of, kind="stable")
+        rows, cut = rows[order], np.searchsorted(of[order], np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cut))
+        blobs = [_blob(rows[cut[b] : cut[b + 1]]) for b in some]
+        # Spans only pass through, so any bucket will do.
+        spans = _joined(spans)
+        own = np.r_[some, int(spans["start"].sum() + len(rows)) % buckets]
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([*blobs, b""], pa.binary()), pa.array([*[b""] * len(blobs), _blob(spans)], pa.binary())], ["bucket", "segments", "spans"])
 
     def run(batches):
-        f, bits, listed = filt.value
-        seen: dict[bytes, tuple] = {}
+        (f, bits), held, n = filt.value, [], 0
         for batch in batches:
             data, offsets = column_bytes(batch.column(0))
             ids = batch.column(1).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             tags = batch.column(2).to_numpy(zero_copy_only=False)
-            raw = memoryview(data)
-            for rows, at, count, anchor, keys in segments(data, offsets, length):
-                on = []
+            for rows, at, count, keys, digest in segments(data, offsets, length, True):
                 for side in keys:
-                    base, own = _bucket(side, buckets).astype(np.int64) * bits, (side > 0) & ~_is_hot(side, listed, buckets)
+                    base, on = _bucket(side, buckets).astype(np.int64) * bits, side > 0
                     for slot in _slots(side & LOW, bits):
                         slot = base + slot
-                        own &= ((f[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) == 1
-                    on.append(own)
-                hit = np.flatnonzero(on[0] | on[1])
+                        on &= ((f[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) == 1
+                    side[~on] = 0
+                hit = np.flatnonzero(keys.any(axis=0))
                 if not len(hit):
                     continue
-                rows, at = rows[hit], at[hit]
-                left, right = (np.where(own[hit], side[hit], np.uint64(0)).view(np.int64) for own, side in zip(on, keys, strict=True))
-                columns = (left, right, ids[rows], tags[rows], at - offsets[rows], count[hit] + length - 1, at)
-                if len(seen) > MOST_SEEN:
-                    seen.clear()
-                out: list[list] = []
-                for left, right, doc, tag, start, size, first in zip(*(c.tolist() for c in columns), strict=True):
-                    x = bytes(raw[first : first + size])
-                    own = (doc, tag, start)
-                    if seen.setdefault(xxhash.xxh3_128_digest(x), own) >= own:
-                        out += [[key, doc, tag, start, size, x] for key in (left, right) if key]
-                    elif out and out[-1][5] is None and out[-1][1] == doc and out[-1][2] == tag and out[-1][3] <= start <= out[-1][3] + out[-1][4]:
-                        out[-1][4] = start + size - out[-1][3]  # the repeat goes on
-                    else:
-                        out.append([left or right, doc, tag, start, size, None])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], SUSPECT)
+                out = np.empty(len(hit), SEGMENT)
+                out["digest"], out["doc"], out["tag"] = digest[hit], ids[rows[hit]], tags[rows[hit]]
+                out["start"], out["size"] = at[hit] - offsets[rows[hit]], count[hit] + length - 1
+                held.append((keys[:, hit], out))
+                n += len(hit)
+                if n >= FLUSH:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+RESOLVED = "doc_id long, tag long, start long, end long, place long, many boolean"
+
+
+def _place(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A hash of a segment and one of its keys."""
+    out = key.astype(np.uint64)
+    for x in (doc, tag, start):
+        out = mix(out * np.uint64(_BASE) + x.astype(np.int64).view(np.uint64))
+    return out
+
+
+def _resolve(most_open: int):
+    """Spans of the repeated segments of a partition's keys (place null), and the segments still open."""
+
+    def run(batches):
+        blobs: list[bytes] = []
+        spans: list[bytes] = []
+        for batch in batches:
+            blobs += filter(None, batch.column(1).to_pylist())
+            spans += filter(None, batch.column(2).to_pylist())
+        rows = _in_order(_unblob(blobs, SEGMENT))
+        del blobs
+        later = _later(mix(rows["key"]) ^ rows["digest"], rows)
+        found = np.empty(int(later.sum()), SPAN)
+        for f in SPAN.names:
+            found[f] = rows[f][later]
+        found = _joined(np.concatenate([_unblob(spans, SPAN), found]))
+        rows = rows[~later]
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        edge = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]]) if len(rows) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[edge, len(rows)])
+        # Rows of one place and key are one segment, so two rows need not be two contents.
+        low, high = (f.reduceat(rows["digest"], edge) if len(rows) else edge for f in (np.minimum, np.maximum))
+        opened, many = np.repeat(low != high, times), np.repeat(times > most_open, times)
+        rows, many = rows[opened], many[opened]
+        place = _place(rows["doc"], rows["tag"], rows["start"], rows["key"]).view(np.int64)
+        ends = [a["start"].astype(np.int64) + a["size"] for a in (found, rows)]
+        cols = [pa.array(np.r_[found[f], rows[f]].astype(np.int64)) for f in ("doc", "tag", "start")]
+        places = pa.array(np.r_[np.zeros(len(found), np.int64), place], mask=np.r_[np.ones(len(found), bool), np.zeros(len(rows), bool)])
+        cols += [pa.array(np.r_[ends[0], ends[1]]), places, pa.array(np.r_[np.zeros(len(found), bool), many])]
+        for batch in pa.Table.from_arrays(cols, names=[x.split()[0] for x in RESOLVED.split(", ")]).to_batches(100_000):
+            yield batch
+
+    return run
+
+
+OPEN = ["key", "doc_id", "tag", "start", "size", "bytes"]
+WINDOWS = "digest binary, doc_id long, tag long, start long"
+
+
+def _open_segments(length: int, shared, many: bool):
+    """The open segments with their bytes, a row for each key that is open; or, of keys with too many, the windows' digests."""
+    kinds = [pa.binary(), *[pa.int64()] * 3] if many else [*[pa.int64()] * 4, pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in WINDOWS.split(", ")] if many else OPEN
+
+    def run(batches):
+        f = shared.value
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(0))
+            ids = batch.column(1).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            tags, raw = batch.column(2).to_numpy(zero_copy_only=False), memoryview(data)
+            for rows, at, count, keys, _ in segments(data, offsets, length):
+                doc, tag, start = ids[rows], tags[rows], at - offsets[rows]
+                out: list[tuple] = []
+                for side in keys:
+                    hit = np.flatnonzero(f.has(_place(doc, tag, start, side)) & (side > 0))
+                    for key, d, t, s, first, n in zip(*(c[hit].tolist() for c in (side.view(np.int64), doc, tag, start, at, count)), strict=True):
+                        if many:
+                            out += [(xxhash.xxh3_128_digest(raw[first + i : first + i + length]), d, t, s + i) for i in range(n)]
+                        else:
+                            out.append((key, d, t, s, n + length - 1, bytes(raw[first : first + n + length - 1])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return run
 
@@ -341,8 +447,7 @@ SPANS = "doc_id long, tag long, start long, end long"
 
 
 def _regions(length: int):
-    def spans(doc, tag, start, end):
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (doc, tag, start, end)], ["doc_id", "tag", "start", "end"])
+    """The spans that the transforms of a partition's keys find."""
 
     def run(batches):
         cols, held = [[] for _ in range(5)], []
@@ -352,34 +457,9 @@ def _regions(length: int):
             held += batch.column(5).to_pylist()
         if not held:
             return
-        anchor, doc, tag, start, size = map(np.concatenate, cols)
-        known = np.array([x is None for x in held])
-        yield spans(doc[known], tag[known], start[known], (start + size)[known])
-        some = np.flatnonzero(~known)
-        h = np.fromiter((xxhash.xxh3_64_intdigest(held[i]) for i in some), np.uint64, len(some))
-        order = np.lexsort((start[some], tag[some], doc[some], h, anchor[some]))
-        some, h = some[order], h[order]
-        key = anchor[some]
-        same = np.zeros(len(some), bool)
-        same[1:] = (key[1:] == key[:-1]) & (h[1:] == h[:-1])
-        lead = 0
-        for i in np.flatnonzero(same | np.r_[same[1:], False]).tolist():  # equal hashes: compare the bytes
-            if not same[i]:
-                lead = i
-            elif held[some[i]] != held[some[lead]]:
-                same[i], lead = False, i
-        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(some)))) if len(some) else some
-        own = (doc[some] == doc[some[lead]]) & (tag[some] == tag[some[lead]]) & (start[some] == start[some[lead]])
-        gone = some[same & ~own]
-        yield spans(doc[gone], tag[gone], start[gone], start[gone] + size[gone])
-        some, key = some[~same], key[~same]
-        new = np.ones(len(some), bool)
-        new[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(new)
-        times = np.diff(np.r_[first, len(some)])
-        many = np.repeat(times > 1, times)
-        some, key = some[many], key[many]
-        at = 0
+        key, doc, tag, start, size = map(np.concatenate, cols)
+        some = np.lexsort((start, tag, doc, key))
+        key, at = key[some], 0
         while at < len(some):
             end, total = at, 0
             while end < len(some) and (total < TRANSFORM or key[end] == key[end - 1]):
@@ -388,7 +468,7 @@ def _regions(length: int):
             own = some[at:end]
             part, a, b = repeats([held[i] for i in own], doc[own], tag[own], start[own], length)
             own = own[part]
-            yield spans(doc[own], tag[own], start[own] + a, start[own] + b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (doc[own], tag[own], start[own] + a, start[own] + b)], ["doc_id", "tag", "start", "end"])
             at = end
 
     return run
@@ -427,37 +507,67 @@ def _cut(batches):
             )
 
 
-def dedup_substrings(docs: DataFrame, length: int = 100, most_bits: int = 1 << 30, hot: int = 200_000) -> DataFrame:
+def _only(affected, wanted: bool):
+    """The rows of the documents that may have repeats, or of those that have none, without a shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(1).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            on = affected.value.has(_document(ids, batch.column(2).to_numpy(zero_copy_only=False)))
+            yield batch.filter(pa.array(on == wanted))
+
+    return run
+
+
+def _document(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    return mix(mix(ids.view(np.uint64)) ^ tags.view(np.uint64))
+
+
+def _documents(batches):
+    for batch in batches:
+        ids, tags = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_document(ids, tags)).view(np.int64))], ["h"])
+
+
+def dedup_substrings(docs: DataFrame, length: int = 100, most_bits: int = 1 << 30, most_open: int = MOST_OPEN) -> DataFrame:
     """doc_id, kept (the bytes left), n_bytes, n_removed, spans (maximal removed runs) of every row of docs(doc_id, text)."""
     if length <= GRAM:
         raise ValueError(f"windows must be longer than the anchors' {GRAM} bytes")
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     docs = docs.select("text", "doc_id", F.xxhash64("text").alias("tag"))
-    parts = shuffle_parts(spark)
-    buckets = 1 << (4 * parts - 1).bit_length()
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = max(64, min(most_bits, 1 << (total // 16).bit_length()) // buckets)
-    # So many segments fit a task well; and at most a million keys can be that frequent.
-    hot = max(hot, total // (1_000_000 * (length - GRAM) // 4))
-    packed = docs.select("text").mapInArrow(_packed_keys(length, buckets), "bucket int, keys binary, counts binary").repartition(parts, "bucket")
-    filt, listed = np.zeros(buckets * bits >> 3, np.uint8), []
-    for r in packed.mapInArrow(_repeated(bits, hot), "bucket int, bits binary, hot binary").toLocalIterator():
+    parts = max(shuffle_parts(spark), total // TASK_BYTES)
+    buckets = 1 << (4 * parts - 1).bit_length()
+    bits = max(64, min(most_bits, 1 << (total // 8).bit_length()) // buckets)
+    packed = docs.select("text").mapInArrow(_packed_keys(length, buckets), "bucket int, keys binary").repartition(parts, "bucket")
+    filt = np.zeros(buckets * bits >> 3, np.uint8)
+    for r in packed.mapInArrow(_repeated(bits), "bucket int, bits binary").collect():  # most_bits bits in all
         filt[r["bucket"] * bits >> 3 : (r["bucket"] + 1) * bits >> 3] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        listed.append((np.uint64(r["bucket"]) << np.uint64(32)) | np.frombuffer(bytes(r["hot"]), np.uint32).astype(np.uint64))
-    listed = np.sort(np.concatenate(listed)) if listed else np.zeros(0, np.uint64)
-    shared = spark.sparkContext.broadcast((filt, bits, listed))
-    suspects = docs.mapInArrow(_suspects(length, buckets, shared), "key long, doc_id long, tag long, start long, size int, bytes binary").repartition(parts, "key")
-    spans = suspects.mapInArrow(_regions(length), SPANS)
-    if len(listed):
-        windows = Table(docs.mapInArrow(_hot_windows(length, buckets, shared), WINDOWS), "hot-windows").read()
-        first = windows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"))
-        later = windows.join(first, "digest").where(F.struct("doc_id", "tag", "start") != F.col("first"))
-        for found in (windows.where("digest IS NULL"), later):
-            spans = spans.unionByName(found.select("doc_id", "tag", "start", "end"))
-    spans = Table(spans, "repeats").read()
+    suspects = docs.mapInArrow(_suspects(length, buckets, share((filt, bits))), "bucket int, segments binary, spans binary").repartition(parts, "bucket")
+    resolved = Table(suspects.mapInArrow(_resolve(most_open), RESOLVED), "segments").read()
+    spans = resolved.where("place IS NULL").select("doc_id", "tag", "start", "end")
+    for many in (False, True):
+        own = Bloom.of(resolved.where(F.col("place").isNotNull() & (F.col("many") == many)).select(F.col("place").alias("h")), most_bits)
+        if own is None:
+            continue
+        if many:
+            windows = Table(docs.mapInArrow(_open_segments(length, share(own), True), WINDOWS), "windows").read()
+            first = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+            found = windows.join(first, "digest").where(F.struct("doc_id", "tag", "start") != F.col("first")).select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
+        else:
+            opened = docs.mapInArrow(_open_segments(length, share(own), False), "key long, doc_id long, tag long, start long, size int, bytes binary")
+            found = opened.repartition(parts, "key").mapInArrow(_regions(length), SPANS)
+        spans = spans.unionByName(Table(found, "repeats").read())
+    affected = Bloom.of(spans.select("doc_id", "tag").mapInArrow(_documents, "h long"), most_bits)
+    if affected is None:
+        return docs.select("doc_id", "text", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans")).mapInArrow(_cut, OUT)
+    affected = share(affected)
     by_doc = spans.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     same = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id")) & (F.col("tag") == F.col("__tag"))
-    return docs.join(by_doc, same, "left").select("doc_id", "text", "spans").mapInArrow(_cut, OUT)
+    hit = docs.mapInArrow(_only(affected, True), docs.schema).join(by_doc, same, "left").select("doc_id", "text", "spans")
+    rest = docs.mapInArrow(_only(affected, False), docs.schema).select("doc_id", "text", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"))
+    return hit.unionByName(rest).mapInArrow(_cut, OUT)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def test_planted_repeats_match_brute_force(spark):
         assert got(S.dedup_substrings(docs)) == brute(rows)
     assert got(S.dedup_substrings(docs, most_bits=1 << 10)) == brute(rows)  # all suspected
     assert got(S.dedup_substrings(docs, length=64)) == brute(rows, 64)
-    assert got(S.dedup_substrings(docs, hot=1)) == got(S.dedup_substrings(docs, hot=3)) == brute(rows)  # frequent keys by digests
+    assert got(S.dedup_substrings(docs, most_open=1)) == got(S.dedup_substrings(docs, most_open=3)) == brute(rows)  # frequent keys by digests
 
 
 def test_texts_longer_than_a_chunk(spark):
