@@ -38,6 +38,7 @@ from lumenframe.llm.common import Bloom, Table, mix, shuffle_parts
 GRAM = 50
 CHUNK_BITS = 18
 FLUSH = 1 << 19
+SEGMENT_FLUSH = 1 << 17
 NO_ID = -(1 << 63)
 #: Bytes of different segments that one transform takes, if no key has more.
 TRANSFORM = 1 << 17
@@ -275,7 +276,7 @@ def _suspects(length: int, buckets: int, filt):
                 out["start"], out["size"] = at[hit] - offsets[rows[hit]], count[hit] + length - 1
                 held.append((keys[:, hit], out))
                 n += len(hit)
-                if n >= FLUSH:
+                if n >= SEGMENT_FLUSH:
                     yield flush(held)
                     held, n = [], 0
         if held:
@@ -544,21 +545,25 @@ def dedup_substrings(docs: DataFrame, length: int = 100, most_bits: int = 1 << 3
     filt = np.zeros(buckets * bits >> 3, np.uint8)
     for r in packed.mapInArrow(_repeated(bits), "bucket int, bits binary").collect():  # most_bits bits in all
         filt[r["bucket"] * bits >> 3 : (r["bucket"] + 1) * bits >> 3] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    suspects = docs.mapInArrow(_suspects(length, buckets, share((filt, bits))), "bucket int, segments binary, spans binary").repartition(parts, "bucket")
+    filt = share((filt, bits))
+    suspects = docs.mapInArrow(_suspects(length, buckets, filt), "bucket int, segments binary, spans binary").repartition(parts, "bucket")
     resolved = Table(suspects.mapInArrow(_resolve(most_open), RESOLVED), "segments").read()
+    filt.unpersist()
     spans = resolved.where("place IS NULL").select("doc_id", "tag", "start", "end")
     for many in (False, True):
         own = Bloom.of(resolved.where(F.col("place").isNotNull() & (F.col("many") == many)).select(F.col("place").alias("h")), most_bits)
         if own is None:
             continue
+        own = share(own)
         if many:
-            windows = Table(docs.mapInArrow(_open_segments(length, share(own), True), WINDOWS), "windows").read()
+            windows = Table(docs.mapInArrow(_open_segments(length, own, True), WINDOWS), "windows").read()
             first = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
             found = windows.join(first, "digest").where(F.struct("doc_id", "tag", "start") != F.col("first")).select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
         else:
-            opened = docs.mapInArrow(_open_segments(length, share(own), False), "key long, doc_id long, tag long, start long, size int, bytes binary")
+            opened = docs.mapInArrow(_open_segments(length, own, False), "key long, doc_id long, tag long, start long, size int, bytes binary")
             found = opened.repartition(parts, "key").mapInArrow(_regions(length), SPANS)
         spans = spans.unionByName(Table(found, "repeats").read())
+        own.unpersist()
     affected = Bloom.of(spans.select("doc_id", "tag").mapInArrow(_documents, "h long"), most_bits)
     if affected is None:
         return docs.select("doc_id", "text", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans")).mapInArrow(_cut, OUT)
