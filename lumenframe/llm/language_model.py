@@ -3,8 +3,13 @@
 Counts of all training tokens give the base model and the vocabulary: the `words` most frequent ones are predicted
 one by one, all others by tail classes of similar spelling (k-means over letter pairs), inside which they keep
 their counts' shares. The output is factored: a softmax over classes, then one over the words of the class.
-Training starts at the counts' own probabilities and then runs truncated backpropagation over all training
-documents, each in one of the rounds: each task trains a copy on its own documents and the copies are averaged by tokens.
+One pass turns texts into model ids (two bytes a token), which training and scoring read.
+
+Training starts at the counts' own probabilities and runs truncated backpropagation over all training documents, each
+in one of the rounds. A round deals its documents to trainers by their hash, so many that each gets about
+`trainer_tokens` tokens, in the order of that hash: how the table is split into files and tasks changes nothing.
+Trainers start from the same model, their copies are averaged by tokens in a tree of fixed fan-in, and the next round
+starts there. Documents of more than `piece` tokens are trained on in pieces of that length.
 Scoring packs documents into lanes and goes through them window by window with the state carried over, and reset
 where a document begins, so a document's log-likelihood is complete whatever its length.
 
@@ -12,14 +17,16 @@ What is broadcast has a fixed size: the model, and the counts of the `known` mos
 join the full table of counts instead.
 
 Null and empty texts hold one token, their end. A null doc_id counts as an empty one: a training document.
-Repeated rows are counted and scored each. Without training documents the base is 0 for every token and the model
-is untrained. Other columns are ignored.
+Very long texts are one lane of their task. Repeated rows are counted, trained on and scored each. Without training
+documents, and in an empty table, the base is 0 for every token and the model is untrained. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import Counter
+from copy import copy
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -44,13 +51,16 @@ class Settings:
     hidden: int = 16
     class_words: int = 64
     rounds: int = 2
-    share: float = 0.5  # of the training documents, each round: with two rounds, every document once
-    lanes: int = 64
-    window: int = 24
-    rate: float = 0.08
-    score_lanes: int = 128
-    score_window: int = 64
+    trainer_tokens: int = 2_000_000
+    piece: int = 512
+    lanes: int = 512  # at first a quarter of that, doubled every `ramp` tokens
+    ramp: int = 150_000
+    window: int = 20
+    rate: float = 0.1
+    score_lanes: int = 512
+    score_window: int = 32
     flush: int = 400_000
+    train_flush: int = 1_000_000
     score_flush: int = 1_500_000
 
 
@@ -191,10 +201,6 @@ def build_vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     return v
 
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 class Model:
     """Gated recurrent units, and a class-factored softmax."""
 
@@ -209,186 +215,289 @@ class Model:
         self.p = {
             "input": f(v.begin + 1, 3 * h, scale=0.1),
             "state": f(h, 3 * h, scale=1 / np.sqrt(h)),
-            "class": f(h, len(mass), scale=0.05),
-            "class_bias": np.log(mass / mass.sum()).astype(np.float32),
-            "word": f(v.first_tail, h, scale=0.05),
-            "word_bias": np.log(inner).astype(np.float32),
+            "class": f(len(mass), h + 1, scale=0.05),  # the last column is the bias
+            "word": f(v.first_tail, h + 1, scale=0.05),
         }
         self.p["input"][:, :h] += 1  # remember at first
+        self.p["class"][:, h], self.p["word"][:, h] = np.log(mass / mass.sum()), np.log(inner)
+
+    def copy(self) -> Model:
+        out = copy(self)
+        out.p = {k: a.copy() for k, a in self.p.items()}
+        return out
 
     def steps(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, store: bool = False):
-        """States after each step of a window; x and keep are steps by lanes."""
+        """States after each step of a window, and the last; x and keep are steps by lanes. With store, also what went in
+        and the gates: the state before, remember and reset gates, candidate, and its part that the reset gate scales."""
         n, p = self.hidden, self.p
-        pre, out, kept = p["input"][x], np.empty((*x.shape, n), p["state"].dtype), []
+        kind = p["state"].dtype
+        pre, out = p["input"][x], np.empty((*x.shape, n), kind)
+        kept = tuple(np.empty((*x.shape, k), kind) for k in (n, 2 * n, n, n)) if store else None
         for t in range(len(x)):
             h = h * keep[t]
             u = h @ p["state"]
-            gates = sigmoid(pre[t, :, : 2 * n] + u[:, : 2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            c = np.tanh(pre[t, :, 2 * n :] + r * u[:, 2 * n :])
+            g = pre[t, :, : 2 * n]
+            g += u[:, : 2 * n]
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            uc = u[:, 2 * n :]
+            c = g[:, n:] * uc
+            c += pre[t, :, 2 * n :]
+            np.tanh(c, out=c)
             if store:
-                kept.append((h, z, r, c, u[:, 2 * n :]))
-            h = c + z * (h - c)
+                kept[0][t], kept[1][t], kept[2][t], kept[3][t] = h, g, c, uc
+            h -= c
+            h *= g[:, :n]
+            h += c
             out[t] = h
         return out, h, kept
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
-        """Natural log-probability of each target's class and, if it is predicted, word; with grads, also the gradient for h."""
-        p, cls = self.p, self.class_of[y]
-        at = np.arange(len(y))
-        logits = h @ p["class"] + p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        exp = np.exp(logits)
-        total = exp.sum(axis=1)
-        logp = (logits[at, cls] - np.log(total)).astype(np.float64)
-        if grads is not None:
-            exp /= total[:, None]
-            exp[at, cls] -= 1
-            grads["class"], grads["class_bias"] = h.T @ exp, exp.sum(axis=0)
-            back = exp @ p["class"].T
-            grads["word"], grads["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.n_word_classes + 1))
-        for c in range(self.n_word_classes):
+        """Natural log-probability of each target: of its class and, if it is predicted, its word. With grads the
+        gradient for h instead, and those of the weights into grads. States lie within 1, so exponentials stay small.
+
+        Targets are numbered class by class, so in their order each class is one slice.
+        """
+        p, n = self.p, self.hidden
+        order = np.argsort(y.astype(np.uint16), kind="stable")
+        y, at = y[order], np.arange(len(y))
+        one = np.ones((len(y), n + 1), h.dtype)
+        one[:, :n] = h[order]
+        cls = self.class_of[y]
+        exp = one @ p["class"].T
+        np.exp(exp, out=exp)
+        total = exp @ np.ones(exp.shape[1], h.dtype)
+        if grads is None:
+            logp = np.log(exp[at, cls] / total).astype(np.float64)
+        else:
+            back = exp @ p["class"]
+            back /= total[:, None]
+            back -= p["class"][cls]
+            grads["class"] = exp.T @ (one / total[:, None]) - _sums(one, cls, len(p["class"]))
+            predicted = int(np.searchsorted(y, self.first_tail))
+            grads["word"] = -_sums(one[:predicted], y[:predicted], self.first_tail)
+        cut = np.searchsorted(cls, np.arange(self.n_word_classes + 1)).tolist()
+        for c, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
             a, b = self.class_start[c], self.class_start[c + 1]
-            if cut[c] == cut[c + 1] or b - a == 1:
+            if i == j or b - a == 1 and grads is None:
                 continue
-            own = order[cut[c] : cut[c + 1]]
-            hc, w = h[own], p["word"][a:b]
-            inner = hc @ w.T + p["word_bias"][a:b]
-            inner -= inner.max(axis=1, keepdims=True)
-            exp = np.exp(inner)
-            total, k = exp.sum(axis=1), np.arange(len(own))
-            logp[own] += inner[k, y[own] - a] - np.log(total)
-            if grads is not None:
-                exp /= total[:, None]
-                exp[k, y[own] - a] -= 1
-                grads["word"][a:b], grads["word_bias"][a:b] = exp.T @ hc, exp.sum(axis=0)
-                back[own] += exp @ w
-        return logp if grads is None else (logp, back)
+            own, w = one[i:j], p["word"][a:b]
+            exp = own @ w.T
+            np.exp(exp, out=exp)
+            total = exp @ np.ones(b - a, h.dtype)
+            if grads is None:
+                logp[i:j] += np.log(exp[at[: j - i], y[i:j] - a] / total)
+            else:
+                inner = exp @ w
+                inner /= total[:, None]
+                inner -= w[y[i:j] - a]
+                back[i:j] += inner
+                grads["word"][a:b] += exp.T @ (own / total[:, None])
+        out = np.empty_like(logp if grads is None else back[:, :n])
+        out[order] = logp if grads is None else back[:, :n]
+        return out
 
     def gradients(self, x, y, keep, h):
-        """Truncated backpropagation through one window. y is -1 where a lane is idle."""
+        """Truncated backpropagation through one window: how many targets, gradients, states. y is -1 where a lane is idle."""
         n, p, grads = self.hidden, self.p, {}
         out, last, kept = self.steps(x, keep, h, True)
         live = y >= 0
-        logp, back = self.outputs(out[live], y[live], grads)
         d_out = np.zeros_like(out)
-        d_out[live] = back
-        d_pre, d_state, dh = np.empty((*x.shape, 3 * n), out.dtype), np.zeros_like(p["state"]), np.zeros_like(h)
+        d_out[live] = self.outputs(out[live], y[live], grads)
+        before, gates, c, uc = kept
+        z, r = gates[..., :n], gates[..., n:]
+        # What does not depend on later steps, for the whole window at once.
+        to_c = (1 - z) * (1 - c * c)
+        to_z = (before - c) * z * (1 - z)
+        to_r = uc * r * (1 - r)
+        d_pre, d_u, back_state = np.empty((*x.shape, 3 * n), out.dtype), np.empty((*x.shape, 3 * n), out.dtype), np.ascontiguousarray(p["state"].T)
+        dh = np.zeros_like(h)
         for t in range(len(x) - 1, -1, -1):
-            h0, z, r, c, uc = kept[t]
-            dh = dh + d_out[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h0 - c) * z * (1 - z)
-            dr = dc * uc * r * (1 - r)
-            d_pre[t] = np.concatenate([dz, dr, dc], axis=1)
-            du = np.concatenate([dz, dr, dc * r], axis=1)
-            d_state += h0.T @ du
-            dh = (dh * z + du @ p["state"].T) * keep[t]
-        grads["state"] = d_state
-        flat, rows = x.ravel(), d_pre.reshape(-1, 3 * n)
+            dh += d_out[t]
+            d = d_pre[t]
+            np.multiply(dh, to_z[t], out=d[:, :n])
+            dc = np.multiply(dh, to_c[t], out=d[:, 2 * n :])
+            np.multiply(dc, to_r[t], out=d[:, n : 2 * n])
+            du = d_u[t]
+            du[:, : 2 * n] = d[:, : 2 * n]
+            np.multiply(dc, r[t], out=du[:, 2 * n :])
+            dh *= z[t]
+            dh += du @ back_state
+            dh *= keep[t]
+        grads["state"] = before.reshape(-1, n).T @ d_u.reshape(-1, 3 * n)
+        flat, rows = x.ravel().astype(np.uint16), d_pre.reshape(-1, 3 * n)
         order = np.argsort(flat, kind="stable")
         ids, start = np.unique(flat[order], return_index=True)
         grads["input"] = (ids, np.add.reduceat(rows[order], start, axis=0))
-        return float(logp.sum()), int(live.sum()), grads, last
-
-
-def lanes_of(docs: list[np.ndarray], lanes: int, begin: int):
-    """Documents packed into lanes, the longest lane first: inputs, targets, keep and document number, each steps by
-    lanes, and the lanes' lengths."""
-    lanes = max(1, min(lanes, len(docs)))
-    heap, own = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
-    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
-        n, k = heapq.heappop(heap)
-        own[k].append(i)
-        heapq.heappush(heap, (n + len(docs[i]), k))
-    heap.sort(reverse=True)
-    size = np.array([n for n, _ in heap])
-    x, y, doc = np.full((lanes, size[0]), begin, np.int32), np.full((lanes, size[0]), -1, np.int32), np.zeros((lanes, size[0]), np.int32)
-    keep = np.ones((lanes, size[0], 1), np.float32)
-    for row, (_, k) in enumerate(heap):
-        at = 0
-        for i in own[k]:
-            n = len(docs[i])
-            y[row, at : at + n], x[row, at + 1 : at + n], keep[row, at], doc[row, at : at + n] = docs[i], docs[i][:-1], 0, i
-            at += n
-    return x.T, y.T, keep.transpose(1, 0, 2), doc.T, size
-
-
-def train_on(model: Model, docs: list[np.ndarray], s: Settings, begin: int, squares: dict) -> int:
+        return int(live.sum()), grads, last
+
+
+def _sums(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each of n groups; `of` is sorted."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(of):
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        out[of[first]] = np.add.reduceat(rows, first, axis=0)
+    return out
+
+
+class Lanes:
+    """Documents packed into lanes, the longest lane first; it holds a few bytes a token, however uneven they are."""
+
+    def __init__(self, docs: list[np.ndarray], lanes: int, begin: int):
+        lanes = max(1, min(lanes, len(docs)))
+        heap, own = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+            n, k = heapq.heappop(heap)
+            own[k].append(i)
+            heapq.heappush(heap, (n + len(docs[i]), k))
+        heap.sort(reverse=True)
+        self.begin, self.size = begin, np.array([n for n, _ in heap])
+        order = [i for _, k in heap for i in own[k]]
+        sizes = np.array([len(docs[i]) for i in order])
+        self.ids, self.doc = np.concatenate([docs[i] for i in order]), np.repeat(np.array(order, np.int32), sizes)
+        self.first = np.zeros(len(self.ids), bool)
+        self.first[np.cumsum(sizes) - sizes] = True
+        self.start = np.cumsum(self.size) - self.size
+
+    def __len__(self) -> int:
+        return int(self.size[0])
+
+    def window(self, t: int, steps: int):
+        """Inputs, targets (-1 where a lane has ended), keep and document numbers from step t on, steps by the live lanes."""
+        live = int((self.size > t).sum())
+        step = np.arange(t, min(t + steps, len(self)))[:, None]
+        ended = step >= self.size[:live]
+        at = np.minimum(self.start[:live] + step, len(self.ids) - 1)
+        y, new = self.ids[at].astype(np.int32), self.first[at]
+        y[ended] = -1
+        x = np.where(new | ended, self.begin, self.ids[at - 1])
+        return x, y, (~new).astype(np.float32)[:, :, None], self.doc[at]
+
+
+def train_on(model: Model, docs: list[np.ndarray], s: Settings, begin: int, squares: dict, lanes: int | None = None) -> int:
     """Adagrad over the windows of some documents; how many tokens it saw."""
-    x, y, keep, _, size = lanes_of(docs, s.lanes, begin)
-    h, seen = np.zeros((x.shape[1], s.hidden), np.float32), 0
-    for t in range(0, len(x), s.window):
-        live = int((size > t).sum())
-        w = slice(t, t + s.window), slice(0, live)
-        _, n, grads, h = model.gradients(x[w], y[w], keep[w], h[:live])
+    docs = [d[a : a + s.piece] for d in docs for a in range(0, len(d), s.piece)]
+    packed = Lanes(docs, lanes or s.lanes, begin)
+    h, seen = np.zeros((len(packed.size), s.hidden), model.p["state"].dtype), 0
+    for t in range(0, len(packed), s.window):
+        x, y, keep, _ = packed.window(t, s.window)
+        n, grads, h = model.gradients(x, y, keep, h[: x.shape[1]])
         seen += n
+        scale = 1 / np.sqrt(n)
         for name, g in grads.items():
             rows = ...
             if name == "input":
                 rows, g = g
-            g = np.clip(g / np.sqrt(n), -1, 1)
-            squares[name][rows] += g * g
-            model.p[name][rows] -= s.rate * g / np.sqrt(squares[name][rows] + 1e-2)
+            g *= scale
+            np.clip(g, -1, 1, out=g)
+            total = squares[name][rows]
+            total += g * g
+            if rows is not ...:
+                squares[name][rows] = total
+            g *= s.rate
+            g /= np.sqrt(total + 1e-2)
+            model.p[name][rows] -= g
     return seen
 
 
 PART = 1 << 16
+COPIES = "part int, trainer long, seen long, values binary"
+#: Model copies that meet in one row of the tree of averages.
+FAN = 32
+
+
+def _copies(parts: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in parts], kinds[i]) for i in range(4)], [x.split()[0] for x in COPIES.split(", ")])
 
 
 def _trainer(shared):
+    """Rows (trainer, ids), by trainer, to the trainers' models in parts."""
+
     def run(batches):
-        v, model, s = shared.value
-        model.p = {k: a.copy() for k, a in model.p.items()}
-        squares, seen, tokens, sizes = {k: np.zeros_like(a) for k, a in model.p.items()}, 0, [], []
+        first, s, begin = shared.value
+        model, squares, held, tokens, seen, own = None, {}, [], 0, 0, None
 
         def learn():
-            docs = np.split(v.lookup(tokens)[0], np.cumsum(sizes)[:-1])
-            tokens.clear()
-            sizes.clear()
-            return train_on(model, docs, s, v.begin, squares)
+            nonlocal model, squares, tokens, seen
+            if model is None:
+                model = first.copy()
+                squares = {k: np.zeros_like(a) for k, a in model.p.items()}
+            lanes = min(s.lanes, max(1, s.lanes // 4) << min(seen // s.ramp, 2))
+            seen += train_on(model, held, s, begin, squares, lanes)
+            held.clear()
+            tokens = 0
+
+        def done():
+            nonlocal model, seen
+            if held:
+                learn()
+            flat = np.concatenate([model.p[k].ravel() for k in sorted(model.p)])
+            out = _copies([(i // PART, own, seen, flat[i : i + PART].tobytes()) for i in range(0, len(flat), PART)])
+            model, seen = None, 0
+            return out
 
         for batch in batches:
-            for x in texts(batch):
-                own = words_of(x)
-                tokens += own
-                sizes.append(len(own))
-                if len(tokens) >= s.flush:
-                    seen += learn()
-        if sizes:
-            seen += learn()
-        if seen:
-            flat = np.concatenate([model.p[k].ravel() for k in sorted(model.p)])
-            for i in range(0, len(flat), PART):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([i // PART], pa.int32()), "seen": pa.array([seen], pa.int64()), "values": pa.array([flat[i : i + PART].tobytes()], pa.binary())})
+            for trainer, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if trainer != own and own is not None:
+                    yield done()
+                own = trainer
+                held.append(np.frombuffer(ids, np.uint16))
+                tokens += len(held[-1])
+                if tokens >= (s.ramp if seen < 2 * s.ramp else s.train_flush):
+                    learn()
+        if own is not None:
+            yield done()
 
     return run
 
 
 def _average(batches):
-    sums, seen = {}, {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            k, x = r["part"], np.frombuffer(r["values"], np.float32).astype(np.float64) * r["seen"]
-            sums[k], seen[k] = sums.get(k, 0) + x, seen.get(k, 0) + r["seen"]
-    for k, x in sums.items():
-        yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "values": pa.array([(x / seen[k]).astype(np.float32).tobytes()], pa.binary())})
+    """Sorted rows (part, group, seen, values): the mean of each part and group, weighted by tokens."""
+    own, total, weight = None, None, 0
 
+    def mean():
+        return _copies([(*own, weight, (total / weight).astype(np.float32).tobytes())])
 
-def train(docs: DataFrame, v: Vocabulary, s: Settings) -> Model:
-    """docs: the training documents."""
-    model, sc = Model(v, s), docs.sparkSession.sparkContext
-    pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(10_000))
+    for batch in batches:
+        for r in batch.to_pylist():
+            x = np.frombuffer(r["values"], np.float32).astype(np.float64) * r["seen"]
+            if (r["part"], r["trainer"]) == own:
+                total, weight = total + x, weight + r["seen"]
+                continue
+            if own is not None:
+                yield mean()
+            own, total, weight = (r["part"], r["trainer"]), x, r["seen"]
+    if own is not None:
+        yield mean()
+
+
+def train(encoded: DataFrame, v: Vocabulary, s: Settings) -> Model:
+    """encoded: doc_id and ids of the training documents."""
+    model, sc = Model(v, s), encoded.sparkSession.sparkContext
+    h = F.xxhash64("doc_id", "ids")
+    n_trainers = max(1, round(v.total / s.rounds / s.trainer_tokens))
     for k in range(s.rounds):
-        own = docs.where((pick >= int(10_000 * s.share * k)) & (pick < int(10_000 * s.share * (k + 1))))
-        copies = own.select("text").mapInArrow(_trainer(sc.broadcast((v, model, s))), "part int, seen long, values binary")
-        n = -(-sum(a.size for a in model.p.values()) // PART)
-        rows = copies.repartition(n, "part").mapInArrow(_average, "part int, values binary").collect()
-        if len(rows) < n:  # no document fell into this round
+        own = encoded.where(F.pmod(h, F.lit(s.rounds)) == k).select(F.pmod(F.shiftright(h, 8), F.lit(n_trainers)).alias("trainer"), "ids", h.alias("h"))
+        own = own.repartition(n_trainers, "trainer").sortWithinPartitions("trainer", "h").drop("h")
+        shared = sc.broadcast((model, s, v.begin))
+        copies, left = Table(own.mapInArrow(_trainer(shared), COPIES), "model-copies").read(), n_trainers
+        shared.unpersist()
+        while True:
+            left = -(-left // FAN)
+            group = F.floor(F.col("trainer") / FAN).cast("long")
+            rows = copies.select("part", group.alias("group"), "seen", "values", "trainer").repartition("part", "group").sortWithinPartitions("part", "group", "trainer")
+            copies = rows.select("part", F.col("group").alias("trainer"), "seen", "values").mapInArrow(_average, COPIES)
+            if left <= 1:
+                break
+            copies = Table(copies, "model-copies").read()
+        rows = sorted(copies.collect(), key=lambda r: r["part"])
+        if not rows:  # no document fell into this round
             continue
-        flat, at = np.concatenate([np.frombuffer(bytes(r["values"]), np.float32) for r in sorted(rows, key=lambda r: r["part"])]), 0
+        flat, at, model = np.concatenate([np.frombuffer(bytes(r["values"]), np.float32) for r in rows]), 0, model.copy()
         for name in sorted(model.p):
             a = model.p[name]
             model.p[name] = flat[at : at + a.size].reshape(a.shape).copy()
@@ -396,86 +505,35 @@ def train(docs: DataFrame, v: Vocabulary, s: Settings) -> Model:
     return model
 
 
-class Scorer:
-    """The model arranged for scoring: biases as an extra row, gates negated, and buffers that are used again."""
-
-    def __init__(self, model: Model, s: Settings):
-        p, n = model.p, model.hidden
-        self.model, self.s, self.n = model, s, n
-        sign = np.r_[np.full(2 * n, -1), np.ones(n)].astype(np.float32)
-        self.input, self.state = p["input"] * sign, p["state"] * sign
-        self.cls = np.vstack([p["class"], p["class_bias"]])
-        self.words = np.ascontiguousarray(np.hstack([p["word"], p["word_bias"][:, None]]).T)
-        self.inner = [np.ascontiguousarray(self.words[:, a:b]) for a, b in zip(model.class_start, model.class_start[1:], strict=False)]
-        self.ones = {k: np.ones(k, np.float32) for k in {self.cls.shape[1], *(w.shape[1] for w in self.inner)}}
+def log_probs(model: Model, docs: list[np.ndarray], s: Settings, begin: int) -> np.ndarray:
+    """Each document's log10-probability of its classes and predicted words."""
+    total = np.zeros(len(docs))
+    if not docs:
+        return total
+    packed = Lanes(docs, s.score_lanes, begin)
+    h = np.zeros((len(packed.size), model.hidden), np.float32)
+    for t in range(0, len(packed), s.score_window):
+        x, y, keep, doc = packed.window(t, s.score_window)
+        out, h, _ = model.steps(x, keep, h[: x.shape[1]])
+        live = y >= 0
+        total += np.bincount(doc[live], model.outputs(out[live], y[live]), len(docs))
+    return total / LN10
 
-    def window(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """States of a window into out[..., :n]; the last column of out is 1."""
-        n = self.n
-        for t in range(len(x)):
-            h = h * keep[t]
-            pre, u = self.input[x[t]], h @ self.state
-            g = pre[:, : 2 * n]
-            g += u[:, : 2 * n]
-            np.exp(g, out=g)
-            g += 1
-            np.reciprocal(g, out=g)
-            c = u[:, 2 * n :]
-            c *= g[:, n:]
-            c += pre[:, 2 * n :]
-            np.tanh(c, out=c)
-            h -= c
-            h *= g[:, :n]
-            h += c
-            out[t, :, :n] = h
-        return h
-
-    def _log_share(self, h: np.ndarray, weights: np.ndarray, target: np.ndarray) -> np.ndarray:
-        logits = h @ weights
-        own = logits[np.arange(len(h)), target]
-        np.exp(logits, out=logits)  # states are within 1, so logits are small
-        return own - np.log(logits @ self.ones[weights.shape[1]])
-
-    def targets(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        m = self.model
-        cls = m.class_of[y]
-        logp = self._log_share(h, self.cls, cls).astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(m.n_word_classes + 1))
-        for c, w in enumerate(self.inner):
-            if cut[c] < cut[c + 1] and w.shape[1] > 1:
-                own = order[cut[c] : cut[c + 1]]
-                logp[own] += self._log_share(h[own], w, y[own] - m.class_start[c])
-        return logp
-
-    def __call__(self, docs: list[np.ndarray], begin: int) -> np.ndarray:
-        """Each document's log10-probability of its classes and predicted words."""
-        total = np.zeros(len(docs))
-        if not docs:
-            return total
-        x, y, keep, doc, size = lanes_of(docs, self.s.score_lanes, begin)
-        h = np.zeros((x.shape[1], self.n), np.float32)
-        for t in range(0, len(x), self.s.score_window):
-            n = int((size > t).sum())
-            w = slice(t, t + self.s.score_window), slice(0, n)
-            out = np.ones((*x[w].shape, self.n + 1), np.float32)
-            h = self.window(np.ascontiguousarray(x[w]), np.ascontiguousarray(keep[w]), h[:n], out)
-            live = y[w] >= 0
-            total += np.bincount(doc[w][live], self.targets(out[live], y[w][live]), len(docs))
-        return total / LN10
 
+ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, static double, ids binary, rare array<binary>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
-def log_probs(model: Model, docs: list[np.ndarray], s: Settings, begin: int) -> np.ndarray:
-    return Scorer(model, s)(docs, begin)
 
+def _names(ddl: str) -> list[str]:
+    return [x.split()[0] for x in ddl.split(", ")]
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>"
 
+def _encoder(shared):
+    """Texts to model ids, with what the counts alone give: base terms, shares inside tail classes, and the rare words."""
 
-def _scorer(shared):
     def run(batches):
-        v, model, s = shared.value
-        base, tail_share, scorer = np.log10(v.counts + 0.5), np.log10(v.tail_mass), Scorer(model, s)
+        v, flush = shared.value
+        base, tail_share = np.log10(v.counts + 0.5), np.log10(v.tail_mass)
         at = TaskContext.get().partitionId() << 33
         for whole in batches:
             first = 0
@@ -485,38 +543,59 @@ def _scorer(shared):
                     own = words_of(x)
                     tokens += own
                     sizes.append(len(own))
-                    if len(tokens) >= s.score_flush:
+                    if len(tokens) >= flush:
                         break
                 n, size = len(sizes), np.array(sizes)
                 ids, known, rare, words = v.lookup(tokens)
                 doc, hit = np.repeat(np.arange(n), size), known >= 0
                 place, by = known[hit], doc[hit]
-                score = scorer(np.split(ids, np.cumsum(size)[:-1]), v.begin) + np.bincount(by, v.static[place], n) - np.bincount(doc[rare], tail_share[ids[rare] - v.first_tail], n)
+                static = np.bincount(by, v.static[place], n) - np.bincount(doc[rare], tail_share[ids[rare] - v.first_tail], n)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(doc[rare], minlength=n))], pa.int32()), pa.array(words, pa.binary()))
+                cut, flat = np.r_[0, np.cumsum(size)], ids.astype(np.uint16)
+                packed = pa.array([flat[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
                 part = whole.slice(first, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(at, at + n)), part.column(1), part.column(2), pa.array(size), pa.array(np.bincount(by, v.counts[place] > 0, n).astype(np.int64)), pa.array(np.bincount(by, base[place], n)), pa.array(score), lists],
-                    [x.split()[0] for x in SCORED.split(", ")],
+                    [pa.array(np.arange(at, at + n)), part.column(1), part.column(2), pa.array(size), pa.array(np.bincount(by, v.counts[place] > 0, n).astype(np.int64)), pa.array(np.bincount(by, base[place], n)), pa.array(static), packed, lists],
+                    _names(ENCODED),
                 )
                 at, first = at + n, first + n
 
     return run
 
 
+def _scorer(shared):
+    """Encoded rows with the model's score of their classes and words added to what the counts give."""
+
+    def run(batches):
+        model, s, begin = shared.value
+        for whole in batches:
+            size, first = whole.column(3).to_numpy(), 0
+            while first < whole.num_rows:
+                n = max(1, int(np.searchsorted(np.cumsum(size[first:]), s.score_flush, "right")))
+                part = whole.slice(first, n)
+                score = part.column(6).to_numpy() + log_probs(model, [np.frombuffer(x.as_buffer(), np.uint16) for x in part.column(7)], s, begin)
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(score)], _names(SCORED))
+                first += n
+
+    return run
+
+
 def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text)."""
     s = settings or Settings()
+    share = docs.sparkSession.sparkContext.broadcast
     docs = docs.select("text", "doc_id", is_held_out().alias("held_out"))
-    learn = docs.where(~F.col("held_out")).select("text", "doc_id")
-    counts = learn.select("text").mapInArrow(_counter(s.flush), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    counts = docs.where(~F.col("held_out")).select("text").mapInArrow(_counter(s.flush), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     counts = Table(counts, "token-counts").read()
     v = build_vocabulary(counts, s)
-    model = train(learn, v, s)
-    shared = docs.sparkSession.sparkContext.broadcast((v, model, s))
-    scored = Table(docs.mapInArrow(_scorer(shared), SCORED), "scored").read()
-    rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
+    words = share((v, s.flush))
+    encoded = Table(docs.mapInArrow(_encoder(words), ENCODED), "encoded").read()
+    words.unpersist()
+    model = train(encoded.where(~F.col("held_out")).select("doc_id", "ids"), v, s)
+    scored = Table(encoded.drop("rare").mapInArrow(_scorer(share((model, s, v.begin))), SCORED), "scored").read()
+    rare = encoded.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     rare = rare.groupBy(F.col("row").alias("__row")).agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("sum"), F.count("c").alias("met"))
-    out = scored.drop("rare").join(rare, F.col("row") == F.col("__row"), "left")
+    out = scored.join(rare, F.col("row") == F.col("__row"), "left")
     base = F.col("base") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(v.total + 0.5 * (v.distinct + 1))))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("sum", F.lit(0.0))).alias("score"))
 

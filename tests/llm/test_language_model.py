@@ -7,7 +7,7 @@ import numpy as np
 from lumenframe.llm import language_model as L
 from util import LOWER, SF, WORD, empty_documents, odd_documents
 
-SMALL = L.Settings(words=300, known=600, tails=4, rounds=1, share=0.5, score_window=8, score_lanes=7)
+SMALL = L.Settings(words=300, known=600, tails=4, trainer_tokens=9_000, ramp=2_000, score_window=8, score_lanes=7)
 
 
 def brute_base(rows):
@@ -33,13 +33,55 @@ def test_model_beats_the_base_on_held_out_documents(spark):
 
 
 def test_every_training_document_reaches_backpropagation(spark):
-    s = L.Settings()
+    s = L.Settings(trainer_tokens=25)
     for n in (1, 2, 60):
-        docs = spark.createDataFrame([(i, f"only{i}") for i in range(n)], "doc_id long, text string")
         counts = spark.createDataFrame([*((f"only{i}".encode(), 1) for i in range(n)), (L.END, n)], "word binary, c long")
         v = L.build_vocabulary(counts, s)
+        ids = [v.lookup([f"only{i}".encode(), L.END])[0].astype(np.uint16) for i in range(n)]
+        docs = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(ids)], "doc_id long, ids binary")
         changed = (L.train(docs, v, s).p["input"] != L.Model(v, s).p["input"]).any(axis=1)
-        assert changed[v.lookup([f"only{i}".encode() for i in range(n)])[0]].all()
+        assert changed[np.concatenate(ids)[::2]].all()
+
+
+def brute_score(tokens, counts, v, m):
+    """log10 probability of a document by the model's equations, one token after the other, in plain float64."""
+    p, n, total, before = {k: a.astype(float) for k, a in m.p.items()}, m.hidden, 0.0, v.begin
+    h = np.zeros(n)
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    for w in tokens:
+        x, u = p["input"][before], h @ p["state"]
+        z, r = squash(x[:n] + u[:n]), squash(x[n : 2 * n] + u[n : 2 * n])
+        h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :])
+        y = int(v.lookup([w])[0][0])
+        cls = np.exp(p["class"] @ np.r_[h, 1])
+        if y < v.first_tail:
+            k = int(np.searchsorted(v.class_start, y, "right")) - 1
+            own = np.exp(p["word"][v.class_start[k] : v.class_start[k + 1]] @ np.r_[h, 1])
+            total += math.log10(cls[k] / cls.sum() * own[y - v.class_start[k]] / own.sum())
+        else:
+            k = y - v.first_tail
+            total += math.log10(cls[m.n_word_classes + k] / cls.sum() * (counts.get(w, 0) + 0.5) / v.tail_mass[k])
+        before = y
+    return total
+
+
+def test_scores_match_brute_force_in_any_layout(spark, monkeypatch):
+    got, train = [], L.train
+
+    def keep(encoded, v, s):
+        got.append((v, train(encoded, v, s)))
+        return got[-1][1]
+
+    monkeypatch.setattr(L, "train", keep)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, L.words_of((r.text or "").encode())) for r in docs.collect()]
+    tables = [{r.doc_id: r.score for r in L.score_documents(docs.repartition(n), SMALL).collect()} for n in (1, 7)]
+    v, m = got[0]
+    counts = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1 for w in t)
+    assert all(np.array_equal(a, got[1][1].p[k]) for k, a in m.p.items())
+    for d, t in rows[:60]:
+        want = brute_score(t, counts, v, m)
+        assert all(abs(x[d] - want) < 1e-3 + 1e-5 * abs(want) for x in tables), d
 
 
 def model_of(seed=3, hidden=5):
@@ -77,22 +119,24 @@ def test_gradients_match_differences():
     rng = np.random.default_rng(4)
     x, y, keep = rng.integers(0, 13, (4, 2)), rng.integers(0, 12, (4, 2)), np.ones((4, 2, 1))
     y[3, 1], keep[2, 0] = -1, 0
-    h = rng.standard_normal((2, 5))
-    _, _, grads, _ = m.gradients(x, y, keep, h)
+    h = rng.standard_normal((2, 5)) / 2
+    n, grads, _ = m.gradients(x, y, keep, h)
+    assert n == 7
     ids, rows = grads["input"]
     grads["input"] = np.zeros_like(m.p["input"])
     grads["input"][ids] = rows
 
-    def loss(name, at, change):
+    def total(name, at, change):
         m.p[name][at] += change
-        out = -m.gradients(x, y, keep, h)[0]
+        out = m.steps(x, keep, h)[0]
+        out = -m.outputs(out[y >= 0], y[y >= 0]).sum()
         m.p[name][at] -= change
         return out
 
     for name, g in grads.items():
         for _ in range(12):
             at = tuple(rng.integers(0, n) for n in g.shape)
-            assert abs((loss(name, at, 1e-5) - loss(name, at, -1e-5)) / 2e-5 - g[at]) < 1e-4, name
+            assert abs((total(name, at, 1e-5) - total(name, at, -1e-5)) / 2e-5 - g[at]) < 1e-4, name
 
 
 def test_learning_lowers_the_loss():
