@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,49 +16,75 @@ ADMITTED = "provider string, request_id long, ts_us long, granted boolean, wait_
 HISTORY = "history array<long>"
 
 
-def decide(history: list[int], now: int, limits: dict[str, int]) -> tuple[float, str | None]:
-    """(seconds to wait, the most constrained window): 0 if every window (now - span, now] has room."""
-    wait, which = 0.0, None
-    for name, span in WINDOWS.items():
-        cap = limits.get(name, 0)
-        if cap:
-            inside = [t for t in history if t > now - span * 1_000_000]
-            if len(inside) >= cap:
-                need = (inside[0] - now) / 1e6 + span
-                if need > wait:
-                    wait, which = need, name
-    return wait, which
+class Windows:
+    """One provider's sliding windows: for each capped one, the times at which its last grants leave it.
 
+    A window of capacity c is full exactly while the c-th last grant is still inside, so a queue of c times is all there
+    is to know of it, and a request costs a look at each queue's head.
+    """
 
-def _decide_all(pdf: pd.DataFrame, history: list[int], limits: dict[str, int]) -> tuple[pd.DataFrame, list[int]]:
-    out = []
-    for r in pdf.sort_values(["ts_us", "request_id"]).itertuples():
-        history = [t for t in history if t > r.ts_us - WINDOWS["rpd"] * 1_000_000]
-        wait, which = decide(history, r.ts_us, limits)
-        if wait <= 0:
-            history.append(r.ts_us)  # only granted requests count
-        out.append((r.provider, r.request_id, r.ts_us, wait <= 0, max(wait, 0.0), which))
-    return pd.DataFrame(out, columns=["provider", "request_id", "ts_us", "granted", "wait_s", "limit_name"]), history
+    def __init__(self, limits: dict[str, int], granted: Iterable[int] = ()):
+        self.queues = {name: deque(maxlen=limits[name]) for name in WINDOWS if limits.get(name)}
+        for t in granted:
+            self.grant(t)
+
+    def grant(self, t: int) -> None:
+        for name, leaves in self.queues.items():
+            leaves.append(t + WINDOWS[name] * 1_000_000)
+
+    def opening(self, now: int) -> tuple[int, str | None]:
+        """When all windows have room again and which is the last to, or (now, None) if they have it already."""
+        full = [(q[0], name) for name, q in self.queues.items() if len(q) == q.maxlen and q[0] > now]
+        return max(full, key=lambda x: x[0]) if full else (now, None)
+
+    def times(self) -> list[int]:
+        """Grants that any queue still holds, in order."""
+        return sorted({leaves - WINDOWS[name] * 1_000_000 for name, q in self.queues.items() for leaves in q}) if self.queues else []
+
+
+def _decisions(pdf: pd.DataFrame, windows: Windows) -> pd.DataFrame:
+    """Requests in time order through a provider's windows; refused ones take no room."""
+    pdf = pdf.sort_values(["ts_us", "request_id"], ignore_index=True)
+    found = []
+    for now in pdf["ts_us"].tolist():
+        at, limit = windows.opening(now)
+        if limit is None:
+            windows.grant(now)
+        found.append(((at - now) / 1e6, limit))
+    waits, names = zip(*found, strict=True) if found else ((), ())
+    return pdf[["provider", "request_id", "ts_us"]].assign(granted=[n is None for n in names], wait_s=list(waits), limit_name=list(names))
 
 
 def admit(requests: DataFrame, limits: dict[str, dict[str, int]]) -> DataFrame:
-    """Batch admission of requests(provider, request_id, ts_us): a fold in time order for each provider."""
+    """Batch admission of requests(provider, request_id, ts_us): a fold in time order for each provider.
+
+    Providers without a cap need no fold: their requests are granted where they lie. A capped provider's log passes
+    through its windows in sorted Arrow batches, so a task holds one batch and the windows, not the log.
+    """
+    capped = [p for p, own in limits.items() if any(own.get(name) for name in WINDOWS)]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _decide_all(pdf, [], limits.get(pdf.provider.iloc[0], {}))[0]
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        windows, own = None, None
+        for pdf in batches:
+            for provider, part in pdf.groupby("provider", sort=False):
+                if provider != own:
+                    windows, own = Windows(limits[provider]), provider
+                yield _decisions(part, windows)
 
-    return requests.groupBy("provider").applyInPandas(fold, ADMITTED)
+    free = requests.where(F.col("provider").isNull() | ~F.col("provider").isin(capped))
+    free = free.select("provider", "request_id", "ts_us", F.lit(True).alias("granted"), F.lit(0.0).alias("wait_s"), F.lit(None).cast("string").alias("limit_name"))
+    rows = requests.where(F.col("provider").isin(capped)).select("provider", "request_id", "ts_us")
+    return rows.repartition("provider").sortWithinPartitions("provider", "ts_us", "request_id").mapInPandas(fold, ADMITTED).unionByName(free)
 
 
 def admit_stream(requests: DataFrame, limits: dict[str, dict[str, int]]) -> DataFrame:
-    """The same on a stream; a provider's granted times of the last day are its state."""
+    """The same on a stream; the grants that a provider's windows still hold are its state."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history = list(state.get[0]) if state.exists else []
+        windows = Windows(limits.get(key[0], {}), state.get[0] if state.exists else ())
         rows = pd.concat(list(frames))
-        out, history = _decide_all(rows, history, limits.get(key[0], {}))
-        state.update((history,))
-        yield out
+        yield _decisions(rows, windows)
+        state.update((windows.times(),))
 
     return requests.groupBy("provider").applyInPandasWithState(step, ADMITTED, HISTORY, "append", GroupStateTimeout.NoTimeout)
 
@@ -86,9 +113,29 @@ def session_counts(events: DataFrame, ts: str, by: str, gap: str = "30 minutes",
     return out.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def first_seen(files: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
-    """Each content once, within the watermark's memory."""
-    return files.withWatermark(ts, late).dropDuplicatesWithinWatermark(["sha1"]) if files.isStreaming else files.dropDuplicates(["sha1"])
+def first_seen(files: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Each content once, and none that seen(sha1) has."""
+    out = files.dropDuplicates(["sha1"])
+    return out if seen is None else out.join(seen.select("sha1"), "sha1", "left_anti")
+
+
+def first_seen_stream(files: DataFrame, seen_path: str, apply, checkpoint: str):
+    """apply(new rows, batch id) over a stream of files(sha1, ...), each content once in all runs: the keys met are a table
+    at `seen_path`. A batch's keys are stored under its id after it was applied, so a restarted batch sees itself as new."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        root = spark._jvm.org.apache.hadoop.fs.Path(seen_path)
+        known = None
+        if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+            known = spark.read.schema("sha1 string, batch long").parquet(seen_path).where(F.col("batch") != batch_id)
+        new = first_seen(batch, known)
+        apply(new, batch_id)
+        new.select("sha1").write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+
+    query = files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def scan_stream(listings: DataFrame, apply, checkpoint: str, files_per_batch: int | None = None):

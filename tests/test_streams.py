@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lumenframe.streaming import streams as S
@@ -19,8 +21,39 @@ def test_admission(spark):
 
 
 def test_most_constrained_window():
-    wait, which = S.decide([0, 1_000_000], 2_000_000, {"rps": 0, "rpm": 2, "rph": 2})
-    assert which == "rph" and wait == 3598.0
+    assert S.Windows({"rps": 0, "rpm": 2, "rph": 2}, [0, 1_000_000]).opening(2_000_000) == (3_600_000_000, "rph")
+    assert S.Windows({}).opening(5) == (5, None)
+
+
+def test_admission_matches_brute_force(spark):
+    rng = random.Random(5)
+    limits = {"a": {"rps": 2, "rpm": 5}, "b": {"rpm": 3, "rph": 7}, "c": {"rpd": 9}, "d": {}}
+    rows = [(rng.choice("abcde"), i, rng.randrange(0, 7200) * 1_000_000 // rng.choice([1, 1, 60])) for i in range(900)]
+    want, granted = {}, {}
+    for p, i, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        waits = []
+        for name, span in S.WINDOWS.items():
+            inside = [g for g in granted.get(p, []) if g + span * 1_000_000 > t]
+            cap = limits.get(p, {}).get(name, 0)
+            if cap and len(inside) >= cap:
+                waits.append((inside[-cap] + span * 1_000_000 - t) / 1e6)
+        if not waits:
+            granted.setdefault(p, []).append(t)
+        want[i] = (not waits, max(waits, default=0.0))
+    assert {r.request_id: (r.granted, r.wait_s) for r in S.admit(requests(spark, rows).repartition(5), limits).collect()} == want
+    assert not all(g for g, _ in want.values())
+
+
+def test_contents_are_seen_once_in_all_runs(spark, tmp_path):
+    for k, hashes in enumerate((["x", "y", "x"], ["y", "z"])):
+        spark.createDataFrame([(f"/{k}/{i}", h) for i, h in enumerate(hashes)], "path string, sha1 string").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    got = []
+    for run in range(2):
+        stream = spark.readStream.schema("path string, sha1 string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        S.first_seen_stream(stream, str(tmp_path / "seen"), lambda df, _: got.extend(r.sha1 for r in df.collect()), str(tmp_path / "c"))
+    assert sorted(got) == ["x", "y", "z"]
+    # A new checkpoint forgets the stream, not the contents: its first batch has id 0 again, and only that one is replayed.
+    assert S.first_seen(spark.createDataFrame([("/n", "z"), ("/m", "w")], "path string, sha1 string"), spark.read.parquet(str(tmp_path / "seen"))).collect()[0].sha1 == "w"
 
 
 def test_admission_on_a_stream_equals_the_batch(spark, tmp_path):
