@@ -488,34 +488,43 @@ def merged(spans: list) -> list[tuple[int, int]]:
 OUT = "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"
 
 
-def _cut(batches):
+def _results(ids: pa.Array, texts: pa.Array, found: list) -> pa.RecordBatch:
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    rows, kept = [], []
+    for x, spans in zip(texts.cast(pa.large_binary()).to_pylist(), found, strict=True):
+        x = x or b""
+        spans = merged([(s["start"], s["end"]) for s in spans or ()])
+        at, left = 0, []
+        for a, b in spans:
+            left.append(x[at:a])
+            at = b
+        kept.append(b"".join([*left, x[at:]]))
+        rows.append((len(x), len(x) - len(kept[-1]), [{"start": a, "end": b} for a, b in spans]))
+    n, gone, spans = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kinds)], ["doc_id", "kept", "n_bytes", "n_removed", "spans"])
+
+
+def _cut(batches):
     for whole in batches:
         for first in range(0, whole.num_rows, 1000):
             batch = whole.slice(first, 1000)
-            rows, kept = [], []
-            for x, spans in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x = x or b""
-                found = merged([(s["start"], s["end"]) for s in spans or ()])
-                at, left = 0, []
-                for a, b in found:
-                    left.append(x[at:a])
-                    at = b
-                kept.append(b"".join([*left, x[at:]]))
-                rows.append((len(x), len(x) - len(kept[-1]), [{"start": a, "end": b} for a, b in found]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.binary()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], kinds)], ["doc_id", "kept", "n_bytes", "n_removed", "spans"]
-            )
-
-
-def _only(affected, wanted: bool):
-    """The rows of the documents that may have repeats, or of those that have none, without a shuffle."""
+            yield _results(batch.column(0), batch.column(1), batch.column(2).to_pylist())
+
+
+def _only(affected, cut: bool):
+    """The rows of the documents that may have repeats; or the results of those that have none, without a shuffle."""
 
     def run(batches):
-        for batch in batches:
-            ids = batch.column(1).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            on = affected.value.has(_document(ids, batch.column(2).to_numpy(zero_copy_only=False)))
-            yield batch.filter(pa.array(on == wanted))
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                ids = batch.column(1).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                on = affected.value.has(_document(ids, batch.column(2).to_numpy(zero_copy_only=False)))
+                batch = batch.filter(pa.array(on != cut))
+                if not cut:
+                    yield batch
+                elif batch.num_rows:
+                    yield _results(batch.column(1), batch.column(0), [None] * batch.num_rows)
 
     return run
 
@@ -527,10 +536,10 @@ def _document(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
 def _documents(batches):
     for batch in batches:
         ids, tags = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_document(ids, tags)).view(np.int64))], ["h"])
+        yield pa.RecordBatch.from_arrays([pa.array(_document(ids, tags).view(np.int64))], ["h"])
 
 
-def dedup_substrings(docs: DataFrame, length: int = 100, most_bits: int = 1 << 30, most_open: int = MOST_OPEN) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 100, most_bits: int = 1 << 29, most_open: int = MOST_OPEN) -> DataFrame:
     """doc_id, kept (the bytes left), n_bytes, n_removed, spans (maximal removed runs) of every row of docs(doc_id, text)."""
     if length <= GRAM:
         raise ValueError(f"windows must be longer than the anchors' {GRAM} bytes")
@@ -564,15 +573,12 @@ def dedup_substrings(docs: DataFrame, length: int = 100, most_bits: int = 1 << 3
             found = opened.repartition(parts, "key").mapInArrow(_regions(length), SPANS)
         spans = spans.unionByName(Table(found, "repeats").read())
         own.unpersist()
-    affected = Bloom.of(spans.select("doc_id", "tag").mapInArrow(_documents, "h long"), most_bits)
-    if affected is None:
-        return docs.select("doc_id", "text", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans")).mapInArrow(_cut, OUT)
-    affected = share(affected)
-    by_doc = spans.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_doc = Table(spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "by-document").read()
+    affected = share(Bloom.of(by_doc.select("doc_id", "tag").mapInArrow(_documents, "h long"), most_bits) or Bloom(64))
+    by_doc = by_doc.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "spans")
     same = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id")) & (F.col("tag") == F.col("__tag"))
-    hit = docs.mapInArrow(_only(affected, True), docs.schema).join(by_doc, same, "left").select("doc_id", "text", "spans")
-    rest = docs.mapInArrow(_only(affected, False), docs.schema).select("doc_id", "text", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"))
-    return hit.unionByName(rest).mapInArrow(_cut, OUT)
+    hit = docs.mapInArrow(_only(affected, False), docs.schema).join(by_doc, same, "left").select("doc_id", "text", "spans")
+    return hit.mapInArrow(_cut, OUT).unionByName(docs.mapInArrow(_only(affected, True), OUT))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
