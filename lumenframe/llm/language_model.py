@@ -53,15 +53,15 @@ class Settings:
     rounds: int = 2
     trainer_tokens: int = 2_000_000
     piece: int = 512
-    lanes: int = 512  # at first a quarter of that, doubled every `ramp` tokens
+    lanes: int = 512  # in the first round at first a quarter of that, doubled every `ramp` tokens
     ramp: int = 150_000
     window: int = 20
     rate: float = 0.1
-    score_lanes: int = 512
+    score_lanes: int = 1024
     score_window: int = 32
     flush: int = 400_000
-    train_flush: int = 1_000_000
-    score_flush: int = 1_500_000
+    train_flush: int = 2_000_000
+    score_flush: int = 6_000_000
 
 
 def is_held_out():
@@ -275,7 +275,7 @@ class Model:
             back = exp @ p["class"]
             back /= total[:, None]
             back -= p["class"][cls]
-            grads["class"] = exp.T @ (one / total[:, None]) - _sums(one, cls, len(p["class"]))
+            grads["class"] = ((one / total[:, None]).T @ exp).T - _sums(one, cls, len(p["class"]))
             predicted = int(np.searchsorted(y, self.first_tail))
             grads["word"] = -_sums(one[:predicted], y[:predicted], self.first_tail)
         cut = np.searchsorted(cls, np.arange(self.n_word_classes + 1)).tolist()
@@ -418,7 +418,7 @@ def _trainer(shared):
     """Rows (trainer, ids), by trainer, to the trainers' models in parts."""
 
     def run(batches):
-        first, s, begin = shared.value
+        first, s, begin, fresh = shared.value
         model, squares, held, tokens, seen, own = None, {}, [], 0, 0, None
 
         def learn():
@@ -426,7 +426,7 @@ def _trainer(shared):
             if model is None:
                 model = first.copy()
                 squares = {k: np.zeros_like(a) for k, a in model.p.items()}
-            lanes = min(s.lanes, max(1, s.lanes // 4) << min(seen // s.ramp, 2))
+            lanes = min(s.lanes, max(1, s.lanes // 4) << min(seen // s.ramp, 2)) if fresh else s.lanes
             seen += train_on(model, held, s, begin, squares, lanes)
             held.clear()
             tokens = 0
@@ -447,7 +447,7 @@ def _trainer(shared):
                 own = trainer
                 held.append(np.frombuffer(ids, np.uint16))
                 tokens += len(held[-1])
-                if tokens >= (s.ramp if seen < 2 * s.ramp else s.train_flush):
+                if tokens >= (s.ramp if fresh and seen < 2 * s.ramp else s.train_flush):
                     learn()
         if own is not None:
             yield done()
@@ -483,7 +483,7 @@ def train(encoded: DataFrame, v: Vocabulary, s: Settings) -> Model:
     for k in range(s.rounds):
         own = encoded.where(F.pmod(h, F.lit(s.rounds)) == k).select(F.pmod(F.shiftright(h, 8), F.lit(n_trainers)).alias("trainer"), "ids", h.alias("h"))
         own = own.repartition(n_trainers, "trainer").sortWithinPartitions("trainer", "h").drop("h")
-        shared = sc.broadcast((model, s, v.begin))
+        shared = sc.broadcast((model, s, v.begin, k == 0))
         copies, left = Table(own.mapInArrow(_trainer(shared), COPIES), "model-copies").read(), n_trainers
         shared.unpersist()
         while True:
