@@ -3,12 +3,15 @@
 Pass 1: every task marks line keys in a filter of keys it has met once and a filter of keys it has met twice;
 merging two tasks' filters also marks what both met once. Pass 2: lines that may be in the merged twice-seen
 filter are suspects, and only they shuffle, with their whole keys, for an exact count of documents and the
-largest doc_id. Pass 3: each document loses its confirmed keys.
+largest doc_id. Pass 3: each document loses its confirmed keys. Only texts that may lose a line (by a Bloom filter
+of their doc_ids) shuffle to meet them; the others are finished where they lie. A line of a great many documents makes
+one key of the join of suspects and confirmed keys large; adaptive execution splits it, and its count is pre-aggregated.
 
 The filters' size follows the corpus up to `most_bits`; beyond that more lines are suspected, and the result
 stays exact. A document counts once for a key however often it has it. Between equal doc_ids there is no order:
 rows that share the largest doc_id all keep the line. Null doc_ids rank below all others. Null or empty text:
-one empty line. Keys are held as 64-bit hashes only within one document's list of drops.
+one empty line. Very long texts are split in memory, one at a time. An empty table gives no rows. Other columns, whatever
+their names, travel as one struct. Keys are held as 64-bit hashes only within one document's list of drops.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumenframe.llm.common import Table, WS, pack, texts, unpack
+from lumenframe.llm.common import Bloom, Table, WS, pack, texts, unpack
 
 _WS = WS.encode()
 SEGMENTS = 64
@@ -114,43 +118,71 @@ def _suspects(filt, bits: int, least: int):
     return find
 
 
-def _drop(names: list[str], least: int):
+def _drop(least: int, untouched=None):
+    """Rows (row, text, drops, h) without the lines to drop; or, of all rows, those of untouched documents, without a shuffle."""
+
+    def apply(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                if untouched is not None:
+                    batch = batch.filter(pa.array(~untouched.value.has(batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))))
+                out, lines, dropped = [], [], []
+                for x, gone in zip(texts(batch), batch.column(2).to_pylist(), strict=True):
+                    parts = x.split(b"\n")
+                    lines.append(len(parts))
+                    if gone:
+                        gone = set(gone)
+                        parts = [p for p in parts if not (long_enough(k := key_of(p), least) and np.uint64(xxhash.xxh3_64_intdigest(k)).astype(np.int64) in gone)]
+                        x = b"\n".join(parts)
+                    dropped.append(lines[-1] - len(parts))
+                    out.append(x)
+                cols = [batch.column(0), pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "text", "n_lines", "n_dropped", "kept_sha256"])
+
+    return apply
+
+
+def _touched(filt):
+    """The rows of documents that may lose lines."""
+
     def apply(batches):
         for batch in batches:
-            drops = batch.column(batch.schema.get_field_index("__drops")).to_pylist()
-            out, lines, dropped = [], [], []
-            for x, gone in zip(texts(batch), drops, strict=True):
-                parts = x.split(b"\n")
-                lines.append(len(parts))
-                if gone:
-                    gone = set(gone)
-                    parts = [p for p in parts if not (long_enough(k := key_of(p), least) and np.uint64(xxhash.xxh3_64_intdigest(k)).astype(np.int64) in gone)]
-                    x = b"\n".join(parts)
-                dropped.append(lines[-1] - len(parts))
-                out.append(x)
-            cols = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
-            cols["text"] = pa.array(out, pa.binary()).cast(pa.string())
-            cols |= {"__lines": pa.array(lines, pa.int64()), "__dropped": pa.array(dropped, pa.int64()), "__sha": pa.array([hashlib.sha256(x).hexdigest() for x in out])}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+            yield batch.filter(pa.array(filt.value.has(batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))))
 
     return apply
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, most_bits: int = 1 << 30) -> DataFrame:
-    """docs in their own columns without repeated lines, and __lines, __dropped and __sha (SHA-256 of the text left)."""
+    """row (the input's other columns as a struct), text (without repeated lines), n_lines, n_dropped, kept_sha256 of every row."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(most_bits, max(1 << 16, 1 << (total // 16).bit_length()))
     filt = spark.sparkContext.broadcast(twice_seen(docs, bits, least_chars))
     suspects = Table(docs.select("doc_id", "text").mapInArrow(_suspects(filt, bits, least_chars), SUSPECTS), "line-suspects").read()
+    filt.unpersist()
     known = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= least_docs).drop("n")
     drops = suspects.join(Table(known, "line-keys").read(), "key").where(~F.col("doc_id").eqNullSafe(F.col("top")))
-    drops = drops.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__drops"))
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    extra = ", __lines long, __dropped long, __sha string"
-    return joined.mapInArrow(_drop(docs.columns, least_chars), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + extra)
+    drops = Table(drops.groupBy("doc_id").agg(F.collect_set("h").alias("drops")), "line-drops").read()
+    touched = spark.sparkContext.broadcast(Bloom.of(drops.select(_id_hash("doc_id").alias("h")), most_bits >> 1) or Bloom(64))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    rows = docs.select(rest.alias("row"), "text", F.lit(None).cast("array<long>").alias("drops"), _id_hash("doc_id").alias("h"))
+    hit = rows.mapInArrow(_touched(touched), rows.schema).drop("drops")
+    hit = hit.join(drops, hit["row.doc_id"].eqNullSafe(drops["doc_id"]), "left").select("row", "text", "drops", "h")
+    out = T.StructType([rows.schema["row"], *[T.StructField(n, t()) for n, t in (("text", T.StringType), ("n_lines", T.LongType), ("n_dropped", T.LongType), ("kept_sha256", T.StringType))]])
+    return hit.mapInArrow(_drop(least_chars), out).unionByName(rows.mapInArrow(_drop(least_chars, touched), out))
+
+
+def _id_hash(name: str):
+    return F.xxhash64(F.coalesce(name, F.lit(-1)), F.lit(5))
+
+
+def clean_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs in their own columns without repeated lines; n_chars becomes the new text's length, all others stay as they were."""
+    out = dedup_lines(docs, **options)
+    return out.select(*[F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.col("__sha").alias("kept_sha256"))
+    return dedup_lines(docs).select("row.doc_id", "n_lines", "n_dropped", "kept_sha256")

@@ -58,11 +58,13 @@ def _covered(positions: Column) -> Column:
     )
 
 
-def judged(docs: DataFrame, max_loss: float = 0.5, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Base counts, the method's verdict and the cleaned text of every row of docs(doc_id, text)."""
+def judged(docs: DataFrame, max_loss: float = 0.5, whole: bool = False) -> DataFrame:
+    """Base counts, the method's verdict and the cleaned text of every row of docs(doc_id, text); with whole, the row's other
+    columns too, as one struct `row` that no name can clash with."""
     mask = (1 << POS_BITS) - 1
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.select("doc_id", *extra, text.alias("text")).withColumns({"words": words_of(F.col("text")), "lines": F.split("text", "\n")})
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    a = docs.select("doc_id", text.alias("text"), *([F.struct(*rest).alias("row")] if whole else [])).withColumns({"words": words_of(F.col("text")), "lines": F.split("text", "\n")})
     w = F.col("words")
     a = a.withColumns({"n_words": F.size(w).cast("long"), "filled": F.filter("lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
     starts = F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
@@ -102,12 +104,15 @@ def judged(docs: DataFrame, max_loss: float = 0.5, extra: tuple[str, ...] = ())
 
 
 def clean_documents(docs: DataFrame, max_loss: float = 0.5) -> DataFrame:
-    """docs without the rejected rows, in their own columns, the failing lines of the others removed."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    """docs without the rejected rows, in their own columns, the failing lines of the others removed.
+
+    Null, empty and blank texts are rejected; repeated rows stay repeated; an empty table stays empty; other columns,
+    whatever their names and nulls, come back as they were, but for n_chars, the length of the new text.
+    """
     # The row number keeps the optimizer from moving the filter into the expressions above, which it would multiply.
-    kept = judged(docs, max_loss, rest).withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0")
+    kept = judged(docs, max_loss, True).withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0")
     text = F.array_join("good", "\n")
-    return kept.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    return kept.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """URL filters (native): fixed host and path rules first, then rules that FP-growth mines from labelled URLs.
 
 A URL's items are its scheme, host labels, path words and query keys; labelled URLs add the item of their
-label. FP-growth keeps item sets above `min_support`, association rules of any length with the bad label as
+label. FP-growth keeps item sets above `min_support` that `least_count` labelled URLs have or more; before, items that
+fewer have, and items that all have, are pruned, for neither can be in a rule that is kept. Association rules of any length with the bad label as
 consequent above `min_confidence` and above the share of bad labels, and of those only rules that beat each of
 their own subsets. Rules match through an inverted index: rule items join URL items, and a rule fires for a URL when all of its items were met.
 
+Between rules that fire for one URL the surest counts; its verdict is the same. Very long urls have many items and are
+treated like any other; an empty `pages` gives no rows. Null labels are not labels.
 Null urls, or urls without `://`, have an empty host and path, fit no fixed rule and have no items; they are
 allowed. Repeated rows are judged alike. Without labels of both kinds no rule is mined. Other columns of the
 inputs are ignored.
@@ -12,6 +15,8 @@ inputs are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,10 +61,18 @@ def url_items(url: Column) -> Column:
     return F.when(host != "", found).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, least_count: int = 20) -> DataFrame:
     """labelled(url, bad boolean) -> rules(rule_id, items, confidence, support)."""
-    baskets = labelled.where(F.size(url_items(F.col("url"))) > 0).select(F.concat(url_items(F.col("url")), F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    found = labelled.where(F.col("bad").isNotNull()).select(url_items(F.col("url")).alias("items"), "bad").where(F.size("items") > 0)
+    found = Table(found.withColumn("row", F.monotonically_increasing_id()), "url-items").read()
+    n = found.count()
+    least = max(least_count, math.ceil(min_support * n))
+    items = found.select("row", F.explode("items").alias("item"))
+    useful = Table(items.groupBy("item").count().where((F.col("count") >= least) & (F.col("count") < n)).select("item"), "url-items").read()
+    kept = items.join(useful, "item").groupBy("row").agg(F.collect_list("item").alias("kept"))
+    label = F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))
+    baskets = found.join(kept, "row", "left").select(F.concat(F.coalesce("kept", F.array().cast("array<string>")), label).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n) if n else 1.0, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") > 1))
     rules = rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("items"), "confidence", "support")
     rules = Table(rules, "url-rules").read()

@@ -4,12 +4,16 @@ Headers alone (payload digest, length, id) shuffle by digest; a digest met more
 page_id the original. The few original rows join back to the pages, so one record of each payload is written
 as `response` and the others as `revisit` records that refer to it, all with fresh headers. Files are gzipped
 record by record, written under a temporary name and then renamed, so a task that runs again replaces its own
-files. They go through pyarrow's file systems, to whatever store the folder's URI names.
+files; the list of files that committed tasks wrote is a table beside them, and only listed files are read. They go
+through pyarrow's file systems, to whatever store the folder's URI names; a path without scheme is one of Spark's default
+file system. Each file begins with a warcinfo record. Record ids are UUIDs made from page_id and digest, so a revisit
+knows its original's without a join; page_ids travel in headers of their own.
 
 Nulls: a null html is an empty payload; a null url gets an empty target; a null page_id ranks below all others,
 and if a payload has only such rows each is a response. A row that repeats its original's page_id and payload is
 the same capture again and stays a response. Payloads under `min_bytes` are never revisits. An empty table
-writes no archive and reads back as no rows. Other columns are ignored.
+writes no archive and reads back as no rows. Very long payloads are one record each. Other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import hashlib
 import io
 import uuid
 import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,15 +39,26 @@ READ = "page_id long, url string, payload_bytes long, payload_digest string, rec
 LEVEL = 1
 
 
-def record(page_id, url: bytes, payload: bytes, digest: bytes, original, date: bytes) -> bytes:
+def record_id(page_id, digest: bytes) -> bytes:
+    return b"<urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_OID, f"{page_id}/{digest.decode()}")).encode()
+
+
+def info(date: bytes) -> bytes:
+    """The warcinfo record of a file."""
+    block = b"software: lumenframe\r\nformat: WARC File Format 1.1\r\n"
+    head = [b"WARC/1.1", b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.uuid4()).encode(), b"WARC-Date: " + date, b"Content-Type: application/warc-fields", b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id, url: bytes, payload: bytes, digest: bytes, original, original_url: bytes, date: bytes) -> bytes:
     """One WARC 1.1 record; a revisit of `original` unless that is None."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if original is None else b"")
-    name = lambda i: b"<urn:page:%s>" % str(i).encode()
     head = [
         b"WARC/1.1",
         b"WARC-Type: " + (b"response" if original is None else b"revisit"),
-        b"WARC-Record-ID: " + name(page_id),
+        b"WARC-Record-ID: " + record_id(page_id, digest),
+        b"X-Page-ID: %s" % str(page_id).encode(),
         b"WARC-Date: " + date,
         b"WARC-Target-URI: " + b"".join(url.split()),
         b"WARC-Payload-Digest: sha1:" + digest,
@@ -50,10 +66,26 @@ def record(page_id, url: bytes, payload: bytes, digest: bytes, original, date: b
         b"Content-Length: %d" % len(block),
     ]
     if original is not None:
-        head += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: " + name(original)]
+        head += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: " + record_id(original, digest), b"WARC-Refers-To-Date: " + date]
+        head += [b"WARC-Refers-To-Target-URI: " + b"".join(original_url.split()), b"X-Refers-To-Page-ID: %s" % str(original).encode()]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _member(data: bytes) -> bytes:
+    member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return member.compress(data) + member.flush()
+
+
+def _uri(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, Spark's default file system if it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
+
+
+LISTED = "_archives"
+
+
 def _writer(folder: str, date: str, file_bytes: int):
     def write(batches):
         from pyarrow.fs import FileSystem
@@ -64,21 +96,20 @@ def _writer(folder: str, date: str, file_bytes: int):
 
         def close():
             out.close()
-            name = f"{root}/part-{part:05d}-{k:04d}.warc.gz"
-            store.move(f"{root}/_tmp-{attempt}-{k}", name)
-            done.append((name, n))
+            name = f"part-{part:05d}-{k:04d}-{attempt}.warc.gz"
+            store.move(f"{root}/_tmp-{attempt}-{k}", f"{root}/{name}")
+            done.append((f"{folder}/{name}", n))
 
         for batch in batches:
             cols = [batch.column(i) for i in range(batch.num_columns)]
             for i in range(batch.num_rows):
-                page_id, url, html, original = (c[i].as_py() for c in cols)
+                page_id, url, html, original, original_url = (c[i].as_py() for c in cols)
                 payload = html or b""
                 digest = base64.b32encode(hashlib.sha1(payload).digest())
                 if out is None:
-                    out, size, n = store.open_output_stream(f"{root}/_tmp-{attempt}-{k}"), 0, 0
-                member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                data = record(page_id, url or b"", payload, digest, original, date.encode())
-                data = member.compress(data) + member.flush()
+                    out, n = store.open_output_stream(f"{root}/_tmp-{attempt}-{k}"), 0
+                    size = out.write(_member(info(date.encode())))
+                data = _member(record(page_id, url or b"", payload, digest, original, original_url or b"", date.encode()))
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= file_bytes:
@@ -91,25 +122,24 @@ def _writer(folder: str, date: str, file_bytes: int):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 64 << 20) -> int:
-    """Write pages(page_id, url, html) to *.warc.gz files in `folder` (a URI); how many records were written."""
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str | None = None, file_bytes: int = 64 << 20) -> int:
+    """Write pages(page_id, url, html) to *.warc.gz files in `folder` (a path or URI); how many records were written.
+    The records' date is that of the run unless one is given."""
     spark = pages.sparkSession
-    folder = folder if ":" in folder else f"file://{folder}"
+    folder, date = _uri(spark, folder), date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", F.encode("url", "UTF-8").alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
-    heads = rows.select("digest", "page_id", F.octet_length("html").alias("n")).where(F.col("n") >= min_bytes)
-    originals = heads.groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1 AND original IS NOT NULL").drop("n")
+    heads = rows.select("digest", "page_id", "url", F.octet_length("html").alias("n")).where(F.col("n") >= min_bytes)
+    originals = heads.groupBy("digest").agg(F.max("page_id").alias("original"), F.max_by("url", "page_id").alias("original_url"), F.count(F.lit(1)).alias("n")).where("n > 1 AND original IS NOT NULL").drop("n")
     originals = Table(originals, "warc-originals")  # its true size decides whether the next join broadcasts it
     rows = rows.join(originals.read(), "digest", "left")
     original = F.when(F.col("page_id").eqNullSafe(F.col("original")), None).otherwise(F.col("original"))
-    written = rows.select("page_id", "url", "html", original.alias("original")).mapInArrow(_writer(folder, date, file_bytes), WRITTEN)
-    table = Table(written, "warc-written")
-    n = table.read().agg(F.sum("n_records")).first()[0] or 0
+    written = rows.select("page_id", "url", "html", original.alias("original"), "original_url").mapInArrow(_writer(folder, date, file_bytes), WRITTEN)
+    written.write.mode("overwrite").parquet(f"{folder}/{LISTED}")
     originals.drop()
-    table.drop()
-    return n
+    return spark.read.schema(WRITTEN).parquet(f"{folder}/{LISTED}").agg(F.sum("n_records")).first()[0] or 0
 
 
 def parse(stream: io.BufferedIOBase):
@@ -132,9 +162,8 @@ def parse(stream: io.BufferedIOBase):
         yield start, head, block
 
 
-def _page(name: bytes):
-    i = name[len(b"<urn:page:") : -1]
-    return None if i == b"None" else int(i)
+def _page(i: bytes | None):
+    return None if i in (None, b"None") else int(i)
 
 
 def _reader(batches):
@@ -149,17 +178,18 @@ def _reader(batches):
 
     for batch in batches:
         for uri in batch.column(0).to_pylist():
-            store, path = FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+            store, path = FileSystem.from_uri(uri)
             with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as f:
                 for start, head, block in parse(io.BufferedReader(f, 1 << 20)):
+                    if head[b"warc-type"] == b"warcinfo":
+                        continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind = head[b"warc-type"].decode()
                     digest = head[b"warc-payload-digest"].removeprefix(b"sha1:").decode()
                     size = next(int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                     if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                         raise ValueError(f"{path}: the record at {start} does not match its digest")
-                    refers = head.get(b"warc-refers-to")
-                    rows.append((_page(head[b"warc-record-id"]), head[b"warc-target-uri"].decode("utf-8", "replace"), size, digest, kind, refers and _page(refers), path, start))
+                    rows.append((_page(head[b"x-page-id"]), head[b"warc-target-uri"].decode("utf-8", "replace"), size, digest, kind, _page(head.get(b"x-refers-to-page-id")), path, start))
                     if len(rows) >= 5000:
                         yield flush()
                         rows.clear()
@@ -167,9 +197,8 @@ def _reader(batches):
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each record of the *.warc.gz files in `folder`, digests of responses checked."""
-    folder = folder if ":" in folder else f"file://{folder}"
-    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
+    """A row for each record of the archives listed in `folder`, digests of responses checked; warcinfo records are skipped."""
+    paths = spark.read.schema(WRITTEN).parquet(f"{_uri(spark, folder)}/{LISTED}").select("path")
     return paths.repartition(max(spark.sparkContext.defaultParallelism, 1)).mapInArrow(_reader, READ)
 
 

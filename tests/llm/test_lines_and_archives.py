@@ -3,6 +3,9 @@ import gzip
 import glob
 import hashlib
 import io
+import itertools
+import random
+import shutil
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ def brute_lines(rows):
 
 
 def result(df):
-    return sorted(map(tuple, df.select("doc_id", "__lines", "__dropped", "__sha").collect()), key=str)
+    return sorted(map(tuple, df.select("row.doc_id", "n_lines", "n_dropped", "kept_sha256").collect()), key=str)
 
 
 def test_line_dedup_matches_brute_force(spark):
@@ -48,8 +51,12 @@ def test_line_dedup_is_exact_with_saturated_filters(spark):
 
 
 def test_line_dedup_keeps_other_columns(spark):
-    out = line_dedup.dedup_lines(odd_documents(spark))
-    assert out.columns[:5] == ["doc_id", "text", "key", "shard", "words"]
+    docs = odd_documents(spark).withColumns({"row": F.lit("r"), "drops": F.lit(1), "n_lines": F.lit(None).cast("string"), "n_chars": F.lit(0).cast("long")})
+    out = line_dedup.clean_documents(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    assert all((r.row, r.drops, r.n_lines, r.shard, r.words, r.n_chars) == ("r", 1, None, 7, "x", len(r.text)) for r in out.collect())
+    left = {r.doc_id: r.text for r in out.collect()}
+    assert left[4] == "short" and left[9] == docs.where("doc_id = 9").first().text and left[1] == left[2] == ""
 
 
 PAGES = [(1, "http://a/", "x"), (2, "http://b/", "x"), (3, None, None), (4, "http://c/\n", ""), (5, "http://d/", "é\r\n\r\nWARC/1.1\r\n"), (5, "http://d/", "é\r\n\r\nWARC/1.1\r\n"), (None, "http://e/", "x"), (None, "u", "only"), (None, "u", "only"), (7, "http://f/", "y" * 300_000)]
@@ -86,7 +93,19 @@ def test_warc_records_are_separate_gzip_members(spark, tmp_path):
     raw = b"".join(open(f, "rb").read() for f in files)
     assert raw.count(b"\x1f\x8b\x08") >= 2
     kinds = [h[b"warc-type"] for f in files for _, h, _ in warc.parse(io.BytesIO(gzip.open(f).read()))]
-    assert sorted(kinds) == [b"response", b"revisit"]
+    assert sorted(kinds) == [b"response", b"revisit", b"warcinfo"]
+
+
+def test_warc_revisits_refer_to_their_original_and_stale_files_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "x"), (2, "http://b/ c", "x")], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path), date="2030-01-02T03:04:05Z")
+    (file,) = glob.glob(str(tmp_path / "*.warc.gz"))
+    heads = {h[b"warc-type"]: h for _, h, _ in warc.parse(io.BytesIO(gzip.open(file).read()))}
+    first, again = heads[b"response"], heads[b"revisit"]
+    assert again[b"warc-refers-to"] == first[b"warc-record-id"] and again[b"warc-refers-to-target-uri"] == first[b"warc-target-uri"] == b"http://b/c"
+    assert again[b"warc-refers-to-date"] == again[b"warc-date"] == b"2030-01-02T03:04:05Z" and first[b"warc-record-id"].startswith(b"<urn:uuid:")
+    shutil.copy(file, tmp_path / "part-99999-0000-stale.warc.gz")  # what a task that lost its executor may leave
+    assert warc.read_archives(spark, str(tmp_path)).count() == 2
 
 
 def test_warc_small_payloads_stay_responses(spark, tmp_path):
@@ -143,3 +162,32 @@ def test_rules_of_items_that_always_occur_together(spark):
     together = "/".join(f"w{i}" for i in range(11))
     labelled = spark.createDataFrame([(f"http://h/{together}", True)] * 30 + [("http://h/other", False)] * 30, "url string, bad boolean")
     assert sorted(r["items"] for r in urls.mine_rules(labelled).collect()) == sorted([f"path:w{i}"] for i in range(11))
+
+
+def test_mined_verdicts_match_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(7)]
+    rows = []
+    for _ in range(300):
+        own = sorted(rng.sample(words, rng.randint(1, 5)))
+        rows.append(("http://h/" + "/".join(own), rng.random() < (0.95 if {"w0", "w1"} <= set(own) else 0.1 if "w2" in own else 0.4)))
+    rows += [(None, True), ("http://h/w0", None)]
+    base = [(frozenset(u[9:].split("/")), b) for u, b in rows if u and b is not None]
+    share = sum(b for _, b in base) / len(base)
+    rules = {}
+    for k in range(1, 8):
+        for items in map(frozenset, itertools.combinations(words, k)):
+            n, bad = sum(items <= u for u, _ in base), sum(items <= u and b for u, b in base)
+            if bad >= 20 and bad / n >= 0.6 and bad / n > share and n < len(base):
+                rules[items] = bad / n
+    rules = {r: c for r, c in rules.items() if not any(q < r and d >= c for q, d in rules.items())}
+    assert rules
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    got = {r.page_id: (r.verdict, r.mined_confidence) for r in urls.filter_urls(pages, labelled, rules=[]).collect()}
+    for i, (u, _) in enumerate(rows):
+        sure = [c for r, c in rules.items() if u and r <= set(u[9:].split("/"))]
+        assert got[i] == (("block", round(max(sure), 6)) if sure else ("allow", None))
+    assert {frozenset(x.removeprefix("path:") for x in r["items"]) for r in urls.mine_rules(labelled).collect()} == set(rules)
+    assert urls.mine_rules(labelled.limit(15)).count() == 0  # fewer URLs than a rule needs
+    assert urls.filter_urls(pages.limit(0), labelled).count() == 0

@@ -60,3 +60,19 @@ def test_empty_corpus(spark):
     for _, f in corpus_pipeline.STAGES:
         docs = f(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_columns_pass_through_every_stage(spark):
+    prose = " ".join(f"Fact{i} shows what{i} thing{i} works{i} here{i}." for i in range(12))
+    rows = [(1, prose, "a", 5), (1, prose, "a", 5), (2, None, None, 0), (3, "", "b", 0), (4, prose + "\nHome\n", "c", None), (None, prose.replace("works", "fails"), "d", 1), (6, "word " * 30_000, "e", 2)]
+    names = {"words": "string", "lines": "string", "kept": "int", "row": "string", "good": "string", "n_words": "long", "h": "string"}
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} {t}" for n, t in names.items())
+    other = ("w", None, 9, "r", "g", -1, "z")
+    docs = spark.createDataFrame([(*r, *other) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        assert all(tuple(r[n] for n in names) == other for r in out.collect()), name
+    first = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    assert sorted(((r.doc_id, r.text) for r in first.collect()), key=str) == sorted([(1, prose), (1, prose), (4, prose + "\n"), (None, prose.replace("works", "fails"))], key=str)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
