@@ -1,8 +1,11 @@
-"""Corpus cleaning in stages, each written as Parquet and reread as the next one's documents."""
+"""Corpus cleaning in stages, each written as Parquet and reread as the next one's documents.
 
-from __future__ import annotations
+Null and empty texts fail the quality rules; a stage that meets them leaves them alone otherwise. Repeated rows stay
+repeated until near duplicates, where rows with one doc_id stay or go together. Very long texts are judged whole. Empty
+tables stay empty. Other columns, whatever their names, pass through as they are, but for n_chars.
+"""
 
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from lumenframe.llm import bpe, decontamination, jaccard_join, line_dedup, quality
 from lumenframe.llm.common import Table
@@ -15,8 +18,7 @@ def quality_rules(spark, docs, sf_dir):
 
 def repeated_lines(spark, docs, sf_dir):
     """Lines found in five documents or more stay only in the one with the largest doc_id."""
-    out = line_dedup.dedup_lines(docs)
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    return line_dedup.clean_documents(docs)
 
 
 def near_duplicates(spark, docs, sf_dir):

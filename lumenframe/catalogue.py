@@ -574,9 +574,9 @@ def album_list(spark, sf):
     return K.album_list(albums).select("album_id", F.col("count").cast("long").alias("count"), "cover")
 
 
-@query("""SELECT (1000 - doc_id) AS pos, doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'vector' ELSE 'catalog' END AS caption FROM documents WHERE doc_id < 150""")
+@query("""SELECT (1000 - doc_id) AS pos, doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'vector' ELSE 'catalog' END AS caption FROM documents""")
 def album_cards(spark, sf):
-    d = t(spark, sf, "documents").where("doc_id < 150").select(F.col("doc_id").alias("id"))
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"))
     row = lambda c: [F.concat(F.lit("/"), "id").alias("path"), F.lit("f").alias("filename"), c.alias("caption"), F.lit("image").alias("media_type")]
     vectors = d.select("id", *row(F.when(F.col("id") % 2 == 0, "vector").otherwise("")))
     return K.cards(d.withColumn("pos", 1000 - F.col("id")), vectors, d.select(F.col("id").alias("uid"), *row(F.lit("catalog")))).select("pos", "id", "caption")
