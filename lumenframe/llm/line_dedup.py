@@ -168,7 +168,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, mos
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(rest.alias("row"), "text", F.lit(None).cast("array<long>").alias("drops"), _id_hash("doc_id").alias("h"))
     hit = rows.mapInArrow(_touched(touched), rows.schema).drop("drops")
-    hit = hit.join(drops, hit["row.doc_id"].eqNullSafe(drops["doc_id"]), "left").select("row", "text", "drops", "h")
+    # The same join at every size: drops grow with the corpus, and small ones would be broadcast.
+    hit = hit.join(drops.hint("merge"), hit["row.doc_id"].eqNullSafe(drops["doc_id"]), "left").select("row", "text", "drops", "h")
     out = T.StructType([rows.schema["row"], *[T.StructField(n, t()) for n, t in (("text", T.StringType), ("n_lines", T.LongType), ("n_dropped", T.LongType), ("kept_sha256", T.StringType))]])
     return hit.mapInArrow(_drop(least_chars), out).unionByName(rows.mapInArrow(_drop(least_chars, touched), out))
 
