@@ -7,11 +7,12 @@ model), events are requests and job logs (event_type is the provider), pages' ur
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import captions as C
 from lumenframe.functions import dates as D
+from lumenframe.functions import exif as E
 from lumenframe.functions import geo as G
 from lumenframe.functions import hashing as H
 from lumenframe.functions import media as M
@@ -820,3 +821,379 @@ def providers_waiting(spark, sf):
 def probe_fields(spark, sf):
     n, r = F.col("n_nationkey"), F.col("n_regionkey")
     return t(spark, sf, "nation").select("n_nationkey", M.rotation(n * 100 - 1000).alias("rotation"), M.frame_rate(F.concat_ws("/", n.cast("string"), r.cast("string"))).alias("fps"))
+
+
+# ---- catalog writes ---------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS uid, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def catalog_delete(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "lang")
+    return K.delete(d, d.where("lang = 'en'"))
+
+
+@query("""WITH last AS (SELECT user_id AS id, arg_max(event_type, event_id) AS v, arg_max(event_id % 3 = 0, event_id) AS gone FROM events GROUP BY user_id)
+SELECT id, v FROM last WHERE NOT gone UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey NOT IN (SELECT id FROM last)""")
+def changes_applied(spark, sf):
+    old = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("old").alias("v"))
+    log = t(spark, sf, "events").select(F.col("user_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "delete").otherwise("upsert").alias("op"), F.col("event_id").alias("seq"), F.col("event_type").alias("v"))
+    return K.apply_changes(old, log)
+
+
+@query("SELECT vec_id AS id, CASE WHEN label < 4 THEN 'old' ELSE 'new' END AS v FROM embeddings")
+def vectors_added(spark, sf):
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return K.insert_only(e.where("label < 4").select("id", F.lit("old").alias("v")), e.select("id", F.lit("new").alias("v")))
+
+
+@query("SELECT '/r/ASIA' AS path, 'included' AS kind, '2024-05-01' AS added_at UNION ALL SELECT '/r/' || r_name || '/' || n_name, 'included', '2024-01-01' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' UNION ALL SELECT '/x', 'excluded', '2024-01-01'")
+def folder_added(spark, sf):
+    n = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    included = n.select(F.concat(F.lit("/r/"), "r_name", F.lit("/"), "n_name").alias("path"), F.lit("included").alias("kind"), F.lit("2024-01-01").alias("added_at"))
+    excluded = included.select(F.lit("/x").alias("path"), F.lit("excluded").alias("kind"), "added_at").limit(1)
+    return I.add_folder(included.unionByName(excluded), "/r/ASIA", "2024-05-01")
+
+
+@query("""WITH f AS (SELECT '/r/' || r_name AS f, 'included' AS kind FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT '/r/' || r_name || '/' || n_name, 'excluded' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 0),
+c AS (SELECT '/r/' || r_name AS path FROM region UNION ALL SELECT '/r/' || r_name || '/' || n_name || '/a' FROM nation JOIN region ON n_regionkey = r_regionkey),
+o AS (SELECT path, kind, CASE WHEN starts_with(path || '/', f || '/') THEN 'inside' ELSE 'contains' END AS how, f FROM c, f WHERE starts_with(path || '/', f || '/') OR starts_with(f || '/', path || '/')),
+p AS (SELECT purpose, path, min(CASE kind WHEN 'excluded' THEN '0' ELSE '1' END || kind || ' ' || how || ' ' || f) FILTER (purpose = 'backup' OR how = 'inside' AND (purpose = 'import_from' OR kind = 'excluded')) AS bad,
+bool_or(coalesce(kind = 'included' AND how = 'inside', false)) AS home FROM c CROSS JOIN (VALUES ('import_from'), ('import_into'), ('backup')) v(purpose) LEFT JOIN o USING (path) GROUP BY ALL)
+SELECT purpose, path, bad IS NULL AND (home OR purpose <> 'import_into') AS ok, coalesce(substr(bad, 2), CASE WHEN purpose = 'import_into' AND NOT home THEN 'outside' END) AS reason FROM p""")
+def checked_paths(spark, sf):
+    r = t(spark, sf, "region")
+    n = t(spark, sf, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("path", F.concat(F.lit("/r/"), "r_name", F.lit("/"), "n_name"))
+    r = r.withColumn("path", F.concat(F.lit("/r/"), "r_name", F.lit("/")))
+    folders = r.where("r_regionkey % 2 = 0").select("path", F.lit("included").alias("kind")).unionByName(n.where("n_nationkey % 5 = 0").select("path", F.lit("excluded").alias("kind")))
+    candidates = r.select("path").unionByName(n.select(F.concat("path", F.lit("/a")).alias("path")))
+    out = [I.check_paths(candidates, folders, p).withColumn("purpose", F.lit(p)) for p in I.PURPOSES]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("SELECT conv_id AS album_id, list(turn::VARCHAR ORDER BY turn) FILTER (turn % 3 <> 1) AS image_ids FROM conversations GROUP BY conv_id")
+def album_members_removed(spark, sf):
+    rows = t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("album_id")).agg(F.transform(F.array_sort(F.collect_list("turn")), lambda x: x.cast("string")).alias("image_ids"))
+    return rows.select("album_id", K.remove_from_album("image_ids", F.array(*[F.lit(str(k)) for k in range(1, 1000, 3)])).alias("image_ids"))
+
+
+@query("""WITH f AS (SELECT label, vec_id // 3 AS image_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT label, image_id, count(*) AS n FROM f GROUP BY ALL)
+SELECT label AS name, i AS pos, round(avg(x), 6) AS value FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS i FROM f JOIN n USING (label, image_id) WHERE n = 1) GROUP BY ALL""")
+def person_references(spark, sf):
+    faces = t(spark, sf, "embeddings").select(F.col("label").alias("name"), F.floor(F.col("vec_id") / 3).alias("image_id"), "embedding")
+    means = K.mean_reference(faces)[0].select("name", F.posexplode("mean").alias("pos", "value"))
+    return means.select("name", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
+@query("SELECT label AS name, vec_id // 3 AS image_id, count(*) AS n FROM embeddings GROUP BY ALL HAVING count(*) > 1")
+def person_images_skipped(spark, sf):
+    faces = t(spark, sf, "embeddings").select(F.col("label").alias("name"), F.floor(F.col("vec_id") / 3).alias("image_id"), "embedding")
+    return K.mean_reference(faces)[1]
+
+
+@query("SELECT n_name AS name, CASE WHEN n_name = 'NATION_3' THEN [0.5, 0.25] ELSE [n_nationkey::DOUBLE, 1.0] END AS embedding FROM nation")
+def person_registered(spark, sf):
+    persons = t(spark, sf, "nation").select(F.col("n_name").alias("name"), F.array(F.col("n_nationkey").cast("double"), F.lit(1.0)).alias("embedding"))
+    return K.register_person(persons, "NATION_3", [0.5, 0.25])
+
+
+@query("SELECT label AS cluster_id, CASE WHEN label = 3 THEN 'named' ELSE 'new' END AS status, CASE WHEN label = 3 THEN 'Ada' END AS name FROM embeddings GROUP BY label")
+def cluster_status_set(spark, sf):
+    clusters = t(spark, sf, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.lit("new").alias("status"), F.lit(None).cast("string").alias("name"))
+    return CL.set_status(clusters, 3, "named", "Ada")
+
+
+@query("SELECT label AS cluster_id, list_slice(list(vec_id ORDER BY vec_id), 1, 3) AS members FROM embeddings WHERE label % 4 <> 2 GROUP BY label")
+def clusters_listed(spark, sf):
+    clusters = t(spark, sf, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
+    clusters = clusters.withColumn("status", F.when(F.col("cluster_id") % 4 == 2, "ignored").otherwise("new"))
+    return CL.list_clusters(clusters, 3).select("cluster_id", "members")
+
+
+@query("SELECT count(*) AS clusters, count(*) FILTER (label % 3 = 0) AS named, sum(n)::BIGINT AS faces FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
+def cluster_totals(spark, sf):
+    clusters = t(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    return PE.cluster_stats(clusters.withColumn("status", F.when(F.col("label") % 3 == 0, "named").otherwise("new")))
+
+
+@query("SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id % 10 DESC, doc_id) AS pos FROM documents")
+def trash_listed(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "lang")
+    bin_ = d.select(F.col("uid").alias("id"), F.struct("uid", "lang").alias("entry"), (F.col("uid") % 10).cast("double").alias("deleted_at"), F.lit(False).alias("file_deleted"))
+    listed = K.list_trash(bin_).select("id", "deleted_at")
+    before = listed.groupBy("deleted_at").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy(F.desc("deleted_at")).rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.row_number().over(Window.partitionBy("deleted_at").orderBy("id"))
+    return listed.join(before, "deleted_at").select("id", (F.coalesce("before", F.lit(0)) + place).alias("pos"))
+
+
+# ---- filters, queues and views -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, true AS malformed FROM documents")
+def malformed_filter(spark, sf):
+    rows, bad = S.filtered(t(spark, sf, "documents"), {"no such attribute": "x", "lang": "en"})
+    return rows.select("doc_id", F.lit(bad).alias("malformed"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 1 AND c_custkey % 5 <> 1")
+def geotagged(spark, sf):
+    k = F.col("c_custkey")
+    return G.geotagged(t(spark, sf, "customer").select("c_custkey", F.when(k % 3 != 1, (k % 3).cast("double")).alias("lat"), F.when(k % 5 != 1, (k % 5).cast("double")).alias("lon"))).select("c_custkey")
+
+
+@query("SELECT c_custkey, round(c_custkey % 200 - 90.0, 2) BETWEEN -90 AND 90 AS valid FROM customer WHERE c_custkey % 7 > 0 UNION ALL SELECT c_custkey, false FROM customer WHERE c_custkey % 7 = 0")
+def valid_points(spark, sf):
+    k = F.col("c_custkey")
+    return t(spark, sf, "customer").select("c_custkey", G.valid_point(F.when(k % 7 > 0, (k % 200 - 90).cast("double")), F.lit(12.5)).alias("valid"))
+
+
+@query("SELECT conv_id AS uid FROM conversations GROUP BY conv_id HAVING bool_or(role = 'user') AND conv_id % 4 <> 0")
+def embed_pending_for_model(spark, sf):
+    c = t(spark, sf, "conversations")
+    history = F.collect_list(F.struct(F.col("role").alias("model"), F.col("text").alias("caption_json")))
+    rows = c.groupBy(F.col("conv_id").alias("uid")).agg(history.alias("caption_history"), F.lit("").alias("caption_json"))
+    return PE.embed_pending_for(rows, rows.where("uid % 4 = 0").select(F.col("uid").alias("id")), "user").select("uid")
+
+
+@query("SELECT vec_id AS uid FROM embeddings ORDER BY vec_id LIMIT 12")
+def recent_without_any(spark, sf):
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    media_ = t(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("uid"), F.col("doc_id").cast("double").alias("created_at"))
+    return B.recent_or_any(media_, e, 12)
+
+
+@query("""SELECT year, row_number() OVER (ORDER BY year = 'Unknown', year DESC) AS pos FROM (SELECT DISTINCT CASE WHEN o_orderkey % 50 = 0 THEN 'Unknown' ELSE year(o_orderdate)::VARCHAR END AS year FROM orders)""")
+def years_ordered(spark, sf):
+    years = t(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 50 == 0, "Unknown").otherwise(F.year("o_orderdate").cast("string")).alias("year")).distinct()
+    return years.withColumn("pos", F.row_number().over(Window.orderBy(*B.year_order())).cast("long"))
+
+
+@query("SELECT conv_id, list_reverse(list_slice(list(turn ORDER BY turn DESC), 1, 2)) AS tail FROM conversations GROUP BY conv_id")
+def log_tails(spark, sf):
+    logs = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("log"))
+    return logs.select("conv_id", B.log_tail("log", 2).alias("tail"))
+
+
+@query("SELECT n_name AS name, row_number() OVER (ORDER BY n_regionkey <> 2, n_name) AS pos FROM nation")
+def models_loaded_first(spark, sf):
+    models = t(spark, sf, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_regionkey") == 2, "loaded").when(F.col("n_regionkey") == 1, "idle").alias("state"))
+    order = Window.orderBy(~F.coalesce(F.col("state") == "loaded", F.lit(False)), "name")
+    return B.loaded_first(models).select("name", F.row_number().over(order).cast("long").alias("pos"))
+
+
+@query("SELECT user_id AS job_id FROM events GROUP BY user_id ORDER BY user_id % 3 = 1 DESC, max(event_id) DESC, user_id LIMIT 1")
+def primary_job(spark, sf):
+    jobs = t(spark, sf, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max("event_id").alias("started_at")).withColumn("running", F.col("job_id") % 3 == 1)
+    return A.primary_job(jobs).select("job_id")
+
+
+@query("SELECT sha1(text) AS sha1, min(doc_id) AS doc_id FROM documents GROUP BY text HAVING bool_and(doc_id % 4 <> 0) AND bool_and(doc_id % 6 <> 1)")
+def unseen_contents(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("sha1"))
+    seen = d.where("doc_id % 4 = 0").select("sha1").unionByName(d.where("doc_id % 6 = 1").select("sha1"))
+    return ST.first_seen(d.groupBy("sha1").agg(F.min("doc_id").alias("doc_id")), seen)
+
+
+# ---- frames and captions ------------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT conv_id AS video_id, coalesce(arg_min(text, turn) FILTER (turn % 2 = 1 AND text <> ''), '') AS festival, max(turn)::INT AS most FROM conversations GROUP BY conv_id""")
+def first_filled_texts(spark, sf):
+    c = t(spark, sf, "conversations").select(F.col("conv_id").alias("video_id"), "turn", F.when(F.col("turn") % 2 == 1, F.col("text")).otherwise("").alias("festival"))
+    return A.first_filled(c, ["video_id"], "festival", "turn").join(c.groupBy("video_id").agg(F.max("turn").cast("int").alias("most")), "video_id")
+
+
+@query("""WITH v AS (SELECT conv_id, role, count(*) AS n, min(turn) AS f FROM conversations GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f) AS k FROM v),
+c AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS k FROM conversations)
+SELECT w.conv_id AS video_id, w.role AS scene, sha1(c.text) AS caption, p.m AS person_count, [w2.o] AS objects FROM w JOIN c ON c.conv_id = w.conv_id AND c.k = 1
+JOIN (SELECT conv_id, max(turn % 4)::INT AS m FROM conversations GROUP BY 1) p ON p.conv_id = w.conv_id JOIN (SELECT DISTINCT conv_id, 'Sky' AS o FROM conversations) w2 ON w2.conv_id = w.conv_id WHERE w.k = 1""")
+def merged_frames(spark, sf):
+    other = ["location_type", "weather", "season", "time_of_day", "occasion", "group_size", "clothing_style", "mood"]
+    frames = t(spark, sf, "conversations").select(
+        F.col("conv_id").alias("video_id"), F.col("turn").alias("pos"), F.col("role").alias("scene"), *[F.lit("unknown").alias(c) for c in other], F.col("text").alias("caption"),
+        F.lit("").alias("people_description"), F.array(F.lit("Sky"), F.lit(" sky ")).alias("objects"), F.lit("").alias("festival_name"), (F.col("turn") % 4).cast("int").alias("person_count"),
+    )
+    return A.merge_frames(frames).select("video_id", "scene", F.sha1(F.col("caption").cast("binary")).alias("caption"), "person_count", "objects")
+
+
+def valid_captions(spark, sf):
+    i = F.col("event_id")
+    keys = [F.lit("x").alias(k) for k in ("scene", "occasion", "weather", "group_size")]
+    good = F.to_json(F.struct(F.col("event_type").alias("caption"), *keys))
+    bad = F.to_json(F.struct(F.lit("quota").alias("error")))
+    return t(spark, sf, "events").select("event_id", "event_type", F.when(i % 4 == 0, good).when(i % 4 == 1, bad).when(i % 4 == 2, "").alias("j"))
+
+
+@query("""SELECT event_id, event_id % 4 = 0 AS valid, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Model returned error: quota' ELSE 'Output is not valid JSON — model may not support image input' END AS warning,
+CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 5 = 0 THEN 'flat' ELSE '' END AS caption, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'caption reports an error' ELSE 'no caption' END AS error FROM events""")
+def caption_outcomes(spark, sf):
+    rows = valid_captions(spark, sf).withColumn("flat", F.when(F.col("event_id") % 5 == 0, " flat "))
+    rows = rows.withColumns({"v": C.validation("j"), "e": C.to_embed("j", F.lit(None).cast("array<struct<model:string,caption_json:string>>"))})
+    return rows.select("event_id", "v.valid", "v.warning", C.caption_text("j", "flat").alias("caption"), "e.error")
+
+
+@query("""SELECT event_id, event_id % 3 = 0 AS truncated, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN event_type || ' Spoken words: ' || repeat('a', 400) || '…' ELSE 'Spoken words: hi' END AS caption FROM events""")
+def spoken_captions(spark, sf):
+    k = F.col("event_id") % 3
+    caption = F.when(k == 0, F.col("event_type")).when(k == 1, F.concat("event_type", F.lit("  ")))
+    said = F.when(k == 1, F.repeat(F.lit("a"), 401)).when(k == 2, "hi")
+    return t(spark, sf, "events").select("event_id", C.truncated(F.when(k == 0, "MAX_TOKENS").when(k == 1, "stop")).alias("truncated"), C.attach_transcript(caption, said).alias("caption"))
+
+
+# ---- more scalars --------------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_size || ':' || printf('%.3f', p_retailprice) AS sig FROM part")
+def change_signatures(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", H.signature("p_size", "p_retailprice").alias("sig"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN 0 ELSE round(l_partkey / (l_linenumber - 3.0), 6) END::DOUBLE AS ratio FROM lineitem")
+def ratios(spark, sf):
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(G.ratio("l_partkey", F.col("l_linenumber") - 3), 6).alias("ratio"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 14 = 0 THEN 'Undated' WHEN o_orderkey % 14 = 13 THEN '13' ELSE strftime(make_date(2000, (o_orderkey % 14)::INT, 1), '%B') END AS label FROM orders")
+def month_labels(spark, sf):
+    return t(spark, sf, "orders").select("o_orderkey", D.month_label(F.lpad((F.col("o_orderkey") % 14).cast("string"), 2, "0")).alias("label"))
+
+
+@query("SELECT event_id, round((event_id + 100000) / 86400.0, 1)::DOUBLE AS days FROM events")
+def ages_in_days(spark, sf):
+    return t(spark, sf, "events").select("event_id", D.days_since(F.lit(1000.0), F.col("event_id") + 101000.0).alias("days"))
+
+
+PIXELS = "list_concat(embedding, embedding[1:8])"
+
+
+@query(f"""SELECT vec_id, lpad(lower(to_hex(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN p[(i // 8) * 9 + i % 8 + 1] > p[(i // 8) * 9 + i % 8 + 2] THEN (1::UBIGINT << (63 - i)::UBIGINT)::HUGEINT ELSE 0::HUGEINT END))::UBIGINT)), 16, '0') AS dhash
+FROM (SELECT vec_id, {PIXELS} AS p FROM embeddings)""")
+def pixel_hash(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", H.hash_hex(H.difference_hash(F.concat("embedding", F.slice("embedding", 1, 8)))).alias("dhash"))
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(l_quantity - 10, 0) * 2.0 AS area FROM lineitem")
+def box_areas(spark, sf):
+    box = F.array(F.lit(10.0), F.lit(1.0), F.col("l_quantity").cast("double"), F.lit(3.0))
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", M.box_area(box).alias("area"))
+
+
+@query("""SELECT s_suppkey, (3600.0 * (s_suppkey % 3) + 62.5)::DOUBLE AS duration, 100 + s_suppkey % 900 AS width, 720 AS height, 'h264' AS codec, '2024-01-02T03:04:05' AS created, [0.5, s_suppkey % 9 + 0.25]::DOUBLE[] AS cuts FROM supplier""")
+def probe_texts(spark, sf):
+    k = F.col("s_suppkey")
+    text = F.format_string("Duration: %02d:01:02.50, start\n  creation_time   : 2024-01-02T03:04:05\n Stream #0:0: Video: h264 (High), yuv420p, %dx720, 30 fps\n pts_time:0.5 x\n pts_time:%s.25 y", k % 3, 100 + k % 900, (k % 9).cast("string"))
+    rows = t(spark, sf, "supplier").select("s_suppkey", text.alias("x"))
+    size = M.probe_size("x")
+    return rows.select("s_suppkey", M.probe_duration("x").alias("duration"), size["width"].cast("long").alias("width"), size["height"].alias("height"), M.probe_codec("x").alias("codec"), M.probe_created("x").alias("created"), M.scene_times("x").alias("cuts"))
+
+
+@query("""SELECT s_suppkey, s_suppkey % 4 <> 3 AS found, CASE WHEN s_suppkey % 4 < 3 THEN 640 + s_suppkey END AS width, CASE s_suppkey % 4 WHEN 0 THEN 12.346 WHEN 1 THEN 7.5 END::DOUBLE AS duration,
+CASE s_suppkey % 4 WHEN 0 THEN 270 WHEN 1 THEN 90 END AS rotation, CASE WHEN s_suppkey % 4 < 2 THEN 29.97 END::DOUBLE AS fps, CASE WHEN s_suppkey % 4 < 3 THEN s_suppkey % 4 = 0 END AS audio, CASE s_suppkey % 4 WHEN 0 THEN 'stream' WHEN 1 THEN 'file' END AS taken FROM supplier""")
+def probe_reports(spark, sf):
+    k = F.col("s_suppkey")
+    width = (640 + k).cast("string")
+    first = F.concat(F.lit('{"streams":[{"codec_type":"audio"},{"codec_type":"video","width":'), width, F.lit(',"duration":"12.3456","avg_frame_rate":"30000/1001","tags":{"creation_time":"stream","rotate":"90"},"side_data_list":[{"x":1},{"rotation":-90}]}],"format":{"tags":{"creation_time":"file"}}}'))
+    second = F.concat(F.lit('{"streams":[{"codec_type":"video","width":'), width, F.lit(',"duration":"N/A","r_frame_rate":"30000/1001","tags":{"rotate":"450"}}],"format":{"duration":"7.5","tags":{"creation_time":"file"}}}'))
+    third = F.concat(F.lit('{"streams":[{"codec_type":"video","width":'), width, F.lit(',"avg_frame_rate":"0/0"}]}'))
+    text = F.when(k % 4 == 0, first).when(k % 4 == 1, second).when(k % 4 == 2, third).otherwise('{"streams":[{"codec_type":"audio"}]}')
+    r = t(spark, sf, "supplier").select("s_suppkey", M.probe_report(text).alias("r"))
+    return r.select("s_suppkey", F.col("r").isNotNull().alias("found"), F.col("r.width").cast("long").alias("width"), F.col("r.duration_s").alias("duration"), "r.rotation", "r.fps", F.col("r.has_audio").alias("audio"), F.col("r.capture_time").alias("taken"))
+
+
+@query("SELECT n_nationkey, 'N' || lpad(n_nationkey::VARCHAR, 2, '0') AS make, CASE n_regionkey WHEN 0 THEN 'Horizontal (normal)' WHEN 1 THEN 'Mirrored horizontal' WHEN 2 THEN 'Rotated 180' WHEN 3 THEN 'Mirrored vertical' ELSE 'Mirrored horizontal then rotated 90 CCW' END AS orientation FROM nation")
+def exif_tags(spark, sf):
+    short = lambda c: F.concat(F.lpad(F.hex(c), 2, "0"), F.lit("000000"))
+    make = F.hex(F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")))
+    body = F.concat(F.lit("49492A00080000000200" + "0F01020004000000"), make, F.lit("00" + "1201030001000000"), short(F.col("n_regionkey").cast("long") + 1), F.lit("00000000"))
+    rows = t(spark, sf, "nation").select("n_nationkey", E.fields(E.exif(F.unhex(body))).alias("f"))
+    return rows.select("n_nationkey", F.col("f.camera_make").alias("make"), F.col("f.orientation").alias("orientation"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 4 ELSE least(greatest(s_suppkey - 5, 1), 12) END::INT AS frames FROM supplier")
+def clamped_frames(spark, sf):
+    k = F.col("s_suppkey")
+    return t(spark, sf, "supplier").select("s_suppkey", M.clamp_frames(F.when(k % 5 == 0, "many").otherwise((k - 5).cast("string"))).alias("frames"))
+
+
+@query("SELECT n_nationkey, n_regionkey < 3 AS same FROM nation")
+def served_models(spark, sf):
+    r, name = F.col("n_regionkey"), F.col("n_name")
+    served = F.when(r == 0, F.lower(name)).when(r == 1, F.concat(F.lit("org/"), name)).when(r == 2, F.substring(name, 1, 3)).otherwise("another-model")
+    return t(spark, sf, "nation").select("n_nationkey", M.same_model(name, served).alias("same"))
+
+
+@query("SELECT n_nationkey, n_regionkey % 2 = 0 AND n_nationkey % 4 <> 0 AS listed, n_regionkey > 0 AND n_nationkey % 3 > 0 AS offered FROM nation")
+def listed_models(spark, sf):
+    i, r = F.col("n_nationkey"), F.col("n_regionkey")
+    name = F.concat(F.when(r % 2 == 0, "x/Gemma-").otherwise("coder-"), i.cast("string"), F.when(i % 4 == 0, "-thinking").otherwise(""))
+    methods = F.when(r == 0, F.array(F.lit("embedContent"))).otherwise(F.array(F.lit("embedContent"), F.lit("generateContent")))
+    return t(spark, sf, "nation").select("n_nationkey", M.listed_model(name).alias("listed"), M.offers(methods, F.when(i % 3 == 0, 0).when(i % 3 == 1, 8), "generateContent").alias("offered"))
+
+
+# ---- workers --------------------------------------------------------------------------------------------------------------------------------
+
+
+class Flaky:
+    """Cannot be reached for every third id, and fails for the ids after those."""
+
+    def __call__(self, items):
+        k = int(items[0][0]) % 3
+        if k < 2:
+            raise OSError("Connection refused" if k == 0 else "bad image")
+        return J.FakeCaptioner()(items)
+
+
+@query("""SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 = 1 THEN 'fail' ELSE 'ok' END AS status, CASE doc_id % 3 WHEN 0 THEN 'second:fake:caption' WHEN 1 THEN 'error' ELSE 'first:fake:caption' END AS model,
+CASE WHEN doc_id % 3 = 1 THEN 'first: bad image' END AS error FROM documents""")
+def caption_chain(spark, sf):
+    pending = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("value"))
+    return J.run(pending, lambda: J.Chain([("first", Flaky()), ("second", J.FakeCaptioner())])).select("id", "status", "model", "error")
+
+
+@query("""SELECT conv_id::VARCHAR AS id, count(*) || ' frames from ' || arg_min(role, turn) || CASE WHEN conv_id % 2 = 0 THEN ', saying hi' ELSE '' END AS caption FROM conversations GROUP BY conv_id""")
+def video_captions(spark, sf):
+    c = t(spark, sf, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("pos"), F.col("role").alias("frame"))
+    asked = J.video_requests(c, c.where("video_id % 2 = 0").select("video_id", F.lit("hi").alias("text")).distinct())
+    return J.run(asked, J.FakeVideoCaptioner).select("id", F.get_json_object("payload", "$.caption").alias("caption"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 4 = 0 OR doc_id % 4 = 1 THEN '' ELSE 'says ' || source END AS text, CASE WHEN doc_id % 4 > 1 THEN 'en' END AS language FROM documents")
+def video_transcripts(spark, sf):
+    k = F.col("doc_id") % 4
+    videos = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(k == 1, "123").otherwise(F.col("source")).alias("value"), F.when(k == 0, False).when(k == 2, True).alias("has_audio"))
+    return J.transcripts(videos, J.FakeTranscriber)
+
+
+@query("""WITH r AS (SELECT doc_id::VARCHAR AS id, list_transform(range(0, 8), lambda i: ('0x' || substr(sha256(lang || doc_id), 2 * i + 1, 2))::INT - 127.5::DOUBLE) AS v FROM documents)
+SELECT id, i - 1 AS pos, round(x / sqrt(s), 6) AS value FROM (SELECT id, list_sum(list_transform(v, lambda x: x * x)) AS s, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM r)""")
+def text_vectors(spark, sf):
+    pending = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat("lang", F.col("doc_id").cast("string")).alias("value"))
+    v = J.run(pending, J.FakeEmbedder).select("id", F.posexplode(F.from_json("payload", "array<double>")).alias("pos", "value"))
+    return v.select("id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
+@query("""WITH f AS (SELECT vec_id AS image_id, unnest(range(0, ('0x' || substr(sha1(vec_id::VARCHAR), 1, 4))::BIGINT % 3))::INT AS face_index FROM embeddings)
+SELECT image_id, face_index, ('0x' || substr(sha1(image_id || ':' || face_index || ':0'), 1, 4))::BIGINT / 65536.0 AS first FROM f""")
+def image_faces(spark, sf):
+    return J.fake_faces(t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))).select("image_id", "face_index", F.get("embedding", F.lit(0)).alias("first"))
+
+
+class Growing:
+    """Needs a larger token budget for some values, and more than there is for others."""
+
+    model = "fake:long"
+
+    def __call__(self, items):
+        ask = J.with_budget(lambda value, budget: f'{{"budget": {budget}}}' if budget >= int(value) else '{"cut')
+        out = []
+        for _, v in items:
+            try:
+                out.append((ask(v), None, self.model))
+            except ValueError:
+                out.append((None, "cut short", self.model))
+        return out
+
+
+@query("""SELECT doc_id::VARCHAR AS id, CASE WHEN n > 16384 THEN 'fail' ELSE 'ok' END AS status, CASE WHEN n <= 4096 THEN 4096 WHEN n <= 8192 THEN 8192 WHEN n <= 16384 THEN 16384 END AS budget FROM (SELECT doc_id, doc_id % 20 * 1000 AS n FROM documents)""")
+def budget_escalation(spark, sf):
+    pending = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 20 * 1000).alias("value"))
+    return J.run(pending, Growing).select("id", "status", F.get_json_object("payload", "$.budget").cast("int").alias("budget"))

@@ -87,6 +87,29 @@ def scene_times(text) -> Column:
     return F.transform(F.regexp_extract_all(col(text), F.lit(r"pts_time:(\d+(?:\.\d+)?)"), 1), lambda x: x.cast("double"))
 
 
+PROBE = (
+    "streams array<struct<codec_type:string,codec_name:string,width:int,height:int,duration:string,avg_frame_rate:string,r_frame_rate:string,"
+    "tags:map<string,string>,side_data_list:array<struct<rotation:string>>>>, format struct<duration:string,tags:map<string,string>>"
+)
+
+
+def probe_report(text) -> Column:
+    """struct(duration_s, width, height, codec, capture_time, fps, rotation, has_audio) of a JSON probe; NULL without a video stream."""
+    r = F.from_json(col(text), PROBE)
+    v = F.get(F.filter(r["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
+    number = lambda c: F.nullif(c.try_cast("double"), F.lit(0.0))
+    turns = F.filter(F.transform(v["side_data_list"], lambda d: d["rotation"].try_cast("double").cast("int")), lambda x: x.isNotNull())
+    turn = F.coalesce(F.try_element_at(turns, F.lit(-1)), v["tags"]["rotate"].try_cast("int"))
+    stamp = lambda tags: F.nullif(tags["creation_time"], F.lit(""))
+    found = F.struct(
+        F.round(F.coalesce(number(v["duration"]), number(r["format"]["duration"])), 3).alias("duration_s"), v["width"].alias("width"), v["height"].alias("height"),
+        v["codec_name"].alias("codec"), F.coalesce(stamp(v["tags"]), stamp(r["format"]["tags"])).alias("capture_time"),
+        F.round(frame_rate(F.coalesce(F.nullif(v["avg_frame_rate"], F.lit("")), v["r_frame_rate"])), 3).alias("fps"), F.pmod(turn, F.lit(360)).alias("rotation"),
+        F.exists(r["streams"], lambda s: s["codec_type"] == "audio").alias("has_audio"),
+    )
+    return F.when(v.isNotNull(), found)
+
+
 def frame_rate(fraction) -> Column:
     part = lambda i: F.try_to_number(F.nullif(F.regexp_extract(col(fraction), r"^(\d+)/(\d+)$", i), F.lit("")), F.lit("9" * 12)).cast("double")
     return F.try_divide(part(1), part(2))
@@ -168,6 +191,22 @@ def is_connection_error(message) -> Column:
     return F.coalesce(contains_any(F.lower(col(message)), CONNECTION_WORDS), F.lit(False))
 
 
+# Parts of the names by which a gateway's models count as able to see, and those left out of its list.
+SEEING = ("gemini", "gemma", "claude", "gpt-5", "qwen-vl", "-vl")
+UNLISTED = ("-thinking", "-agentic", "embedding")
+
+
+def listed_model(name) -> Column:
+    """Whether a gateway's model belongs in the list of those that caption images."""
+    n = F.lower(col(name))
+    return F.coalesce(contains_any(n, SEEING) & ~contains_any(n, UNLISTED), F.lit(False))
+
+
+def offers(methods, output_limit, method: str) -> Column:
+    """Whether a catalogue's entry supports a method and gives any output; an entry without a limit counts as giving some."""
+    return F.coalesce(F.array_contains(col(methods), method), F.lit(False)) & (F.coalesce(col(output_limit), F.lit(1)) > 0)
+
+
 def same_model(asked, served) -> Column:
     """Whether the model that answered is the one asked for, by name containment."""
     a, s = F.lower(col(asked)), F.lower(col(served))

@@ -63,6 +63,13 @@ def recent(media: DataFrame, vectors: DataFrame, limit: int, key: str = "uid", o
     return newest.join(vectors.select(F.col("id").alias(key)), key, "left_semi").orderBy(*order).limit(limit)
 
 
+def recent_or_any(media: DataFrame, vectors: DataFrame, limit: int, key: str = "uid") -> DataFrame:
+    """`recent` as ids; early in indexing, when none of the newest is embedded, the first `limit` of what is."""
+    found = recent(media, vectors, limit, key).select(key)
+    others = vectors.select(F.col("id").alias(key)).orderBy(key).limit(limit)
+    return found if not found.isEmpty() else others
+
+
 def facets(df: DataFrame, attributes: list[str], numeric: tuple[str, ...] = ("person_count",)) -> DataFrame:
     """(attribute, values): the distinct known values of each attribute, sorted, numbers by value.
 

@@ -129,3 +129,31 @@ def backup_roots(folders: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("b"))
     rows = folders.select("path", P.base_name("path").alias("b"))
     return rows.select("path", F.when(n == 1, F.col("b")).otherwise(P.backup_label("path")).alias("label"))
+
+
+#: What a folder may be used for: which overlaps with folders of which kind are refused, and whether it has to lie in the library.
+PURPOSES = {
+    "import_from": ({("excluded", "inside"), ("included", "inside")}, False),
+    "import_into": ({("excluded", "inside")}, True),
+    "backup": ({(k, how) for k in ("included", "excluded") for how in ("inside", "contains")}, False),
+}
+
+
+def check_paths(candidates: DataFrame, folders: DataFrame, purpose: str) -> DataFrame:
+    """(path, ok, reason) of candidates(path) against folders(path, kind); a reason names the least overlap, excluded ones
+    first, or says 'outside'. Overlaps are equi-joins on ancestors, in both directions."""
+    refused, must_lie_inside = PURPOSES[purpose]
+    c = candidates.select(P.slashes("path").alias("path")).distinct()
+    f = folders.select(P.slashes("path").alias("folder"), "kind").distinct()
+    inside = c.select("path", F.explode(P.ancestors("path")).alias("folder")).join(f, "folder").withColumn("how", F.lit("inside"))
+    around = f.select("folder", "kind", F.explode(P.ancestors("folder")).alias("path")).where("path <> folder").join(c, "path", "left_semi").withColumn("how", F.lit("contains"))
+    pairs = inside.select("path", "folder", "kind", "how").unionByName(around)
+    bad = F.lit(False)
+    for kind, how in sorted(refused):
+        bad = bad | ((F.col("kind") == kind) & (F.col("how") == how))
+    worst = F.min(F.when(bad, F.struct((F.col("kind") == "included").alias("rank"), F.concat_ws(" ", "kind", "how", "folder").alias("text"))))
+    per = pairs.groupBy("path").agg(worst.getField("text").alias("bad"), F.bool_or((F.col("kind") == "included") & (F.col("how") == "inside")).alias("home"))
+    j = c.join(per, "path", "left")
+    homeless = ~F.coalesce("home", F.lit(False)) & F.lit(must_lie_inside)
+    reason = F.coalesce(F.when(F.col("path") == "", "empty"), F.col("bad"), F.when(homeless, "outside"))
+    return j.select("path", reason.isNull().alias("ok"), reason.alias("reason"))

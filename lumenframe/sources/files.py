@@ -37,8 +37,18 @@ def read_side_table(spark: SparkSession, path: str, schema: str, strict: bool =
 
 
 def write_side_table(df: DataFrame, path: str) -> None:
-    """Replace a side table; the committer makes the change visible at once."""
-    df.write.mode("overwrite").json(path)
+    """Replace a side table: written whole beside the old one, then renamed in its place, so a table may replace itself
+    and a failed write leaves the old one. Readers meet the old table, the new one, or for a moment none."""
+    paths = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    target, fresh, old = paths(path), paths(f"{path}.new"), paths(f"{path}.old")
+    fs = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").json(f"{path}.new")
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"cannot move {path} away")
+    if not fs.rename(fresh, target):
+        raise OSError(f"cannot put {path}.new in place")
+    fs.delete(old, True)
 
 
 def load_faces(spark: SparkSession, folder: str) -> DataFrame:
