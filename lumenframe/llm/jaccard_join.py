@@ -10,6 +10,11 @@ farther, so linked sets meet in one of them. Regions are cut again until they ar
 are then joined exactly; sets that the join has connected are not compared again. Links leave a region as a
 forest, and components follow from these forests.
 
+No task holds a whole large region: one of more than `large` sets is dealt over tasks, each of which measures its share against
+the region's pivots; the Voronoi regions are the next level's regions. A region in which every set is linked to one
+pivot is done. One that pivots no longer cut goes on as pairs of blocks, a task each: sets that are not linked to its best
+pivot meet each other and all others, and those linked to it, being connected, do not meet again.
+
 Nulls, empty texts and texts without words have no shingles and link with nothing. Texts with fewer words than
 a shingle form one shingle of all their words. A null doc_id counts as smaller than any other. Rows with the same
 doc_id are separate documents. Very long texts have large sets and are treated like any other. Shingles are held as
@@ -29,6 +34,9 @@ from lumenframe.llm.components import components
 
 SEGMENTS = 64
 SMALL = 192
+#: Sets of one region that a task joins at once, whatever the corpus; larger regions are cut over tasks.
+LARGE = 512
+LEVELS = 6
 #: Counters of the sketch, whatever the corpus.
 SLOTS = 1 << 22
 #: Cells that two linked sets share, if they have as many shingles; cells of up to FEW sets count towards it pair by pair.
@@ -304,34 +312,148 @@ class Region:
             self.join(part, depth + 1)
 
 
+OUT = "u binary, v binary, shingles binary, n long"
+
+
 def _region_join(percent: int):
+    """(pivot, sig, shingles, n) rows, sorted by pivot -> links of regions without n; rows of those with n, the large ones, as they are."""
+
     def run(batches):
-        held, pivot, edges = [], None, []
+        held, pivot, last, out = [], None, None, []
+
+        def flush():
+            rows = [pa.array([e[i] for e in out], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.binary(), pa.int64()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(rows, ["u", "v", "shingles", "n"])
 
         def close():
             if len(held) > 1:
                 r = Region([np.frombuffer(s, np.uint64) for _, s in held], percent)
                 r.join(np.arange(len(held)))
-                edges.extend((held[i][0], held[r.root(i)][0]) for i in range(len(held)) if r.root(i) != i)
+                out.extend((held[i][0], held[r.root(i)][0], None, None) for i in range(len(held)) if r.root(i) != i)
             held.clear()
 
         for batch in batches:
-            for p, sig, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for p, sig, s, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if n is not None:
+                    if (p, sig) != last:
+                        out.append((p, sig, s, n))
+                    last = p, sig
+                    if len(out) >= 1000:
+                        yield flush()
+                    continue
                 if p != pivot:
                     close()
                     pivot = p
                 if not held or held[-1][0] != sig:
                     held.append((sig, s))
-            if len(edges) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.binary()) for i in range(2)], ["u", "v"])
-                edges.clear()
+            if len(out) >= 1000:
+                yield flush()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.binary()) for i in range(2)], ["u", "v"])
+        yield flush()
 
     return run
 
 
-def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def _measure(percent: int):
+    """One share of a large region and the region's pivots -> a row a set, with bits for the pivots it is linked to and for the
+    Voronoi regions it enters; and the links found, as a forest."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sigs = left.column("sig").to_pylist() + right.column("sig").to_pylist()
+        held = left.column("shingles").to_pylist()
+        own, pivots = len(held), right.num_rows
+        r = Region([np.frombuffer(x, np.uint64) for x in held + right.column("shingles").to_pylist()], percent)
+        members, linked, inside = np.arange(own), np.zeros(own, np.int64), np.zeros(own, np.int64)
+        if own and pivots:
+            near = np.empty((pivots, own))
+            for k in range(pivots):
+                shared, size = r.overlaps(members, own + k), r.size[own + k]
+                hit = r.linked(shared, r.size[:own], size)
+                linked |= hit.astype(np.int64) << k
+                for m in members[hit]:
+                    r.link(int(m), own + k)
+                near[k] = 1 - shared / (r.size[:own] + size - shared)
+            window = near <= near.min(axis=0) + 2 * (1 - percent / 100) + 1e-9
+            inside = (window.astype(np.int64) << np.arange(pivots)[:, None]).sum(axis=0)
+        edges = [(sigs[i], sigs[r.root(i)]) for i in range(len(sigs)) if sigs[r.root(i)] != sigs[i]]
+        first = left.column("region").to_pylist()
+        none = [None] * len(edges)
+        return pa.table({
+            "u": pa.array(first + [u for u, _ in edges], pa.binary()), "v": pa.array(sigs[:own] + [v for _, v in edges], pa.binary()), "shingles": pa.array(held + none, pa.binary()),
+            "linked": pa.array(linked.tolist() + none, pa.int64()), "inside": pa.array(inside.tolist() + none, pa.int64()),
+        })
+
+    return run
+
+
+def _cut(big: DataFrame, level: int, percent: int, large: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One level of large regions big(region, sig, shingles, n) -> (links, rows of regions and blocks that fit a task, regions still large)."""
+    order = F.xxhash64("sig", F.lit(level))
+    salts = F.ceil(F.col("n") / large)
+    pivots = big.withColumn("h", order).groupBy("region", F.pmod("h", F.lit(PIVOTS)).alias("k")).agg(F.min_by(F.struct("sig", "shingles"), "h").alias("p"), F.first("n").alias("n"))
+    pivots = Table(pivots.select("region", "p.sig", "p.shingles", "n"), f"jaccard-pivots-{level}").read()
+    dealt = big.withColumn("salt", F.pmod(F.xxhash64("sig"), salts)).select("region", "salt", "sig", "shingles")
+    met = pivots.select("region", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "sig", "shingles")
+    schema = "u binary, v binary, shingles binary, linked long, inside long"
+    out = Table(dealt.groupBy("region", "salt").cogroup(met.groupBy("region", "salt")).applyInArrow(_measure(percent), schema), f"jaccard-level-{level}").read()
+    links, rows = out.where("shingles IS NULL").select("u", "v"), out.where("shingles IS NOT NULL").withColumnsRenamed({"u": "region", "v": "sig"})
+
+    bit = lambda c, k: F.getbit(c, F.lit(k)) == 1
+    counts = [F.count_if(bit("linked", k)).alias(f"l{k}") for k in range(PIVOTS)] + [F.count_if(bit("inside", k)).alias(f"i{k}") for k in range(PIVOTS)]
+    open_ = [F.count_if(bit("inside", k) & ~bit("linked", k)).alias(f"o{k}") for k in range(PIVOTS)]
+    seen = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), *counts, *open_)
+    children = F.array(*[F.when(F.col(f"o{k}") > 0, F.struct(F.lit(k).alias("k"), F.col(f"i{k}").alias("size"))) for k in range(PIVOTS)])
+    children = F.filter(children, lambda c: c.isNotNull())
+    best = F.array_max(F.array(*[F.struct(F.col(f"l{k}").alias("size"), F.lit(k).alias("k")) for k in range(PIVOTS)]))
+    seen = seen.select("region", "n", children.alias("children"), best.alias("best")).where("best.size < n")
+    widest = F.coalesce(F.array_max(F.transform("children", lambda c: c["size"])), F.lit(0).cast("long"))
+    seen = Table(seen.withColumn("cut", (widest <= 0.75 * F.col("n")) & F.lit(level + 1 < LEVELS)), f"jaccard-seen-{level}").read()
+
+    rows = rows.join(seen, "region")
+    child = rows.where("cut").withColumn("c", F.explode("children")).where("getbit(inside, c.k) = 1")
+    child = child.select(F.unhex(F.sha1(F.concat("region", F.col("c.k").cast("string").cast("binary")))).alias("region"), "sig", "shingles", F.col("c.size").alias("n"))
+    block = large // 2
+    apart = rows.where("NOT cut").withColumn("free", F.expr("getbit(linked, best.k) = 0"))
+    free, tied = F.greatest(F.ceil((F.col("n") - F.col("best.size")) / block), F.lit(1)), F.ceil(F.col("best.size") / block)
+    own = F.when(F.col("free"), F.pmod(F.xxhash64("sig"), free)).otherwise(F.pmod(F.xxhash64("sig"), F.greatest(tied, F.lit(1))))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    apart = apart.withColumns({"free_blocks": free, "tied_blocks": tied, "own": own})
+    name = lambda kind, a, b: F.concat_ws("-", F.lit(kind), a.cast("string"), b.cast("string"))
+    among = F.transform(upto(F.col("free_blocks")), lambda x: name("free", F.least(x, F.col("own")), F.greatest(x, F.col("own"))))
+    across = F.transform(upto(F.col("tied_blocks")), lambda x: name("tied", F.col("own"), x))
+    back = F.transform(upto(F.col("free_blocks")), lambda x: name("tied", x, F.col("own")))
+    apart = apart.withColumn("task", F.explode(F.when(F.col("free"), F.concat(among, across)).otherwise(back)))
+    apart = apart.select(F.unhex(F.sha1(F.concat("region", F.col("task").cast("binary")))).alias("pivot"), "sig", "shingles")
+    fits = child.where(F.col("n") <= large).select(F.col("region").alias("pivot"), "sig", "shingles")
+    return links, fits.unionByName(apart), child.where(F.col("n") > large)
+
+
+def _join_regions(sent: DataFrame, percent: int, large: int) -> DataFrame:
+    """Links (u, v) of sent(pivot, sig, shingles, n), n being the size of a large region and NULL in others."""
+    parts = shuffle_parts(sent.sparkSession)
+    salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("sig"), F.ceil(F.col("n") / large))).otherwise(0)
+
+    def joined(rows, name):
+        rows = rows.repartition(parts, "pivot", salt).sortWithinPartitions("pivot", "sig")
+        return Table(rows.select("pivot", "sig", "shingles", "n").mapInArrow(_region_join(percent), OUT), name).read()
+
+    first = joined(sent, "jaccard-edges")
+    links = [first.where("shingles IS NULL").select("u", "v")]
+    big = first.where("shingles IS NOT NULL").withColumnsRenamed({"u": "region", "v": "sig"})
+    for level in range(LEVELS):
+        if big.isEmpty():
+            break
+        found, fits, left = _cut(big, level, percent, large)
+        links += [found, joined(fits.withColumn("n", F.lit(None).cast("long")), f"jaccard-edges-{level}").select("u", "v")]
+        big = Table(left, f"jaccard-big-{level}").read()
+    out = links[0]
+    for x in links[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, large: int = LARGE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text): linked if 100 * shared >= percent * union."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -346,11 +468,13 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     cells = cells.select("cell", "sig", "n", most.cast("int").alias("most"), need.cast("int").alias("need")).repartition(parts, "cell")
     met = cells.mapInArrow(_pivots, "pivot binary, sig binary, need int").groupBy("pivot", "sig").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("least"), F.max("need").alias("need"))
     met = Table(met.where("least = 0 OR n >= need").select("pivot", "sig"), "jaccard-met").read()
-    regions = Table(met.unionByName(met.select("pivot", F.col("pivot").alias("sig"))).distinct(), "jaccard-regions").read()
+    regions = met.unionByName(met.select("pivot", F.col("pivot").alias("sig"))).distinct()
+    regions = Table(regions, "jaccard-regions").read()
+    sizes = regions.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large)
     shared = spark.sparkContext.broadcast(sigs_filter(regions))
-    sent = docs.select("text").mapInArrow(_sender(n, shared), "sig binary, shingles binary").join(regions.hint("merge"), "sig").select("pivot", "sig", "shingles")
-    sent = sent.repartition(parts, "pivot").sortWithinPartitions("pivot", "sig")
-    edges = Table(sent.mapInArrow(_region_join(percent), "u binary, v binary"), "jaccard-edges").read()
+    sized = regions.join(sizes, "pivot", "left")
+    sent = docs.select("text").mapInArrow(_sender(n, shared), "sig binary, shingles binary").join(sized.hint("merge"), "sig").select("pivot", "sig", "shingles", "n")
+    edges = _join_regions(sent, percent, large)
     roots = components(edges).withColumnRenamed("node", "sig")
     labels = classes.select("sig", "first").join(roots, "sig", "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
     least = labels.groupBy("root").agg(F.min(F.struct(F.col("first").isNotNull().alias("known"), F.col("first").alias("doc_id"))).alias("least"))

@@ -84,6 +84,51 @@ def test_region_join_matches_brute_force_on_large_regions():
     assert [r.root(i) for i in range(len(sets))] == [t.root(i) for i in range(len(sets))]
 
 
+@pytest.mark.parametrize("large", [12])
+def test_regions_cut_over_tasks_match_brute_force(spark, large):
+    docs = spark.createDataFrame(near_copies(5, 6, 120), "doc_id long, text string").repartition(3)
+    rows = [tuple(r) for r in docs.collect()]
+    assert sorted(map(tuple, J.link_documents(docs, 3, 90, large=large).collect()), key=str) == brute(rows, 3, 90)
+
+
+@pytest.mark.parametrize("change", [2, 30])
+def test_levels_of_one_large_region(spark, change, monkeypatch):
+    """One region of several families: near ones (settled by a pivot), spread ones (blocks), all of them cut by pivots first."""
+    rng = np.random.default_rng(change)
+    sets = []
+    for family in range(6):
+        base = rng.integers(0, 2**63, 150).astype(np.uint64)
+        for _ in range(20 + 20 * family):
+            s = base.copy()
+            s[rng.integers(0, len(s), rng.integers(0, change))] = rng.integers(0, 2**63, 1).astype(np.uint64)
+            at = rng.integers(0, len(s), change // 2)
+            s[at] = rng.integers(0, 2**63, len(at)).astype(np.uint64)
+            sets.append(np.unique(s))
+    sets = [np.frombuffer(x, np.uint64) for x in sorted({s.tobytes() for s in sets})]
+    rows = [(b"p", i.to_bytes(16, "big"), s.tobytes(), len(sets)) for i, s in enumerate(sets)]
+    sent = spark.createDataFrame(rows + rows[:50], "pivot binary, sig binary, shingles binary, n long").repartition(4)
+    levels, fits = [], []
+    cut = J._cut
+
+    def spy(big, level, *more):
+        out = cut(big, level, *more)
+        levels.append(level)
+        fits.append(out[1].groupBy("pivot").count().agg({"count": "max"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(J, "_cut", spy)
+    edges = J._join_regions(sent, 90, 40).collect()
+    assert levels and max(fits) <= 80
+    want, got = J.Region(sets, 90), J.Region(sets, 90)
+    for i in range(len(sets)):
+        shared = want.overlaps(np.arange(i + 1), i)
+        for j in np.flatnonzero(want.linked(shared, want.size[: i + 1], want.size[i])):
+            want.link(i, int(j))
+    for u, v in edges:
+        got.link(int.from_bytes(u, "big"), int.from_bytes(v, "big"))
+    assert [got.root(i) for i in range(len(sets))] == [want.root(i) for i in range(len(sets))]
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = spark.createDataFrame(near_copies(4), "doc_id long, text string")
     linked = J.link_documents(docs).collect()
