@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import Table, WordHash, ngram_hashes, pack, shuffle_parts, texts, unpack
-from lumenframe.llm.components import components
+from lumenframe.llm.components import components, with_least
 
 SEGMENTS = 64
 SMALL = 192
@@ -477,8 +477,8 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, large: int =
     edges = _join_regions(sent, percent, large)
     roots = components(edges).withColumnRenamed("node", "sig")
     labels = classes.select("sig", "first").join(roots, "sig", "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
-    least = labels.groupBy("root").agg(F.min(F.struct(F.col("first").isNotNull().alias("known"), F.col("first").alias("doc_id"))).alias("least"))
-    labels = Table(labels.join(least, "root").select("sig", "least"), "jaccard-labels").read()
+    least = with_least(labels, "root", F.struct(F.col("first").isNotNull().alias("known"), F.col("first").alias("doc_id")), "sig", "least")
+    labels = Table(least.select("sig", "least"), "jaccard-labels").read()
     out = sets.select("doc_id", "n", "sig").join(labels, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"))
 
