@@ -3,8 +3,9 @@
 For every new word the longest tokens from the left are proposed. A word's proposal is its BPE encoding exactly
 if each adjacent pair of tokens is compatible, that is if merging the pair's own symbols gives the pair back; all
 pairs of a batch's new words are tested at once against a sorted table of pairs, which grows by the pairs not met
-before. Only words with an incompatible pair are merged exactly, by rank. Words are cached per Python worker, up
-to `MOST_WORDS`.
+before. Only words with an incompatible pair are merged exactly, by rank. A Python worker caches words in two
+generations of `MOST_WORDS` each: when the younger is full it becomes the older, whose words return as they are met.
+The table of pairs starts anew beyond `MOST_PAIRS`.
 
 Texts are normalised and split as the vocabulary file's pipeline says: special tokens are found in the raw text,
 then NFC and lower case, then contractions, runs of letters, single digits and runs of other characters, white space
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
-MOST_WORDS = 600_000
+MOST_WORDS, MOST_PAIRS = 150_000, 2_000_000
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 #: All code points before U+0378 are assigned.
 LATER = re.compile("[^\\x00-\\u0377]")
@@ -78,6 +79,7 @@ class Codec:
         self.letters = {b: x for b, x in enumerate(byte_letters())}
         self.longest = max(map(len, self.ids))
         self.words: dict[str, bytes] = {x: np.array([i], "<u4").tobytes() for x, i in self.special.items()}
+        self.older: dict[str, bytes] = {}
         self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.exact_words = self.all_words = 0
 
@@ -185,12 +187,17 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > MOST_WORDS:
-            self.words = {x: self.words[x] for x in self.special}
+        if len(self.pairs) > MOST_PAIRS:
+            self.pairs, self.fits = self.pairs[:0], self.fits[:0]
         out = []
         for first in range(0, len(texts), 256):
+            if len(self.words) > MOST_WORDS:
+                self.older, self.words = self.words, {x: self.words[x] for x in self.special}
             pieces = [self.pieces(t) for t in texts[first : first + 256]]
-            new = set().union(*map(set, pieces)).difference(self.words) if pieces else ()
+            new = set().union(*map(set, pieces)).difference(self.words)
+            met = new.intersection(self.older)
+            self.words.update((w, self.older[w]) for w in met)
+            new -= met
             if new:
                 self.learn_words(list(new))
             get = self.words.__getitem__

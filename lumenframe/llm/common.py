@@ -81,7 +81,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash, cached; emptied when it has grown to `most` words, so memory stays bounded."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    def __init__(self, seed: int = 0, most: int = 150_000):
         self.seed, self.most = seed, most
 
     def __missing__(self, word: bytes) -> int:

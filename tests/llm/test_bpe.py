@@ -34,3 +34,13 @@ def test_any_text_matches_the_library(text):
     true = TRUE.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ids, "<u4").tolist() == true
     assert c.decode(ids) == TRUE.decode(true, skip_special_tokens=False)
+
+
+def test_full_caches_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_WORDS", 100)
+    monkeypatch.setattr(bpe, "MOST_PAIRS", 50)
+    c = bpe.Codec(str(public_tokenizers.path(bpe.VOCABULARY)))
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(1500).collect()]
+    got = [x for first in range(0, len(texts), 5) for x in c.encode_batch(texts[first : first + 5])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in TRUE.encode_batch(texts, add_special_tokens=False)]
+    assert c.older
