@@ -56,4 +56,26 @@ SELECT x.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT
 sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(n + 1), lambda k: substr(h, (2 * CASE WHEN k = 0 THEN 0 ELSE b[k] END + 1)::INT, (2 * (CASE WHEN k = n THEN length(h) // 2 ELSE a[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE b[k] END))::INT)), '') END)) AS kept_sha256
 FROM x LEFT JOIN o USING (doc_id)"""
 
-SQL = {"op2_suffix_dedup": SUBSTRINGS, "op3_quality_rules": QUALITY, "op5_line_dedup": LINES, "op8_jaccard_join": JACCARD, "op10_warc": WARC}
+
+
+def _product_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Lloyd's rounds unrolled: in each, `a` has the nearest entry of every part and `c` the entries that follow."""
+    d = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS MATERIALIZED (SELECT vec_id, label, k AS part, x[k * len(x) // {parts} + 1 : (k + 1) * len(x) // {parts}] AS x FROM v, range({parts}) t(k))",
+        f"c0 AS MATERIALIZED (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e FROM p QUALIFY e < {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, p.part, any_value(p.x) AS x, min({d} * {entries} + e) AS m FROM p JOIN c{r} c ON p.part = c.part GROUP BY ALL)")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT part, e, list(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END ORDER BY i) AS x
+FROM (SELECT part, m % {entries} AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, len(x) + 1) t(i) GROUP BY ALL) GROUP BY ALL)""")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, coalesce(s.x, c.x) AS x, c.e FROM c{r} c LEFT JOIN s{r} s ON c.part = s.part AND c.e = s.e)")
+    steps.append(f"b AS (SELECT sha256(string_agg(v, ',' ORDER BY part, e)) AS codebooks_sha256 FROM (SELECT part, e, array_to_string(x, ',') AS v FROM c{rounds}))")
+    steps.append(f"r AS (SELECT vec_id, label, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY ALL)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r, b"
+
+
+SQL = {"op11_vector_codes": _product_codes(), "op2_suffix_dedup": SUBSTRINGS, "op3_quality_rules": QUALITY, "op5_line_dedup": LINES, "op8_jaccard_join": JACCARD, "op10_warc": WARC}
