@@ -78,4 +78,12 @@ FROM (SELECT part, m % {entries} AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n
     return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r, b"
 
 
-SQL = {"op11_vector_codes": _product_codes(), "op2_suffix_dedup": SUBSTRINGS, "op3_quality_rules": QUALITY, "op5_line_dedup": LINES, "op8_jaccard_join": JACCARD, "op10_warc": WARC}
+NEGATIVES = """WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS a, r.vec_id AS r, a.label = r.label AS same, list_sum(list_transform(list_zip(a.x, r.x), lambda z: z[1] * z[2]))::BIGINT AS s FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT a, r, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, r) <= 5),
+n AS (SELECT p.a AS anchor_id, p.r AS positive_id, (row_number() OVER (PARTITION BY p.a, p.r ORDER BY s.s DESC, s.r))::INT AS rank, s.r AS negative_id, p.s AS positive_score, s.s AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.s <= 100 * s.s AND s.s <= p.s)
+SELECT * FROM n WHERE rank <= 5"""
+
+SQL = {"op12_hard_negatives": NEGATIVES, "op11_vector_codes": _product_codes(), "op2_suffix_dedup": SUBSTRINGS, "op3_quality_rules": QUALITY, "op5_line_dedup": LINES, "op8_jaccard_join": JACCARD, "op10_warc": WARC}

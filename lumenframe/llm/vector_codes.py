@@ -162,7 +162,7 @@ def _state(batch_schema: pa.Schema, ids, labels, packed: tuple) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([*lists, *held], ["ids", "labels", "data", "heap", "keys", "sizes", "changes"])
 
 
-def _first(entries: np.ndarray, width: int, scale: int):
+def _first(entries: np.ndarray, width: int, scale: int, size: int):
     """Rows to blocks, all of whose parts are compared."""
     parts = entries.shape[0]
 
@@ -177,10 +177,10 @@ def _first(entries: np.ndarray, width: int, scale: int):
         held, n = [], 0
         for batch in batches:
             while batch.num_rows:
-                part = batch.slice(0, BLOCK - n)
+                part = batch.slice(0, size - n)
                 held.append(part)
                 n, batch = n + part.num_rows, batch.slice(part.num_rows)
-                if n == BLOCK:
+                if n == size:
                     yield block(held)
                     held, n = [], 0
         if n:
@@ -273,7 +273,7 @@ def train(rows: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6, s
     if not n:
         return Codes(book, None, [], 0)
     length = parts * len(first) * (1 + width // parts) + 1
-    blocks = Table(rows.mapInArrow(_first(book, width, scale), schema), "codes")
+    blocks = Table(rows.mapInArrow(_first(book, width, scale, BLOCK), schema), "codes")
     drift, totals, looked = np.zeros(book.shape[:2]), np.zeros(length - 1, np.int64), []
     for _ in range(rounds):
         changes = _added(blocks.read(), length)

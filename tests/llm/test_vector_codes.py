@@ -57,6 +57,7 @@ def test_codes_equal_plain_rounds(spark, monkeypatch, block):
         total[label] = total.get(label, 0) + e
     assert sorted((r["id"], r["code"], r["error"], r["label_error"]) for r in out) == [(i, c, e, total[label]) for (i, label, _), c, e in zip(ints, codes, errors, strict=True)]
     assert found.sha256() == sha
+    assert max(found.blocks.read().selectExpr("size(ids)").first()) <= block
     # Later rounds compare only what the heaps gave up.
     assert found.compared[0] == 8 * len(ints) and found.compared[-1] < found.compared[1] < found.compared[0]
     assert found.codebooks(spark).count() == 8 * 16
