@@ -25,7 +25,9 @@ from lumenframe.operators import cluster as CL
 from lumenframe.operators import dedupe as DD
 from lumenframe.operators import ingest as I
 from lumenframe.operators import jobs as J
+from lumenframe.operators import metric as MT
 from lumenframe.operators import pending as PE
+from lumenframe.operators import vector_index as VI
 from lumenframe.plans import search as S
 from lumenframe.streaming import streams as ST
 
@@ -499,7 +501,44 @@ PAIRS = "(SELECT x.vec_id AS a, y.vec_id AS b, 1 - list_cosine_similarity(x.embe
 
 @query(f"SELECT a, b, round(d, 6) AS distance FROM {PAIRS} WHERE a < b AND d <= 0.65")
 def neighbour_pairs(spark, sf):
-    return V.neighbours(t(spark, sf, "embeddings"), "vec_id", "embedding", 0.65).withColumn("distance", F.round("distance", 6))
+    return MT.neighbours(t(spark, sf, "embeddings"), "vec_id", "embedding", 0.65).withColumn("distance", F.round("distance", 6))
+
+
+LETTERS = "etaoinshrdlucmfw"
+PROFILE_SQL = "prof AS MATERIALIZED (SELECT doc_id, [" + ", ".join(f"(length(x) - length(replace(x, '{c}', '')))::DOUBLE" for c in LETTERS) + "] AS v FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))"
+
+
+def profiles(spark, sf) -> DataFrame:
+    """How often documents use some letters, as vectors: media whose copies and near copies lie close together."""
+    x = F.coalesce("text", F.lit(""))
+    counts = F.array(*((F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+    return t(spark, sf, "documents").select("doc_id", counts.alias("v"))
+
+
+@query(f"""WITH {PROFILE_SQL}, g AS MATERIALIZED (SELECT v, min(doc_id) AS class_id, count(*) AS n FROM prof GROUP BY v),
+e AS (SELECT x.class_id, sum(y.n) AS links FROM g x JOIN g y ON x.class_id <> y.class_id AND 1 - list_cosine_similarity(x.v, y.v) <= 0.0005 GROUP BY x.class_id)
+SELECT doc_id, g.class_id, (coalesce(e.links, 0) + CASE WHEN list_sum(prof.v) > 0 THEN g.n - 1 ELSE 0 END)::BIGINT AS links FROM prof JOIN g USING (v) LEFT JOIN e USING (class_id)""")
+def profile_neighbours(spark, sf):
+    return MT.neighbour_counts(profiles(spark, sf), "doc_id", "v", 0.0005).select(F.col("k").alias("doc_id"), F.col("class").alias("class_id"), "links")
+
+
+def nearest_sql(vectors: str, key: str, vector: str, k: int) -> str:
+    return f"""SELECT q.{key} AS query, r.{key} AS id, round(list_distance(q.{vector}, r.{vector}), 6) AS distance, row_number() OVER (PARTITION BY q.{key} ORDER BY list_distance(q.{vector}, r.{vector}), r.{key}) AS rank
+FROM {vectors} q JOIN {vectors} r ON q.{key} <> r.{key} WHERE q.{key} % 50 = 0 QUALIFY rank <= {k}"""
+
+
+@query("WITH e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) " + nearest_sql("e", "vec_id", "v", 10))
+def nearest_vectors(spark, sf):
+    rows = t(spark, sf, "embeddings")
+    found = VI.build(rows, "vec_id", "embedding").search(rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, skip_own_key=True)
+    return found.withColumns({"distance": F.round("distance", 6), "rank": F.col("rank").cast("long")})
+
+
+@query(f"WITH {PROFILE_SQL} " + nearest_sql("prof", "doc_id", "v", 10))
+def nearest_profiles(spark, sf):
+    rows = profiles(spark, sf)
+    found = VI.build(rows, "doc_id", "v").search(rows.where("doc_id % 50 = 0"), "doc_id", "v", 10, skip_own_key=True)
+    return found.withColumns({"distance": F.round("distance", 6), "rank": F.col("rank").cast("long")})
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM {PAIRS} WHERE d <= 0.65), core AS MATERIALIZED (SELECT a FROM e GROUP BY a HAVING count(*) + 1 >= 3),

@@ -1,11 +1,7 @@
-"""Vectors as arrays: distances, means, fingerprints, and exact blocked search."""
+"""Vectors as arrays: distances, means, fingerprints, and ordered takes of the nearest rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,55 +54,3 @@ def range_search(df: DataFrame, query: list[float], threshold: float, key: str,
     if most is not None:
         return top_k(df, query, most, key, vector, "cosine").where(F.col("distance") <= threshold)
     return df.withColumn("distance", cosine_distance(vector, F.array(*[F.lit(float(x)) for x in query]))).where(F.col("distance") <= threshold)
-
-
-BLOCK_BYTES = 64 << 20
-
-
-def neighbours(df: DataFrame, key: str, vector: str, most: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(a, b, distance), a < b, of all rows within a cosine distance: an exact join in blocks of matrix products.
-
-    One side is read in blocks of a fixed size that are broadcast in turn, so memory is bounded whatever the table;
-    zero vectors are at distance 1 from everything.
-    """
-    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), _double(vector).alias("v")).where(F.col("v").isNotNull())
-    schema, out = f"a {kind}, b {kind}, distance double", None
-
-    def unit(batch: pa.RecordBatch) -> tuple[np.ndarray, list]:
-        v = batch.column(1)
-        m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norm == 0, 1, norm), batch.column(0).to_pylist()
-
-    def compare(shared):
-        def run(batches: Iterator[pa.RecordBatch]):
-            right, keys = shared.value
-            for batch in batches:
-                left, own = unit(batch)
-                for at in range(0, len(own), 1024):
-                    d = 1 - left[at : at + 1024] @ right.T if len(own) and len(keys) else np.zeros((0, 0))
-                    found = [(own[at + i], keys[j], float(d[i, j])) for i, j in zip(*np.nonzero(d <= most + 1e-12), strict=True) if own[at + i] < keys[j]]
-                    cols = list(zip(*found, strict=True)) or [[], [], []]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], batch.schema.field(0).type), pa.array(cols[2], pa.float64())], ["a", "b", "distance"])
-
-        return run
-
-    def blocks():
-        held, n = [], 0
-        for r in rows.toLocalIterator():
-            held.append(r)
-            n += 8 * len(r.v) + 64
-            if n >= block_bytes:
-                yield held
-                held, n = [], 0
-        if held:
-            yield held
-
-    for block in blocks():
-        m = np.array([r.v for r in block], np.float64)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((m / np.where(norm == 0, 1, norm), [r.k for r in block]))
-        part = rows.mapInArrow(compare(shared), schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out

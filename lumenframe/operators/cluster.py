@@ -7,27 +7,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.vectors import cosine_distance, fingerprint, mean_vectors, neighbours
+from lumenframe.functions.vectors import cosine_distance, fingerprint, mean_vectors
 from lumenframe.operators.components import connected_components
+from lumenframe.operators.metric import class_links, neighbours, onto_members, vector_classes
 
 
-def dbscan(df: DataFrame, key: str, vector: str = "embedding", eps: float = 0.5, min_samples: int = 3) -> DataFrame:
+def dbscan(df: DataFrame, key: str, vector: str = "embedding", eps: float = 0.5, min_samples: int = 3, report: dict | None = None) -> DataFrame:
     """(key, cluster, core): cluster -1 is noise; ids by size, largest first, ties by the smallest member.
 
-    A row counts among its own neighbours. A border row goes to the adjacent cluster whose smallest core is smallest.
+    A row counts among its own neighbours. A border row goes to the adjacent cluster whose smallest core is smallest. Equal vectors
+    are one class that counts as often as it has rows, so copies cost their number and not its square.
     """
-    pairs = neighbours(df, key, vector, eps).select("a", "b")
+    members, reps = vector_classes(df, key, vector, zeros_apart=eps < 1)
+    pairs = class_links(reps, eps, report).select("a", "b")
     links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rows = df.select(F.col(key).alias("id"))
-    degree = links.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    core = rows.join(degree, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id")
+    weights = reps.select(F.col("k").alias("id"), "n")
+    others = links.join(weights.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    core = weights.join(others, "id", "left").where(F.col("n") + F.coalesce("others", F.lit(0)) >= min_samples).select("id")
     inner = links.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi")
     labels = connected_components(core, inner)
     border = links.join(core.select(F.col("id").alias("a")), "a", "left_anti").join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"))
-    members = labels.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    classes = labels.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
+    # A component's least class holds its least core; its least member may be on the border.
+    sizes = classes.join(weights, "id").groupBy("component").agg(F.sum("n").alias("n"), F.min("id").alias("first"))
     ranked = sizes.select("component", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("cluster"))  # one row a cluster
-    out = rows.join(members, "id", "left").join(ranked, "component", "left")
+    of = classes.join(ranked, "component").select(F.col("id").alias("rep"), "cluster", "core")
+    out = df.select(F.col(key).alias("id")).join(onto_members(members, of).select(F.col("k").alias("id"), "cluster", "core"), "id", "left")
     return out.select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
 
 

@@ -1,33 +1,50 @@
-"""Connected components of an undirected graph."""
+"""Connected components of an undirected graph by alternating large and small stars."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.sources.shared import forget, written
 
-def _written(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the session's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
+SALTS = 64
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenframe-"))
-    return df.checkpoint()
+
+def with_least(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """rows with the least value of their group. A group's rows are dealt over salts, which alone meet its least value."""
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(value), SALTS))
+    parts = rows.groupBy(*by, "__salt").agg(F.min(value).alias(out))
+    least = parts.groupBy(*by).agg(F.min(out).alias(out), F.collect_list("__salt").alias("__salts"))
+    return rows.join(least.select(*by, out, F.explode("__salts").alias("__salt")), [*by, "__salt"]).drop("__salt")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """edges(a, b), a > b: every vertex ties its larger neighbours to the least of its neighbours and itself."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return with_least(both, ["a"], "b", "least").where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every vertex ties its smaller neighbours and itself to the least of them."""
+    tied = with_least(edges, ["a"], "b", "least")
+    own = edges.groupBy("a").agg(F.min("b").alias("b"))
+    return tied.where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(own)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """nodes(id), edges(a, b) -> (id, component): the least id reachable. Labels spread to neighbours and along
-    labels themselves (pointer jumping), so rounds grow with the logarithm of a component's width."""
-    both = _written(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
-    labels = _written(nodes.select("id", F.col("id").alias("component")).distinct())
+    """nodes(id), edges(a, b) -> (id, component): the least id reachable.
+
+    Rounds grow with the logarithm of a component's size; each is written to the shared folder. A vertex with any number of
+    neighbours is dealt over salted keys. Nodes without an edge are their own component; edges must lie between nodes.
+    """
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     for _ in range(most_rounds):
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = step.select(F.col("id").alias("j"), F.col("component").alias("jc"))
-        step = _written(step.join(jump, F.col("component") == F.col("j")).select("id", "old", F.least("component", "jc").alias("component")))
-        done = step.where("component <> old").isEmpty()
-        labels = step.select("id", "component")
-        if done:
-            return labels
-    raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+        after = written(_small_star(_large_star(now)).distinct(), "edges")
+        # Both stars keep a set of stars as it is, and change any other.
+        same = after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
+        forget(now)
+        now = after
+        if same:
+            stars = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            return nodes.select("id").distinct().join(stars, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -243,15 +243,6 @@ def test_dbscan_against_brute_force(spark):
     assert {r.id: r.cluster for r in CL.dbscan(df, "id", eps=0.05, min_samples=4).collect()} == want
 
 
-def test_neighbours_in_small_blocks(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(40, 4))
-    df = table(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, embedding array<double>")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if 1 - u[i] @ u[j] <= 0.4}
-    assert {(r.a, r.b) for r in V.neighbours(df, "id", "embedding", 0.4, block_bytes=1000).collect()} == want
-
-
 def test_identities_carry_over(spark):
     new = table(spark, [("a", 0), ("b", 0), ("c", 0), ("d", 1), ("e", 2)], "member string, cluster int")
     old = table(spark, [("a", 5), ("b", 5), ("x", 6)], "member string, cluster int")
