@@ -27,6 +27,7 @@ from lumenframe.operators import ingest as I
 from lumenframe.operators import jobs as J
 from lumenframe.operators import metric as MT
 from lumenframe.operators import pending as PE
+from lumenframe.operators import scans as SC
 from lumenframe.operators import vector_index as VI
 from lumenframe.plans import search as S
 from lumenframe.streaming import streams as ST
@@ -688,11 +689,41 @@ def enrichment_job(spark, sf):
     return J.run(pending, J.FakeCaptioner).select("id", "status", "model")
 
 
-@query()
+ADMISSION_SPANS = {"rps": 1, "rpm": 60, "rph": 3600, "rpd": 86400}
+
+
+def admission_sql(limits: dict[str, int], capped: list[str]) -> str:
+    """One request of every provider a step: the grants still remembered, what is full, and when the last full window opens."""
+    most = max(limits.values())
+    spans = {name: span * 1_000_000 for name, span in ADMISSION_SPANS.items() if name in limits}
+    opens = {name: f"CASE WHEN len(held) >= {limits[name]} AND held[-{limits[name]}] + {span} > q.ts_us THEN held[-{limits[name]}] + {span} ELSE 0 END" for name, span in spans.items()}
+    at = f"greatest({', '.join([*opens.values(), '0'])})"
+    which = "CASE WHEN o = 0 THEN NULL " + " ".join(f"WHEN o = {x} THEN '{name}'" for name, x in opens.items()) + " END"
+    names = ", ".join(f"'{p}'" for p in capped)
+    return f"""WITH RECURSIVE q AS MATERIALIZED (SELECT event_type AS provider, event_id AS request_id, epoch_us(ts) AS ts_us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT provider, 0::BIGINT AS i, NULL::BIGINT AS request_id, NULL::BIGINT AS ts_us, []::BIGINT[] AS held, 0::BIGINT AS o, NULL::VARCHAR AS which FROM q WHERE provider IN ({names})
+UNION ALL SELECT provider, i, request_id, ts_us, CASE WHEN o = 0 THEN list_append(held, ts_us)[-{most}:] ELSE held END, o, which FROM (
+SELECT *, {which.replace("q.ts_us", "ts_us")} AS which FROM (SELECT q.provider, q.i, q.request_id, q.ts_us, f.held, {at} AS o FROM f JOIN q ON q.provider = f.provider AND q.i = f.i + 1)))
+SELECT provider, request_id, ts_us, o = 0 AS granted, CASE WHEN o = 0 THEN 0 ELSE (o - ts_us) / 1e6 END AS wait_s, which AS limit_name FROM f WHERE i > 0
+UNION ALL SELECT provider, request_id, ts_us, true, 0, NULL FROM q WHERE provider NOT IN ({names})"""
+
+
+CAPPED = ["click", "view", "purchase", "login", "signup", "search"]
+
+
+def requests(spark, sf) -> DataFrame:
+    return t(spark, sf, "events").select(F.col("event_type").alias("provider"), F.col("event_id").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+
+@query(admission_sql({"rpm": 1, "rph": 3, "rpd": 40}, CAPPED))
 def admission(spark, sf):
-    e = t(spark, sf, "events").select(F.col("event_type").alias("provider"), F.col("event_id").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
-    types = ["click", "view", "purchase", "login", "signup", "search"]
-    return ST.admit(e, {k: {"rpm": 1, "rph": 3, "rpd": 40} for k in types})
+    return ST.admit(requests(spark, sf), {k: {"rpm": 1, "rph": 3, "rpd": 40} for k in CAPPED})
+
+
+@query(admission_sql({"rpm": 1, "rph": 2}, CAPPED))
+def admission_by_the_hour(spark, sf):
+    """Windows of an hour: a provider's log falls apart wherever it is idle for an hour."""
+    return ST.admit(requests(spark, sf), {k: {"rpm": 1, "rph": 2} for k in CAPPED})
 
 
 # ---- more of the library's small rules ------------------------------------------------------------------------------------------
@@ -959,9 +990,7 @@ def trash_listed(spark, sf):
     d = t(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "lang")
     bin_ = d.select(F.col("uid").alias("id"), F.struct("uid", "lang").alias("entry"), (F.col("uid") % 10).cast("double").alias("deleted_at"), F.lit(False).alias("file_deleted"))
     listed = K.list_trash(bin_).select("id", "deleted_at")
-    before = listed.groupBy("deleted_at").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy(F.desc("deleted_at")).rowsBetween(Window.unboundedPreceding, -1)))
-    place = F.row_number().over(Window.partitionBy("deleted_at").orderBy("id"))
-    return listed.join(before, "deleted_at").select("id", (F.coalesce("before", F.lit(0)) + place).alias("pos"))
+    return SC.numbered(listed, [F.desc("deleted_at"), "id"], name="pos").select("id", "pos")
 
 
 # ---- filters, queues and views -------------------------------------------------------------------------------------------------------

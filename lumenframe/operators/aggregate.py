@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.scans import Ordered, numbered
+from lumenframe.sources.shared import written
+
 
 def majority_vote(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """Each group's most frequent known value, of equals the one met first; 'unknown' if it has none."""
@@ -42,30 +47,42 @@ def merge_frames(frames: DataFrame) -> DataFrame:
     return out.join(ordered_union(frames, ["video_id"], "objects", "pos"), "video_id", "left")
 
 
+def _runs(log: DataFrame, by: list[str], order: list, status: str) -> Ordered:
+    """log with `failures`: all failures so far less those up to the last success."""
+    fails = Ordered(log, by, order).add(sums={"__fails": (F.col(status) == "fail").cast("long")})
+    fails = fails.add(maxima={"__reset": F.when(F.col(status) == "ok", F.coalesce("__fails", F.lit(0)))})
+    fails.df = fails.df.withColumn("failures", F.coalesce("__fails", F.lit(0)) - F.coalesce("__reset", F.lit(0))).drop("__fails", "__reset")
+    return fails
+
+
 def failure_runs(log: DataFrame, by: list[str], order: list[str], status: str = "status") -> DataFrame:
-    """log with `failures`: failures since the last success; a skipped item changes nothing."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    log = log.withColumn("__run", F.count_if(F.col(status) == "ok").over(w))
-    inner = Window.partitionBy(*by, "__run").orderBy(*order)
-    return log.withColumn("failures", F.count_if(F.col(status) == "fail").over(inner)).drop("__run")
+    """log with `failures`: failures since the last success; a skipped item changes nothing. A log of any length is many ranges."""
+    return _runs(log, by, order, status).rows()
 
 
 def until_abort(log: DataFrame, by: list[str], order: list[str], most: int, status: str = "status") -> DataFrame:
     """log up to the row at which a job gives up, and `aborted`."""
-    runs = failure_runs(log, by, order, status)
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.max((F.col("failures") >= most).cast("int")).over(w), F.lit(0))
-    return runs.withColumn("__done", before).where("__done = 0").withColumn("aborted", F.col("failures") >= most).drop("__done")
+    over = (F.col("failures") >= most).cast("long")
+    runs = _runs(log, by, order, status).add(sums={"__over": over})
+    return runs.rows().withColumn("aborted", F.col("failures") >= most).where(F.col("__over") - F.col("aborted").cast("long") == 0).drop("__over")
 
 
 def sliding_counts(requests: DataFrame, by: str, ts: str, spans: dict[str, int]) -> DataFrame:
-    """requests with the number of requests in (t - span, t] for each span in seconds."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    out = requests.withColumn("__us", us)
-    for name, span in spans.items():
-        w = Window.partitionBy(by).orderBy("__us").rangeBetween(-(span * 1_000_000 - 1), 0)
-        out = out.withColumn(name, F.count(F.lit(1)).over(w))
-    return out.drop("__us")
+    """requests with the number of requests in (t - span, t] for each span in seconds; null for a request without a time.
+
+    That is a difference of two prefix counts. The points at which they are wanted are merged with the requests, so nothing
+    is held that is as long as a span, however many requests that has.
+    """
+    at = requests.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = written(numbered(at.where("__us IS NOT NULL"), ["__us"], [by], "__no"), "requests")
+    ends = {"__all": 0} | {name: span * 1_000_000 for name, span in spans.items()}
+    own = rows.select(by, F.col("__us").alias("__x"), F.lit(0).alias("__ask"), F.lit(None).cast("long").alias("__no"), F.lit(None).cast("string").alias("__end"))
+    asked = [rows.select(by, (F.col("__us") - gone).alias("__x"), F.lit(1).alias("__ask"), "__no", F.lit(name).alias("__end")) for name, gone in ends.items()]
+    counted = Ordered(reduce(DataFrame.unionByName, asked, own), [by], ["__x", "__ask", "__no"]).add(sums={"__n": 1 - F.col("__ask")}).rows().where("__ask = 1")
+    wide = counted.groupBy(F.col(by).alias("__by"), F.col("__no").alias("__of")).agg(*(F.max(F.when(F.col("__end") == name, F.col("__n"))).alias(f"__at_{name}") for name in ends))
+    found = rows.join(wide, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__no") == F.col("__of")))
+    found = found.select(*requests.columns, *((F.col("__at___all") - F.col(f"__at_{name}")).alias(name) for name in spans))
+    return found.unionByName(at.where("__us IS NULL").select(*requests.columns, *(F.lit(None).cast("long").alias(name) for name in spans)))
 
 
 def job_counters(log: DataFrame) -> DataFrame:

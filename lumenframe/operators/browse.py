@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.dates import month_of, year_of
+from lumenframe.operators.scans import Ordered
 
 
 def timeline_counts(df: DataFrame, date: str = "date") -> DataFrame:
@@ -49,11 +50,11 @@ def year_order(year="year") -> list[Column]:
     return [F.col(year) == "Unknown", F.desc(year)]
 
 
-def runs(df: DataFrame, label: str, order: list, by: list | None = None) -> DataFrame:
+def runs(df: DataFrame, label: str, order: list, by: list[str] | None = None) -> DataFrame:
     """df with `section`: 1 more at each row whose label differs from the row before, within each group of `by`."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
-    new = (~F.lag(label).over(w).eqNullSafe(F.col(label)) | (F.row_number().over(w) == 1)).cast("int")
-    return df.withColumn("__new", new).withColumn("section", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    seen = Ordered(df, by or [], order).add(before={"__before": F.struct(label)})
+    new = (~F.col("__before").eqNullSafe(F.struct(label))).cast("long")
+    return seen.add(sums={"section": new}).rows().drop("__before")
 
 
 def recent(media: DataFrame, vectors: DataFrame, limit: int, key: str = "uid", over: int = 3) -> DataFrame:
@@ -67,7 +68,8 @@ def recent_or_any(media: DataFrame, vectors: DataFrame, limit: int, key: str = "
     """`recent` as ids; early in indexing, when none of the newest is embedded, the first `limit` of what is."""
     found = recent(media, vectors, limit, key).select(key)
     others = vectors.select(F.col("id").alias(key)).orderBy(key).limit(limit)
-    return found if not found.isEmpty() else others
+    any_found = found.agg((F.count(F.lit(1)) > 0).alias("__any"))  # one row
+    return found.unionByName(others.join(F.broadcast(any_found), ~F.col("__any")).select(key))
 
 
 def facets(df: DataFrame, attributes: list[str], numeric: tuple[str, ...] = ("person_count",)) -> DataFrame:
