@@ -118,7 +118,7 @@ def _blocks(pivots, size: int, kind: np.dtype):
             for part in np.split(np.arange(len(region)), np.flatnonzero(np.diff(region)) + 1) if len(region) else ():
                 at, stop = int(part[0]), int(part[-1]) + 1
                 while at < stop:
-                    if held and (region[at] != last or n == size):
+                    if held and (n == size or region[at] != last and n >= size // 4):  # small regions share a block
                         yield flush()
                         held, n = [], 0
                     take = min(stop - at, size - n)
@@ -201,7 +201,8 @@ def class_links(reps: DataFrame, most: float, report: dict | None = None) -> Dat
     kind = np.dtype(np.float32 if types["v"] == "array<float>" else np.float64)
     size = max(TILE, min(1 << 14, BLOCK_BYTES // (8 * dim)))
     rows = reps.select("k", "v").mapInArrow(_regions(shared), f"k {types['k']}, v {types['v']}, region int, angle double")
-    dealt = rows.repartitionByRange(-(-n // size), "region", "angle", "k").sortWithinPartitions("region", "angle", "k")
+    parts = -(-n // size)
+    dealt = rows.repartitionByRange(parts, "region", "angle", "k").sortWithinPartitions("region", "angle", "k").coalesce(parts)
     blocks = written(dealt.mapInArrow(_blocks(shared, size, kind), f"block long, region int, ids array<{types['k']}>, data binary, low array<double>, high array<double>"), "blocks")
     # Which blocks meet: by region first, then window by window.
     angle = math.acos(max(-1.0, min(1.0, 1 - most))) + MARGIN
