@@ -30,6 +30,7 @@ from lumenframe.operators import pending as PE
 from lumenframe.operators import scans as SC
 from lumenframe.operators import vector_index as VI
 from lumenframe.plans import search as S
+from lumenframe.sources.shared import written
 from lumenframe.streaming import streams as ST
 
 QUERIES: dict = {}
@@ -513,7 +514,7 @@ def profiles(spark, sf) -> DataFrame:
     """How often documents use some letters, as vectors: media whose copies and near copies lie close together."""
     x = F.coalesce("text", F.lit(""))
     counts = F.array(*((F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
-    return t(spark, sf, "documents").select("doc_id", counts.alias("v"))
+    return written(t(spark, sf, "documents").select("doc_id", counts.alias("v")), "profiles")  # counted once
 
 
 @query(f"""WITH {PROFILE_SQL}, g AS MATERIALIZED (SELECT v, min(doc_id) AS class_id, count(*) AS n FROM prof GROUP BY v),

@@ -89,19 +89,19 @@ def _regions(pivots):
         for batch in batches:
             a = angles(units(vectors_of(batch.column("v"))), pivots.value)
             region = a.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), pa.array(region, pa.int32()), pa.array(a[np.arange(len(a)), region])], ["k", "v", "region", "angle"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "v", "n")), pa.array(region, pa.int32()), pa.array(a[np.arange(len(a)), region])], ["k", "v", "n", "region", "angle"])
 
     return run
 
 
 def _blocks(pivots, size: int, kind: np.dtype):
-    def block(number: int, ids: pa.Array, region: int, v: np.ndarray) -> pa.RecordBatch:
+    def block(number: int, ids: pa.Array, weights: pa.Array, region: int, v: np.ndarray) -> pa.RecordBatch:
         u = units(v)
         a = angles(u, pivots.value)
         a_low, a_high = np.where((u == 0).all(1)[:, None], 0, a), np.where((u == 0).all(1)[:, None], np.pi, a)  # zero vectors are near nothing and never ruled out
-        arrays = [pa.array([number], pa.int64()), pa.array([region], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+        arrays = [pa.array([number], pa.int64()), pa.array([region], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, weights))]
         arrays += [pa.array([v.astype(kind).tobytes()], pa.binary())] + [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (a_low.min(0), a_high.max(0))]
-        return pa.RecordBatch.from_arrays(arrays, ["block", "region", "ids", "data", "low", "high"])
+        return pa.RecordBatch.from_arrays(arrays, ["block", "region", "ids", "weights", "data", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         number, held = TaskContext.get().partitionId() << 32, []
@@ -110,7 +110,7 @@ def _blocks(pivots, size: int, kind: np.dtype):
             nonlocal number
             table = pa.Table.from_batches(held).combine_chunks()
             number += 1
-            return block(number, table.column("k").chunk(0), table.column("region")[0].as_py(), vectors_of(table.column("v").chunk(0)))
+            return block(number, table.column("k").chunk(0), table.column("n").chunk(0), table.column("region")[0].as_py(), vectors_of(table.column("v").chunk(0)))
 
         n, last = 0, None
         for batch in batches:
@@ -148,64 +148,96 @@ def _targets(low: np.ndarray, high: np.ndarray, most: float):
     return run
 
 
-def _compare(pivots, most: float, kind: np.dtype, key_type: pa.DataType):
-    angle = math.acos(max(-1.0, min(1.0, 1 - most))) + MARGIN
+class Comparison:
+    """Two blocks, or one with itself, compared tile by tile where windows allow it."""
 
-    def tiles(u: np.ndarray):
-        a = angles(u, pivots.value)
-        zero = (u == 0).all(1)[:, None]
+    def __init__(self, table: pa.Table, pivots: np.ndarray, most: float, kind: np.dtype):
+        self.rows = sorted(table.select(["block", "ids", "weights", "data"]).to_pylist(), key=lambda r: r["block"])
+        self.left, self.right, self.most, self.compared = self.rows[0], self.rows[-1], most, 0
+        self.angle = angle_of(most)
+        self.vectors = [units(np.frombuffer(r["data"], kind).astype(np.float64).reshape(len(r["ids"]), -1)) for r in (self.left, self.right)]
+        self.pivots = pivots
+
+    def _tiles(self, u: np.ndarray):
+        a, zero = angles(u, self.pivots), (u == 0).all(1)[:, None]
         starts = np.arange(0, len(u), TILE)
         return starts, np.minimum.reduceat(np.where(zero, 0, a), starts), np.maximum.reduceat(np.where(zero, np.pi, a), starts)
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["block", "ids", "data"]).to_pylist(), key=lambda r: r["block"])
-        left, right = rows[0], rows[-1]
-        ua, ub = (units(np.frombuffer(r["data"], kind).astype(np.float64).reshape(len(r["ids"]), -1)) for r in (left, right))
-        (sa, la, ha), (sb, lb, hb) = tiles(ua), tiles(ub)
-        same, a, b, d, compared = len(rows) == 1, [], [], [], 0
+    def hits(self):
+        """(rows of the left block, rows of the right one, distances) of the pairs within the distance, each once."""
+        (ua, ub), same = self.vectors, len(self.rows) == 1
+        (sa, la, ha), (sb, lb, hb) = self._tiles(ua), self._tiles(ub)
         for t, at in enumerate(sa.tolist()):
-            near = _near(la[t], ha[t], lb, hb, angle)
+            near = _near(la[t], ha[t], lb, hb, self.angle)
             if same:
                 near[:t] = False
             for s in np.flatnonzero(near).tolist():
                 x, y = ua[at : at + TILE], ub[sb[s] : sb[s] + TILE]
-                compared += len(x) * len(y)
+                self.compared += len(x) * len(y)
                 distance = 1 - x @ y.T
-                i, j = np.nonzero(distance <= most + 1e-12)
+                i, j = np.nonzero(distance <= self.most + 1e-12)
                 if same:
                     ahead = i + at < j + sb[s]
                     i, j = i[ahead], j[ahead]
-                a.append(i + at)
-                b.append(j + sb[s])
-                d.append(distance[i, j])
-        pick = [np.concatenate(x) if x else np.zeros(0, int) for x in (a, b, d)]
-        p, q = ([r["ids"][i] for i in places.tolist()] for r, places in ((left, pick[0]), (right, pick[1])))
+                yield i + at, j + sb[s], distance[i, j]
+
+
+def _pairs(pivots, most: float, kind: np.dtype, key_type: pa.DataType):
+    def run(table: pa.Table) -> pa.Table:
+        two = Comparison(table, pivots.value, most, kind)
+        found = list(two.hits())
+        i, j, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+        p, q = ([r["ids"][x] for x in places.tolist()] for r, places in ((two.left, i), (two.right, j)))
         low, high = [min(x) for x in zip(p, q, strict=True)], [max(x) for x in zip(p, q, strict=True)]
-        cols = [pa.array([*low, None], key_type), pa.array([*high, None], key_type), pa.array([*pick[2].tolist(), None], pa.float64()), pa.array([None] * len(low) + [compared], pa.int64())]
+        cols = [pa.array([*low, None], key_type), pa.array([*high, None], key_type), pa.array([*d.tolist(), None], pa.float64()), pa.array([None] * len(low) + [two.compared], pa.int64())]
         return pa.Table.from_arrays(cols, ["a", "b", "distance", "compared"])
 
     return run
 
 
-def class_links(reps: DataFrame, most: float, report: dict | None = None) -> DataFrame:
-    """(a, b, distance), a < b, of reps(k, v) within a cosine distance. report: rows, pairs there are, blocks, pairs of blocks, pairs compared."""
+def _degrees(pivots, most: float, kind: np.dtype, key_type: pa.DataType):
+    """For each row how many rows of the other block, copies counted, lie within the distance: at most a number for each row, however many pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        two = Comparison(table, pivots.value, most, kind)
+        a, b = np.zeros(len(two.left["ids"]), np.int64), np.zeros(len(two.right["ids"]), np.int64)
+        wa, wb = np.array(two.left["weights"], np.int64), np.array(two.right["weights"], np.int64)
+        for i, j, _ in two.hits():
+            np.add.at(a, i, wb[j])
+            np.add.at(b, j, wa[i])
+        keys, counts = [], []
+        for r, n in ((two.left, a), (two.right, b)):
+            some = np.flatnonzero(n)
+            keys += [r["ids"][x] for x in some.tolist()]
+            counts += n[some].tolist()
+        cols = [pa.array([*keys, None], key_type), pa.array([*counts, None], pa.int64()), pa.array([None] * len(keys) + [two.compared], pa.int64())]
+        return pa.Table.from_arrays(cols, ["rep", "others", "compared"])
+
+    return run
+
+
+def angle_of(most: float) -> float:
+    return math.acos(max(-1.0, min(1.0, 1 - most))) + MARGIN
+
+
+def _meet(reps: DataFrame, most: float, make, schema: str, report: dict | None) -> DataFrame | None:
+    """What make(pivots, most, kind, key type) finds in all pairs of blocks that may hold a pair within the distance; None without vectors."""
     spark, types = reps.sparkSession, dict(reps.dtypes)
-    schema = f"a {types['k']}, b {types['k']}, distance double"
     dim = reps.agg(F.max(F.size("v"))).first()[0] or 0
     reps = reps.where((F.size("v") == dim) & finite("v") & (F.lit(most >= 1) | F.exists("v", lambda x: x != 0)))  # the others are near nothing
     n = reps.count()
     pivots = choose_pivots(reps, n) if n else np.zeros((0, 1))
     if not len(pivots):
-        return spark.createDataFrame([], schema)
+        return None
     shared = spark.sparkContext.broadcast(pivots)  # PIVOTS vectors at most
     kind = np.dtype(np.float32 if types["v"] == "array<float>" else np.float64)
     size = max(TILE, min(1 << 14, BLOCK_BYTES // (8 * dim)))
-    rows = reps.select("k", "v").mapInArrow(_regions(shared), f"k {types['k']}, v {types['v']}, region int, angle double")
+    rows = reps.select("k", "v", "n").mapInArrow(_regions(shared), f"k {types['k']}, v {types['v']}, n long, region int, angle double")
     parts = -(-n // size)
     dealt = rows.repartitionByRange(parts, "region", "angle", "k").sortWithinPartitions("region", "angle", "k").coalesce(parts)
-    blocks = written(dealt.mapInArrow(_blocks(shared, size, kind), f"block long, region int, ids array<{types['k']}>, data binary, low array<double>, high array<double>"), "blocks")
+    blocks = written(dealt.mapInArrow(_blocks(shared, size, kind), f"block long, region int, ids array<{types['k']}>, weights array<long>, data binary, low array<double>, high array<double>"), "blocks")
     # Which blocks meet: by region first, then window by window.
-    angle = math.acos(max(-1.0, min(1.0, 1 - most))) + MARGIN
+    angle = angle_of(most)
     window = blocks.select("region", F.posexplode(F.arrays_zip("low", "high")).alias("p", "w")).groupBy("region", "p").agg(F.min("w.low").alias("low"), F.max("w.high").alias("high"))
     low, high = np.full((len(pivots), len(pivots)), np.inf), np.full((len(pivots), len(pivots)), -np.inf)
     for r in window.collect():  # pivots times pivots
@@ -216,13 +248,27 @@ def class_links(reps: DataFrame, most: float, report: dict | None = None) -> Dat
     pairs = asked.join(slim.withColumnRenamed("block", "j").withColumnRenamed("region", "target"), "target").where((F.col("i") <= F.col("j")) & ~apart).select("i", "j")
     pairs = written(pairs, "pairs")
     sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    meeting = sides.join(blocks.select("block", "ids", "data"), "block")
+    meeting = sides.join(blocks.select("block", "ids", "weights", "data"), "block")
     key_type = spark.createDataFrame([], f"k {types['k']}").toArrow().schema.field(0).type
-    found = written(meeting.groupBy("i", "j").applyInArrow(_compare(shared, most, kind, key_type), f"{schema}, compared long"), "links")
+    found = written(meeting.groupBy("i", "j").applyInArrow(make(shared, most, kind, key_type), f"{schema}, compared long"), "links")
     if report is not None:
-        count, compared = found.agg(F.count("a"), F.sum("compared")).first()
-        report |= {"rows": n, "all_pairs": n * (n - 1) // 2, "pivots": len(pivots), "blocks": blocks.count(), "block_pairs": pairs.count(), "compared": compared or 0, "links": count}
-    return found.where("a IS NOT NULL").select("a", "b", "distance")
+        count = found.where("compared IS NULL").count()
+        report |= {"rows": n, "all_pairs": n * (n - 1) // 2, "pivots": len(pivots), "blocks": blocks.count(), "block_pairs": pairs.count(), "compared": found.agg(F.sum("compared")).first()[0] or 0, "found": count}
+    return found.where("compared IS NULL").drop("compared")
+
+
+def class_links(reps: DataFrame, most: float, report: dict | None = None) -> DataFrame:
+    """(a, b, distance), a < b, of reps(k, v, n) within a cosine distance. report: rows, pairs there are, blocks, pairs of blocks, pairs compared, pairs found."""
+    schema = f"a {dict(reps.dtypes)['k']}, b {dict(reps.dtypes)['k']}, distance double"
+    found = _meet(reps, most, _pairs, schema, report)
+    return found if found is not None else reps.sparkSession.createDataFrame([], schema)
+
+
+def class_degrees(reps: DataFrame, most: float, report: dict | None = None) -> DataFrame:
+    """(rep, others) of reps(k, v, n): how many rows with another vector lie within the cosine distance. Pairs are counted where they are found."""
+    schema = f"rep {dict(reps.dtypes)['k']}, others long"
+    found = _meet(reps, most, _degrees, schema, report)
+    return found.groupBy("rep").agg(F.sum("others").alias("others")) if found is not None else reps.sparkSession.createDataFrame([], schema)
 
 
 def neighbours(df: DataFrame, key: str, vector: str, most: float, report: dict | None = None) -> DataFrame:
@@ -247,10 +293,8 @@ def onto_members(members: DataFrame, values: DataFrame) -> DataFrame:
 def neighbour_counts(df: DataFrame, key: str, vector: str, most: float, report: dict | None = None) -> DataFrame:
     """(k, class, links) of every row with a vector: the least key among equal vectors and how many other rows lie within the cosine
     distance, its copies included. Copies are counted, not paired."""
-    members, reps = vector_classes(df, key, vector, zeros_apart=False)
-    links = class_links(reps, most, report)
-    size = reps.select(F.col("k").alias("b"), "n")
-    other = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(size, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    members, reps = vector_classes(df, key, vector)
+    other = class_degrees(reps, most, report)
     copies = F.when(finite("v") & (F.exists("v", lambda x: x != 0) | F.lit(most >= 1)), F.col("n") - 1).otherwise(0)
     values = reps.select(F.col("k").alias("rep"), copies.alias("copies")).join(other, "rep", "left").select("rep", (F.col("copies") + F.coalesce("others", F.lit(0))).alias("links"))
     return onto_members(members, values).select("k", F.col("rep").alias("class"), "links")

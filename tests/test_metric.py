@@ -51,7 +51,7 @@ def test_windows_rule_out_most_pairs(spark, monkeypatch):
     report = {}
     links = MT.class_links(MT.vector_classes(frame(spark, rows), "id", "embedding")[1], 0.02, report).count()
     different = list({tuple(v): (i, v) for i, v in reversed(rows) if any(v)}.values())
-    assert links == report["links"] == len(close_pairs(different, 0.02))
+    assert links == report["found"] == len(close_pairs(different, 0.02))
     assert report["compared"] < 0.35 * report["all_pairs"] and report["block_pairs"] < report["blocks"] ** 2 / 3
 
 
