@@ -7,6 +7,8 @@ model), events are requests and job logs (event_type is the provider), pages' ur
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -280,13 +282,13 @@ def caption_rows(spark, sf):
 @query("""SELECT event_id, ok, CASE WHEN ok THEN event_type ELSE '' END AS caption, CASE WHEN NOT ok THEN 'unknown' WHEN event_id % 3 = 0 THEN 'indoor' ELSE 'outdoor' END AS scene,
 CASE WHEN ok THEN (event_id % 4)::INT ELSE 0 END AS person_count, CASE WHEN ok THEN event_type || ', sky' ELSE '' END AS objects, 'unknown' AS weather FROM (SELECT *, event_id % 10 < 8 AS ok FROM events)""")
 def caption_attributes(spark, sf):
-    rows = caption_rows(spark, sf).withColumn("a", C.attributes("j"))
+    rows = C.with_attributes(caption_rows(spark, sf), "j")
     return rows.select("event_id", (F.col("event_id") % 10 < 8).alias("ok"), *[F.col(f"a.{k}") for k in ("caption", "scene", "person_count", "objects", "weather")])
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 10 < 8 THEN event_type || ' Objects: ' || event_type || ', sky. Tags: party.' ELSE '' END AS text FROM events""")
 def embedding_text(spark, sf):
-    return caption_rows(spark, sf).select("event_id", C.embedding_text(C.attributes("j")).alias("text"))
+    return C.with_attributes(caption_rows(spark, sf), "j").select("event_id", C.embedding_text(F.col("a")).alias("text"))
 
 
 @query("""SELECT event_id, false AS valid, CASE WHEN event_id % 10 = 9 THEN 'Output is not valid JSON — model may not support image input'
@@ -524,6 +526,19 @@ def profile_neighbours(spark, sf):
     return MT.neighbour_counts(profiles(spark, sf), "doc_id", "v", 0.0005).select(F.col("k").alias("doc_id"), F.col("class").alias("class_id"), "links")
 
 
+RACES = [(i, j) for i in range(len(LETTERS)) for j in range(i + 1, len(LETTERS))][:62]
+
+
+@query(f"""WITH {PROFILE_SQL}, h AS MATERIALIZED (SELECT doc_id, {' + '.join(f"(v[{i + 1}] > v[{j + 1}])::BIGINT * {1 << k}" for k, (i, j) in enumerate(RACES))} AS h FROM prof),
+g AS MATERIALIZED (SELECT h, min(doc_id) AS class_id, count(*) AS copies FROM h GROUP BY h), e AS (SELECT x.h, sum(y.copies)::BIGINT AS links FROM g x JOIN g y ON x.h <> y.h AND bit_count(xor(x.h, y.h)) <= 3 GROUP BY x.h)
+SELECT doc_id, class_id, copies, coalesce(links, 0) AS links FROM h JOIN g USING (h) LEFT JOIN e USING (h)""")
+def near_hash_classes(spark, sf):
+    """Which of two letters is more frequent, 62 times over: one text hash a document."""
+    bit = [F.shiftleft((F.get("v", F.lit(i)) > F.get("v", F.lit(j))).cast("long"), k) for k, (i, j) in enumerate(RACES)]
+    rows = profiles(spark, sf).select("doc_id", reduce(lambda a, b: a.bitwiseOR(b), bit).alias("h"))
+    return DD.near_counts(rows, "doc_id", "h", 3).select(F.col("k").alias("doc_id"), F.col("class").alias("class_id"), "copies", "links")
+
+
 def nearest_sql(vectors: str, key: str, vector: str, k: int) -> str:
     return f"""SELECT q.{key} AS query, r.{key} AS id, round(list_distance(q.{vector}, r.{vector}), 6) AS distance, row_number() OVER (PARTITION BY q.{key} ORDER BY list_distance(q.{vector}, r.{vector}), r.{key}) AS rank
 FROM {vectors} q JOIN {vectors} r ON q.{key} <> r.{key} WHERE q.{key} % 50 = 0 QUALIFY rank <= {k}"""

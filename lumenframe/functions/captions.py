@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.text import col
@@ -47,28 +47,42 @@ def _plain(item: Column) -> Column:
     return F.when(kind == "BOOLEAN", F.initcap(text)).when(kind == "VOID", "None").otherwise(F.coalesce(text, F.to_json(item)))
 
 
-def attribute(v: Column, key: str) -> Column:
-    """One attribute as text or, for person_count, int; defaults where it is missing or the JSON is no object."""
+def _attribute(item: Column, kind: Column, key: str) -> Column:
+    """One attribute as text or, for person_count, int, from its variant and that one's kind; the default where it is missing."""
     default = DEFAULTS[key]
-    item = F.try_variant_get(v, f"$.{key}", "variant")
     if key == "person_count":
-        return F.coalesce(F.try_variant_get(v, "$.person_count", "int"), F.lit(0))
+        return F.coalesce(F.try_variant_get(item, "$", "int"), F.lit(0))
     joined = F.array_join(F.transform(F.try_variant_get(item, "$", "array<variant>"), _plain), ", ")
-    kind = _kind(item)
     is_list = F.startswith(kind, F.lit("ARRAY"))
     if key in LISTS:
         return F.when(is_list, joined).when(kind == "STRING", F.try_variant_get(item, "$", "string")).otherwise("")
     pairs = F.map_entries(F.try_variant_get(item, "$", "map<string,variant>"))
     as_dict = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), _plain(e["value"]))), ", ")
     # A JSON null is kept as NULL and overrides the default.
-    return F.when(item.isNull(), F.lit(default)).when(kind == "VOID", F.lit(None)).when(is_list, joined).when(F.startswith(kind, F.lit("OBJECT")), as_dict).otherwise(F.try_variant_get(item, "$", "string"))
+    return F.when(kind.isNull(), F.lit(default)).when(kind == "VOID", F.lit(None)).when(is_list, joined).when(F.startswith(kind, F.lit("OBJECT")), as_dict).otherwise(F.try_variant_get(item, "$", "string"))
 
 
 def attributes(text) -> Column:
-    """struct of the 22 attributes of a caption's JSON."""
+    """struct of the 22 attributes of a caption's JSON, as one expression. Over a table use `with_attributes`, which parses a text once."""
     v = parsed(text)
-    v = F.when(is_object(v), v)
-    return F.struct(*[attribute(v, k).alias(k) for k in DEFAULTS])
+    members = F.when(is_object(v), F.try_variant_get(v, "$", "map<string,variant>"))
+    items = {k: F.try_element_at(members, F.lit(k)) for k in DEFAULTS}
+    return F.struct(*[_attribute(item, _kind(item), k).alias(k) for k, item in items.items()])
+
+
+def with_attributes(df: DataFrame, text: str, out: str = "a") -> DataFrame:
+    """df with a struct of the 22 attributes of a caption's JSON, defaults where it is no object.
+
+    Each text is parsed once: the parsed value, its members and their kinds are columns of their own, which the optimizer
+    doesn't multiply into the expressions that use them. Write the struct beside the text, and readers prune to the attributes they want.
+    """
+    row = {k: f"__item_{k}" for k in DEFAULTS}
+    kind = {k: f"__kind_{k}" for k in DEFAULTS}
+    rows = df.withColumn("__parsed", parsed(text)).withColumn("__members", F.when(is_object(F.col("__parsed")), F.try_variant_get("__parsed", "$", "map<string,variant>")))
+    rows = rows.withColumns({row[k]: F.try_element_at("__members", F.lit(k)) for k in DEFAULTS})
+    rows = rows.withColumns({kind[k]: _kind(F.col(row[k])) for k in DEFAULTS if k != "person_count"})
+    rows = rows.withColumn(out, F.struct(*[_attribute(F.col(row[k]), F.col(kind[k]), k).alias(k) for k in DEFAULTS]))
+    return rows.drop("__parsed", "__members", *row.values(), *kind.values())
 
 
 def embedding_text(a: Column) -> Column:

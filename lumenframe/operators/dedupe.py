@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.hashing import bands, hamming
-from lumenframe.operators.components import connected_components
+from lumenframe.operators.components import connected_components, with_least
+from lumenframe.operators.metric import onto_members
+from lumenframe.sources.shared import written
 
 
 def exact_duplicates(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -24,33 +26,88 @@ def split_copy_id(copy):
     return F.struct(F.get(parts, F.lit(0)).alias("uid"), F.get(parts, F.lit(1)).alias("path"))
 
 
+#: Values of one band beyond which it is split by further bits.
+HOT = 2048
+
+
+def value_classes(df: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """members(k, rep) of all rows with a value and reps(v, rep, n): the least key of each different value and how many rows have it."""
+    rows = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
+    reps = rows.groupBy("v").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
+    return with_least(rows, ["v"], "k", "rep").select("k", "rep"), reps
+
+
+def near_values(values: DataFrame, threshold: int) -> DataFrame:
+    """(v, v2, distance), v < v2, of different 64-bit values(v) within a Hamming distance; none is missed.
+
+    Of threshold + 1 bands of bits two such values share one, so they meet there. A band's value that more than HOT values share is split: the bits
+    outside it are cut into as many bands again, of which they share one too. (Not where bands are so narrow that this makes more pairs than it saves.)
+    """
+    n = threshold + 1
+    edges = [64 * i // n for i in range(n + 1)]
+    widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+    long = values.select("v", F.posexplode(bands("v", n)).alias("band", "code"))
+    if (64 - max(widths)) // n < (n - 1).bit_length() + 1:
+        return _near(long, ["band", "code"], threshold)
+    long = written(long, "bands")
+    hot = long.groupBy("band", "code").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT).select("band", "code")
+    cool = _near(long.join(hot, ["band", "code"], "left_anti"), ["band", "code"], threshold)
+    outside = F.lit(None).cast("array<long>")
+    for i, (a, b) in reversed(list(enumerate(zip(edges, edges[1:], strict=False)))):
+        low = F.col("v").bitwiseAND(F.lit((1 << a) - 1))
+        rest = low if b == 64 else F.shiftleft(F.shiftrightunsigned("v", b), a).bitwiseOR(low)
+        cuts = [(64 - (b - a)) * j // n for j in range(n + 1)]
+        parts = F.array(*[F.shiftrightunsigned(rest, x).bitwiseAND(F.lit((1 << (y - x)) - 1)) for x, y in zip(cuts, cuts[1:], strict=False)])
+        outside = F.when(F.col("band") == i, parts).otherwise(outside)
+    split = long.join(hot, ["band", "code"], "left_semi").select("v", "band", "code", F.posexplode(outside).alias("part", "more"))
+    return cool.unionByName(_near(split, ["band", "code", "part", "more"], threshold)).distinct()
+
+
+def _near(long: DataFrame, on: list[str], threshold: int) -> DataFrame:
+    other = long.select(*on, F.col("v").alias("v2"))
+    return long.join(other, on).where(F.col("v") < F.col("v2")).select("v", "v2", hamming("v", "v2").alias("distance")).where(F.col("distance") <= threshold).distinct()
+
+
+def near_classes(df: DataFrame, key: str, value: str, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members(k, rep), reps(v, rep, n) and links(a, b, distance) between representatives: as many rows as there are rows and different values that are near."""
+    members, reps = value_classes(df, key, value)
+    links = near_values(reps.select("v"), threshold)
+    links = links.join(reps.select("v", F.col("rep").alias("a")), "v").join(reps.select(F.col("v").alias("v2"), F.col("rep").alias("b")), "v2")
+    return members, reps, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+
+
+def near_counts(df: DataFrame, key: str, value: str, threshold: int) -> DataFrame:
+    """(k, class, copies, links) of every row with a value: the least key of equal values, how many have it, and how many rows have another value within the distance."""
+    members, reps, links = near_classes(df, key, value, threshold)
+    size = reps.select(F.col("rep").alias("b"), "n")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(size, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    values = reps.select("rep", F.col("n").alias("copies")).join(near, "rep", "left").select("rep", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return onto_members(members, values).select("k", F.col("rep").alias("class"), "copies", "links")
+
+
 def near_pairs(df: DataFrame, key: str, value: str, threshold: int, mode: str = "exact", bucket: int = 500) -> DataFrame:
     """(a, b, distance), a < b, of 64-bit values within a Hamming distance.
 
     mode 'reference': pairs that share one of four 16-bit bands in a bucket of at most `bucket` members (a cap that
-    loses pairs, kept as an option because callers may expect it). mode 'exact': threshold + 1 bands, so any pair within
-    the threshold shares one; equal values meet once as one value and then fan out to their keys.
+    loses pairs, kept as an option because callers may expect it). mode 'exact': all pairs, multiplied out from `near_classes`; where copies
+    abound use that.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
     if mode == "reference":
+        rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
         long = rows.select("k", "v", F.posexplode(bands("v", 4)).alias("band", "code"))
         n = F.count(F.lit(1)).over(Window.partitionBy("band", "code"))
         long = long.withColumn("n", n).where(F.col("n") <= bucket)
-        return _meet(long, threshold).select(F.col("k").alias("a"), F.col("k2").alias("b"), "distance").distinct()
+        other = long.select("band", "code", F.col("k").alias("k2"), F.col("v").alias("v2"))
+        met = long.join(other, ["band", "code"]).where(F.col("k") < F.col("k2")).withColumn("distance", hamming("v", "v2")).where(F.col("distance") <= threshold)
+        return met.select(F.col("k").alias("a"), F.col("k2").alias("b"), "distance").distinct()
     if mode != "exact":
         raise ValueError(mode)
-    values = rows.select("v").distinct().withColumn("k", F.col("v"))
-    long = values.select("k", "v", F.posexplode(bands("v", threshold + 1)).alias("band", "code"))
-    near = _meet(long, threshold).select("v", "v2", "distance").distinct()
-    a, b = rows.select(F.col("k").alias("ka"), "v"), rows.select(F.col("k").alias("kb"), F.col("v").alias("v2"))
-    pairs = near.join(a, "v").join(b, "v2").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "distance")
-    same = rows.select(F.col("k").alias("a"), "v").join(rows.select(F.col("k").alias("b"), "v"), "v").where("a < b").select("a", "b", F.lit(0).alias("distance"))
-    return pairs.unionByName(same)
-
-
-def _meet(long: DataFrame, threshold: int) -> DataFrame:
-    other = long.select("band", "code", F.col("k").alias("k2"), F.col("v").alias("v2"))
-    return long.join(other, ["band", "code"]).where(F.col("k") < F.col("k2")).withColumn("distance", hamming("v", "v2")).where(F.col("distance") <= threshold)
+    members, _, links = near_classes(df, key, value, threshold)
+    one, two = members.select(F.col("k").alias("x"), F.col("rep").alias("a")), members.select(F.col("k").alias("y"), F.col("rep").alias("b"))
+    apart = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    same = members.select("rep", F.col("k").alias("a")).join(members.select("rep", F.col("k").alias("b")), "rep").where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    return apart.unionByName(same)
 
 
 def duplicate_groups(df: DataFrame, key: str, value: str, threshold: int = 6, mode: str = "exact", size: str | None = None) -> DataFrame:
@@ -61,13 +118,11 @@ def duplicate_groups(df: DataFrame, key: str, value: str, threshold: int = 6, mo
     """
     rows = df.where(F.col(value).isNotNull())
     if mode == "exact":
-        heads = rows.groupBy(F.col(value).alias("v")).agg(F.min(key).alias("head"))
-        links = near_pairs(heads, "head", "v", threshold, mode).select("a", "b")
-        stars = rows.join(heads, F.col(value) == F.col("v")).select(F.col("head").alias("a"), F.col(key).alias("b")).where("a <> b")
-        links = links.unionByName(stars)
+        members, reps, links = near_classes(df, key, value, threshold)
+        parts = connected_components(reps.select(F.col("rep").alias("id")), links.select("a", "b"))
+        labels = onto_members(members, parts.withColumnRenamed("id", "rep")).select(F.col("k").alias("id"), "component")
     else:
-        links = near_pairs(rows, key, value, threshold, mode).select("a", "b")
-    labels = connected_components(rows.select(F.col(key).alias("id")), links)
+        labels = connected_components(rows.select(F.col(key).alias("id")), near_pairs(rows, key, value, threshold, mode).select("a", "b"))
     sizes = rows.select(F.col(key).alias("id"), (F.col(size) if size else F.lit(0)).alias("size"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), F.col("id").alias("id"))))
     out = labels.join(sizes, "id").groupBy("component").agg(F.transform(order, lambda s: s["id"]).alias("members"), F.count(F.lit(1)).alias("n"))

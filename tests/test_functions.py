@@ -68,6 +68,15 @@ def test_caption_attributes(spark):
     assert counts == [2, 2, 1, 0, 0, 0]
 
 
+def test_table_of_attributes_parses_once(spark):
+    texts = [json.dumps(CAPTION), json.dumps({"person_count": "3", "objects": None, "scene": False, "mood": 2}), "broken", "[1, 2]", '"x"', None, "{}"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, j string")
+    table = C.with_attributes(df, "j").select("id", "a", C.embedding_text(F.col("a")).alias("text"))
+    assert sorted(table.collect()) == sorted(df.select("id", C.attributes("j").alias("a"), C.embedding_text(C.attributes("j")).alias("text")).collect())
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") == 1 or plan.lower().count("parsejson") == 1
+
+
 def test_embedding_text(spark):
     a = {"caption": "A dog", "animals": ["dog"], "mood": "happy", "weather": "unknown", "dominant_colors": ["red", "blue"], "text_in_image": "STOP"}
     assert one(spark, C.embedding_text(C.attributes(F.lit(json.dumps(a))))) == "A dog Animals: dog. Visible text: STOP. Tags: happy. Colors: red, blue."

@@ -243,6 +243,22 @@ def test_dbscan_against_brute_force(spark):
     assert {r.id: r.cluster for r in CL.dbscan(df, "id", eps=0.05, min_samples=4).collect()} == want
 
 
+def test_hamming_classes_with_a_hot_hash_and_hot_bands(spark, monkeypatch):
+    """One hash holds a third of all rows, and one band's bits are the same in all of them."""
+    monkeypatch.setattr(DD, "HOT", 5)
+    rng = random.Random(4)
+    base = [rng.getrandbits(52) << 10 | 77 for _ in range(40)]
+    values = [b ^ sum(1 << rng.randrange(10, 62) for _ in range(rng.randrange(5))) for b in base for _ in range(3)] + [base[0]] * 60
+    rows = [(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)] + [(999, None)]
+    df = table(spark, rows, "id long, h long")
+    got = {r.k: (r["class"], r.copies, r.links) for r in DD.near_counts(df, "id", "h", 5).collect()}
+    first = {v: values.index(v) for v in values}
+    assert got == {i: (first[v], values.count(v), sum(1 for w in values if w != v and (w ^ v).bit_count() <= 5)) for i, v in enumerate(values)}
+    members, reps, links = DD.near_classes(df, "id", "h", 5)
+    assert members.count() == len(values) and reps.count() == len(set(values))
+    assert links.count() == sum(1 for a in set(values) for b in set(values) if a < b and (a ^ b).bit_count() <= 5)
+
+
 def test_identities_carry_over(spark):
     new = table(spark, [("a", 0), ("b", 0), ("c", 0), ("d", 1), ("e", 2)], "member string, cluster int")
     old = table(spark, [("a", 5), ("b", 5), ("x", 6)], "member string, cluster int")
