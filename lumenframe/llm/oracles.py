@@ -17,7 +17,7 @@ j AS (SELECT *, filled AND (length(line) - length(replace(line, '|', '')) >= 4 O
   OR (length(line) - length(replace(line, '!!', ''))) / 2 >= 3 OR (upper(line) = line AND length(line) >= 20 AND lower(line) <> line)
   OR regexp_matches(line, '(?i)^\W*(?:home|menu|log ?in|sign ?(?:in|up)|next|previous|back|search|contact(?: us)?|about(?: us)?|share|read more|skip to [a-z ]+)\W*$')
   OR regexp_matches(line, '(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses? cookies|enable javascript|lorem ipsum|click here|subscribe to our|copyright (?:\(c\)|©|\d{{4}})|spdx-license-identifier')
-  OR NOT (regexp_matches(line, '[.!?…:;"''”’»)\]]\s*$') OR regexp_matches(line, '[.!?…]\s'))) AS fails FROM l),
+  OR NOT (regexp_matches(line, '[.!?…:;"''”’»)\]。！？：；」』）】।॥؟۔؛።។៕။།ก-๛ກ-ໟ]\s*$') OR regexp_matches(line, '[.!?…؟۔।።]\s|[。！？]'))) AS fails FROM l),
 s AS (SELECT doc_id, sum(length(line)) AS total, coalesce(sum(length(line)) FILTER (NOT fails), 0) AS good, count(*) FILTER (fails) AS removed,
   count(*) FILTER (filled) - count(DISTINCT line) FILTER (filled) AS dups FROM j GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, s.dups AS n_dup_lines,

@@ -20,11 +20,10 @@ SYMBOL = "[^#*$%&|<>]+"
 POS_BITS = 24
 NAVIGATION = "(?i)^\\W*(?:home|menu|log ?in|sign ?(?:in|up)|next|previous|back|search|contact(?: us)?|about(?: us)?|share|read more|skip to [a-z ]+)\\W*$"
 BOILERPLATE = "(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses? cookies|enable javascript|lorem ipsum|click here|subscribe to our|copyright (?:\\(c\\)|©|\\d{4})|spdx-license-identifier"
-TERMINAL = "[.!?…:;\"'”’»)\\]]\\s*$"
-
-
-#: A line may break off after whole sentences.
-SENTENCES = "[.!?…]\\s"
+#: What a line may end with: the marks of Latin, Chinese and Japanese, Indic, Arabic, Ethiopic, Khmer, Burmese and Tibetan writing; Thai and Lao have none, so there any letter.
+TERMINAL = "[.!?…:;\"'”’»)\\]。！？：；」』）】।॥؟۔؛።។៕။།ก-๛ກ-ໟ]\\s*$"
+#: A line may break off after whole sentences. Some scripts put no space after them.
+SENTENCES = "[.!?…؟۔।።]\\s|[。！？]"
 
 
 def words_of(text: Column) -> Column:

@@ -4,7 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from lumenframe.llm import quality, sharding
-from util import SF, WORD, empty_documents, odd_documents
+from util import SF, WORD, empty_documents, odd_documents, plain_clean
 
 
 def brute_base(text):
@@ -41,6 +41,27 @@ def test_repeated_windows_survive_hash_clashes(spark, monkeypatch):
     assert {r.doc_id: r.n_repeat_words for r in quality.judged(docs).collect()} == {1: 6, 2: 0}
 
 
+SCRIPTS = {
+    "Hindi": "यह पहला वाक्य है। यह दूसरा वाक्य है और यहाँ समाप्त होता है।", "Chinese": "这是第一个句子，说明一件事情。这是第二个句子！", "Japanese": "これは最初の文です。二番目の文は「引用」",
+    "Arabic": "هذه هي الجملة الأولى. هل هذه هي الثانية؟", "Urdu": "یہ پہلا جملہ ہے۔", "Thai": "นี่คือประโยคแรกของข้อความนี้ และนี่คือประโยคที่สอง", "Lao": "ນີ້ແມ່ນປະໂຫຍກທໍາອິດ", "Amharic": "ይህ የመጀመሪያው ዓረፍተ ነገር ነው።", "Khmer": "នេះជាប្រយោគដំបូង។",
+}
+
+
+def test_scripts_keep_their_lines(spark):
+    rows = [(i, f"{t}\n{t}  ") for i, t in enumerate(SCRIPTS.values())] + [(100, "Ein Satz ohne Ende"), (101, "没有结尾的一行"), (102, "बिना अंत की पंक्ति")]
+    got = {r.doc_id: (r.n_lines_removed, r.loss) for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: x for i, x in got.items() if i < 100} == {i: (0, 0.0) for i in range(len(SCRIPTS))}
+    assert all(got[i] == (1, 1.0) for i in (100, 101, 102))
+
+
+def test_verdicts_match_a_plain_version(spark):
+    made = spark.createDataFrame([(i, f"{t}\nHome\n{PROSE}{t}") for i, t in enumerate(SCRIPTS.values())], "doc_id long, text string")
+    for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd_documents(spark), made):
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        got = [(r.doc_id, "\n".join(r.good) if r.kept else None) for r in quality.judged(docs).collect()]
+        assert sorted(got, key=str) == sorted(((i, plain_clean(t)) for i, t in rows), key=str)
+
+
 PROSE = "Here stands a sentence of some length, and it ends as sentences do. " * 4
 
 

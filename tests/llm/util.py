@@ -20,3 +20,36 @@ def odd_documents(spark):
 
 def empty_documents(spark):
     return odd_documents(spark).limit(0)
+
+
+NAV = re.compile(r"\W*(?:home|menu|log ?in|sign ?(?:in|up)|next|previous|back|search|contact(?: us)?|about(?: us)?|share|read more|skip to [a-z ]+)\W*\Z", re.I | re.A)
+POLICY = re.compile(r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses? cookies|enable javascript|lorem ipsum|click here|subscribe to our|copyright (?:\(c\)|©|\d{4})|spdx-license-identifier", re.I | re.A)
+ENDS = set(".!?…:;\"'”’»)]。！？：；」』）】।॥؟۔؛።។៕။།")
+
+
+def plain_line_fails(line):
+    """The line rules of op3, character by character."""
+    if not WORD.search(line):
+        return False
+    last = line.rstrip(" \t\n\x0b\x0c\r")[-1:]
+    ended = last in ENDS or "ก" <= last <= "๛" or "ກ" <= last <= "ໟ"
+    inside = any(c in ".!?…؟۔।።" and d in " \t\n\x0b\x0c\r" for c, d in zip(line, line[1:], strict=False)) or any(c in "。！？" for c in line)
+    shouting = line.upper() == line and len(line) >= 20 and line.lower() != line
+    noise = line.count("|") >= 4 or sum(c in "#*$%&|<>" for c in line) * 20 > len(line) or line.count("!!") >= 3
+    return noise or shouting or bool(NAV.match(line)) or bool(POLICY.search(line)) or not (ended or inside)
+
+
+def plain_clean(text):
+    """The text that the quality stage leaves, or None where it rejects the document."""
+    text = text or ""
+    words = WORD.findall(text)
+    windows = {}
+    for i in range(len(words) - 2):
+        windows.setdefault(tuple(words[i : i + 3]), []).append(i)
+    repeated = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = text.split("\n")
+    good = [x for x in lines if not plain_line_fails(x)]
+    total = sum(map(len, lines))
+    if len(words) < 50 or 100 * len(repeated) > 50 * len(words) or not total or 1 - sum(map(len, good)) / total > 0.5:
+        return None
+    return "\n".join(good)
