@@ -25,6 +25,7 @@ from lumenframe.operators import browse as B
 from lumenframe.operators import catalog as K
 from lumenframe.operators import cluster as CL
 from lumenframe.operators import dedupe as DD
+from lumenframe.operators import facets as FA
 from lumenframe.operators import ingest as I
 from lumenframe.operators import jobs as J
 from lumenframe.operators import metric as MT
@@ -134,6 +135,21 @@ def facets(spark, sf):
     return B.facets(t(spark, sf, "documents"), ["lang", "source"]).select("attribute", F.explode("values").alias("value"))
 
 
+LONG_FACETS = "l AS (SELECT * FROM (SELECT 'lang' AS attribute, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'doc_id', doc_id::VARCHAR FROM documents UNION ALL SELECT 'n_chars', n_chars::VARCHAR FROM documents) WHERE value IS NOT NULL AND value NOT IN ('', 'unknown'))"
+
+
+@query(f"WITH {LONG_FACETS} SELECT attribute, value, n FROM (SELECT *, sum(n) OVER (PARTITION BY attribute) AS total FROM (SELECT attribute, value, count(*) AS n FROM l GROUP BY ALL)) WHERE n >= 0.01 * total")
+def frequent_facets(spark, sf):
+    """Also of attributes with about as many values as rows."""
+    return FA.frequent_values(t(spark, sf, "documents"), ["lang", "source", "doc_id", "n_chars"])
+
+
+@query(f"WITH {LONG_FACETS}, s AS (SELECT attribute, count(DISTINCT value) AS n_values FROM l GROUP BY attribute) SELECT DISTINCT attribute, n_values, n_values <= 200 AS complete, CASE WHEN n_values <= 200 THEN value END AS value FROM l JOIN s USING (attribute)")
+def facet_lists(spark, sf):
+    out = FA.bounded_facets(t(spark, sf, "documents"), ["lang", "source", "doc_id", "n_chars"], 200)
+    return out.select("attribute", F.col("distinct").alias("n_values"), "complete", F.explode_outer("values").alias("value"))
+
+
 @query("SELECT doc_id AS id, '/lib/' || doc_id AS path, doc_id::VARCHAR AS filename, doc_id % 3 <> 0 AS \"exists\" FROM documents")
 def result_cards(spark, sf):
     docs = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/lib/"), "doc_id").alias("path"), F.lit("").alias("filename"))
