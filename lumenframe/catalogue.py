@@ -599,7 +599,7 @@ ORACLE_SQL["cluster_carryover"] = """SELECT label AS cluster_id, count(*) AS siz
 @query()
 def faces_grouped_in_video(spark, sf):
     e = t(spark, sf, "embeddings")
-    faces = e.select((F.col("vec_id") % 20).cast("string").alias("video_id"), F.col("vec_id").cast("int").alias("face_index"), F.array(*[F.lit(0.0)] * 2, F.col("label").cast("double"), F.col("label").cast("double")).alias("bbox"), "embedding")
+    faces = e.select(F.floor(F.col("vec_id") / 50).cast("string").alias("video_id"), F.col("vec_id").cast("int").alias("face_index"), F.array(*[F.lit(0.0)] * 2, F.col("label").cast("double"), F.col("label").cast("double")).alias("bbox"), "embedding")
     return CL.group_in_video(faces)
 
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,18 +84,40 @@ def with_budget(call: Callable[[str, int], str], first: int = 4096, most: int =
     return ask
 
 
-def run_slices(pending: DataFrame, make_worker: Callable[[], Worker], path: str, slices: int, stop: Callable[[], bool] = lambda: False, batch: int = 16) -> bool:
+def run_slices(pending: DataFrame, make_worker: Callable[[], Worker], path: str, slices: int, stop: Callable[[], bool] = lambda: False, batch: int = 16, interrupt: Callable[[], bool] = lambda: False, tick: float = 0.2) -> bool:
     """Work in slices of hashed ids, each appended to the outcomes at `path`; whether all were done.
 
-    stop() is asked before each slice. A slice is written under its own number, whole or not at all, so what was interrupted
-    stays pending and a second run, over what is then pending, replaces nothing that another run wrote.
+    stop() is asked before each slice, interrupt() every `tick` seconds while one runs: its tasks then end, whatever call or wait they are in. A slice is
+    written under its own number, whole or not at all, so what was interrupted stays pending and a second run, over what is
+    then pending, replaces nothing that another run wrote.
     """
-    run_id = uuid.uuid4().hex
+    spark, run_id = pending.sparkSession, uuid.uuid4().hex
     part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(slices))
     for k in range(slices):
         if stop():
             return False
-        run(pending.where(part == k), make_worker, batch).write.mode("overwrite").parquet(f"{path}/run={run_id}/slice={k}")
+        group, failed = f"{run_id}-{k}", []
+
+        def work(k=k, group=group, failed=failed):
+            spark.sparkContext.setJobGroup(group, f"slice {k}", interruptOnCancel=True)
+            try:
+                run(pending.where(part == k), make_worker, batch).write.mode("overwrite").parquet(f"{path}/run={run_id}/slice={k}")
+            except Exception as e:  # noqa: BLE001  looked at below
+                failed.append(e)
+
+        thread = InheritableThread(target=work)
+        thread.start()
+        stopped = False
+        while thread.is_alive():
+            thread.join(tick)
+            if thread.is_alive() and not stopped and interrupt():
+                stopped = True
+            if stopped and thread.is_alive():
+                spark.sparkContext.cancelJobGroup(group)  # again and again, for a job that was about to begin
+        if failed and not stopped:
+            raise failed[0]
+        if stopped and failed:
+            return False
     return True
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import re
 from dataclasses import dataclass, field
 
@@ -93,3 +95,19 @@ def result_cards(rows: DataFrame, missing: DataFrame | None = None) -> DataFrame
         exists = F.lit(True)
     has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
     return rows.select("id", has("path").alias("path"), F.coalesce(F.nullif(has("filename"), F.lit("")), base_name(has("path").cast("string"))).alias("filename"), *[has(c).alias(c) for c in ("caption", "scene", "media_type", "duration_s")], exists.alias("exists"))
+
+
+def active_space(registry: list[dict], embedders: dict[str, Callable[[str], list[float]]], vectors: DataFrame, model: str = "embedding_model") -> tuple[DataFrame, Callable[[str], list[float]]]:
+    """The rows of the registry's active model, and how to embed a query in that model's space: vectors of different models
+    share no space, so a query must not meet them, even where dimensions agree. No active model, no embedder for it, or an answer of another dimension is an error."""
+    active = next((r for r in registry if r["is_active"]), None)
+    if active is None or active["model"] not in embedders:
+        raise LookupError("no embedder for the active model" if active else "no active model")
+
+    def embed(text: str) -> list[float]:
+        found = list(embedders[active["model"]](text))
+        if len(found) != active["dimension"]:
+            raise ValueError(f"{active['model']} has {active['dimension']} dimensions, not {len(found)}")
+        return found
+
+    return vectors.where(F.col(model) == active["model"]), embed

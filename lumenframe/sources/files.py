@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,27 +30,52 @@ def list_files(spark: SparkSession, root: str, excluded: list[str] | None = None
     return rows.select(*columns, F.sha1("content").alias("sha1")) if content else rows.select(*columns)
 
 
+CURRENT = "_current"
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """The folder that holds a side table now: the one its pointer names, or the path itself where no pointer is."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    root, pointer = paths(path), paths(f"{path}/{CURRENT}")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(pointer):
+        stream = fs.open(pointer)
+        try:
+            return f"{path}/{bytes(stream.readAllBytes()).decode()}"
+        finally:
+            stream.close()
+    return path if fs.exists(root) else None
+
+
 def read_side_table(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """A JSON-lines side table; missing files give no rows, and broken lines are skipped unless `strict`."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    found = _version(spark, path)
+    if found is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(found)
 
 
 def write_side_table(df: DataFrame, path: str) -> None:
-    """Replace a side table: written whole beside the old one, then renamed in its place, so a table may replace itself
-    and a failed write leaves the old one. Readers meet the old table, the new one, or for a moment none."""
-    paths = df.sparkSession._jvm.org.apache.hadoop.fs.Path
-    target, fresh, old = paths(path), paths(f"{path}.new"), paths(f"{path}.old")
-    fs = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").json(f"{path}.new")
-    fs.delete(old, True)
-    if fs.exists(target) and not fs.rename(target, old):
-        raise OSError(f"cannot move {path} away")
-    if not fs.rename(fresh, target):
-        raise OSError(f"cannot put {path}.new in place")
-    fs.delete(old, True)
+    """Replace a side table. The new one is written whole as a version of its own; then a pointer to it is renamed over the old
+    pointer in one step. So readers meet the old table or the new one and never none, a table may replace itself, and a
+    failed write leaves the old one. The version before stays for readers that have begun; older ones go."""
+    spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    jvm, before = spark._jvm, _version(spark, path)
+    paths, conf = jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    df.write.json(f"{path}/{name}")
+    root, fresh, pointer = paths(path), paths(f"{path}/_{name}"), paths(f"{path}/{CURRENT}")
+    fs = root.getFileSystem(conf)
+    out = fs.create(fresh, True)
+    out.write(name.encode())
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(fresh), context.makeQualified(pointer), options)
+    kept = {name, CURRENT, before.rsplit("/", 1)[-1] if before else None}
+    for status in fs.listStatus(root):
+        if status.getPath().getName() not in kept and status.getPath().getName().startswith("v-"):
+            fs.delete(status.getPath(), True)
 
 
 def load_faces(spark: SparkSession, folder: str) -> DataFrame:

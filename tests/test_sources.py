@@ -129,3 +129,52 @@ def test_transcripts_of_unknown_sound(spark):
     rows = spark.createDataFrame([("a", "x", None), ("b", "x", False), ("c", "1", True), ("d", None, None)], "id string, value string, has_audio boolean")
     got = {r.id: (r.text, r.language) for r in J.transcripts(rows, J.FakeTranscriber).collect()}
     assert got == {"a": ("says x", "en"), "b": ("", None), "c": ("", None), "d": ("", None)}
+
+
+def test_a_stop_reaches_into_a_slice(spark, tmp_path):
+    """A worker that would take a minute is interrupted; nothing of its slice is there, and all of it is done later."""
+    import time
+
+    class Slow:
+        def __call__(self, items):
+            time.sleep(60)
+            return []
+
+    pending = spark.range(20).select("id", F.lit("x").alias("value"))
+    began = time.time()
+    path = str(tmp_path / "outcomes")
+    assert not J.run_slices(pending, Slow, path, 2, interrupt=lambda: time.time() - began > 3)
+    assert time.time() - began < 30
+    assert J.run_slices(pending, J.FakeCaptioner, path, 2)
+    done = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    assert done.count() == 20 and J.still_pending(pending, path).isEmpty()
+
+
+def test_side_tables_are_never_missing(spark, tmp_path):
+    path = str(tmp_path / "albums")
+    schema = "id int, name string"
+    assert files.read_side_table(spark, path, schema).isEmpty()
+    for k in range(4):
+        files.write_side_table(files.read_side_table(spark, path, schema).unionByName(spark.createDataFrame([(k, f"n{k}")], schema)), path)
+        assert files.read_side_table(spark, path, schema).count() == k + 1
+    import os
+
+    assert sum(n.startswith("v-") for n in os.listdir(path)) == 2  # the one before stays for its readers
+    old = files.read_side_table(spark, path, schema)
+    files.write_side_table(spark.createDataFrame([(9, "z")], schema), path)
+    assert old.count() == 4 and [r.id for r in files.read_side_table(spark, path, schema).collect()] == [9]
+
+
+def test_queries_meet_only_the_active_models_vectors(spark):
+    import pytest
+
+    from lumenframe.plans.search import active_space
+
+    registry = [{"model": "a", "dimension": 2, "is_active": False}, {"model": "b", "dimension": 2, "is_active": True}]
+    vectors = spark.createDataFrame([("1", "a", [1.0, 0.0]), ("2", "b", [0.0, 1.0])], "id string, embedding_model string, embedding array<double>")
+    rows, embed = active_space(registry, {"a": lambda t: [1.0, 0.0], "b": lambda t: [0.0, float(len(t))]}, vectors)
+    assert [r.id for r in rows.collect()] == ["2"] and embed("xyz") == [0.0, 3.0]
+    with pytest.raises(ValueError):
+        active_space(registry, {"b": lambda t: [1.0]}, vectors)[1]("x")
+    with pytest.raises(LookupError):
+        active_space(registry, {"a": lambda t: [1.0, 0.0]}, vectors)
