@@ -4,12 +4,12 @@ Pass 1: every task marks line keys in a filter of keys it has met once and a fil
 merging two tasks' filters also marks what both met once. Pass 2: lines that may be in the merged twice-seen
 filter are suspects, and only they shuffle, with their whole keys, for an exact count of documents and the
 largest doc_id. Pass 3: each document loses its confirmed keys. Only texts that may lose a line (by a Bloom filter
-of their doc_ids) shuffle to meet them; the others are finished where they lie. A line of a great many documents makes
-one key of the join of suspects and confirmed keys large; adaptive execution splits it, and its count is pre-aggregated.
+of their doc_ids) shuffle to meet them; the others are finished where they lie. A line of a great many documents is dealt over
+salts of their ids, in the count and in the join.
 
 The filters' size follows the corpus up to `most_bits`; beyond that more lines are suspected, and the result
-stays exact. A document counts once for a key however often it has it. Between equal doc_ids there is no order:
-rows that share the largest doc_id all keep the line. Null doc_ids rank below all others. Null or empty text:
+stays exact. A document counts once for a key however often it has it, and rows with one doc_id are one document in that count; between them there is
+no order: rows that share the largest doc_id all keep the line. Rows without a doc_id are one document too, below all others. Null or empty text:
 one empty line. Very long texts are split in memory, one at a time. An empty table gives no rows. Other columns, whatever
 their names, travel as one struct. Keys are held as 64-bit hashes only within one document's list of drops.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from lumenframe.llm.common import Bloom, Table, WS, pack, texts, unpack
 
 _WS = WS.encode()
-SEGMENTS = 64
+SEGMENTS, SALTS = 64, 64
 SUSPECTS = "doc_id long, key binary, h long"
 
 
@@ -161,8 +161,12 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, mos
     filt = spark.sparkContext.broadcast(twice_seen(docs, bits, least_chars))
     suspects = Table(docs.select("doc_id", "text").mapInArrow(_suspects(filt, bits, least_chars), SUSPECTS), "line-suspects").read()
     filt.unpersist()
-    known = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= least_docs).drop("n")
-    drops = suspects.join(Table(known, "line-keys").read(), "key").where(~F.col("doc_id").eqNullSafe(F.col("top")))
+    # A line's documents are dealt over salts: there they are counted, and only there they meet what is known of the line.
+    dealt = suspects.withColumn("salt", F.pmod(_id_hash("doc_id"), SALTS))
+    parts = dealt.groupBy("key", "salt").agg(F.count_distinct(F.struct("doc_id")).alias("n"), F.max("doc_id").alias("top"))
+    known = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.collect_list("salt").alias("salts")).where(F.col("n") >= least_docs)
+    known = Table(known.select("key", "top", F.explode("salts").alias("salt")), "line-keys").read()
+    drops = dealt.join(known, ["key", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("top")))
     drops = Table(drops.groupBy("doc_id").agg(F.collect_set("h").alias("drops")), "line-drops").read()
     touched = spark.sparkContext.broadcast(Bloom.of(drops.select(_id_hash("doc_id").alias("h")), most_bits >> 1) or Bloom(64))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])

@@ -6,7 +6,7 @@ import io
 import itertools
 import random
 import shutil
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -19,17 +19,17 @@ WS = " \t\n\x0b\x0c\r"
 def brute_lines(rows):
     low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
     key = lambda l: l.strip(WS).translate(low)
-    docs, top = Counter(), {}
+    holders, top = defaultdict(set), {}
     rank = lambda i: (i is not None, i or 0)
     for i, text in rows:
         for k in {key(l) for l in (text or "").split("\n")}:
             if len(k) >= 40:
-                docs[k] += 1
+                holders[k].add(i)
                 top[k] = max(top.get(k, i), i, key=rank)
     out = []
     for i, text in rows:
         lines = (text or "").split("\n")
-        left = [l for l in lines if not (docs[key(l)] >= 5 and top[key(l)] != i)]
+        left = [l for l in lines if not (len(holders[key(l)]) >= 5 and top[key(l)] != i)]
         out.append((i, len(lines), len(lines) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest()))
     return sorted(out, key=str)
 
@@ -44,6 +44,14 @@ def test_line_dedup_matches_brute_force(spark):
         assert result(line_dedup.dedup_lines(docs)) == brute_lines(rows)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    line = "A line that is long enough to be looked for among all others."
+    for ids, dropped in (([1, 2, 3, 4, 4], 0), ([1, 2, 3, 4, 5, 5], 4), ([1, 2, 3, None, None], 0), ([1, 2, 3, 4, None, None], 5)):
+        docs = spark.createDataFrame([(i, line) for i in ids], "doc_id long, text string")
+        assert result(line_dedup.dedup_lines(docs)) == brute_lines([(i, line) for i in ids])
+        assert sum(r.n_dropped for r in line_dedup.dedup_lines(docs).collect()) == dropped
+
+
 def test_line_dedup_is_exact_with_saturated_filters(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
