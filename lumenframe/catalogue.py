@@ -688,7 +688,15 @@ def scan_changes(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.sha1(F.col("text").cast("binary")).alias("sha1"))
     listing = d.where("doc_id % 10 <> 0").select("path", F.lit(1).alias("size"), F.lit(1.0).alias("mtime"), "sha1")
     previous = d.where("doc_id % 3 = 0").groupBy(F.col("sha1").alias("uid")).agg(F.min("path").alias("path")).withColumn("sig", F.lit("1:1.000"))
-    return I.scan(listing, previous).select("uid", "path", F.size("dup_paths").cast("long").alias("copies"), "action")
+    copies = I.scan_copies(listing).groupBy("uid").agg(F.count(F.lit(1)).alias("copies"))
+    return I.scan(listing, previous, lists=False).join(copies, "uid", "left").select("uid", "path", F.coalesce("copies", F.lit(0)).alias("copies"), "action")
+
+
+@query("""WITH l AS (SELECT DISTINCT sha1(coalesce(text, '')) AS uid, '/' || source || '/' || doc_id AS path FROM documents)
+SELECT * FROM (SELECT uid, min(path) OVER (PARTITION BY uid) AS path, path AS copy FROM l) WHERE copy <> path""")
+def scan_copies(spark, sf):
+    d = t(spark, sf, "documents")
+    return I.scan_copies(d.select(F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("sha1"), F.concat_ws("/", F.lit(""), "source", F.col("doc_id").cast("string")).alias("path")))
 
 
 @query("""WITH s AS (SELECT '/in/' || lpad(doc_id::VARCHAR, 9, '0') || '/p' || doc_id % 50 || '.jpg' AS path, sha1(text) AS sha1, doc_id FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY sha1 ORDER BY path) AS n, sha1 IN (SELECT sha1(text) FROM documents WHERE doc_id % 9 = 0) AS known FROM s),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import paths as P
 from lumenframe.functions.hashing import signature
+from lumenframe.operators.components import with_least
 
 
 def to_hash(listing: DataFrame, previous: DataFrame) -> DataFrame:
@@ -16,24 +17,35 @@ def to_hash(listing: DataFrame, previous: DataFrame) -> DataFrame:
     return listing.join(old, "path", "left").where(F.col("__sig").isNull() | (F.col("__sig") != now)).drop("__sig")
 
 
-def scan(listing: DataFrame, previous: DataFrame) -> DataFrame:
+def scan(listing: DataFrame, previous: DataFrame, lists: bool = True) -> DataFrame:
     """The change set of a scan: (uid, path, dup_paths, action).
 
     listing(path, size, mtime, sha1): live files; previous(uid, path, sig). Copies of the same content get the smallest
     live path as the canonical one and the others as copies. Actions: added (new content), moved (known content, other
     canonical path), unchanged, retired (its path now holds other content and no other live file has its own). Content
     whose file merely vanished stays in the catalog and is not in the change set.
+
+    Without `lists` there is no dup_paths, and no row that holds all paths of one content (empty files are all one): `scan_copies` has them as rows.
     """
-    live = listing.groupBy(F.col("sha1").alias("uid")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    live = listing.groupBy(F.col("sha1").alias("uid")).agg(F.min("path").alias("first"))
     old = previous.select("uid", F.col("path").alias("old_path"))
-    j = live.join(old, "uid", "full_outer").select("uid", "old_path", "paths")
-    kept = F.col("paths").isNotNull()
-    stays = kept & F.coalesce(F.array_contains("paths", F.col("old_path")), F.lit(False)) & (F.col("old_path") == F.get("paths", F.lit(0)))
+    j = live.join(old, "uid", "full_outer")
+    kept = F.col("first").isNotNull()
     taken = listing.select(F.col("path").alias("old_path"), F.lit(True).alias("taken")).distinct()
     j = j.join(taken, "old_path", "left")
-    action = F.when(F.col("old_path").isNull(), "added").when(stays, "unchanged").when(kept, "moved").when(F.col("taken"), "retired")
-    out = j.select("uid", F.get("paths", F.lit(0)).alias("path"), F.when(kept, F.slice("paths", F.lit(2), F.greatest(F.size("paths") - 1, F.lit(0)))).alias("dup_paths"), action.alias("action"))
-    return out.where("action IS NOT NULL")
+    action = F.when(F.col("old_path").isNull(), "added").when(F.col("first") == F.col("old_path"), "unchanged").when(kept, "moved").when(F.col("taken"), "retired")
+    out = j.select("uid", F.col("first").alias("path"), action.alias("action")).where("action IS NOT NULL")
+    if not lists:
+        return out
+    copies = scan_copies(listing).groupBy("uid").agg(F.array_sort(F.collect_set("copy")).alias("dup_paths"))
+    empty = F.when(F.col("path").isNotNull(), F.array().cast("array<string>"))
+    return out.join(copies, "uid", "left").select("uid", "path", F.coalesce("dup_paths", empty).alias("dup_paths"), "action")
+
+
+def scan_copies(listing: DataFrame) -> DataFrame:
+    """(uid, path, copy): the paths of each content besides the canonical one. A content's paths are dealt over salted keys."""
+    rows = with_least(listing.select(F.col("sha1").alias("uid"), F.col("path").alias("copy")).distinct(), ["uid"], "copy", "path")
+    return rows.where("copy <> path").select("uid", "path", "copy")
 
 
 def scan_summary(changes: DataFrame) -> DataFrame:
