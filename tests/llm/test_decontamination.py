@@ -68,6 +68,34 @@ def test_verbatim_items_in_the_test_tables(spark):
     assert exact and exact <= found
 
 
+def exhaustive(docs, items, least=0.5):
+    """(doc_id, item_id) of all pairs whose best local alignment, over the whole text and without seeds, reaches the score."""
+    block = D.Block(items, 4)
+    found = set()
+    for d, text in docs:
+        ids = block.ids_of((text or "").encode())
+        for item_id, item in block.items:
+            need = least * len(item) if len(item) >= 4 else len(item)
+            if len(item) and block.shared(item, ids) >= need and D.align(item, ids)[0] >= need:
+                found.add((d, item_id))
+    return found
+
+
+def test_query_equals_exhaustive_alignment(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    want = exhaustive([(r.doc_id, r.text) for r in docs], [(r.item_id, r.text) for r in bench])
+    out = D.op9_decontamination(spark, sf).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == want and len(out) == len(want) > 20
+
+
+def test_repeated_documents_are_each_reported(spark):
+    rows = [(1, "so it says the quick brown fox jumps over the lazy dog again"), (1, "so it says the quick brown fox jumps over the lazy dog again"), (2, None)]
+    bench = spark.createDataFrame([(7, "The quick brown fox jumps over the lazy dog!"), (7, "The quick brown fox jumps over the lazy dog!")], "item_id long, text string")
+    out = D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert [(r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in out] == [(1, 7, 1.0, 3, 11)] * 4
+
+
 def test_frequent_edited_copies_and_excerpts_are_found(spark):
     words = [f"v{i}" for i in range(40)]
     edit = " ".join("other" if i % 6 == 5 else w for i, w in enumerate(words))
