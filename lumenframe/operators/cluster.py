@@ -9,24 +9,25 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.vectors import cosine_distance, fingerprint, mean_vectors
 from lumenframe.operators.components import connected_components
-from lumenframe.operators.metric import class_links, neighbours, onto_members, vector_classes
+from lumenframe.operators.metric import class_degrees, class_forest, neighbours, onto_members, vector_classes
+from lumenframe.sources.shared import written
 
 
 def dbscan(df: DataFrame, key: str, vector: str = "embedding", eps: float = 0.5, min_samples: int = 3, report: dict | None = None) -> DataFrame:
     """(key, cluster, core): cluster -1 is noise; ids by size, largest first, ties by the smallest member.
 
     A row counts among its own neighbours. A border row goes to the adjacent cluster whose smallest core is smallest. Equal vectors
-    are one class that counts as often as it has rows, so copies cost their number and not its square.
+    are one class that counts as often as it has rows, so copies cost their number and not its square. Rows are compared twice: to count
+    neighbours, then to join cores; neither passes on the links themselves, of which a dense table has the square of its rows.
     """
     members, reps = vector_classes(df, key, vector, zeros_apart=eps < 1)
-    pairs = class_links(reps, eps, report).select("a", "b")
-    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weights = reps.select(F.col("k").alias("id"), "n")
-    others = links.join(weights.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
-    core = weights.join(others, "id", "left").where(F.col("n") + F.coalesce("others", F.lit(0)) >= min_samples).select("id")
-    inner = links.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi")
-    labels = connected_components(core, inner)
-    border = links.join(core.select(F.col("id").alias("a")), "a", "left_anti").join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"))
+    others = class_degrees(reps, eps, report).withColumnRenamed("rep", "id")
+    core = written(weights.join(others, "id", "left").where(F.col("n") + F.coalesce("others", F.lit(0)) >= min_samples).select("id"), "core")
+    flagged = reps.select("k", "v").join(core.select(F.col("id").alias("k"), F.lit(1).cast("long").alias("n")), "k", "left").select("k", "v", F.coalesce("n", F.lit(0)).alias("n"))
+    forest = class_forest(flagged, eps)
+    labels = written(connected_components(core, forest.where("core").select("a", "b")), "labels")
+    border = forest.where("NOT core").join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"))
     classes = labels.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
     # A component's least class holds its least core; its least member may be on the border.
     sizes = classes.join(weights, "id").groupBy("component").agg(F.sum("n").alias("n"), F.min("id").alias("first"))

@@ -216,6 +216,47 @@ def _degrees(pivots, most: float, kind: np.dtype, key_type: pa.DataType):
     return run
 
 
+def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label (the least row of each row's component) with the components of i and j made one."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        root = np.arange(len(label))
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        label = root[label]
+
+
+def _forest(pivots, most: float, kind: np.dtype, key_type: pa.DataType):
+    """Links of two blocks as a forest: every core row (weight over 0) with the least core row that links join it to, and every other row with one
+    core row of each component that it touches. At most a row for each row and component, however many pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        two = Comparison(table, pivots.value, most, kind)
+        shift = 0 if len(two.rows) == 1 else len(two.left["ids"])
+        ids = two.left["ids"] + (two.right["ids"] if shift else [])
+        core = np.array(two.left["weights"] + (two.right["weights"] if shift else []), np.int64) > 0
+        label, touches = np.arange(len(ids)), np.zeros(0, np.int64)
+        for i, j, _ in two.hits():
+            j = j + shift
+            both, one = core[i] & core[j], core[i] != core[j]
+            label = _united(label, i[both], j[both])
+            inner, outer = np.where(core[i[one]], i[one], j[one]), np.where(core[i[one]], j[one], i[one])
+            touches = np.unique(np.r_[touches, outer * len(ids) + label[inner]])
+        touches = np.unique(touches // len(ids) * len(ids) + label[touches % len(ids)]) if len(touches) else touches
+        tied = np.flatnonzero(core & (label != np.arange(len(ids))))
+        a, b = np.r_[tied, touches // len(ids)], np.r_[label[tied], touches % len(ids)]
+        cols = [pa.array([*(ids[x] for x in p.tolist()), None], key_type) for p in (a, b)]
+        cols += [pa.array([*core[a].tolist(), None], pa.bool_()), pa.array([None] * len(a) + [two.compared], pa.int64())]
+        return pa.Table.from_arrays(cols, ["a", "b", "core", "compared"])
+
+    return run
+
+
 def angle_of(most: float) -> float:
     return math.acos(max(-1.0, min(1.0, 1 - most))) + MARGIN
 
@@ -271,6 +312,14 @@ def class_degrees(reps: DataFrame, most: float, report: dict | None = None) -> D
     return found.groupBy("rep").agg(F.sum("others").alias("others")) if found is not None else reps.sparkSession.createDataFrame([], schema)
 
 
+def class_forest(reps: DataFrame, most: float, report: dict | None = None) -> DataFrame:
+    """(a, b, core) of reps(k, v, n), n over 0 for core rows: edges that join core rows as all links within the distance do (core), and for
+    the others at least one core row b of every component that they touch. Pairs of blocks pass on forests, not links."""
+    schema = f"a {dict(reps.dtypes)['k']}, b {dict(reps.dtypes)['k']}, core boolean"
+    found = _meet(reps, most, _forest, schema, report)
+    return found if found is not None else reps.sparkSession.createDataFrame([], schema)
+
+
 def neighbours(df: DataFrame, key: str, vector: str, most: float, report: dict | None = None) -> DataFrame:
     """(a, b, distance), a < b, of all rows within a cosine distance; zero vectors are at distance 1 from everything, rows without a
     vector or with elements that aren't finite near nothing. Classes are multiplied out into their pairs: where copies abound, use `class_links`."""

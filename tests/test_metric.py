@@ -78,6 +78,39 @@ def test_clusters_with_copies_and_zeros(spark):
     assert CL.dbscan(frame(spark, []), "id").isEmpty()
 
 
+def test_clusters_across_blocks_equal_brute_force(spark, monkeypatch):
+    """Many small blocks, chains between crowds, border rows that touch several clusters, copies."""
+    monkeypatch.setattr(MT, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(MT, "TILE", 8)
+    rng = np.random.default_rng(7)
+    rows, _ = crowds(rng, 240, dim=3, centres=9, noise=0.12)
+    eps, least = 0.01, 5
+    near = {i: {i} for i, _ in rows}
+    for a, b in close_pairs(rows, eps):
+        near[a].add(b)
+        near[b].add(a)
+    core = {i for i in near if len(near[i]) >= least}
+    component = {}
+    for i in sorted(core):
+        todo = [i]
+        while todo:
+            j = todo.pop()
+            if j not in component:
+                component[j] = i
+                todo += [k for k in near[j] if k in core]
+    for i in sorted(set(near) - core):
+        touched = [component[j] for j in near[i] if j in core]
+        if touched:
+            component[i] = min(touched)
+    size = {c: sum(x == c for x in component.values()) for c in set(component.values())}
+    order = sorted(size, key=lambda c: (-size[c], min(i for i, x in component.items() if x == c)))
+    want = {i: (order.index(component[i]) if i in component else -1, i in core) for i in near}
+    report = {}
+    got = {r.id: (r.cluster, r.core) for r in CL.dbscan(frame(spark, rows), "id", eps=eps, min_samples=least, report=report).collect()}
+    assert got == want and report["blocks"] > 5 and len(size) > 3
+    assert any(not c and k >= 0 for k, c in want.values())
+
+
 def nearest(rows, queries, k):
     ids, v = [i for i, _ in rows], np.array([x for _, x in rows], np.float32).astype(float)
     want = set()
