@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumenframe.functions.text import col
 
@@ -26,9 +28,23 @@ def cosine_distance(a, b) -> Column:
     return F.when(norms == 0, 1.0).otherwise(1 - dot(a, b) / F.nullif(norms, F.lit(0.0)))
 
 
+@F.arrow_udf(StringType())
+def _six_decimals(vectors: pa.Array) -> pa.Array:
+    out = []
+    for v in vectors.to_pylist():
+        if v is not None and None in v:
+            v = [x for x in v if x is not None]
+        out.append(None if v is None else ",".join(["%.6f"] * len(v)) % tuple(v))
+    return pa.array(out, pa.string())
+
+
 def fingerprint(v) -> Column:
-    """SHA-1 of the numbers at six decimals."""
-    return F.sha1(F.array_join(F.transform(_double(v), lambda x: F.format_string("%.6f", x)), ","))
+    """SHA-1 of the numbers at six decimals, without nulls.
+
+    Decimals are rounded from the binary number itself and ties go to the even digit (0.0078125: 0.007812), as in C. `format_string`
+    rounds the shortest decimal form half up.
+    """
+    return F.sha1(_six_decimals(_double(v)))
 
 
 def mean_vectors(df: DataFrame, by: list[str], vector: str = "embedding", out: str = "mean") -> DataFrame:

@@ -115,6 +115,14 @@ def test_hashes(spark):
     assert one(spark, V.fingerprint(F.array(F.lit(0.5), F.lit(-1.0)))) == __import__("hashlib").sha1(b"0.500000,-1.000000").hexdigest()
 
 
+def test_fingerprints_round_the_binary_number_half_to_even(spark):
+    sha = lambda text: __import__("hashlib").sha1(text.encode()).hexdigest()
+    rows = [([0.0078125, -0.0234375, 0.0390625, -1e-7],), ([None, float("nan"), float("-inf"), 1e22],), ([],), (None,)]
+    got = values(spark, rows, "v array<float>", V.fingerprint("v"))
+    assert got == [sha("0.007812,-0.023438,0.039062,-0.000000"), sha("nan,-inf,9999999778196308361216.000000"), sha(""), None]
+
+
+
 def test_paths(spark):
     under = lambda p, f: one(spark, P.under(F.lit(p), F.lit(f)))
     assert under("/a/b/c.jpg", "/a/b") and under("/a/b", "/a/b/") and under("/x", "/") and under("D:\\p\\q", "D:\\")
