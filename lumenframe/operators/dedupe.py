@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +32,13 @@ def split_copy_id(copy):
 
 #: Values of one band beyond which it is split by further bits.
 HOT = 2048
+#: Where bands are too narrow: values of a block, of which two meet in a task, and the values that are compared with a block at once.
+BLOCK, TILE = 8192, 64
 
 
 def value_classes(df: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
     """members(k, rep) of all rows with a value and reps(v, rep, n): the least key of each different value and how many rows have it."""
-    rows = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
+    rows = written(df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v")), "values")
     reps = rows.groupBy("v").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
     return with_least(rows, ["v"], "k", "rep").select("k", "rep"), reps
 
@@ -41,15 +47,15 @@ def near_values(values: DataFrame, threshold: int) -> DataFrame:
     """(v, v2, distance), v < v2, of different 64-bit values(v) within a Hamming distance; none is missed.
 
     Of threshold + 1 bands of bits two such values share one, so they meet there. A band's value that more than HOT values share is split: the bits
-    outside it are cut into as many bands again, of which they share one too. (Not where bands are so narrow that this makes more pairs than it saves.)
+    outside it are cut into as many bands again, of which they share one too. Where bands are so narrow that they tell little apart, all pairs
+    are compared, block by block: the work grows with the square of the different values, at some 2 ns a pair, and the shuffle with their number times that of blocks.
     """
     n = threshold + 1
     edges = [64 * i // n for i in range(n + 1)]
     widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
-    long = values.select("v", F.posexplode(bands("v", n)).alias("band", "code"))
     if (64 - max(widths)) // n < (n - 1).bit_length() + 1:
-        return _near(long, ["band", "code"], threshold)
-    long = written(long, "bands")
+        return _by_blocks(values, threshold)
+    long = written(values.select("v", F.posexplode(bands("v", n)).alias("band", "code")), "bands")
     hot = long.groupBy("band", "code").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT).select("band", "code")
     cool = _near(long.join(hot, ["band", "code"], "left_anti"), ["band", "code"], threshold)
     outside = F.lit(None).cast("array<long>")
@@ -68,6 +74,36 @@ def _near(long: DataFrame, on: list[str], threshold: int) -> DataFrame:
     return long.join(other, on).where(F.col("v") < F.col("v2")).select("v", "v2", hamming("v", "v2").alias("distance")).where(F.col("distance") <= threshold).distinct()
 
 
+def _by_blocks(values: DataFrame, threshold: int) -> DataFrame:
+    """Values are dealt into blocks by their hash, so that all are about as large, and each pair of blocks meets once."""
+    blocks = max(1, -(-values.count() // BLOCK))
+    rows = values.select("v", F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("own")).select("v", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
+    rows = rows.select("v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    tasks = min(1024, blocks * (blocks + 1) // 2)
+    return rows.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(_tiles(threshold), "v long, v2 long, distance int")
+
+
+def _tiles(threshold: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = (k.as_py() for k in key)
+        whole = pa.Table.from_batches(batches)
+        v, own = (whole.column(name).to_numpy() for name in ("v", "own"))
+        left, right = (np.sort(v[own == k]).view(np.uint64) for k in (i, j))
+        apart, far = np.empty((TILE, len(right)), np.uint64), np.empty((TILE, len(right)), np.uint8)
+        for a in range(0, len(left), TILE):
+            # In a block itself the values before this tile have met it.
+            b, n = a if i == j else 0, len(left[a : a + TILE])
+            x, d = apart[:n, b:], far[:n, b:]
+            np.bitwise_count(np.bitwise_xor(left[a : a + TILE, None], right[None, b:], out=x), out=d)
+            p, q = np.nonzero(d <= threshold)
+            if i == j:
+                p, q = p[q > p], q[q > p]
+            one, two, d = left[a + p].view(np.int64), right[b + q].view(np.int64), d[p, q].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(d)], ["v", "v2", "distance"])
+
+    return run
+
+
 def near_classes(df: DataFrame, key: str, value: str, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members(k, rep), reps(v, rep, n) and links(a, b, distance) between representatives: as many rows as there are rows and different values that are near."""
     members, reps = value_classes(df, key, value)

@@ -259,6 +259,27 @@ def test_hamming_classes_with_a_hot_hash_and_hot_bands(spark, monkeypatch):
     assert links.count() == sum(1 for a in set(values) for b in set(values) if a < b and (a ^ b).bit_count() <= 5)
 
 
+def test_wide_hamming_distances_meet_in_blocks_not_in_bands(spark, monkeypatch):
+    """At 16 bits a band's few codes would be shared by nearly all pairs; now each pair of values meets once, in a block or between two."""
+    monkeypatch.setattr(DD, "BLOCK", 40)
+    monkeypatch.setattr(DD, "TILE", 7)
+    monkeypatch.setattr(DD, "_near", None)  # no join by bands
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    values = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(14))) for b in base for _ in range(6)] + [base[0]] * 20 + [0, 1, (1 << 64) - 1, 1 << 63]
+    df = table(spark, [*((i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)), (999, None)], "id long, h long")
+    want = {(i, j, (v ^ w).bit_count()) for i, v in enumerate(values) for j, w in enumerate(values) if i < j and (v ^ w).bit_count() <= 16}
+    got = [tuple(r) for r in DD.near_pairs(df, "id", "h", 16).collect()]
+    assert len(got) == len(want) and set(got) == want
+    group = list(range(len(values)))
+    for i, j, _ in sorted(want):
+        a, b = group[i], group[j]
+        group = [min(a, b) if g in (a, b) else g for g in group]
+    groups = {r.component: sorted(r.members) for r in DD.duplicate_groups(df, "id", "h", 16).collect()}
+    assert groups == {g: [i for i, x in enumerate(group) if x == g] for g in set(group) if group.count(g) > 1}
+    assert DD.near_pairs(df.where("id = 999"), "id", "h", 16).count() == 0
+
+
 def test_identities_carry_over(spark):
     new = table(spark, [("a", 0), ("b", 0), ("c", 0), ("d", 1), ("e", 2)], "member string, cluster int")
     old = table(spark, [("a", 5), ("b", 5), ("x", 6)], "member string, cluster int")
