@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.hashing import bands, hamming
 from lumenframe.operators.components import connected_components, with_least
-from lumenframe.operators.metric import onto_members
+from lumenframe.operators.metric import onto_members, united
 from lumenframe.sources.shared import written
 
 
@@ -43,6 +43,14 @@ def value_classes(df: DataFrame, key: str, value: str) -> tuple[DataFrame, DataF
     return with_least(rows, ["v"], "k", "rep").select("k", "rep"), reps
 
 
+def _edges(threshold: int) -> list[int] | None:
+    """Where threshold + 1 bands of bits begin and end; None if they are too narrow to tell values apart."""
+    n = threshold + 1
+    edges = [64 * i // n for i in range(n + 1)]
+    widest = max(b - a for a, b in zip(edges, edges[1:], strict=False))
+    return None if (64 - widest) // n < (n - 1).bit_length() + 1 else edges
+
+
 def near_values(values: DataFrame, threshold: int) -> DataFrame:
     """(v, v2, distance), v < v2, of different 64-bit values(v) within a Hamming distance; none is missed.
 
@@ -50,11 +58,9 @@ def near_values(values: DataFrame, threshold: int) -> DataFrame:
     outside it are cut into as many bands again, of which they share one too. Where bands are so narrow that they tell little apart, all pairs
     are compared, block by block: the work grows with the square of the different values, at some 2 ns a pair, and the shuffle with their number times that of blocks.
     """
-    n = threshold + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
-    if (64 - max(widths)) // n < (n - 1).bit_length() + 1:
-        return _by_blocks(values, threshold)
+    n, edges = threshold + 1, _edges(threshold)
+    if edges is None:
+        return _by_blocks(values, threshold, _tiles, "v long, v2 long, distance int")
     long = written(values.select("v", F.posexplode(bands("v", n)).alias("band", "code")), "bands")
     hot = long.groupBy("band", "code").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT).select("band", "code")
     cool = _near(long.join(hot, ["band", "code"], "left_anti"), ["band", "code"], threshold)
@@ -74,42 +80,84 @@ def _near(long: DataFrame, on: list[str], threshold: int) -> DataFrame:
     return long.join(other, on).where(F.col("v") < F.col("v2")).select("v", "v2", hamming("v", "v2").alias("distance")).where(F.col("distance") <= threshold).distinct()
 
 
-def _by_blocks(values: DataFrame, threshold: int) -> DataFrame:
-    """Values are dealt into blocks by their hash, so that all are about as large, and each pair of blocks meets once."""
+def _by_blocks(values: DataFrame, threshold: int, make, schema: str) -> DataFrame:
+    """What make(threshold) finds in all pairs of blocks. Values are dealt into blocks by their hash, so that all are about as large."""
     blocks = max(1, -(-values.count() // BLOCK))
-    rows = values.select("v", F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("own")).select("v", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
+    rows = values.select("v", F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("own"))
+    rows = rows.select("v", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
     rows = rows.select("v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     tasks = min(1024, blocks * (blocks + 1) // 2)
-    return rows.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(_tiles(threshold), "v long, v2 long, distance int")
+    return rows.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(make(threshold), schema)
 
 
-def _tiles(threshold: int):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Blocks:
+    """Two blocks of values that meet, or one that meets itself: all their values, and the places and distances of those within a threshold, tile by tile."""
+
+    def __init__(self, key: tuple, batches: Iterator[pa.RecordBatch]):
         i, j = (k.as_py() for k in key)
         whole = pa.Table.from_batches(batches)
         v, own = (whole.column(name).to_numpy() for name in ("v", "own"))
-        left, right = (np.sort(v[own == k]).view(np.uint64) for k in (i, j))
+        self.values, self.n = np.concatenate([v[own == k] for k in dict.fromkeys((i, j))]), int((own == i).sum())
+        self.one = i == j
+
+    def hits(self, threshold: int):
+        all_values = self.values.view(np.uint64)
+        left, shift = all_values[: self.n], 0 if self.one else self.n
+        right = all_values[shift:]
         apart, far = np.empty((TILE, len(right)), np.uint64), np.empty((TILE, len(right)), np.uint8)
         for a in range(0, len(left), TILE):
             # In a block itself the values before this tile have met it.
-            b, n = a if i == j else 0, len(left[a : a + TILE])
+            b, n = a if self.one else 0, len(left[a : a + TILE])
             x, d = apart[:n, b:], far[:n, b:]
             np.bitwise_count(np.bitwise_xor(left[a : a + TILE, None], right[None, b:], out=x), out=d)
             p, q = np.nonzero(d <= threshold)
-            if i == j:
+            if self.one:
                 p, q = p[q > p], q[q > p]
-            one, two, d = left[a + p].view(np.int64), right[b + q].view(np.int64), d[p, q].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(d)], ["v", "v2", "distance"])
+            yield a + p, shift + b + q, d[p, q].astype(np.int32)
+
+
+def _tiles(threshold: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two = Blocks(key, batches)
+        for p, q, d in two.hits(threshold):
+            one, other = two.values[p], two.values[q]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(d)], ["v", "v2", "distance"])
 
     return run
 
 
+def _forest(threshold: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two = Blocks(key, batches)
+        label, held, n = np.arange(len(two.values)), [], 0
+        for p, q, _ in two.hits(threshold):
+            held.append((p, q))
+            n += len(p)
+            if n >= len(label):
+                label, held, n = united(label, *map(np.concatenate, zip(*held, strict=True))), [], 0
+        if held:
+            label = united(label, *map(np.concatenate, zip(*held, strict=True)))
+        tied = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(two.values[tied]), pa.array(two.values[label[tied]])], ["v", "v2"])
+
+    return run
+
+
+def near_forest(values: DataFrame, threshold: int) -> DataFrame:
+    """(v, v2) that tie values(v) together as all links within the distance do; where all pairs are compared, at most a row for each value and block, however many links."""
+    return near_values(values, threshold).select("v", "v2") if _edges(threshold) is not None else _by_blocks(values, threshold, _forest, "v long, v2 long")
+
+
 def near_classes(df: DataFrame, key: str, value: str, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members(k, rep), reps(v, rep, n) and links(a, b, distance) between representatives: as many rows as there are rows and different values that are near."""
     members, reps = value_classes(df, key, value)
-    links = near_values(reps.select("v"), threshold)
+    return members, reps, between_reps(near_values(reps.select("v"), threshold), reps)
+
+
+def between_reps(links: DataFrame, reps: DataFrame) -> DataFrame:
+    """links(v, v2, ...) of values as links(a, b, ...) of their representatives."""
     links = links.join(reps.select("v", F.col("rep").alias("a")), "v").join(reps.select(F.col("v").alias("v2"), F.col("rep").alias("b")), "v2")
-    return members, reps, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *links.columns[2:-2])
 
 
 def near_counts(df: DataFrame, key: str, value: str, threshold: int) -> DataFrame:
@@ -154,8 +202,9 @@ def duplicate_groups(df: DataFrame, key: str, value: str, threshold: int = 6, mo
     """
     rows = df.where(F.col(value).isNotNull())
     if mode == "exact":
-        members, reps, links = near_classes(df, key, value, threshold)
-        parts = connected_components(reps.select(F.col("rep").alias("id")), links.select("a", "b"))
+        members, reps = value_classes(df, key, value)
+        links = between_reps(near_forest(reps.select("v"), threshold), reps)
+        parts = connected_components(reps.select(F.col("rep").alias("id")), links)
         labels = onto_members(members, parts.withColumnRenamed("id", "rep")).select(F.col("k").alias("id"), "component")
     else:
         labels = connected_components(rows.select(F.col(key).alias("id")), near_pairs(rows, key, value, threshold, mode).select("a", "b"))

@@ -216,7 +216,7 @@ def _degrees(pivots, most: float, kind: np.dtype, key_type: pa.DataType):
     return run
 
 
-def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """label (the least row of each row's component) with the components of i and j made one."""
     while True:
         a, b = label[i], label[j]
@@ -244,7 +244,7 @@ def _forest(pivots, most: float, kind: np.dtype, key_type: pa.DataType):
         for i, j, _ in two.hits():
             j = j + shift
             both, one = core[i] & core[j], core[i] != core[j]
-            label = _united(label, i[both], j[both])
+            label = united(label, i[both], j[both])
             inner, outer = np.where(core[i[one]], i[one], j[one]), np.where(core[i[one]], j[one], i[one])
             touches = np.unique(np.r_[touches, outer * len(ids) + label[inner]])
         touches = np.unique(touches // len(ids) * len(ids) + label[touches % len(ids)]) if len(touches) else touches

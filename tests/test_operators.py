@@ -280,6 +280,18 @@ def test_wide_hamming_distances_meet_in_blocks_not_in_bands(spark, monkeypatch):
     assert DD.near_pairs(df.where("id = 999"), "id", "h", 16).count() == 0
 
 
+def test_a_dense_group_is_tied_by_a_forest(spark, monkeypatch):
+    """150 values near each other have 11175 links; the groups need a row for each value and pair of blocks at most."""
+    monkeypatch.setattr(DD, "BLOCK", 60)
+    rng = random.Random(8)
+    values = list({sum(1 << k for k in rng.sample(range(60), rng.randrange(9))) for _ in range(170)})[:150] + [(1 << 63) - 1]
+    df = table(spark, list(enumerate(values)), "id long, h long")
+    assert DD.near_values(df.select(F.col("h").alias("v")), 16).count() == 150 * 149 // 2
+    forest = [tuple(r) for r in DD.near_forest(df.select(F.col("h").alias("v")), 16).collect()]
+    assert 149 <= len(forest) <= 3 * len(values) and all(values[150] not in (a, b) for a, b in forest)
+    assert [(r.component, r.n, sorted(r.members)) for r in DD.duplicate_groups(df, "id", "h", 16).collect()] == [(0, 150, list(range(150)))]
+
+
 def test_identities_carry_over(spark):
     new = table(spark, [("a", 0), ("b", 0), ("c", 0), ("d", 1), ("e", 2)], "member string, cluster int")
     old = table(spark, [("a", 5), ("b", 5), ("x", 6)], "member string, cluster int")
