@@ -201,6 +201,10 @@ def build_vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     return v
 
 
+#: Targets whose classes are computed at once: few enough for a cache.
+CHUNK = 2048
+
+
 class Model:
     """Gated recurrent units, and a class-factored softmax."""
 
@@ -230,29 +234,29 @@ class Model:
         """States after each step of a window, and the last; x and keep are steps by lanes. With store, also what went in
         and the gates: the state before, remember and reset gates, candidate, and its part that the reset gate scales."""
         n, p = self.hidden, self.p
-        kind = p["state"].dtype
-        pre, out = p["input"][x], np.empty((*x.shape, n), kind)
-        kept = tuple(np.empty((*x.shape, k), kind) for k in (n, 2 * n, n, n)) if store else None
+        # Gates and candidates are kept apart, so that most operations run over whole arrays; the gates' signs are turned once, for exp(-x).
+        gate, fresh_part = -p["state"][:, : 2 * n], np.ascontiguousarray(p["state"][:, 2 * n :])
+        gates, cs = (-p["input"][:, : 2 * n])[x], np.ascontiguousarray(p["input"][:, 2 * n :])[x]
+        out = np.empty_like(cs)
+        before, ucs = (np.empty_like(cs), np.empty_like(cs)) if store else (None, None)
+        begins = (keep == 0).any(axis=(1, 2)).tolist()
         for t in range(len(x)):
-            h = h * keep[t]
-            u = h @ p["state"]
-            g = pre[t, :, : 2 * n]
-            g += u[:, : 2 * n]
-            np.negative(g, out=g)
+            if begins[t]:
+                h = h * keep[t]
+            g, c = gates[t], cs[t]
+            g += h @ gate
             np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
-            uc = u[:, 2 * n :]
-            c = g[:, n:] * uc
-            c += pre[t, :, 2 * n :]
+            uc = h @ fresh_part
+            c += g[:, n:] * uc
             np.tanh(c, out=c)
             if store:
-                kept[0][t], kept[1][t], kept[2][t], kept[3][t] = h, g, c, uc
-            h -= c
+                before[t], ucs[t] = h, uc
+            h = np.subtract(h, c, out=out[t])
             h *= g[:, :n]
             h += c
-            out[t] = h
-        return out, h, kept
+        return out, h, (before, gates, cs, ucs) if store else None
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """Natural log-probability of each target: of its class and, if it is predicted, its word. With grads the
@@ -266,16 +270,22 @@ class Model:
         one = np.ones((len(y), n + 1), h.dtype)
         one[:, :n] = h[order]
         cls = self.class_of[y]
-        exp = one @ p["class"].T
-        np.exp(exp, out=exp)
-        total = exp @ np.ones(exp.shape[1], h.dtype)
-        if grads is None:
-            logp = np.log(exp[at, cls] / total).astype(np.float64)
-        else:
-            back = exp @ p["class"]
-            back /= total[:, None]
-            back -= p["class"][cls]
-            grads["class"] = ((one / total[:, None]).T @ exp).T - _sums(one, cls, len(p["class"]))
+        logp, back = (np.empty(len(y)), None) if grads is None else (None, np.empty_like(one))
+        if grads is not None:
+            grads["class"] = -_sums(one, cls, len(p["class"]))
+        for i in range(0, len(y), CHUNK):
+            o, k = one[i : i + CHUNK], cls[i : i + CHUNK]
+            exp = o @ p["class"].T
+            np.exp(exp, out=exp)
+            total = exp @ np.ones(exp.shape[1], h.dtype)
+            if grads is None:
+                logp[i : i + CHUNK] = np.log(exp[at[: len(k)], k] / total)
+            else:
+                inner = np.matmul(exp, p["class"], out=back[i : i + CHUNK])
+                inner /= total[:, None]
+                inner -= p["class"][k]
+                grads["class"] += ((o / total[:, None]).T @ exp).T
+        if grads is not None:
             predicted = int(np.searchsorted(y, self.first_tail))
             grads["word"] = -_sums(one[:predicted], y[:predicted], self.first_tail)
         cut = np.searchsorted(cls, np.arange(self.n_word_classes + 1)).tolist()
@@ -365,9 +375,12 @@ class Lanes:
     def __len__(self) -> int:
         return int(self.size[0])
 
+    def live(self, t: int) -> int:
+        return int((self.size > t).sum())
+
     def window(self, t: int, steps: int):
         """Inputs, targets (-1 where a lane has ended), keep and document numbers from step t on, steps by the live lanes."""
-        live = int((self.size > t).sum())
+        live = self.live(t)
         step = np.arange(t, min(t + steps, len(self)))[:, None]
         ended = step >= self.size[:live]
         at = np.minimum(self.start[:live] + step, len(self.ids) - 1)
@@ -511,9 +524,11 @@ def log_probs(model: Model, docs: list[np.ndarray], s: Settings, begin: int) ->
     if not docs:
         return total
     packed = Lanes(docs, s.score_lanes, begin)
-    h = np.zeros((len(packed.size), model.hidden), np.float32)
-    for t in range(0, len(packed), s.score_window):
-        x, y, keep, doc = packed.window(t, s.score_window)
+    h, t = np.zeros((len(packed.size), model.hidden), np.float32), 0
+    while t < len(packed):
+        # Where few lanes are left a window has more steps, so that it holds as many tokens.
+        x, y, keep, doc = packed.window(t, s.score_window * max(1, s.score_lanes // packed.live(t)))
+        t += len(x)
         out, h, _ = model.steps(x, keep, h[: x.shape[1]])
         live = y >= 0
         total += np.bincount(doc[live], model.outputs(out[live], y[live]), len(docs))

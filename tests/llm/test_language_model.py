@@ -113,6 +113,18 @@ def test_windows_and_lanes_do_not_change_scores():
     assert np.allclose(L.log_probs(m, docs, s, v.begin), want, atol=1e-4)
 
 
+def test_windows_lengthen_where_few_lanes_are_left(monkeypatch):
+    """A long document outlasts the others: its windows then hold as many tokens as those of all lanes, and its score is the same."""
+    v, s, m = model_of()
+    s.score_lanes = 32
+    rng, calls, outputs = np.random.default_rng(2), [], m.outputs
+    docs = [rng.integers(0, 12, n) for n in (960, *[6] * 40)]
+    alone = [L.log_probs(m, [d], s, v.begin)[0] for d in docs]
+    monkeypatch.setattr(m, "outputs", lambda h, y: calls.append(len(y)) or outputs(h, y))
+    assert np.allclose(L.log_probs(m, docs, s, v.begin), alone, atol=1e-3)
+    assert sum(calls) == 1200 and len(calls) <= 20 and max(calls) <= s.score_lanes * s.score_window
+
+
 def test_gradients_match_differences():
     v, s, m = model_of()
     m.p = {k: a.astype(np.float64) for k, a in m.p.items()}
