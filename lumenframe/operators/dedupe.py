@@ -56,7 +56,7 @@ def near_values(values: DataFrame, threshold: int) -> DataFrame:
 
     Of threshold + 1 bands of bits two such values share one, so they meet there. A band's value that more than HOT values share is split: the bits
     outside it are cut into as many bands again, of which they share one too. Where bands are so narrow that they tell little apart, all pairs
-    are compared, block by block: the work grows with the square of the different values, at some 2 ns a pair, and the shuffle with their number times that of blocks.
+    are compared, block by block: the work grows with the square of the different values, at about 3 ns a pair, and the shuffle with their number times that of blocks.
     """
     n, edges = threshold + 1, _edges(threshold)
     if edges is None:
