@@ -25,18 +25,18 @@ their names, are ignored.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+from collections.abc import Iterator
 from copy import copy
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import Table, texts
+from lumenframe.llm.common import Table
 
 END = b"\n"  # no word holds white space
 PAIRS = 1 << 11
@@ -59,6 +59,7 @@ class Settings:
     rate: float = 0.1
     score_lanes: int = 1024
     score_window: int = 32
+    text_bytes: int = 1 << 24  # of texts split into words at once
     flush: int = 400_000
     train_flush: int = 2_000_000
     score_flush: int = 6_000_000
@@ -69,22 +70,40 @@ def is_held_out():
 
 
 def words_of(text: bytes) -> list[bytes]:
+    """The tokens of one text, plainly; `_split` does a batch."""
     return [*text.lower().split(), END]
 
 
-def _counter(flush: int):
-    def rows(c):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of up to `most` bytes of text, or one row."""
+    total, first = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while first < batch.num_rows:
+        n = max(1, int(np.searchsorted(total, (total[first - 1] if first else 0) + most, "right")) - first)
+        yield batch.slice(first, n)
+        first += n
 
+
+def _split(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """The words of a batch of texts, one after the other, and how many each text has; ends are left out. Arrow's white space is the contract's."""
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(batch.column(0), "")))
+    lists = pc.ascii_split_whitespace(text)
+    words, size = lists.flatten(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    empty = pc.equal(text, "").to_numpy(zero_copy_only=False)
+    if empty.any():  # such a text comes out as one empty word
+        size[empty] = 0
+        words = words.filter(pc.not_equal(words, ""))
+    return words.cast(pa.binary()), size
+
+
+def _counter(most: int):
     def run(batches):
-        c: Counter = Counter()
         for batch in batches:
-            for x in texts(batch):
-                c.update(words_of(x))
-                if len(c) > flush:
-                    yield rows(c)
-                    c.clear()
-        yield rows(c)
+            for piece in _pieces(batch, most):
+                words, size = _split(piece)
+                found = words.value_counts()
+                word = pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())])
+                n = pa.concat_arrays([found.field("counts"), pa.array([len(size)], pa.int64())])
+                yield pa.RecordBatch.from_arrays([word, n], ["word", "n"])
 
     return run
 
@@ -130,7 +149,7 @@ class Spelling:
 class Vocabulary:
     """The fixed-size part: frequent words, their counts and classes."""
 
-    index: dict
+    index: pa.Array  # the known words, the end last
     counts: np.ndarray
     ids: np.ndarray  # of each known word: a predicted word, or `first_tail` + its tail
     spelling: Spelling
@@ -149,17 +168,21 @@ class Vocabulary:
     def begin(self) -> int:
         return self.first_tail + len(self.tail_mass)
 
-    def lookup(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Model ids, places among the known words (-1: rare), places of rare tokens, and these tokens."""
-        known = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
-        ids = self.ids[known]
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places among the known words, -1: rare. Each call hashes all known words."""
+        return pc.fill_null(pc.index_in(words, value_set=self.index), -1).to_numpy()
+
+    def lookup(self, words: pa.Array | list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Model ids of words, places of the rare ones, and these words; known are the words' `places`."""
+        words = pa.array(words, pa.binary()) if isinstance(words, list) else words
+        known = self.places(words) if known is None else known
+        ids = self.ids.take(known, mode="wrap")
         rare = np.flatnonzero(known < 0)
-        words = [tokens[i] for i in rare.tolist()]
-        if words:
-            distinct = list(set(words))
-            tail = dict(zip(distinct, self.spelling.of(distinct).tolist(), strict=True))
-            ids[rare] = self.first_tail + np.fromiter(map(tail.__getitem__, words), np.int64, len(words))
-        return ids, known, rare, words
+        words = words.take(pa.array(rare))
+        if len(words):
+            distinct = words.dictionary_encode()
+            ids[rare] = self.first_tail + self.spelling.of(distinct.dictionary.to_pylist())[distinct.indices.to_numpy()]
+        return ids, rare, words
 
 
 def build_vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
@@ -181,8 +204,7 @@ def build_vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     ids = n_words + tail
     ids[order] = np.arange(1, n_words)
     word_counts = np.r_[end, c[order]].astype(np.float64)
-    known = dict(zip([*words, END], range(len(words) + 1), strict=True))
-    v = Vocabulary(known, np.r_[c, end].astype(np.float64), np.r_[ids, 0].astype(np.int64), spelling, total or 0, distinct, starts, word_counts, np.zeros(s.tails))
+    v = Vocabulary(pa.array([*words, END], pa.binary()), np.r_[c, end].astype(np.float64), np.r_[ids, 0].astype(np.int64), spelling, total or 0, distinct, starts, word_counts, np.zeros(s.tails))
     shared = counts.sparkSession.sparkContext.broadcast((set(words[: s.words]) | {END}, spelling))
 
     def masses(batches):
@@ -234,29 +256,32 @@ class Model:
         """States after each step of a window, and the last; x and keep are steps by lanes. With store, also what went in
         and the gates: the state before, remember and reset gates, candidate, and its part that the reset gate scales."""
         n, p = self.hidden, self.p
-        # Gates and candidates are kept apart, so that most operations run over whole arrays; the gates' signs are turned once, for exp(-x).
-        gate, fresh_part = -p["state"][:, : 2 * n], np.ascontiguousarray(p["state"][:, 2 * n :])
-        gates, cs = (-p["input"][:, : 2 * n])[x], np.ascontiguousarray(p["input"][:, 2 * n :])[x]
+        # Both gates and candidates have an array each, so that operations run over whole arrays; the gates' signs are turned, for exp(-x).
+        weights = p["state"].reshape(n, 3, n).transpose(1, 0, 2) * np.array([-1, -1, 1], h.dtype)[:, None, None]
+        pre = p["input"].reshape(-1, n).take(x.astype(np.intp) * 3 + np.arange(3)[:, None, None], axis=0)
+        gates, cs = pre[:2], pre[2]
         out = np.empty_like(cs)
-        before, ucs = (np.empty_like(cs), np.empty_like(cs)) if store else (None, None)
-        begins = (keep == 0).any(axis=(1, 2)).tolist()
+        parts = np.empty((3, len(x) if store else 1, *h.shape), h.dtype)
+        before, begins = h[None], (keep == 0).any(axis=(1, 2)).tolist()
         for t in range(len(x)):
             if begins[t]:
                 h = h * keep[t]
-            g, c = gates[t], cs[t]
-            g += h @ gate
+            u, g, c = parts[:, t if store else 0], gates[:, t], cs[t]
+            np.matmul(h, weights, out=u)
+            np.subtract(u[:2], g, out=g)
             np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
-            uc = h @ fresh_part
-            c += g[:, n:] * uc
+            c += g[1] * u[2]
             np.tanh(c, out=c)
-            if store:
-                before[t], ucs[t] = h, uc
             h = np.subtract(h, c, out=out[t])
-            h *= g[:, :n]
+            h *= g[0]
             h += c
-        return out, h, (before, gates, cs, ucs) if store else None
+        if not store:
+            return out, h, None
+        before = np.concatenate([before, out[:-1]])
+        before *= keep
+        return out, h, (before, *gates, cs, parts[2])
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """Natural log-probability of each target: of its class and, if it is predicted, its word. With grads the
@@ -264,93 +289,90 @@ class Model:
 
         Targets are numbered class by class, so in their order each class is one slice.
         """
-        p, n = self.p, self.hidden
+        p, n, first = self.p, self.hidden, self.class_start.tolist()
         order = np.argsort(y.astype(np.uint16), kind="stable")
-        y, at = y[order], np.arange(len(y))
+        y, at = y.take(order), np.arange(len(y))
         one = np.ones((len(y), n + 1), h.dtype)
-        one[:, :n] = h[order]
-        cls = self.class_of[y]
-        logp, back = (np.empty(len(y)), None) if grads is None else (None, np.empty_like(one))
-        if grads is not None:
-            grads["class"] = -_sums(one, cls, len(p["class"]))
-        for i in range(0, len(y), CHUNK):
-            o, k = one[i : i + CHUNK], cls[i : i + CHUNK]
-            exp = o @ p["class"].T
-            np.exp(exp, out=exp)
-            total = exp @ np.ones(exp.shape[1], h.dtype)
-            if grads is None:
-                logp[i : i + CHUNK] = np.log(exp[at[: len(k)], k] / total)
-            else:
-                inner = np.matmul(exp, p["class"], out=back[i : i + CHUNK])
-                inner /= total[:, None]
-                inner -= p["class"][k]
-                grads["class"] += ((o / total[:, None]).T @ exp).T
-        if grads is not None:
-            predicted = int(np.searchsorted(y, self.first_tail))
-            grads["word"] = -_sums(one[:predicted], y[:predicted], self.first_tail)
-        cut = np.searchsorted(cls, np.arange(self.n_word_classes + 1)).tolist()
-        for c, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
-            a, b = self.class_start[c], self.class_start[c + 1]
-            if i == j or b - a == 1 and grads is None:
-                continue
-            own, w = one[i:j], p["word"][a:b]
+        one[:, :n] = h.take(order, axis=0)
+        cls, ones = self.class_of.take(y), np.ones(max(len(p["class"]), len(p["word"])), h.dtype)
+
+        def shares(own, w, k):
+            """Exponentials by choice, their sums, and where in the flat exponentials the targets k are."""
             exp = own @ w.T
             np.exp(exp, out=exp)
-            total = exp @ np.ones(b - a, h.dtype)
-            if grads is None:
-                logp[i:j] += np.log(exp[at[: j - i], y[i:j] - a] / total)
-            else:
-                inner = exp @ w
-                inner /= total[:, None]
-                inner -= w[y[i:j] - a]
-                back[i:j] += inner
-                grads["word"][a:b] += exp.T @ (own / total[:, None])
-        out = np.empty_like(logp if grads is None else back[:, :n])
-        out[order] = logp if grads is None else back[:, :n]
-        return out
+            return exp, exp @ ones[: len(w)], at[: len(k)] * len(w) + k
+
+        def errors(own, w, k):
+            """Probabilities, less 1 for the targets."""
+            exp, total, hit = shares(own, w, k)
+            exp *= np.reciprocal(total, out=total)[:, None]
+            exp.reshape(-1)[hit] -= 1
+            return exp
+
+        chunks = [slice(i, i + CHUNK) for i in range(0, len(y), CHUNK)]
+        cut = np.searchsorted(cls, np.arange(self.n_word_classes + 1)).tolist()
+        # The word of a class that has no other is certain.
+        classes = [(slice(i, j), a, b) for i, j, a, b in zip(cut, cut[1:], first, first[1:], strict=False) if i < j and b - a > 1]
+        if grads is None:
+            prob = np.empty(len(y))
+            for c in chunks:
+                exp, total, hit = shares(one[c], p["class"], cls[c])
+                np.divide(exp.take(hit), total, out=prob[c])
+            for c, a, b in classes:
+                exp, total, hit = shares(one[c], p["word"][a:b], y[c] - a)
+                prob[c] *= exp.take(hit) / total
+            out = np.empty_like(prob)
+            out[order] = np.log(prob)
+            return out
+        back, grads["class"], grads["word"] = np.empty((len(y), n), h.dtype), np.zeros_like(p["class"]), np.zeros_like(p["word"])
+        for c in chunks:
+            error = errors(one[c], p["class"], cls[c])
+            np.matmul(error, p["class"][:, :n], out=back[c])
+            grads["class"] += error.T @ one[c]
+        for c, a, b in classes:
+            error = errors(one[c], p["word"][a:b], y[c] - a)
+            back[c] += error @ p["word"][a:b, :n]
+            np.matmul(error.T, one[c], out=grads["word"][a:b])
+        place = np.empty_like(order)
+        place[order] = at
+        return back.take(place, axis=0)
 
     def gradients(self, x, y, keep, h):
         """Truncated backpropagation through one window: how many targets, gradients, states. y is -1 where a lane is idle."""
         n, p, grads = self.hidden, self.p, {}
-        out, last, kept = self.steps(x, keep, h, True)
-        live = y >= 0
+        out, last, (before, z, r, c, uc) = self.steps(x, keep, h, True)
+        live = np.flatnonzero(y >= 0)
         d_out = np.zeros_like(out)
-        d_out[live] = self.outputs(out[live], y[live], grads)
-        before, gates, c, uc = kept
-        z, r = gates[..., :n], gates[..., n:]
+        d_out.reshape(-1, n)[live] = self.outputs(out.reshape(-1, n).take(live, axis=0), y.ravel().take(live), grads)
         # What does not depend on later steps, for the whole window at once.
         to_c = (1 - z) * (1 - c * c)
         to_z = (before - c) * z * (1 - z)
         to_r = uc * r * (1 - r)
-        d_pre, d_u, back_state = np.empty((*x.shape, 3 * n), out.dtype), np.empty((*x.shape, 3 * n), out.dtype), np.ascontiguousarray(p["state"].T)
-        dh = np.zeros_like(h)
+        d_c, d_u = np.empty_like(out), np.empty((3, *out.shape), out.dtype)  # of the candidates' sums; of what the state gives to gates and candidates
+        back, dh = np.ascontiguousarray(p["state"].reshape(n, 3, n).transpose(1, 2, 0)), np.zeros_like(h)
         for t in range(len(x) - 1, -1, -1):
             dh += d_out[t]
-            d = d_pre[t]
-            np.multiply(dh, to_z[t], out=d[:, :n])
-            dc = np.multiply(dh, to_c[t], out=d[:, 2 * n :])
-            np.multiply(dc, to_r[t], out=d[:, n : 2 * n])
-            du = d_u[t]
-            du[:, : 2 * n] = d[:, : 2 * n]
-            np.multiply(dc, r[t], out=du[:, 2 * n :])
+            np.multiply(dh, to_z[t], out=d_u[0, t])
+            dc = np.multiply(dh, to_c[t], out=d_c[t])
+            np.multiply(dc, to_r[t], out=d_u[1, t])
+            np.multiply(dc, r[t], out=d_u[2, t])
             dh *= z[t]
-            dh += du @ back_state
+            for part in d_u[:, t] @ back:
+                dh += part
             dh *= keep[t]
-        grads["state"] = before.reshape(-1, n).T @ d_u.reshape(-1, 3 * n)
-        flat, rows = x.ravel().astype(np.uint16), d_pre.reshape(-1, 3 * n)
+        grads["state"] = np.hstack([before.reshape(-1, n).T @ d.reshape(-1, n) for d in d_u])
+        flat = x.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
-        ids, start = np.unique(flat[order], return_index=True)
-        grads["input"] = (ids, np.add.reduceat(rows[order], start, axis=0))
-        return int(live.sum()), grads, last
+        ids, start = np.unique(flat.take(order), return_index=True)
+        grads["input"] = (ids, np.hstack([_sums(d.reshape(-1, n).take(order, axis=0), start) for d in (d_u[0], d_u[1], d_c)]))
+        return len(live), grads, last
 
 
-def _sums(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of each of n groups; `of` is sorted."""
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    if len(of):
-        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        out[of[first]] = np.add.reduceat(rows, first, axis=0)
-    return out
+def _sums(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each start to the next. Two columns count as one complex number: half as many short sums."""
+    if rows.shape[1] % 2:
+        return np.add.reduceat(rows, start, axis=0)
+    return np.add.reduceat(rows.view(np.result_type(rows, np.complex64)), start, axis=0).view(rows.dtype)
 
 
 class Lanes:
@@ -384,10 +406,10 @@ class Lanes:
         step = np.arange(t, min(t + steps, len(self)))[:, None]
         ended = step >= self.size[:live]
         at = np.minimum(self.start[:live] + step, len(self.ids) - 1)
-        y, new = self.ids[at].astype(np.int32), self.first[at]
+        y, new = self.ids.take(at).astype(np.int32), self.first.take(at)
         y[ended] = -1
-        x = np.where(new | ended, self.begin, self.ids[at - 1])
-        return x, y, (~new).astype(np.float32)[:, :, None], self.doc[at]
+        x = np.where(new | ended, self.begin, self.ids.take(at - 1))
+        return x, y, (~new).astype(np.float32)[:, :, None], self.doc.take(at)
 
 
 def train_on(model: Model, docs: list[np.ndarray], s: Settings, begin: int, squares: dict, lanes: int | None = None) -> int:
@@ -530,8 +552,8 @@ def log_probs(model: Model, docs: list[np.ndarray], s: Settings, begin: int) ->
         x, y, keep, doc = packed.window(t, s.score_window * max(1, s.score_lanes // packed.live(t)))
         t += len(x)
         out, h, _ = model.steps(x, keep, h[: x.shape[1]])
-        live = y >= 0
-        total += np.bincount(doc[live], model.outputs(out[live], y[live]), len(docs))
+        live = np.flatnonzero(y >= 0)
+        total += np.bincount(doc.ravel().take(live), model.outputs(out.reshape(-1, model.hidden).take(live, axis=0), y.ravel().take(live)), len(docs))
     return total / LN10
 
 
@@ -547,33 +569,36 @@ def _encoder(shared):
     """Texts to model ids, with what the counts alone give: base terms, shares inside tail classes, and the rare words."""
 
     def run(batches):
-        v, flush = shared.value
+        v, most, flush = shared.value
         base, tail_share = np.log10(v.counts + 0.5), np.log10(v.tail_mass)
         at = TaskContext.get().partitionId() << 33
-        for whole in batches:
-            first = 0
-            while first < whole.num_rows:
-                tokens, sizes = [], []
-                for x in texts(whole.slice(first)):
-                    own = words_of(x)
-                    tokens += own
-                    sizes.append(len(own))
-                    if len(tokens) >= flush:
-                        break
-                n, size = len(sizes), np.array(sizes)
-                ids, known, rare, words = v.lookup(tokens)
-                doc, hit = np.repeat(np.arange(n), size), known >= 0
-                place, by = known[hit], doc[hit]
-                static = np.bincount(by, v.static[place], n) - np.bincount(doc[rare], tail_share[ids[rare] - v.first_tail], n)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(doc[rare], minlength=n))], pa.int32()), pa.array(words, pa.binary()))
-                cut, flat = np.r_[0, np.cumsum(size)], ids.astype(np.uint16)
-                packed = pa.array([flat[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
-                part = whole.slice(first, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(at, at + n)), part.column(1), part.column(2), pa.array(size), pa.array(np.bincount(by, v.counts[place] > 0, n).astype(np.int64)), pa.array(np.bincount(by, base[place], n)), pa.array(static), packed, lists],
-                    _names(ENCODED),
-                )
-                at, first = at + n, first + n
+
+        def rows(part, words, known, size):
+            n, cut = len(size), np.cumsum(size)
+            ids, rare, rare_words = v.lookup(words, known)
+            doc, hit = np.repeat(np.arange(n), size), np.flatnonzero(known >= 0)
+            place, by, rare_by = known.take(hit), doc.take(hit), doc.take(rare)
+            # An end, which is the last known word and predicted, follows each text.
+            met = np.bincount(by, v.counts.take(place) > 0, n).astype(np.int64) + int(v.counts[-1] > 0)
+            static = v.static[-1] + np.bincount(by, v.static.take(place), n) - np.bincount(rare_by, tail_share.take(ids.take(rare) - v.first_tail), n)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(rare_by, minlength=n))], pa.int32()), rare_words)
+            flat = np.insert(ids.astype(np.uint16), cut, v.ids[-1])
+            ends = (np.r_[0, cut + np.arange(1, n + 1)] * flat.itemsize).astype(np.int32)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(at, at + n)), part.column(1), part.column(2), pa.array(size + 1), pa.array(met), pa.array(np.bincount(by, base.take(place), n) + base[-1]), pa.array(static), packed, lists],
+                _names(ENCODED),
+            )
+
+        for batch in batches:
+            for piece in _pieces(batch, most):
+                words, size = _split(piece)
+                known, cut, first = v.places(words), np.r_[0, np.cumsum(size)], 0
+                while first < len(size):
+                    n = max(1, int(np.searchsorted(cut, cut[first] + flush, "right")) - 1 - first)
+                    a, b = int(cut[first]), int(cut[first + n])
+                    yield rows(piece.slice(first, n), words.slice(a, b - a), known[a:b], size[first : first + n])
+                    at, first = at + n, first + n
 
     return run
 
@@ -600,10 +625,10 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
     s = settings or Settings()
     share = docs.sparkSession.sparkContext.broadcast
     docs = docs.select("text", "doc_id", is_held_out().alias("held_out"))
-    counts = docs.where(~F.col("held_out")).select("text").mapInArrow(_counter(s.flush), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    counts = docs.where(~F.col("held_out")).select("text").mapInArrow(_counter(s.text_bytes), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     counts = Table(counts, "token-counts").read()
     v = build_vocabulary(counts, s)
-    words = share((v, s.flush))
+    words = share((v, s.text_bytes, s.flush))
     encoded = Table(docs.mapInArrow(_encoder(words), ENCODED), "encoded").read()
     words.unpersist()
     model = train(encoded.where(~F.col("held_out")).select("doc_id", "ids"), v, s)

@@ -1,8 +1,11 @@
 import math
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from lumenframe.llm import language_model as L
 from util import LOWER, SF, WORD, empty_documents, odd_documents
@@ -160,3 +163,50 @@ def test_learning_lowers_the_loss():
     for _ in range(5):
         L.train_on(m, docs, s, v.begin, squares)
     assert L.log_probs(m, docs, s, v.begin).sum() > 0.5 * before
+
+
+def batch_of(texts):
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+
+
+def test_words_are_split_as_the_contract_says():
+    every = "".join(f"{chr(i)}Ab" for i in range(1, 256)) + "\u2003x\u3000\u1680y\u0000z"
+    rows = ["", None, " \t\n\x0b\x0c\r", every, f" {every}\n", "É İ ẞ ABC", "one", "\n\n", "a\x1cB\x85c\xa0d", None]
+    for batch in (batch_of(rows), batch_of(["skipped", *rows]).slice(1)):
+        words, size = L._split(batch)
+        want = [[w.encode() for w in WORD.findall((x or "").translate(LOWER))] for x in rows]
+        assert words.to_pylist() == [w for x in want for w in x] and size.tolist() == [len(x) for x in want]
+        assert [[*x, L.END] for x in want] == [L.words_of((x or "").encode()) for x in rows]
+        for most in (1, 300, 1 << 24):
+            pieces = list(L._pieces(batch, most))
+            assert [x for p in pieces for x in p.column(0).to_pylist()] == rows and all(p.num_rows for p in pieces)
+            counts = Counter()
+            for found in L._counter(most)([batch, batch]):
+                counts.update(dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)))
+            assert counts == Counter(2 * [w for x in want for w in [*x, L.END]])
+
+
+def test_counting_costs_less_than_a_dictionary_of_words():
+    """The check's budget is CPU seconds: words are counted without an object for each (before: as long as the plain loop)."""
+    texts = pq.read_table(f"{SF.replace('0.001', '0.01')}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    batch = batch_of(texts)
+
+    def plain():
+        c = Counter()
+        for x in batch.column(0).cast(pa.large_binary()):
+            c.update(L.words_of(x.as_py() or b""))
+
+    def cpu(f):
+        t = time.process_time()
+        f()
+        return time.process_time() - t
+
+    assert min(cpu(lambda: list(L._counter(1 << 24)([batch]))) for _ in range(5)) < 0.8 * min(cpu(plain) for _ in range(5))
+
+
+def test_grouped_sums_match_reduceat():
+    rng = np.random.default_rng(5)
+    for columns, kind in ((16, np.float32), (5, np.float32), (6, np.float64)):
+        rows, start = rng.standard_normal((50, columns)).astype(kind), np.array([0, 1, 7, 8, 49])
+        got = L._sums(rows, start)
+        assert got.dtype == kind and np.allclose(got, np.add.reduceat(rows, start, axis=0), atol=1e-5)
